@@ -172,7 +172,7 @@ def lookup(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
     own = segments(spark, path).filter("n > 0")
     marked = own.select("start", "n", "code", F.explode(F.sequence(F.floor(F.col("start") / MARK), F.floor((F.col("start") + F.col("n") - 1) / MARK))).alias("mark"))
     asked = positions.select("position", F.floor(F.col("position") / MARK).alias("mark"), F.pmod(F.col("position"), F.lit(16)).alias("salt"))
-    keys = marked.select("mark", F.explode(F.sequence(F.lit(0), F.lit(15))).cast("long").alias("salt"), "start", "n", "code")
+    keys = marked.select("mark", F.explode(F.array(*[F.lit(i).cast("long") for i in range(16)])).alias("salt"), "start", "n", "code")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []

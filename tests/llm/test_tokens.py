@@ -106,9 +106,28 @@ def test_a_seeds_window_takes_its_nearest_neighbours():
 
 def as_unigram(path):
     """The library's own model with its kind set to unigram, for the same Viterbi."""
-    raw = open(path, "rb").read()
-    at = raw.index(b"\x18\x02", raw.rindex(b"</s>"))
-    return sentencepiece.SentencePieceProcessor(model_proto=raw[:at] + b"\x18\x01" + raw[at + 2 :])
+    raw, at = bytearray(open(path, "rb").read()), 0
+
+    def number():
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while number() != 0x12:  # the trainer's settings are the model's field 2
+        size = number()
+        at += size
+    number()
+    while (tag := number()) != 0x18:  # the kind is their field 3
+        skip = number()
+        at += skip if tag & 7 == 2 else 0
+    raw[at] = 1
+    return sentencepiece.SentencePieceProcessor(model_proto=bytes(raw))
 
 
 def full_viterbi(own, text):
