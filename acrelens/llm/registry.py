@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from acrelens.llm import chat, dac, exact_dedup, packing, simhash, spm, url_trust
+from acrelens.llm import ann, chat, dac, exact_dedup, packing, simhash, spm, substring, toxicity, url_trust
 from acrelens.scratch import scratch_path
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -16,6 +16,10 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark, sf_dir):
+    return toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_url_trust(spark, sf_dir):
     return url_trust.judge_pages(_table(spark, sf_dir, "pages"))
 
@@ -24,6 +28,14 @@ def op3_packing(spark, sf_dir):
     return packing.digest(packing.pack_documents(_table(spark, sf_dir, "documents"), WORDS))
 
 
+def op4_prefix_forest(spark, sf_dir):
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_repeated_passages(spark, sf_dir):
+    return substring.digest(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark, sf_dir):
     path = scratch_path(spark, "token_files")
     dac.write(_table(spark, sf_dir, "documents"), path, WORDS)
@@ -46,14 +58,24 @@ def op10_perspectives(spark, sf_dir):
     return chat.rotate(_table(spark, sf_dir, "conversations"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_url_trust": op2_url_trust,
     "op3_packing": op3_packing,
+    "op4_prefix_forest": op4_prefix_forest,
+    "op5_repeated_passages": op5_repeated_passages,
     "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_pieces": op9_pieces,
     "op10_perspectives": op10_perspectives,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL = {
