@@ -2,5 +2,600 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from acrelens.functions import parcel as P
+from acrelens.functions import text as X
+from acrelens.operators import arv, filters, match, merge, search, spatial, workflow
+from acrelens.plans import reports
+from acrelens.plans.fixtures import sql, table
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+_ID = ["county_fips", "parcel_id"]
+
+WEIGHTS = {"arv_spread_score": 0.5, "signal_tier_score": 0.25, "dom_score": 0.15, "absentee_score": 0.10}
+CRITERIA = {
+    "logic": "AND",
+    "version": 1,
+    "filters": {
+        "just_value": {"min": 50_000, "max": 300_000},
+        "list_price_to_jv_ratio": {"max": 1.2},
+        "year_built": {"min": 1945},
+        "living_area_sqft": {"min": 900},
+        "bathrooms": {"min": 1.0},
+        "num_buildings": {"max": 2},
+        "homestead_status": {"required": False},
+        "owner_state_dom": {"exclude": ["GA"]},
+        "dor_use_code": {"include": [1, 2]},
+        "mkt_ar_codes": {"include": ["1", "2", "3", "4", "5", "6"]},
+    },
+}
+#: The raw rows have no listing before the filters of the roll.
+ROLL_CRITERIA = {
+    "filters": {
+        "dor_use_code": {"include": [1, 93]},
+        "year_built": {"min": 1950, "max": 2000},
+        "imp_qual": {"min": 2, "max": 4},
+        "living_area_sqft": {"min": 900},
+        "just_value": {"min": 50_000},
+        "num_buildings": {"max": 2},
+        "num_residential_units": {"max": 3},
+        "county_nos": {"include": [27]},
+        "zip_codes": {"include": ["32500", "32504", "32510", "32520", "32530"]},
+        "absentee_owner": {"required": True},
+        "disaster_code_present": {"required": False},
+    }
+}
+
+
+def query(oracle: str | None = None, *names: str):
+    """Register a function of tables as the query of its name."""
+
+    def register(f):
+        inputs = names or f.__code__.co_varnames[: f.__code__.co_argcount]
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(*[table(spark, sf_dir, n) for n in inputs])
+        if oracle:
+            ORACLE_SQL[f.__name__] = sql(oracle.strip(), *inputs)
+        return f
+
+    return register
+
+
+ABSENTEE_SQL = """CASE WHEN upper(trim(coalesce(own_state, ''))) NOT IN ('', 'FL') THEN true
+ WHEN m = '' THEN NULL WHEN m LIKE 'PO %' OR m LIKE 'P.O.%' THEN true
+ WHEN NOT regexp_matches(m, '^[0-9]') THEN NULL WHEN upper(trim(coalesce(phy_addr1, ''))) = '' THEN NULL
+ ELSE m <> upper(trim(phy_addr1)) END"""
+AWAY_SQL = f"""WITH away AS (SELECT *, {ABSENTEE_SQL} AS absentee_owner FROM
+ (SELECT *, upper(trim(coalesce(CASE WHEN county_fips = '12033' THEN own_addr1 ELSE own_addr2 END, ''))) AS m FROM parcels))"""
+LATEST_SQL = "latest AS (SELECT * FROM signals QUALIFY row_number() OVER (PARTITION BY county_fips, parcel_id ORDER BY id DESC) = 1)"
+SCORE_SQL = """round(CASE WHEN tw = 0 THEN NULL ELSE ts / tw END, 4) AS deal_score FROM (SELECT *,
+ CASE WHEN arv_spread IS NOT NULL AND coalesce(jv, 0) <> 0 THEN 0.5e0 * greatest(least(arv_spread / jv, 1e0), 0e0) ELSE 0e0 END
+ + CASE WHEN signal_tier IS NULL THEN 0e0 ELSE 0.25e0 * CASE signal_tier WHEN 1 THEN 1e0 WHEN 2 THEN 0.66e0 WHEN 3 THEN 0.33e0 ELSE 0e0 END END
+ + CASE WHEN days_on_market IS NULL THEN 0e0 ELSE 0.15e0 * (1e0 - least(days_on_market / 365e0, 1e0)) END
+ + CASE WHEN absentee_owner THEN 0.10e0 ELSE 0e0 END AS ts,
+ CASE WHEN arv_spread IS NOT NULL AND coalesce(jv, 0) <> 0 THEN 0.5e0 ELSE 0e0 END + CASE WHEN signal_tier IS NULL THEN 0e0 ELSE 0.25e0 END
+ + CASE WHEN days_on_market IS NULL THEN 0e0 ELSE 0.15e0 END + CASE WHEN absentee_owner THEN 0.10e0 ELSE 0e0 END AS tw"""
+FILTER_SQL = """jv BETWEEN 50000 AND 300000 AND list_price IS NOT NULL AND jv > 0 AND list_price / jv <= 1.2e0 AND act_yr_blt >= 1945
+ AND tot_lvg_area >= 900 AND bathrooms >= 1 AND no_buldng <= 2 AND (exmpt_01 IS NULL OR exmpt_01 = 0) AND own_state_dom <> 'GA'
+ AND dor_uc IN ('001', '002') AND mkt_ar IN ('1', '2', '3', '4', '5', '6')"""
+
+
+def _with_absentee(parcels):
+    line = P.mailing_line(F.col("county_fips"), F.col("own_addr1"), F.col("own_addr2"))
+    return parcels.withColumn("absentee_owner", P.absentee(F.col("own_state"), line, F.col("phy_addr1")))
+
+
+# Coercion and derived fields.
+
+
+@query(
+    """SELECT county_fips, parcel_id,
+ CAST(nullif(trunc(try_cast(trim(JV) AS DOUBLE)), 0) AS INT) AS jv,
+ CASE WHEN regexp_matches(trim(JV), '^[+-]?[0-9]+$') AND CAST(trim(JV) AS BIGINT) > 0 THEN CAST(trim(JV) AS BIGINT) END AS jv_strict,
+ CASE WHEN length(u) < 3 THEN lpad(u, 3, '0') ELSE u END AS dor_uc, nullif(trim(PHY_ZIPCD), '') AS phy_zipcd, substr(nullif(trim(OWN_ADDR1), ''), 1, 4) AS addr_cut
+ FROM (SELECT *, CAST(CAST(trunc(try_cast(trim(DOR_UC) AS DOUBLE)) AS BIGINT) AS VARCHAR) AS u FROM roll)"""
+)
+def roll_coercion(roll):
+    return roll.select(
+        "county_fips", F.col("PARCEL_ID").alias("parcel_id"), P.roll_int(F.col("JV")).alias("jv"), P.filter_int(F.col("JV")).alias("jv_strict"), P.use_code(F.col("DOR_UC")).alias("dor_uc"), X.non_empty(F.col("PHY_ZIPCD")).alias("phy_zipcd"), X.non_empty(F.col("OWN_ADDR1"), 4).alias("addr_cut")
+    )
+
+
+@query(
+    """SELECT county_fips, parcel_id, round(greatest(least(CASE WHEN lnd_val <> 0 THEN (jv - lnd_val) / lnd_val END, 9999.9999e0), -9999.9999e0), 4) AS improvement_ratio,
+ round(CASE WHEN jv <> 0 THEN av_nsd / jv END, 4) AS cap_ratio, CASE WHEN asmnt_yr - sale_yr1 >= 0 THEN asmnt_yr - sale_yr1 END AS years_since_sale FROM
+ (SELECT *, CASE WHEN jv IS NULL OR coalesce(lnd_val, 0) = 0 THEN NULL ELSE 1 END AS ok FROM parcels) WHERE true AND (ok = 1 OR ok IS NULL)"""
+)
+def derived_ratios(parcels):
+    return parcels.select(
+        *_ID,
+        F.when(F.col("jv").isNotNull(), P.improvement_ratio(F.col("jv"), F.col("lnd_val"))).otherwise(F.when(F.col("lnd_val") != 0, F.lit(9999.9999))).alias("improvement_ratio"),
+        P.cap_ratio(F.col("av_nsd"), F.col("jv")).alias("cap_ratio"),
+        P.years_since_sale(F.col("asmnt_yr"), F.col("sale_yr1")).alias("years_since_sale"),
+    )
+
+
+@query(AWAY_SQL + " SELECT county_fips, parcel_id, absentee_owner, coalesce(absentee_owner, false) AS absentee_flag FROM away")
+def absentee_owners(parcels):
+    rows = _with_absentee(parcels)
+    return rows.select(*_ID, "absentee_owner", F.coalesce("absentee_owner", F.lit(False)).alias("absentee_flag"))
+
+
+_MARKED = r"""regexp_replace(regexp_replace(regexp_replace({x}, '([0-9])([A-Z])', '\1~\2', 'g'), '~(ST|ND|RD|TH)\b', '\1', 'g'), '~', ' ', 'g')"""
+
+
+def _address_sql(column: str) -> str:
+    text = f"trim(regexp_replace(upper(coalesce({column}, '')), '\\s+', ' ', 'g'))"
+    text = f"trim(regexp_replace(regexp_replace({text}, '(\\b(APT\\.?|UNIT|STE|SUITE)\\s+[\\w-]+|#\\s*[\\w-]+)', '', 'g'), '\\s+', ' ', 'g'))"
+    text = _MARKED.format(x=text)
+    for full, short in X.SUFFIXES.items():
+        text = f"regexp_replace({text}, '\\b{full}\\b', '{short}', 'g')"
+    return f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT listing_id, {_address_sql('address')} AS street FROM listings")
+def address_normal_form(listings):
+    return listings.select("listing_id", X.street_address(F.col("address")).alias("street"))
+
+
+@query(
+    """SELECT listing_id, CAST(replace(regexp_extract(price_text, '^\\$([0-9,]+)', 1), ',', '') AS BIGINT) AS price, CAST(replace(replace(price_text, '$', ''), ',', '') AS DOUBLE) AS dollars,
+ regexp_replace(upper(raw_id), '[^A-Z0-9]', '', 'g') AS parcel_key, lpad(regexp_replace(upper(raw_id), '[^A-Z0-9]', '', 'g'), 18, '0') AS padded, regexp_replace(upper(trim(address)), '^[0-9]+\\s*', '') AS street_name FROM listings"""
+)
+def text_parsers(listings):
+    return listings.select(
+        "listing_id", X.listing_facts(F.col("price_text"), F.lit(""), F.lit(""))["list_price"].alias("price"), X.money(F.col("price_text")).alias("dollars"), X.parcel_key(F.col("raw_id")).alias("parcel_key"), X.padded_parcel_id(F.col("raw_id")).alias("padded"), X.street_name(F.col("address")).alias("street_name")
+    )
+
+
+# Filters.
+
+
+@query(f"SELECT county_fips, parcel_id, jv FROM parcels WHERE {FILTER_SQL}")
+def criteria_filter(parcels):
+    return filters.matching(parcels, filters.predicates(CRITERIA)).select(*_ID, "jv")
+
+
+@query(
+    """SELECT county_fips, PARCEL_ID AS parcel_id, concat_ws(',',
+ CASE WHEN coalesce(i(DOR_UC), 0) NOT IN (1, 93) THEN 'dor_uc_mismatch' END,
+ CASE WHEN i(ACT_YR_BLT) IS NULL THEN 'year_built_missing' END, CASE WHEN i(ACT_YR_BLT) < 1950 THEN 'year_built_too_old' END, CASE WHEN i(ACT_YR_BLT) > 2000 THEN 'year_built_too_new' END,
+ CASE WHEN i(IMP_QUAL) < 2 THEN 'imp_qual_too_low' END, CASE WHEN i(IMP_QUAL) > 4 THEN 'imp_qual_too_high' END,
+ CASE WHEN i(TOT_LVG_AREA) IS NULL THEN 'living_area_missing' END, CASE WHEN i(TOT_LVG_AREA) < 900 THEN 'living_area_too_small' END,
+ CASE WHEN i(JV) IS NULL THEN 'just_value_missing' END, CASE WHEN i(JV) < 50000 THEN 'just_value_too_low' END,
+ CASE WHEN i(NO_BULDNG) > 2 THEN 'num_buildings_exceeded' END, CASE WHEN i(NO_RES_UNTS) > 3 THEN 'num_res_units_exceeded' END,
+ CASE WHEN coalesce(i(CO_NO), 0) <> 27 THEN 'county_no_mismatch' END,
+ CASE WHEN coalesce(trim(PHY_ZIPCD), '') NOT IN ('32500', '32504', '32510', '32520', '32530') THEN 'zip_code_excluded' END,
+ CASE WHEN NOT coalesce(away, false) THEN 'absentee_owner_required' END, CASE WHEN i(DISTR_CD) > 0 THEN 'disaster_code_present' END) AS reasons
+ FROM (SELECT *, AWAY AS away FROM (SELECT *, upper(trim(coalesce(OWN_ADDR2, ''))) AS m FROM roll))""".replace("AWAY AS", ABSENTEE_SQL + " AS").replace("i(", "intpos(")
+)
+def rejection_reasons(roll):
+    return roll.select("county_fips", F.col("PARCEL_ID").alias("parcel_id"), F.array_join(filters.rejection_reasons(ROLL_CRITERIA), ",").alias("reasons"))
+
+
+def _inline(name: str) -> None:
+    """DuckDB runs one statement, so the helper is written out."""
+    import re
+
+    ORACLE_SQL[name] = re.sub(r"intpos\((\w+)\)", r"CASE WHEN regexp_matches(trim(\1), '^[+-]?[0-9]+$') AND CAST(trim(\1) AS BIGINT) > 0 THEN CAST(trim(\1) AS BIGINT) END", ORACLE_SQL[name])
+
+
+_inline("rejection_reasons")
+
+
+@query("SELECT id, county_fips FROM signals WHERE workflow_status = 'NEW' AND signal_tier = 1 AND county_fips IN ('12033')")
+def events_by_facts(signals):
+    return filters.events_where(filters.visible_to(signals, ["12033"]), status="NEW", tier=1).select("id", "county_fips")
+
+
+# Search.
+
+
+@query("WITH " + LATEST_SQL + " SELECT county_fips, parcel_id, id, signal_tier, listing_type FROM latest")
+def latest_event_per_parcel(signals):
+    return search.latest_events(signals).select(*_ID, "id", "signal_tier", "listing_type")
+
+
+_SCORED_SQL = AWAY_SQL + ", " + LATEST_SQL + f""", joined AS (SELECT p.*, e.signal_tier, e.days_on_market, e.listing_type, e.event_arv_source
+ FROM away p LEFT JOIN latest e USING (county_fips, parcel_id)), scored AS (SELECT county_fips, parcel_id, jv, arv_spread, phy_addr1, act_yr_blt, {SCORE_SQL} FROM joined))"""
+
+
+@query(_SCORED_SQL + " SELECT county_fips, parcel_id, deal_score FROM scored")
+def deal_scores(parcels, signals):
+    return search.scored(_with_absentee(parcels), signals, {}, WEIGHTS).select(*_ID, "deal_score")
+
+
+def _searched(parcels, signals, extra=None):
+    criteria = {"filters": {**CRITERIA["filters"], **(extra or {})}}
+    return search.scored(_with_absentee(parcels), signals, criteria, WEIGHTS), criteria
+
+
+@query(
+    _SCORED_SQL.replace("FROM away p LEFT", f"FROM (SELECT * FROM away WHERE {FILTER_SQL}) p LEFT")
+    + """ SELECT county_fips, parcel_id, deal_score, position FROM (SELECT *, row_number() OVER (ORDER BY coalesce(deal_score, -1) DESC, coalesce(arv_spread, -1) DESC, parcel_id DESC, county_fips) AS position FROM scored)
+ WHERE position > 10 AND position <= 20"""
+)
+def search_page(parcels, signals):
+    rows, criteria = _searched(parcels, signals, {"max_results": {"value": 40}})
+    return search.page_of(rows, criteria, page=2, size=10).select(*_ID, "deal_score", "position")
+
+
+@query(
+    _SCORED_SQL.replace("FROM away p LEFT", f"FROM (SELECT * FROM away WHERE {FILTER_SQL}) p LEFT")
+    + " SELECT least(count(*), 40) AS total, CAST(greatest(1, ceil(least(count(*), 40) / 10)) AS BIGINT) AS total_pages FROM scored"
+)
+def search_totals(parcels, signals):
+    rows, criteria = _searched(parcels, signals, {"max_results": {"value": 40}})
+    return search.totals(rows, criteria, size=10)
+
+
+@query(
+    """SELECT county_fips, parcel_id, position FROM (SELECT *, row_number() OVER (ORDER BY street, suffix, house, txt, county_fips, parcel_id) AS position FROM (
+ SELECT *, CASE WHEN phy_addr1 IS NULL THEN '~' WHEN len(t) > 2 THEN array_to_string(t[2:-2], ' ') ELSE t[2] END AS street, CASE WHEN phy_addr1 IS NULL THEN '' WHEN len(t) > 2 THEN t[-1] ELSE '' END AS suffix,
+ CASE WHEN phy_addr1 IS NULL THEN 999999999 ELSE CAST(t[1] AS BIGINT) END AS house, coalesce(phy_addr1, '') AS txt FROM (SELECT *, string_split(phy_addr1, ' ') AS t FROM parcels))) WHERE position <= 25"""
+)
+def search_by_address(parcels):
+    rows = parcels.withColumn("deal_score", F.lit(None).cast("double"))
+    return search.page_of(rows, {}, field="address", direction="ASC", page=1, size=25).select(*_ID, "position")
+
+
+@query(
+    "WITH " + LATEST_SQL + """ SELECT county_fips, parcel_id, l.id AS event_id, coalesce(nullif(l.event_arv_estimate, 0), p.jv) AS estimate, n AS n_sales, newest FROM parcels p LEFT JOIN latest l USING (county_fips, parcel_id)
+ LEFT JOIN (SELECT county_fips, parcel_id, count(*) AS n, max(sale_date) AS newest FROM sales GROUP BY ALL) s USING (county_fips, parcel_id)"""
+)
+def parcel_details(parcels, signals, sales):
+    rows = search.details(parcels, signals, sales)
+    latest = search.latest_events(signals).select(*_ID, "event_arv_estimate")
+    return rows.join(latest, _ID, "left").select(
+        *_ID, F.col("event.id").alias("event_id"), search.shown_estimate(F.col("event_arv_estimate"), F.col("jv")).alias("estimate"), F.when(F.col("sales").isNotNull(), F.size("sales").cast("long")).alias("n_sales"), F.array_max(F.transform("sales", lambda s: s["sale_date"])).alias("newest")
+    )
+
+
+# Valuation and space.
+
+_MILES = "2 * 6371008.8e0 * asin(sqrt(least(power(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin((radians(b.lon) - radians(a.lon)) / 2), 2), 1e0)))"
+_NEAR = f"a.county_fips = b.county_fips AND a.dor_uc = b.dor_uc AND abs(a.eff_yr_blt - b.eff_yr_blt) <= 10 AND a.parcel_id <> b.parcel_id AND {_MILES} <= 1.5e0 * 1609.344e0"
+_ARV_SQL = f"""WITH viable AS (SELECT county_fips FROM sales WHERE (qualification_code IN ('Q', 'C') OR (qualification_code IS NULL AND instrument_type = 'WD')) AND sale_price >= 10000 GROUP BY 1 HAVING count(*) >= 1000),
+ comps AS (SELECT p.*, s.sale_price, s.qualification_code AS qc FROM sales s JOIN parcels p USING (county_fips, parcel_id) WHERE s.sale_price >= 10000 AND (s.qualification_code IN ('Q', 'C', 'U') OR (s.qualification_code IS NULL AND s.instrument_type = 'WD'))),
+ subjects AS (SELECT * FROM parcels WHERE jv IS NOT NULL AND tot_lvg_area > 0),
+ sold AS (SELECT a.county_fips, a.parcel_id, count(*) FILTER (b.qc IS DISTINCT FROM 'U') AS n1, count(*) AS n2,
+  median(CASE WHEN b.tot_lvg_area > 0 THEN b.sale_price / b.tot_lvg_area END) FILTER (b.qc IS DISTINCT FROM 'U') AS m1, median(CASE WHEN b.tot_lvg_area > 0 THEN b.sale_price / b.tot_lvg_area END) AS m2
+  FROM subjects a JOIN comps b ON {_NEAR} WHERE a.county_fips IN (SELECT county_fips FROM viable) GROUP BY ALL),
+ roll_comps AS (SELECT * FROM parcels WHERE qual_cd1 = '01' AND sale_prc1 >= 10000 AND tot_lvg_area > 0),
+ own AS (SELECT a.county_fips, a.parcel_id, count(*) AS n3, median(b.sale_prc1 / b.tot_lvg_area) AS m3 FROM subjects a JOIN roll_comps b ON {_NEAR} GROUP BY ALL),
+ picked AS (SELECT p.*, CASE WHEN n1 >= 3 AND m1 IS NOT NULL THEN 1 WHEN n2 >= 3 AND m2 IS NOT NULL THEN 2 WHEN n3 >= 3 AND m3 IS NOT NULL THEN 3 ELSE 4 END AS way, n1, n2, n3, m1, m2, m3
+  FROM parcels p LEFT JOIN sold USING (county_fips, parcel_id) LEFT JOIN own USING (county_fips, parcel_id) WHERE jv IS NOT NULL),
+ valued AS (SELECT *, CASE way WHEN 4 THEN jv ELSE CAST(floor(CASE way WHEN 1 THEN m1 WHEN 2 THEN m2 ELSE m3 END * tot_lvg_area + 0.5e0) AS BIGINT) END AS arv FROM picked)
+ SELECT county_fips, parcel_id, arv AS arv_estimate, CASE way WHEN 1 THEN 'COMP' WHEN 2 THEN 'COMP_WIDE' WHEN 3 THEN 'NAL_COMP' ELSE 'JV_FALLBACK' END AS arv_source,
+ CASE way WHEN 1 THEN n1 WHEN 2 THEN n2 WHEN 3 THEN n3 ELSE 0 END AS comps, round(CASE WHEN tot_lvg_area > 0 THEN jv / tot_lvg_area END, 6) AS jv_per_sqft,
+ CASE WHEN list_price IS NOT NULL AND tot_lvg_area <> 0 THEN arv - list_price - CAST(trunc(tot_lvg_area * 35e0) AS BIGINT) END AS arv_spread FROM valued"""
+
+
+@query(_ARV_SQL)
+def arv_valuation(parcels, sales):
+    return arv.valuation(parcels, sales)
+
+
+@query("""SELECT county_fips, count(*) AS pool, count(*) >= 1000 AS viable FROM sales WHERE (qualification_code IN ('Q', 'C') OR (qualification_code IS NULL AND instrument_type = 'WD')) AND sale_price >= 10000 GROUP BY 1""")
+def county_viability(sales):
+    return arv.viable_counties(sales)
+
+
+@query(f"SELECT a.county_fips, a.parcel_id, count(*) AS neighbours FROM parcels a JOIN parcels b ON a.county_fips = b.county_fips AND a.parcel_id <> b.parcel_id AND {_MILES} <= 1000e0 GROUP BY ALL")
+def radius_neighbours(parcels):
+    slim = parcels.select(*_ID, "lat", "lon")
+    pairs = spatial.within_radius(slim, slim, ["county_fips"], 1000.0, "l.parcel_id <> r.parcel_id", max_latitude=31.5)
+    return pairs.groupBy(F.col("l.county_fips").alias("county_fips"), F.col("l.parcel_id").alias("parcel_id")).agg(F.count(F.lit(1)).alias("neighbours"))
+
+
+def _squares(places):
+    corner = lambda dy, dx: F.struct((F.col("lon") + dx * F.col("half")).alias("lon"), (F.col("lat") + dy * F.col("half")).alias("lat"))
+    return places.select("name", F.array(corner(-1, -1), corner(-1, 1), corner(1, 1), corner(1, -1)).alias("ring"))
+
+
+_IN_SQUARE = "p.lat >= q.lat - q.half AND p.lat < q.lat + q.half AND p.lon >= q.lon - q.half AND p.lon < q.lon + q.half"
+
+
+@query(f"SELECT p.county_fips, p.parcel_id, arg_min(q.name, (-round(q.half, 6), q.name)) AS name FROM parcels p JOIN places q ON {_IN_SQUARE} GROUP BY ALL")
+def city_by_polygon(parcels, places):
+    return spatial.largest_containing(parcels.filter("lat is not null"), _squares(places).withColumn("ring", F.col("ring")), _ID)
+
+
+@query(f"SELECT p.county_fips, p.parcel_id, min(q.name) AS name FROM parcels p JOIN places q ON {_IN_SQUARE} GROUP BY ALL")
+def zip_by_polygon(parcels, places):
+    return spatial.any_containing(parcels.filter("lat is not null"), _squares(places), _ID)
+
+
+@query(f"SELECT county_fips, parcel_id, name, round(m, 3) AS metres FROM (SELECT a.county_fips, a.parcel_id, b.name, {_MILES} AS m FROM parcels a CROSS JOIN places b WHERE a.lat IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY county_fips, parcel_id ORDER BY m, name) = 1")
+def nearest_place(parcels, places):
+    return spatial.nearest_place(parcels.filter("lat is not null"), places, _ID, max_latitude=31.5).select(*_ID, "name", F.round("metres", 3).alias("metres"))
+
+
+@query(
+    """SELECT street, value, votes, share FROM (SELECT street, value, n AS votes, n / sum(n) OVER (PARTITION BY street) AS share, row_number() OVER (PARTITION BY street ORDER BY n DESC, value) AS r
+ FROM (SELECT regexp_replace(upper(trim(phy_addr1)), '^[0-9]+\\s*', '') AS street, phy_city AS value, count(*) AS n FROM parcels WHERE phy_city IS NOT NULL AND phy_addr1 IS NOT NULL GROUP BY ALL)) WHERE r = 1 AND share >= 0.2"""
+)
+def street_majority(parcels):
+    return spatial.street_vote(parcels, X.street_name(F.col("phy_addr1")), "phy_city", 0.2)
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (NOT (lat BETWEEN 30.4e0 AND 30.6e0 AND lon BETWEEN -87.2e0 AND -87.0e0)) AS outside FROM parcels")
+def bounding_box(parcels):
+    return spatial.outside_box(parcels, 30.4, 30.6, -87.2, -87.0)
+
+
+# Matching.
+
+_STREETS = _address_sql("address")
+
+
+@query(
+    f"""WITH asked AS (SELECT listing_id, county_fips, zip, {_STREETS} AS street FROM listings),
+ hits AS (SELECT listing_id, min(parcel_id) FILTER (p.phy_zipcd = a.zip) AS z, min(parcel_id) AS k FROM asked a JOIN parcels p ON a.county_fips = p.county_fips AND upper(trim(p.phy_addr1)) = a.street GROUP BY 1)
+ SELECT listing_id, coalesce(z, k) AS parcel_id, CAST(CASE WHEN z IS NOT NULL THEN 1 ELSE 2 END AS INT) AS level FROM hits"""
+)
+def address_match(listings, parcels):
+    return match.by_address(listings, parcels).filter("level <= 2").select("listing_id", "parcel_id", "level")
+
+
+@query(
+    f"""WITH asked AS (SELECT listing_id, county_fips, zip, {_STREETS} AS street FROM listings),
+ missed AS (SELECT * FROM asked a WHERE NOT EXISTS (SELECT 1 FROM parcels p WHERE a.county_fips = p.county_fips AND upper(trim(p.phy_addr1)) = a.street)),
+ met AS (SELECT listing_id, count(DISTINCT parcel_id) AS n, min(parcel_id) AS one, string_agg(DISTINCT parcel_id, ',' ORDER BY parcel_id) AS every FROM
+  (SELECT m.*, p.parcel_id FROM (SELECT *, trim(regexp_extract(street, '^([0-9]+\\s+\\S+(\\s+\\S+)?)', 1)) AS prefix FROM missed) m
+   JOIN parcels p ON m.county_fips = p.county_fips AND starts_with(upper(trim(p.phy_addr1)), prefix) AND (m.zip IS NULL OR m.zip = p.phy_zipcd) WHERE prefix <> '') GROUP BY 1)
+ SELECT listing_id, CASE WHEN n = 1 THEN one END AS parcel_id, CASE WHEN n > 1 THEN every END AS review FROM met"""
+)
+def address_prefix_match(listings, parcels):
+    return match.by_address(listings, parcels).filter("level = 5 or review is not null").select("listing_id", "parcel_id", "review")
+
+
+@query("SELECT listing_id AS record_id, min(p.parcel_id) AS parcel_id FROM listings l JOIN parcels p ON l.county_fips = p.county_fips AND ltrim(regexp_replace(upper(raw_id), '[^A-Z0-9]', '', 'g'), '0') = p.parcel_id WHERE substr(regexp_replace(upper(raw_id), '[^A-Z0-9]', '', 'g'), 2) = p.parcel_id GROUP BY 1")
+def parcel_id_match(listings, parcels):
+    records = listings.select(F.col("listing_id").alias("record_id"), "county_fips", F.substring(X.parcel_key(F.col("raw_id")), 2, 30).alias("raw_id"))
+    return match.by_parcel_id(records.filter("raw_id not like '0%'"), parcels)
+
+
+@query(
+    """WITH s AS (SELECT county_fips, trim(sec) AS s, regexp_replace(upper(twn), '[NSEW]$', '') AS t, regexp_replace(upper(rng), '[NSEW]$', '') AS r, parcel_id FROM parcels)
+ SELECT CAST(l.listing_id AS BIGINT) AS record_id, min(s.parcel_id) AS parcel_id FROM listings l JOIN s ON l.county_fips = s.county_fips AND s.s = CAST(listing_id % 36 + 1 AS VARCHAR) AND s.t = CAST(listing_id % 9 AS VARCHAR) AND s.r = CAST(listing_id % 31 AS VARCHAR) GROUP BY 1 HAVING count(*) = 1"""
+)
+def section_match(listings, parcels):
+    k = F.col("listing_id")
+    records = listings.select(k.alias("record_id"), "county_fips", (k % 36 + 1).cast("string").alias("sec"), F.concat((k % 9).cast("string"), F.lit("S")).alias("twp"), (k % 31).cast("string").alias("rge"))
+    return match.by_section(records, parcels)
+
+
+@query(None)
+def fuzzy_address_match(listings, parcels):
+    queries = listings.select(F.col("listing_id").alias("query_id"), "county_fips", X.street_address(F.col("address")).alias("text"))
+    choices = parcels.filter("phy_addr1 is not null").select(F.col("parcel_id").alias("choice_id"), "county_fips", F.col("phy_addr1").alias("text"))
+    return match.by_likeness(queries, choices, 88.0).select("query_id", "choice_id", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT listing_id, p.parcel_id, p.jv AS arv_estimate, round(CASE WHEN l.list_price <> 0 AND tot_lvg_area > 0 THEN l.list_price / tot_lvg_area END, 2) AS price_per_sqft, CASE WHEN p.jv <> 0 AND l.list_price > 0 THEN p.jv - l.list_price END AS arv_spread FROM listings l JOIN parcels p ON l.county_fips = p.county_fips AND CAST(listing_id AS VARCHAR) = p.parcel_id""")
+def match_financials(listings, parcels):
+    p = parcels.select(*_ID, "jv", "tot_lvg_area")
+    rows = listings.withColumn("parcel_id", F.col("listing_id").cast("string")).join(p, _ID)
+    facts = P.listing_financials(F.lit(None).cast("long"), F.col("jv"), F.col("list_price"), F.col("tot_lvg_area"))
+    return rows.select("listing_id", "parcel_id", *[c.alias(n) for n, c in facts.items()])
+
+
+# Merges.
+
+
+@query(
+    """SELECT county_fips, parcel_id, CASE WHEN u THEN jv + 1 ELSE jv END AS jv, bedrooms, lnd_val FROM (SELECT *, CAST(parcel_id AS BIGINT) % 3 = 0 AS u FROM parcels)
+ UNION ALL SELECT county_fips, 'N' || parcel_id, jv + 1, NULL, lnd_val FROM parcels WHERE CAST(parcel_id AS BIGINT) % 3 = 1"""
+)
+def roll_upsert(parcels):
+    current = parcels.select(*_ID, "jv", "bedrooms", "lnd_val")
+    third = F.col("parcel_id").cast("long") % 3
+    moved = parcels.filter(third < 2).select("county_fips", F.when(third == 1, F.concat(F.lit("N"), "parcel_id")).otherwise(F.col("parcel_id")).alias("parcel_id"), (F.col("jv") + 1).alias("jv"), F.lit(99).cast("long").alias("bedrooms"), "lnd_val")
+    return merge.upsert(current, moved, _ID, protected={"bedrooms"})
+
+
+@query("""SELECT county_fips, parcel_id, CASE WHEN k % 5 = 0 THEN NULL WHEN k % 2 = 0 AND k % 4 <> 0 THEN 7 ELSE bedrooms END AS bedrooms, CASE WHEN k % 2 = 0 THEN 'TILE' ELSE roof_type END AS roof_type FROM (SELECT *, CAST(parcel_id AS BIGINT) AS k FROM parcels)""")
+def partial_enrichment(parcels):
+    k = F.col("parcel_id").cast("long")
+    incoming = parcels.filter((k % 2 == 0) | (k % 5 == 0)).select(*_ID, F.when((k % 2 == 0) & (k % 4 != 0), F.lit(7)).cast("long").alias("bedrooms"), F.when(k % 2 == 0, F.lit("TILE")).alias("roof_type"), F.when(k % 5 == 0, F.array(F.lit("bedrooms"))).otherwise(F.array().cast("array<string>")).alias("refused"))
+    return merge.partial_update(parcels.select(*_ID, "bedrooms", "roof_type"), incoming, _ID, ["bedrooms", "roof_type"], "refused")
+
+
+_SALE_KEY = ["county_fips", "parcel_id", "sale_date", "grantor", "grantee"]
+
+
+@query("SELECT county_fips, parcel_id, sale_date, grantor, grantee FROM sales WHERE sale_date IS NOT NULL GROUP BY ALL")
+def insert_absent_sales(sales):
+    rows = sales.filter("sale_date is not null").select(*_SALE_KEY)
+    current = rows.filter(F.col("parcel_id").cast("long") % 2 == 0).distinct()
+    return merge.insert_absent(current, rows, _SALE_KEY)
+
+
+@query("""SELECT id, CASE WHEN id % 4 = 0 THEN sale_price + 1 ELSE sale_price END AS sale_price, qualification_code, CASE WHEN id % 3 = 0 THEN 'inserted' WHEN id % 5 = 0 THEN 'kept' WHEN id % 4 = 0 THEN 'updated' ELSE 'same' END AS change FROM sales WHERE id % 3 = 0 OR id % 5 <> 0 OR id % 4 <> 0
+ UNION ALL SELECT id, sale_price, qualification_code, 'kept' FROM sales WHERE id % 3 <> 0 AND id % 5 = 0 AND id % 4 = 0""")
+def upsert_changed_sales(sales):
+    rows = sales.select("id", "sale_price", "qualification_code")
+    bumped = rows.withColumn("sale_price", F.when(F.col("id") % 4 == 0, F.col("sale_price") + 1).otherwise(F.col("sale_price")))
+    return merge.upsert_changed(rows.filter("id % 3 <> 0"), bumped.filter("id % 3 = 0 or id % 5 <> 0"), ["id"], ["sale_price", "qualification_code"])
+
+
+@query("SELECT county_fips, parcel_id, coalesce(bedrooms, 3) AS bedrooms FROM parcels")
+def fill_missing_bedrooms(parcels):
+    return merge.fill_nulls(parcels.select(*_ID, "bedrooms"), parcels.select(*_ID, F.lit(3).cast("long").alias("bedrooms")), _ID, ["bedrooms"])
+
+
+@query("SELECT source, county_fips, arg_max(st, id) AS status, max(id) AS last_run_at, max(id) FILTER (st = 'SUCCESS') AS last_success_at FROM (SELECT *, CASE WHEN id % 7 < 3 THEN 'SUCCESS' ELSE 'FAILED' END AS st FROM signals) GROUP BY ALL")
+def source_health(signals):
+    runs = signals.select("source", "county_fips", F.when(F.col("id") % 7 < 3, "SUCCESS").otherwise("FAILED").alias("status"), F.col("id").alias("run_at"))
+    empty = runs.limit(0).select("source", "county_fips", "status", F.col("run_at").alias("last_run_at"), F.col("run_at").alias("last_success_at"))
+    return merge.source_status(empty, runs)
+
+
+@query("SELECT parcel_id AS user_id, signal_tier AS profile_id, count(*) AS run_count, arg_max_null(list_price, id) AS last_total, min(id) AS first_run_at, max(id) AS last_run_at FROM signals GROUP BY ALL")
+def profile_counters(signals):
+    return merge.run_counters(signals.select(F.col("parcel_id").alias("user_id"), F.col("signal_tier").alias("profile_id"), F.col("list_price").alias("total"), F.col("id").alias("run_at")))
+
+
+@query("""SELECT min(id) AS id FROM signals s WHERE id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM signals o WHERE o.id % 2 = 0 AND o.parcel_id = s.parcel_id AND o.list_price = s.list_price) GROUP BY parcel_id, list_price""")
+def unseen_listings(signals):
+    key = ["parcel_id", "list_price"]
+    return merge.unseen(signals.filter("id % 2 = 1"), signals.filter("id % 2 = 0"), key, "id").select("id")
+
+
+@query("SELECT parcel_id AS run_id, count(*) AS n_read, count(*) FILTER (id % 4 = 0) AS n_inserted, count(*) FILTER (id % 4 = 1) AS n_updated, count(*) FILTER (id % 4 = 2) AS n_rejected, count(*) FILTER (id % 4 = 3) AS n_skipped, nullif(count(*) FILTER (id % 4 = 2), 0) AS n_reason FROM signals GROUP BY 1")
+def run_summaries(signals):
+    names = F.array(*map(F.lit, ("inserted", "updated", "rejected", "skipped")))
+    outcome = F.element_at(names, (F.col("id") % 4 + 1).cast("int"))
+    rows = signals.select(F.col("parcel_id").alias("run_id"), outcome.alias("outcome"), F.when(outcome == "rejected", F.array("listing_type")).otherwise(F.array().cast("array<string>")).alias("reasons"))
+    out = merge.run_summary(rows)
+    return out.withColumn("n_reason", F.aggregate(F.map_values("reasons"), F.lit(0).cast("long"), lambda a, x: a + x)).drop("reasons")
+
+
+# Workflow.
+
+
+@query(
+    """SELECT id, CASE WHEN ok THEN n ELSE workflow_status END AS workflow_status, CASE WHEN ok THEN CASE WHEN notes IS NULL THEN 'seen' ELSE notes || chr(10) || 'seen' END ELSE notes END AS notes, ok AS changed FROM (SELECT *, coalesce(n IS NOT NULL AND CASE coalesce(workflow_status, 'NEW')
+ WHEN 'NEW' THEN n IN ('REVIEWED', 'REJECTED') WHEN 'REVIEWED' THEN n IN ('APPROVE_SEND', 'REJECTED') WHEN 'APPROVE_SEND' THEN n IN ('SENT', 'REVIEWED') WHEN 'SENT' THEN n IN ('RESPONDED', 'CLOSED', 'REJECTED')
+ WHEN 'RESPONDED' THEN n IN ('CLOSED', 'REVIEWED') WHEN 'REJECTED' THEN n IN ('REVIEWED', 'CLOSED') ELSE false END, false) AS ok FROM (SELECT *, CASE id % 3 WHEN 0 THEN 'REVIEWED' WHEN 1 THEN 'CLOSED' END AS n FROM signals))"""
+)
+def workflow_changes(signals):
+    requests = signals.filter("id % 3 < 2").select("id", F.when(F.col("id") % 3 == 0, "REVIEWED").otherwise("CLOSED").alias("new_status"), F.lit("seen").alias("note"))
+    return workflow.apply_changes(signals.select("id", "workflow_status", "notes"), requests)
+
+
+@query("SELECT DISTINCT id AS listing_event_id, signal_tier AS filter_profile_id FROM signals WHERE id % 2 = 1 AND signal_tier IS NOT NULL")
+def outreach_scores_once(signals):
+    rows = signals.filter("signal_tier is not null").select(F.col("id").alias("listing_event_id"), F.col("signal_tier").alias("filter_profile_id"))
+    return workflow.new_score_rows(rows, rows.filter("listing_event_id % 2 = 0"))
+
+
+# Joins and aggregates that stand alone.
+
+
+@query("SELECT county_fips, parcel_id, max(sale_date) AS last_sale, 2025 - CAST(year(max(sale_date)) AS INT) AS years FROM parcels JOIN sales USING (county_fips, parcel_id) WHERE sale_date IS NOT NULL GROUP BY ALL")
+def last_sale(parcels, sales):
+    last = sales.filter("sale_date is not null").groupBy(*_ID).agg(F.max("sale_date").alias("last_sale"))
+    return parcels.select(*_ID).join(last, _ID).withColumn("years", F.lit(2025) - F.year("last_sale"))
+
+
+@query("SELECT county_fips, parcel_id FROM parcels p WHERE EXISTS (SELECT 1 FROM sales s WHERE s.county_fips = p.county_fips AND s.parcel_id = p.parcel_id AND sale_date IS NOT NULL)")
+def parcels_with_dated_sale(parcels, sales):
+    return parcels.select(*_ID).join(sales.filter("sale_date is not null").select(*_ID), _ID, "left_semi")
+
+
+@query("SELECT county_fips, parcel_id FROM parcels p WHERE NOT EXISTS (SELECT 1 FROM signals s WHERE s.county_fips = p.county_fips AND s.parcel_id = p.parcel_id)")
+def parcels_without_signal(parcels, signals):
+    return parcels.select(*_ID).join(signals.select(*_ID), _ID, "left_anti")
+
+
+@query("SELECT DISTINCT lpad(trim(phy_zipcd), 5, '0') AS zip_code FROM parcels WHERE phy_zipcd IS NOT NULL ORDER BY 1")
+def distinct_zips(parcels):
+    return parcels.select(F.lpad(F.trim("phy_zipcd"), 5, "0").alias("zip_code")).distinct().filter(F.col("zip_code").rlike(r"^\d+$")).orderBy("zip_code")
+
+
+@query("SELECT county_fips, parcel_id FROM parcels WHERE enriched_on IS NULL AND dor_uc IN ('001') ORDER BY county_fips, parcel_id LIMIT 50")
+def next_to_enrich(parcels):
+    return parcels.filter("enriched_on is null").filter(F.col("dor_uc").isin("001")).orderBy(*_ID).limit(50).select(*_ID)
+
+
+# Reports.
+
+_HOMES = "parcels WHERE dor_uc = '001'"
+
+
+@query(f"SELECT county_fips, count(*) AS total, count(enriched_on) AS enriched, count(*) FILTER (enriched_on IS NULL) AS remaining, min(enriched_on) AS first_on, max(enriched_on) AS last_on, round(100e0 * count(enriched_on) / count(*), 1) AS percent_done FROM {_HOMES} GROUP BY 1")
+def report_progress(parcels):
+    return reports.progress(parcels)
+
+
+@query(
+    "WITH r AS (" + " UNION ALL ".join(f"SELECT '{c}' AS field, round(100e0 * count({c}) FILTER (county_fips = '12033') / count(*) FILTER (county_fips = '12033'), 1) AS rate_a, round(100e0 * count({c}) FILTER (county_fips = '12113') / count(*) FILTER (county_fips = '12113'), 1) AS rate_b FROM {_HOMES} AND enriched_on IS NOT NULL" for c in reports.RATE_FIELDS)
+    + ") SELECT *, abs(rate_a - rate_b) <= 5 AS parity FROM r"
+)
+def report_population_rates(parcels):
+    return reports.population_rates(parcels)
+
+
+def _bucket_sql(column, bounds, last):
+    cases = " ".join(f"WHEN {column} < {b} THEN '{n}'" for b, n in bounds)
+    return f"SELECT CASE WHEN {column} IS NULL THEN 'NULL' {cases} ELSE '{last}' END AS bucket, count(*) FILTER (county_fips = '12033') AS county_12033, count(*) FILTER (county_fips = '12113') AS county_12113 FROM {_HOMES} GROUP BY 1"
+
+
+@query(_bucket_sql("eff_yr_blt", reports.ERAS, "2010+"))
+def report_eras(parcels):
+    return reports.histogram(parcels, "eff_yr_blt", reports.ERAS, "2010+")
+
+
+@query(_bucket_sql("tot_lvg_area", reports.SIZES, "2500+"))
+def report_sizes(parcels):
+    return reports.histogram(parcels, "tot_lvg_area", reports.SIZES, "2500+")
+
+
+@query(f"SELECT county_fips, round(avg(tot_lvg_area), 4) AS average, min(tot_lvg_area) AS least, max(tot_lvg_area) AS most, median(tot_lvg_area) AS median FROM {_HOMES} GROUP BY 1")
+def report_area_statistics(parcels):
+    return reports.area_statistics(parcels)
+
+
+@query(f"SELECT roof_type AS code, count(*) AS n FROM {_HOMES} AND roof_type IS NOT NULL GROUP BY 1 ORDER BY n DESC, code LIMIT 10")
+def report_top_roofs(parcels):
+    return reports.top_codes(parcels, "roof_type")
+
+
+@query(f"SELECT coalesce(exterior_wall, 'NULL') AS code, count(*) FILTER (county_fips = '12033') AS county_12033, count(*) FILTER (county_fips = '12113') AS county_12113 FROM {_HOMES} GROUP BY 1")
+def report_walls_by_county(parcels):
+    return reports.pivoted(parcels, "exterior_wall")
+
+
+@query(f"SELECT county_fips, count(eff_yr_blt - act_yr_blt) AS known, count(*) FILTER (eff_yr_blt > act_yr_blt) AS remodelled, count(*) FILTER (eff_yr_blt - act_yr_blt > 10) AS major, count(*) FILTER (eff_yr_blt < act_yr_blt) AS earlier, round(avg(eff_yr_blt - act_yr_blt) FILTER (eff_yr_blt > act_yr_blt), 4) AS average_gap FROM {_HOMES} GROUP BY 1")
+def report_remodel_gap(parcels):
+    return reports.remodel_gap(parcels)
+
+
+@query(
+    f"""SELECT p.county_fips, count(DISTINCT p.parcel_id) AS homes, count(DISTINCT p.parcel_id) FILTER (s.id IS NOT NULL) AS sold, count(s.id) AS sales, count(s.sale_date) AS dated, round(count(s.id) / nullif(count(DISTINCT p.parcel_id) FILTER (s.id IS NOT NULL), 0), 4) AS per_sold,
+ round(100e0 * count(DISTINCT p.parcel_id) FILTER (s.id IS NOT NULL) / count(DISTINCT p.parcel_id), 1) AS coverage FROM (SELECT * FROM {_HOMES}) p LEFT JOIN sales s USING (county_fips, parcel_id) GROUP BY 1"""
+)
+def report_sale_coverage(parcels, sales):
+    return reports.sale_coverage(parcels, sales)
+
+
+@query("SELECT county_fips, count(*) AS dated, count(*) FILTER (day(sale_date) = 1) AS on_first FROM sales WHERE sale_date IS NOT NULL GROUP BY 1")
+def report_first_of_month(sales):
+    return reports.first_of_month(sales)
+
+
+@query(
+    f"""SELECT county_fips, CASE WHEN n = 0 THEN '0' WHEN n = 1 THEN '1' WHEN n <= 5 THEN '2-5' WHEN n <= 10 THEN '6-10' ELSE '11+' END AS bucket, count(*) AS homes FROM
+ (SELECT p.county_fips, p.parcel_id, count(s.id) AS n FROM (SELECT * FROM {_HOMES}) p LEFT JOIN sales s USING (county_fips, parcel_id) GROUP BY ALL) GROUP BY ALL"""
+)
+def report_sales_per_home(parcels, sales):
+    return reports.sales_per_home(parcels, sales)
+
+
+@query(
+    f"""SELECT county_fips, count(*) AS sales, count(e) AS priced, count(*) FILTER (e BETWEEN 10 AND 500) AS fair, round(avg(e) FILTER (e BETWEEN 10 AND 500), 4) AS average, round(median(e) FILTER (e BETWEEN 10 AND 500), 4) AS median
+ FROM (SELECT p.county_fips, CASE WHEN tot_lvg_area > 0 THEN sale_price / tot_lvg_area END AS e FROM sales s JOIN (SELECT * FROM {_HOMES}) p USING (county_fips, parcel_id)) GROUP BY 1"""
+)
+def report_price_per_sqft(parcels, sales):
+    return reports.price_per_sqft(parcels, sales)
+
+
+@query(
+    f"""SELECT p.county_fips, count(*) AS n_rows, count(*) FILTER (tot_lvg_area < 800) AS small, count(*) FILTER (act_yr_blt > 2015) AS recent, count(*) FILTER (bedrooms > 4) AS many_bedrooms, count(*) FILTER (sale_price < 1000) AS token_price
+ FROM (SELECT * FROM {_HOMES}) p LEFT JOIN sales s USING (county_fips, parcel_id) GROUP BY 1"""
+)
+def report_suspicious(parcels, sales):
+    return reports.suspicious(parcels, sales)
+
+
+@query("SELECT coalesce(qualification_code, 'NULL') AS code, instrument_type, count(*) AS n, round(avg(sale_price), 2) AS mean_price FROM sales GROUP BY ALL")
+def report_code_distribution(sales):
+    return reports.code_distribution(sales)
+
+
+@query("SELECT source, count(*) AS n, count(raw_json) AS with_json, count(*) FILTER (raw_json = '{}') AS empty_json, max(try_cast(json_extract_string(raw_json, '$.k') AS BIGINT)) AS top_k FROM signals GROUP BY 1")
+def report_source_tags(signals):
+    return reports.source_tags(signals)
