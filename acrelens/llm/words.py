@@ -2,8 +2,8 @@
 
 For a tokenizer that drops white space (its pieces never span two words), the ids
 of a text are the ids of its words one after the other. Words repeat, so a worker
-keeps what the library gave for each word, and for each piece of a word between
-punctuation; both tables are emptied when they hold LIMIT entries.
+keeps what the library gave for each word, and for each part of a word between
+punctuation; a table that holds LIMIT entries becomes the old one behind a new one.
 """
 
 from __future__ import annotations
@@ -11,14 +11,15 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from array import array
 
-import numpy as np
 import regex
 
-LIMIT = 400_000
+LIMIT = 300_000
 #: The id that ends each document.
 END = 1
 _PLAIN = re.compile(rb"[!-&(-~]+").fullmatch
+_LATIN = re.compile("[!-&(-~\u00a1-\u024f]+").fullmatch
 _PARTS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 
 
@@ -38,32 +39,47 @@ class WordEncoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.before: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.parts_before: dict[str, bytes] = {}
         self.letters = _byte_letters()
         self.size = self.tokenizer.get_vocab_size()
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= LIMIT:
-            self.clear()
-        text = word.decode("utf-8", "replace")
-        if _PLAIN(word) and b"<|" not in word:
-            ids = b"".join(map(self._part, _PARTS(text.lower())))
-        elif "'" not in text and "<|" not in text and max(text) < "ɐ" and min(text) > " " and not any("\x7f" <= c <= "\xa0" for c in text):
-            low = unicodedata.normalize("NFC", text).lower()
-            ids = b"".join(self._part(p.encode().decode("latin-1").translate(self.letters)) for p in _PARTS(low))
-        else:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self._ids(word)
         if len(word) <= 64:
+            if len(self) >= LIMIT:
+                self.before = dict(self)
+                self.clear()
             self[word] = ids
         return ids
 
+    def _ids(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters are one part
+            return self._part(word.lower().decode())
+        if word[:-1].isalpha() and word[-1:] in b".,;:!?":
+            return self._part(word[:-1].lower().decode()) + self._part(word[-1:].decode())
+        text = word.decode("utf-8", "replace")
+        if _PLAIN(word) and b"<|" not in word:
+            return b"".join(map(self._part, _PARTS(text.lower())))
+        if _LATIN(text) and "<|" not in text:
+            low = unicodedata.normalize("NFC", text).lower()
+            parts = [low] if low.isalpha() else _PARTS(low)
+            return b"".join([self._part(p.encode().decode("latin-1").translate(self.letters)) for p in parts])
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            if len(self.parts) >= LIMIT:
-                self.parts.clear()
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(part)], dtype="<u4").tobytes()
+            ids = self.parts_before.get(part)
+            if ids is None:
+                ids = array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
             if len(part) <= 64:
+                if len(self.parts) >= LIMIT:
+                    self.parts_before, self.parts = self.parts, {}
                 self.parts[part] = ids
         return ids
 
