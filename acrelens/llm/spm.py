@@ -25,6 +25,7 @@ are ignored; rows come back as often as they stand, null doc_ids included.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-LIMIT = 400_000
+LIMIT = 300_000
 
 
 class Pieces(dict):
@@ -60,6 +61,8 @@ class Pieces(dict):
         self.byte_ids = [byte_ids.get(b, sp.unk_id()) for b in range(256)]
         self.unknown = min(s for _, s in self.ids.values()) - UNKNOWN_PENALTY
         self.longest = max(map(len, self.ids))
+        self.starts = {p[:i] for p in self.ids for i in range(1, len(p) + 1)}
+        self.before: dict[str, bytes] = {}
         joined = [p for p in self.ids if len(p) > 1]
         inner = {c for p in joined for c in p}
         breaks = "".join(re.escape(c) for c in "\n\t\r" if c not in inner)
@@ -67,45 +70,59 @@ class Pieces(dict):
             self.split = re.compile(f"[^{breaks}]+|[{breaks}]" if breaks else r"(?s).+").findall
         else:
             self.split = re.compile(f" +[^ {breaks}]*|[^ {breaks}]+|[{breaks}]" if breaks else " +[^ ]*|[^ ]+").findall
+        # Marks that no piece holds right after a letter: a boundary stands there, too.
+        after_letter = {y for p in joined for x, y in zip(p, p[1:]) if x.isalnum() and not x.isdecimal()}
+        marks = "".join(re.escape(c) for c in sorted(inner) if not c.isalnum() and c != SPACE and c not in after_letter)
+        self.cut = re.compile(rf"(?<=[^\W\d_])(?=[{marks}])").split if marks else lambda stretch: [stretch]
 
     def __missing__(self, stretch: str) -> bytes:
-        ids = np.fromiter(self.viterbi(stretch.replace(" ", SPACE)), dtype="<u4").tobytes()
+        ids = self.before.get(stretch)
+        if ids is None:
+            parts = self.cut(stretch)
+            if len(parts) > 1:
+                ids = b"".join(map(self.__getitem__, parts))
+            else:
+                ids = array("I", self.viterbi(stretch.replace(" ", SPACE))).tobytes()
         if len(stretch) <= 64:
             if len(self) >= LIMIT:
+                self.before = dict(self)
                 self.clear()
             self[stretch] = ids
         return ids
 
     def viterbi(self, text: str) -> Iterator[int]:
         """The ids of a stretch, given out as soon as they are final."""
-        longest, ids = self.longest, self.ids
+        longest, ids, starts = self.longest, self.ids, self.starts
+        n = len(text)
         best, back = {0: 0.0}, {0: 0}  # of open positions: score, and where the last piece starts
         done = 0
-        for end in range(1, len(text) + 1):
-            top, start_of = None, end - 1
-            for start in range(max(done, end - longest), end):
-                found = ids.get(text[start:end])
-                if found is None:
-                    if start < end - 1:
-                        continue
-                    found = (0, self.unknown)
-                score = best[start] + found[1]
-                if top is None or score > top:
-                    top, start_of = score, start
-            best[end], back[end] = top, start_of
-            if end - done >= 2 * longest and end % longest == 0 or end == len(text):
-                common = self._meet(back, done, end, 1 if end == len(text) else longest)
+        for start in range(n):
+            here = best[start]
+            for end in range(start + 1, min(n, start + longest) + 1):
+                part = text[start:end]
+                if part not in starts:
+                    break
+                found = ids.get(part)
+                if found is not None:
+                    score = here + found[1]
+                    if end not in best or score > best[end]:
+                        best[end], back[end] = score, start
+            if text[start] not in ids and (start + 1 not in best or here + self.unknown > best[start + 1]):
+                best[start + 1], back[start + 1] = here + self.unknown, start
+            if start - done >= 2 * longest and start % longest == 0:
+                common = self._meet(back, done, [p for p in range(start + 1, start + longest + 1) if p in back])
                 if common > done:
                     yield from self._path(text, back, done, common)
                     for p in range(done, common):
                         best.pop(p, None)
                         back.pop(p, None)
                     done = common
+        yield from self._path(text, back, done, n)
 
     @staticmethod
-    def _meet(back: dict[int, int], done: int, end: int, alive: int) -> int:
-        """The last boundary on the paths of all the last ``alive`` positions."""
-        heads = set(range(max(done, end - alive + 1), end + 1))
+    def _meet(back: dict[int, int], done: int, open_ends: list[int]) -> int:
+        """The last boundary on the paths to all open ends."""
+        heads = set(open_ends)
         while len(heads) > 1:
             last = max(heads)
             heads.discard(last)
