@@ -82,9 +82,8 @@ def street_address(c: Column, strip_unit: bool = True) -> Column:
     if strip_unit:
         text = spaced_digits(squeezed(F.regexp_replace(text, UNIT, "")))
     else:
-        at = F.regexp_instr(text, F.lit(UNIT))
-        spaced = F.concat(spaced_digits(F.substring(text, F.lit(1), at - 1)), F.substring(text, at, F.length(text)))
-        text = F.when(at > 0, spaced).otherwise(spaced_digits(text))
+        head = F.regexp_extract(text, rf"^(.*?)(?:{UNIT}.*)?$", 1)
+        text = F.concat(spaced_digits(head), F.substring(text, F.length(head) + 1, F.length(text)))
     text = squeezed(text)
     text = squeezed(reduce(lambda t, kv: F.regexp_replace(t, rf"\b{kv[0]}\b", kv[1]), SUFFIXES.items(), text))
     another = "|".join(COMPASS)
@@ -169,7 +168,7 @@ INSTITUTIONS = (
 
 def owner_name(c: Column) -> Column:
     """The first of the newline-separated names without an institution's word, else the first; empty if none."""
-    names = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), F.trim), lambda n: n != "")
+    names = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda n: F.trim(n)), lambda n: n != "")
     persons = F.filter(names, lambda n: ~F.arrays_overlap(F.split(F.upper(n), r"\s+"), F.array(*map(F.lit, INSTITUTIONS))))
     return F.coalesce(F.try_element_at(persons, F.lit(1)), F.try_element_at(names, F.lit(1)), F.lit(""))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from acrelens.functions.text import parcel_key, street_address
 
@@ -21,10 +22,12 @@ def by_address(listings: DataFrame, parcels: DataFrame) -> DataFrame:
     parcels with the same address the least id is taken.
     """
     zip_ = F.nullif(F.trim("zip"), F.lit(""))
-    kept = street_address(F.col("address"), strip_unit=False)
-    base, unit = F.regexp_extract(kept, _UNIT_AT_END, 1), F.regexp_extract(kept, _UNIT_AT_END, 2)
-    asked = listings.select("listing_id", "county_fips", zip_.alias("zip"), street_address(F.col("address")).alias("street"), F.when(unit != "", F.concat_ws(" ", F.trim(base), unit)).alias("with_unit"), F.when(unit != "", F.trim(base)).alias("base"))
-    roll = parcels.select("county_fips", "parcel_id", F.upper(F.trim("phy_addr1")).alias("key"), F.col("phy_zipcd").alias("zip"))
+    # Exploding one row keeps later steps from repeating the address expressions.
+    once = lambda df, *cols: df.select("listing_id", "county_fips", F.explode(F.array(F.struct(*cols))).alias("a")).select("listing_id", "county_fips", "a.*")
+    forms = once(listings, zip_.alias("zip"), street_address(F.col("address")).alias("street"), street_address(F.col("address"), strip_unit=False).alias("kept"))
+    base, unit = F.trim(F.regexp_extract("kept", _UNIT_AT_END, 1)), F.regexp_extract("kept", _UNIT_AT_END, 2)
+    asked = once(forms, F.col("zip"), F.col("street"), F.when(unit != "", F.concat_ws(" ", base, unit)).alias("with_unit"), F.when(unit != "", base).alias("base"))
+    roll = parcels.filter("phy_addr1 is not null").select("county_fips", "parcel_id", F.upper(F.trim("phy_addr1")).alias("key"), F.col("phy_zipcd").alias("zip"))
     by_zip = roll.groupBy("county_fips", "key", "zip").agg(F.min("parcel_id").alias("parcel_id"))
     by_key = by_zip.groupBy("county_fips", "key").agg(F.min("parcel_id").alias("parcel_id"))
     tries = asked.select("listing_id", "county_fips", "zip", F.explode(F.array(F.struct(F.lit(1).alias("level"), F.col("street").alias("key")), F.struct(F.lit(3).alias("level"), F.col("with_unit").alias("key")))).alias("t")).select("listing_id", "county_fips", "zip", "t.level", "t.key").filter("key <> ''")
@@ -35,7 +38,7 @@ def by_address(listings: DataFrame, parcels: DataFrame) -> DataFrame:
     prefix = F.trim(F.regexp_extract(F.coalesce("base", "street"), _PREFIX, 1))
     left = asked.join(exact, "listing_id", "left_anti").select("listing_id", "county_fips", F.col("zip").alias("asked_zip"), prefix.alias("prefix")).filter("prefix <> ''")
     left = left.withColumn("house", F.split("prefix", " ")[0])
-    starts = roll.filter("key is not null").withColumn("house", F.regexp_extract("key", r"^(\d+)\s", 1))
+    starts = roll.withColumn("house", F.regexp_extract("key", r"^(\d+)\s", 1))
     met = left.join(starts, ["county_fips", "house"]).filter("startswith(key, prefix) and (asked_zip is null or asked_zip = zip)")
     counted = met.groupBy("listing_id").agg(F.countDistinct("parcel_id").alias("n"), F.min("parcel_id").alias("one"), F.sort_array(F.collect_set("parcel_id")).alias("all"))  # of one address prefix
     told = counted.select("listing_id", F.when(F.col("n") == 1, 5).alias("level"), F.when(F.col("n") == 1, F.col("one")).alias("parcel_id"), F.when(F.col("n") > 1, F.array_join("all", ",")).alias("review"))
@@ -43,7 +46,7 @@ def by_address(listings: DataFrame, parcels: DataFrame) -> DataFrame:
     return listings.select("listing_id").join(found, "listing_id", "left").select("listing_id", "parcel_id", "level", "review")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """100 x twice the longest common subsequence over both lengths."""
     def ratio(x: str, y: str) -> float:

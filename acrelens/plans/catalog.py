@@ -90,7 +90,7 @@ def _with_absentee(parcels):
 
 
 @query(
-    """SELECT county_fips, parcel_id,
+    """SELECT county_fips, PARCEL_ID AS "parcel_id",
  CAST(nullif(trunc(try_cast(trim(JV) AS DOUBLE)), 0) AS INT) AS jv,
  CASE WHEN regexp_matches(trim(JV), '^[+-]?[0-9]+$') AND CAST(trim(JV) AS BIGINT) > 0 THEN CAST(trim(JV) AS BIGINT) END AS jv_strict,
  CASE WHEN length(u) < 3 THEN lpad(u, 3, '0') ELSE u END AS dor_uc, nullif(trim(PHY_ZIPCD), '') AS phy_zipcd, substr(nullif(trim(OWN_ADDR1), ''), 1, 4) AS addr_cut
