@@ -89,9 +89,11 @@ def filter_int(c: Column) -> Column:
 
 
 def use_code(c: Column) -> Column:
-    """Land use code as at least three digits; null if no number."""
-    value = F.trim(c).try_cast("double").try_cast("long").cast("string")
-    return F.when(F.length(value) < 3, F.lpad(value, 3, "0")).otherwise(value)
+    """Land use code as at least three characters with leading zeros; null if no whole number."""
+    value = F.when(F.trim(c).rlike(r"^[+-]?\d+$"), F.trim(c).try_cast("long"))
+    text = F.abs(value).cast("string")
+    sign, width = F.when(value < 0, "-").otherwise(""), F.when(value < 0, 2).otherwise(3)
+    return F.concat(sign, F.when(F.length(text) < width, F.lpad(text, width, F.lit("0"))).otherwise(text))
 
 
 def improvement_ratio(jv: Column, land: Column) -> Column:

@@ -62,7 +62,7 @@ def test_text_parsers(spark):
 def test_coercions(spark):
     rows = [("0",), ("12.7",), ("-3",), ("x",), (None,), ("1",), ("093",), ("A",), ("1234",)]
     found = values(spark, rows, "a string", P.roll_int(F.col("a")), P.filter_int(F.col("a")), P.use_code(F.col("a")))
-    assert found == [(None, None, "000"), (12, None, "012"), (-3, None, "0-3"), (None, None, None), (None, None, None), (1, 1, "001"), (93, 93, "093"), (None, None, None), (1234, 1234, "1234")]
+    assert found == [(None, None, "000"), (12, None, None), (-3, None, "-03"), (None, None, None), (None, None, None), (1, 1, "001"), (93, 93, "093"), (None, None, None), (1234, 1234, "1234")]
 
 
 def test_building_guards(spark):
