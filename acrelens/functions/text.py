@@ -133,10 +133,10 @@ def listing_facts(price: Column, specs: Column, address: Column) -> dict[str, Co
     found = lambda c, p, kind: F.nullif(F.regexp_extract(c, p, 1), F.lit("")).try_cast(kind)
     return {
         "list_price": F.regexp_replace(F.regexp_extract(price, r"^\$([0-9,]+)", 1), ",", "").try_cast("long"),
-        "bedrooms": found(specs, r"(\d+)\s*bds?", "int"),
-        "bathrooms": found(specs, r"(\d+(?:\.\d+)?)\s*ba", "double"),
-        "living_area": F.regexp_replace(F.regexp_extract(specs, r"([\d,]+)\s*sqft", 1), ",", "").try_cast("long"),
-        "kind": F.nullif(F.trim(F.regexp_extract(specs, r"sqft\s*(.*)$", 1)), F.lit("")),
+        "bedrooms": found(specs, r"(?i)(\d+)\s*bds?", "int"),
+        "bathrooms": found(specs, r"(?i)([\d.]+)\s*ba", "double"),
+        "living_area": F.regexp_replace(F.regexp_extract(specs, r"(?i)([\d,]+)\s*sqft", 1), ",", "").try_cast("long"),
+        "kind": F.nullif(F.trim(F.regexp_extract(specs, r"(?i)sqft\s*([A-Za-z\s-]+)$", 1)), F.lit("")),
         "zip": F.nullif(F.regexp_extract(address, r"(\d{5})\s*$", 1), F.lit("")),
         "street": F.trim(F.element_at(F.split(address, ","), 1)),
     }

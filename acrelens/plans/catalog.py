@@ -503,16 +503,17 @@ def next_to_enrich(parcels):
 
 # Reports.
 
-_HOMES = "parcels WHERE dor_uc = '001'"
+_ALL_HOMES = "parcels WHERE dor_uc = '001'"
+_HOMES = _ALL_HOMES + " AND enriched_on IS NOT NULL"
 
 
-@query(f"SELECT county_fips, count(*) AS total, count(enriched_on) AS enriched, count(*) FILTER (enriched_on IS NULL) AS remaining, min(enriched_on) AS first_on, max(enriched_on) AS last_on, round(100e0 * count(enriched_on) / count(*), 1) AS percent_done FROM {_HOMES} GROUP BY 1")
+@query(f"SELECT county_fips, count(*) AS total, count(enriched_on) AS enriched, count(*) FILTER (enriched_on IS NULL) AS remaining, min(enriched_on) AS first_on, max(enriched_on) AS last_on, round(100e0 * count(enriched_on) / count(*), 1) AS percent_done FROM {_ALL_HOMES} GROUP BY 1")
 def report_progress(parcels):
     return reports.progress(parcels)
 
 
 @query(
-    "WITH r AS (" + " UNION ALL ".join(f"SELECT '{c}' AS field, round(100e0 * count({c}) FILTER (county_fips = '12033') / count(*) FILTER (county_fips = '12033'), 1) AS rate_a, round(100e0 * count({c}) FILTER (county_fips = '12113') / count(*) FILTER (county_fips = '12113'), 1) AS rate_b FROM {_HOMES} AND enriched_on IS NOT NULL" for c in reports.RATE_FIELDS)
+    "WITH r AS (" + " UNION ALL ".join(f"SELECT '{c}' AS field, round(100e0 * count({c}) FILTER (county_fips = '12033') / count(*) FILTER (county_fips = '12033'), 1) AS rate_a, round(100e0 * count({c}) FILTER (county_fips = '12113') / count(*) FILTER (county_fips = '12113'), 1) AS rate_b FROM {_HOMES}" for c in reports.RATE_FIELDS)
     + ") SELECT *, abs(rate_a - rate_b) <= 5 AS parity FROM r"
 )
 def report_population_rates(parcels):
@@ -524,14 +525,14 @@ def _bucket_sql(column, bounds, last):
     return f"SELECT CASE WHEN {column} IS NULL THEN 'NULL' {cases} ELSE '{last}' END AS bucket, count(*) FILTER (county_fips = '12033') AS county_12033, count(*) FILTER (county_fips = '12113') AS county_12113 FROM {_HOMES} GROUP BY 1"
 
 
-@query(_bucket_sql("eff_yr_blt", reports.ERAS, "2010+"))
+@query(_bucket_sql("act_yr_blt", reports.ERAS, "2010+"))
 def report_eras(parcels):
-    return reports.histogram(parcels, "eff_yr_blt", reports.ERAS, "2010+")
+    return reports.histogram(parcels, "act_yr_blt", reports.ERAS, "2010+")
 
 
-@query(_bucket_sql("tot_lvg_area", reports.SIZES, "2500+"))
+@query(_bucket_sql("tot_lvg_area", reports.SIZES, "5000+"))
 def report_sizes(parcels):
-    return reports.histogram(parcels, "tot_lvg_area", reports.SIZES, "2500+")
+    return reports.histogram(parcels, "tot_lvg_area", reports.SIZES, "5000+")
 
 
 @query(f"SELECT county_fips, round(avg(tot_lvg_area), 4) AS average, min(tot_lvg_area) AS least, max(tot_lvg_area) AS most, median(tot_lvg_area) AS median FROM {_HOMES} GROUP BY 1")
@@ -549,7 +550,7 @@ def report_walls_by_county(parcels):
     return reports.pivoted(parcels, "exterior_wall")
 
 
-@query(f"SELECT county_fips, count(eff_yr_blt - act_yr_blt) AS known, count(*) FILTER (eff_yr_blt > act_yr_blt) AS remodelled, count(*) FILTER (eff_yr_blt - act_yr_blt > 10) AS major, count(*) FILTER (eff_yr_blt < act_yr_blt) AS earlier, round(avg(eff_yr_blt - act_yr_blt) FILTER (eff_yr_blt > act_yr_blt), 4) AS average_gap FROM {_HOMES} GROUP BY 1")
+@query(f"SELECT county_fips, count(*) AS enriched, count(*) FILTER (eff_yr_blt > act_yr_blt) AS remodelled, count(*) FILTER (eff_yr_blt - act_yr_blt > 10) AS major, round(avg(eff_yr_blt - act_yr_blt) FILTER (eff_yr_blt > act_yr_blt), 1) AS average_gap FROM {_HOMES} GROUP BY 1")
 def report_remodel_gap(parcels):
     return reports.remodel_gap(parcels)
 
@@ -568,7 +569,7 @@ def report_first_of_month(sales):
 
 
 @query(
-    f"""SELECT county_fips, CASE WHEN n = 0 THEN '0' WHEN n = 1 THEN '1' WHEN n <= 5 THEN '2-5' WHEN n <= 10 THEN '6-10' ELSE '11+' END AS bucket, count(*) AS homes FROM
+    f"""SELECT county_fips, CASE WHEN n = 0 THEN '0 (no history)' WHEN n = 1 THEN '1' WHEN n <= 3 THEN '2-3' WHEN n <= 6 THEN '4-6' ELSE '7+' END AS bucket, count(*) AS homes FROM
  (SELECT p.county_fips, p.parcel_id, count(s.id) AS n FROM (SELECT * FROM {_HOMES}) p LEFT JOIN sales s USING (county_fips, parcel_id) GROUP BY ALL) GROUP BY ALL"""
 )
 def report_sales_per_home(parcels, sales):
@@ -576,16 +577,16 @@ def report_sales_per_home(parcels, sales):
 
 
 @query(
-    f"""SELECT county_fips, count(*) AS sales, count(e) AS priced, count(*) FILTER (e BETWEEN 10 AND 500) AS fair, round(avg(e) FILTER (e BETWEEN 10 AND 500), 4) AS average, round(median(e) FILTER (e BETWEEN 10 AND 500), 4) AS median
- FROM (SELECT p.county_fips, CASE WHEN tot_lvg_area > 0 THEN sale_price / tot_lvg_area END AS e FROM sales s JOIN (SELECT * FROM {_HOMES}) p USING (county_fips, parcel_id)) GROUP BY 1"""
+    f"""SELECT county_fips, count(*) AS deed_sales, count(e) AS priced, round(avg(e), 2) AS average, round(median(e), 2) AS median, round(min(e), 2) AS least, round(max(e), 2) AS most
+ FROM (SELECT p.county_fips, CASE WHEN tot_lvg_area > 0 THEN sale_price / tot_lvg_area END AS e FROM sales s JOIN (SELECT * FROM {_HOMES}) p USING (county_fips, parcel_id) WHERE (instrument_type = 'WD' OR sale_type = 'WD') AND sale_price > 10000) GROUP BY 1"""
 )
 def report_price_per_sqft(parcels, sales):
     return reports.price_per_sqft(parcels, sales)
 
 
 @query(
-    f"""SELECT p.county_fips, count(*) AS n_rows, count(*) FILTER (tot_lvg_area < 800) AS small, count(*) FILTER (act_yr_blt > 2015) AS recent, count(*) FILTER (bedrooms > 4) AS many_bedrooms, count(*) FILTER (sale_price < 1000) AS token_price
- FROM (SELECT * FROM {_HOMES}) p LEFT JOIN sales s USING (county_fips, parcel_id) GROUP BY 1"""
+    f"""SELECT p.county_fips, count(*) AS n_rows, count(*) FILTER (tot_lvg_area < 100) AS tiny_area, count(*) FILTER (act_yr_blt > 2026) AS future_year, count(*) FILTER (act_yr_blt < 1800) AS ancient_year,
+ count(*) FILTER (sale_price > 0 AND sale_price < 500 AND (instrument_type = 'WD' OR sale_type = 'WD')) AS token_deed FROM (SELECT * FROM {_HOMES}) p LEFT JOIN sales s USING (county_fips, parcel_id) GROUP BY 1"""
 )
 def report_suspicious(parcels, sales):
     return reports.suspicious(parcels, sales)

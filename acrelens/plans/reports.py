@@ -10,16 +10,18 @@ from acrelens.functions.parcel import bucket, percent
 _ID = ["county_fips", "parcel_id"]
 RATE_FIELDS = ["exterior_wall", "roof_type", "foundation_type", "tot_lvg_area", "act_yr_blt", "eff_yr_blt", "bedrooms", "bathrooms"]
 ERAS = [(1950, "pre-1950"), (1970, "1950-1969"), (1990, "1970-1989"), (2010, "1990-2009")]
-SIZES = [(1000, "<1000"), (1500, "1000-1499"), (2000, "1500-1999"), (2500, "2000-2499")]
+SIZES = [(500, "<500"), (1000, "500-999"), (1500, "1000-1499"), (2000, "1500-1999"), (3000, "2000-2999"), (5000, "3000-4999")]
 
 
-def homes(parcels: DataFrame) -> DataFrame:
-    return parcels.filter("dor_uc = '001'")
+def homes(parcels: DataFrame, enriched: bool = True) -> DataFrame:
+    """Single-family parcels, those that have been enriched unless all are asked for."""
+    rows = parcels.filter("dor_uc = '001'")
+    return rows.filter("enriched_on is not null") if enriched else rows
 
 
 def progress(parcels: DataFrame) -> DataFrame:
     """Enriched and remaining homes per county, with the share done."""
-    out = homes(parcels).groupBy("county_fips").agg(
+    out = homes(parcels, enriched=False).groupBy("county_fips").agg(
         F.count(F.lit(1)).alias("total"), F.count("enriched_on").alias("enriched"), F.count_if(F.col("enriched_on").isNull()).alias("remaining"), F.min("enriched_on").alias("first_on"), F.max("enriched_on").alias("last_on")
     )
     return out.withColumn("percent_done", percent(F.col("enriched"), F.col("total")))
@@ -27,7 +29,7 @@ def progress(parcels: DataFrame) -> DataFrame:
 
 def population_rates(parcels: DataFrame, counties: tuple[str, str] = ("12033", "12113"), parity: float = 5.0) -> DataFrame:
     """Share of enriched homes with each field in two counties, and whether they are within ``parity`` points."""
-    rows = homes(parcels).filter("enriched_on is not null").groupBy("county_fips").agg(F.count(F.lit(1)).alias("total"), *[F.count(c).alias(c) for c in RATE_FIELDS])
+    rows = homes(parcels).groupBy("county_fips").agg(F.count(F.lit(1)).alias("total"), *[F.count(c).alias(c) for c in RATE_FIELDS])
     long = rows.select("county_fips", "total", F.explode(F.create_map(*[x for c in RATE_FIELDS for x in (F.lit(c), F.col(c))])).alias("field", "n"))
     a, b = counties
     side = lambda fips, c: F.max(F.when(F.col("county_fips") == fips, F.col(c)))
@@ -61,7 +63,7 @@ def remodel_gap(parcels: DataFrame, major: int = 10) -> DataFrame:
     """How often and how far the effective year is after the built year."""
     gap = F.col("eff_yr_blt") - F.col("act_yr_blt")
     return homes(parcels).groupBy("county_fips").agg(
-        F.count_if(gap.isNotNull()).alias("known"), F.count_if(gap > 0).alias("remodelled"), F.count_if(gap > major).alias("major"), F.count_if(gap < 0).alias("earlier"), F.round(F.avg(F.when(gap > 0, gap)), 4).alias("average_gap")
+        F.count(F.lit(1)).alias("enriched"), F.count_if(gap > 0).alias("remodelled"), F.count_if(gap > major).alias("major"), F.round(F.avg(F.when(gap > 0, gap)), 1).alias("average_gap")
     )
 
 
@@ -79,24 +81,28 @@ def first_of_month(sales: DataFrame) -> DataFrame:
 def sales_per_home(parcels: DataFrame, sales: DataFrame) -> DataFrame:
     """Homes by how many sales they have."""
     per = homes(parcels).select(*_ID).join(sales.groupBy(*_ID).agg(F.count(F.lit(1)).alias("n")), _ID, "left")
-    label = F.when(F.col("n").isNull(), "0").when(F.col("n") == 1, "1").when(F.col("n") <= 5, "2-5").when(F.col("n") <= 10, "6-10").otherwise("11+")
+    label = F.when(F.col("n").isNull(), "0 (no history)").when(F.col("n") == 1, "1").when(F.col("n") <= 3, "2-3").when(F.col("n") <= 6, "4-6").otherwise("7+")
     return per.groupBy("county_fips", label.alias("bucket")).agg(F.count(F.lit(1)).alias("homes"))
 
 
-def price_per_sqft(parcels: DataFrame, sales: DataFrame) -> DataFrame:
-    """Price per square foot of sales of homes: all, and the mean and median of plausible ones."""
-    joined = sales.join(homes(parcels).select(*_ID, "tot_lvg_area"), _ID)
+_DEED = "(instrument_type = 'WD' or sale_type = 'WD')"
+
+
+def price_per_sqft(parcels: DataFrame, sales: DataFrame, least: int = 10_000) -> DataFrame:
+    """Price per square foot of homes' warranty deed sales above a price: mean, median and range."""
+    joined = sales.filter(_DEED).filter(F.col("sale_price") > least).join(homes(parcels).select(*_ID, "tot_lvg_area"), _ID)
     each = F.when(F.col("tot_lvg_area") > 0, F.col("sale_price") / F.col("tot_lvg_area").cast("double"))
-    fair = each.between(10, 500)
-    return joined.groupBy("county_fips").agg(F.count(F.lit(1)).alias("sales"), F.count(each).alias("priced"), F.count_if(fair).alias("fair"), F.round(F.avg(F.when(fair, each)), 4).alias("average"), F.round(F.median(F.when(fair, each)), 4).alias("median"))
+    facts = {"average": F.avg(each), "median": F.median(each), "least": F.min(each), "most": F.max(each)}
+    return joined.groupBy("county_fips").agg(F.count(F.lit(1)).alias("deed_sales"), F.count(each).alias("priced"), *[F.round(c, 2).alias(n) for n, c in facts.items()])
 
 
-def suspicious(parcels: DataFrame, sales: DataFrame) -> DataFrame:
+def suspicious(parcels: DataFrame, sales: DataFrame, tiny: int = 100, latest: int = 2026, earliest: int = 1800, token: int = 500) -> DataFrame:
     """Flags over homes joined with their sales; rows are counted, not homes."""
-    joined = homes(parcels).select(*_ID, "tot_lvg_area", "act_yr_blt", "bedrooms").join(sales.select(*_ID, "sale_price"), _ID, "left")
+    joined = homes(parcels).select(*_ID, "tot_lvg_area", "act_yr_blt").join(sales.select(*_ID, "sale_price", "sale_type", "instrument_type"), _ID, "left")
     return joined.groupBy("county_fips").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("tot_lvg_area") < 800).alias("small"), F.count_if(F.col("act_yr_blt") > 2015).alias("recent"), F.count_if(F.col("bedrooms") > 4).alias("many_bedrooms"), F.count_if(F.col("sale_price") < 1000).alias("token_price")
-    )
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("tot_lvg_area") < tiny).alias("tiny_area"), F.count_if(F.col("act_yr_blt") > latest).alias("future_year"),
+        F.count_if(F.col("act_yr_blt") < earliest).alias("ancient_year"), F.count_if((F.col("sale_price") > 0) & (F.col("sale_price") < token) & F.expr(_DEED)).alias("token_deed"),
+    )
 
 
 def code_distribution(sales: DataFrame) -> DataFrame:

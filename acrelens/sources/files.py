@@ -46,40 +46,55 @@ def blocks(lines: DataFrame, opens: Column) -> DataFrame:
     return lines.withColumn("block", F.sum(opens.cast("int")).over(w)).filter("block > 0")
 
 
-def read_key_values(spark: SparkSession, path: str, fields: dict[str, str], opens: str = "auctionstarts") -> DataFrame:
-    """Records of a two-column file, a column per field; a line whose key begins with ``opens`` begins a record.
+def read_key_values(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFrame:
+    """Records of a two-column file, a column per field, and the lines of the address.
 
-    ``fields`` maps keys, in lower case and letters only, to columns; the first value of a key counts.
+    A line whose key begins with "Auction Starts" begins a record. ``fields`` maps keys
+    (lower case, spaces as underscores, # as num, no colon) to columns; the last value of
+    a key counts. Records without parcel or case number are left out.
     """
     lines = _lines(spark, path, "ISO-8859-1").filter("trim(line) <> ''")
-    pair = F.from_csv("line", F.lit("k string, v string"))
-    keyed = lines.withColumn("p", pair).select("file", "at", F.regexp_replace(F.lower("p.k"), "[^a-z]", "").alias("key"), F.trim("p.v").alias("value"))
-    grouped = blocks(keyed, F.col("key").startswith(opens)).groupBy("file", "block")
-    return grouped.agg(*[F.min_by("value", F.when((F.col("key") == k) & (F.col("value") != ""), F.col("at"))).alias(c) for k, c in fields.items()])
+    key = F.regexp_replace(F.replace(F.replace(F.trim(F.regexp_replace(F.lower(F.trim(F.coalesce("p.k", F.lit("")))), ":+$", "")), F.lit(" "), F.lit("_")), F.lit("#"), F.lit("num")), "_+", "_")
+    keyed = lines.withColumn("p", F.from_csv("line", F.lit("k string, v string"))).select("file", "at", key.alias("key"), F.nullif(F.trim("p.v"), F.lit("")).alias("value"))
+    grouped = blocks(keyed, F.regexp_replace("key", "[^a-z]", "").startswith("auctionstarts")).groupBy("file", "block")
+    columns: dict[str, list[str]] = {}
+    for k, c in fields.items():
+        columns.setdefault(c, []).append(k)
+    address = F.col("key").isin("address", "property_address", "") & F.col("value").isNotNull()
+    values = [F.max_by("value", F.when(F.col("key").isin(*ks) & F.col("value").isNotNull(), F.col("at"))).alias(c) for c, ks in columns.items()]
+    rows = grouped.agg(*values, F.array_sort(F.collect_list(F.when(address, F.struct("at", "value")))).alias("_address"))  # lines of one record
+    at = lambda i: F.try_element_at("_address", F.lit(i))["value"]
+    rows = rows.withColumns({"street": at(1), "city_state_zip": at(2), "auction_date": auction_date(F.regexp_extract("auction_starts", r"(\d{1,2}/\d{1,2}/\d{4})", 1))})
+    return rows.drop("_address").filter("parcel_id is not null and case_number is not null")
 
 
 # Keys of foreclosure and tax deed files and their columns.
-FORECLOSURE = {"auctionstarts": "auction_starts", "casenumber": "case_number", "finaljudgmentamount": "judgment", "parcelid": "parcel_id", "propertyaddress": "address", "assessedvalue": "assessed_value"}
-TAX_DEED = {"auctionstarts": "auction_starts", "casenumber": "case_number", "certificate": "certificate", "openingbid": "opening_bid", "parcelid": "parcel_id", "propertyaddress": "address", "assessedvalue": "assessed_value"}
+_COMMON = {"auction_starts": "auction_starts", "case_num": "case_number", "parcel_id": "parcel_id", "assessed_value": "assessed_value"}
+FORECLOSURE = _COMMON | {"case_number": "case_number", "final_judgment_amount": "judgment", "plaintiff_max_bid": "plaintiff_max_bid"}
+TAX_DEED = _COMMON | {"certificate_num": "certificate_number", "opening_bid": "opening_bid"}
 
 
 def read_foreclosures(spark: SparkSession, path: str) -> DataFrame:
     rows = read_key_values(spark, path, FORECLOSURE)
-    return rows.withColumns({"judgment": whole_dollars(F.col("judgment")), "assessed_value": whole_dollars(F.col("assessed_value")), "auction_date": auction_date(F.regexp_extract("auction_starts", r"(\d{1,2}/\d{1,2}/\d{4})", 1))})
+    return rows.withColumns({c: whole_dollars(F.col(c)) for c in ("judgment", "assessed_value", "plaintiff_max_bid")})
 
 
 def read_tax_deeds(spark: SparkSession, path: str) -> DataFrame:
     rows = read_key_values(spark, path, TAX_DEED)
-    return rows.withColumns({"opening_bid": whole_dollars(F.col("opening_bid")), "assessed_value": whole_dollars(F.col("assessed_value")), "auction_date": auction_date(F.regexp_extract("auction_starts", r"(\d{1,2}/\d{1,2}/\d{4})", 1))})
+    return rows.withColumns({c: whole_dollars(F.col(c)) for c in ("opening_bid", "assessed_value")})
+
+
+# Lines of a saved listing page that tell nothing.
+NOISE = r"(?i)^(More|Save|Previous photoNext photo|Save this search.*|.*to get email alerts.*)$"
 
 
 def read_listings(spark: SparkSession, path: str) -> DataFrame:
     """Listings of a file with one value per line: a price line opens one; then specs, address, brokerage."""
-    lines = _lines(spark, path, "UTF-8").select("file", "at", F.trim(F.regexp_replace("line", '^"+|"+$', "")).alias("line")).filter("line <> ''")
-    parts = blocks(lines, F.col("line").rlike(r"^\$[\d,]+")).groupBy("file", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]).alias("l"))  # lines of one listing
-    specs_at = F.array_position(F.transform("l", lambda x: x.rlike(r"\d+\s*bds?")), F.lit(True)).cast("int")
+    lines = _lines(spark, path, "UTF-8").select("file", "at", F.trim(F.regexp_replace("line", '^"+|"+$', "")).alias("line")).filter((F.col("line") != "") & ~F.col("line").rlike(NOISE))
+    parts = blocks(lines, F.col("line").rlike(r"^\$[\d,]+(\.\d{2})?$")).groupBy("file", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]).alias("l"))  # lines of one listing
+    specs_at = F.array_position(F.transform("l", lambda x: x.rlike(r"(?i)\d+\s*bds?|[\d,]+\s*sqft")), F.lit(True)).cast("int")
     after = lambda at: F.slice("l", at + 1, F.size("l"))
-    is_address = lambda x: x.rlike(r",.*\d{5}\s*$")
+    is_address = lambda x: x.rlike(r"(?i),\s*FL\s+\d{5}$")
     rest = F.when(specs_at > 0, after(specs_at)).otherwise(F.array().cast("array<string>"))
     address = F.try_element_at(F.filter(rest, is_address), F.lit(1))
     at = F.array_position(rest, address).cast("int")

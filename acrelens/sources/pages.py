@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acrelens.functions.text import sale_date, squeezed, whole_dollars
+from acrelens.functions.text import auction_date, sale_date, squeezed, whole_dollars
 
 
 def tag_text(c: Column) -> Column:
@@ -76,12 +76,23 @@ def building_of(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "exterior_wall", "zoning", "act_yr_blt", get("ROOF COVER").alias("roof_type"), get("FOUNDATION").alias("foundation"))
 
 
+# Headers of the clerk's table and their columns.
+CLERK_HEADERS = {
+    "CLERK FILE #": "clerk_file", "CLERK FILE": "clerk_file", "ACCOUNT": "account", "CERTIFICATE NUMBER": "certificate_number", "REFERENCE": "reference",
+    "SALES DATE": "sales_date", "STATUS": "status", "OPENING BID AMOUNT": "opening_bid_amount", "LEGAL DESCRIPTION": "legal_description",
+    "SURPLUS BALANCE": "surplus_balance", "PROPERTY ADDRESS": "property_address",
+}
+
+
 def clerk_rows(pages: DataFrame) -> DataFrame:
     """Tax sale rows of clerk pages; a row needs a file number."""
-    rows = table_rows(pages, "CLERK FILE")
-    cell = lambda n: F.nullif(F.try_element_at("cells", F.lit(n)), F.lit(""))
-    out = rows.select("page_id", cell("CLERK FILE").alias("clerk_file"), cell("ACCOUNT").alias("account"), cell("STATUS").alias("status"), whole_dollars(cell("OPENING BID")).alias("opening_bid"), cell("PROPERTY ADDRESS").alias("address"))
-    return out.filter("clerk_file is not null")
+    rows = table_rows(pages, "CLERK FILE #").unionByName(table_rows(pages, "CLERK FILE"))
+    names: dict[str, list[Column]] = {}
+    for header, name in CLERK_HEADERS.items():
+        names.setdefault(name, []).append(F.nullif(F.try_element_at("cells", F.lit(header)), F.lit("")))
+    out = rows.select("page_id", *[F.coalesce(*c).alias(n) for n, c in names.items()])
+    bids = {n: whole_dollars(F.col(n)) for n in ("opening_bid_amount", "surplus_balance")}
+    return out.withColumns(bids | {"sales_date": auction_date(F.col("sales_date"))}).filter("clerk_file is not null")
 
 
 def page_kind(html: Column) -> Column:

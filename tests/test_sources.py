@@ -19,9 +19,9 @@ def test_roll(spark, tmp_path):
 
 
 def test_key_value_blocks(spark, tmp_path):
-    (tmp_path / "f.csv").write_bytes('junk,1\nAuction Starts,"05/07/2024 11:00"\nCase Number:,2024 CA 1\nFinal Judgment Amount:,"$1,234.56"\nProperty Address:,"1 Peña Rd, Pace"\nAuction Starts,06/01/2024\nCase Number:,B\n'.encode("latin-1"))
+    (tmp_path / "f.csv").write_bytes('junk,1\nAuction Starts,"05/07/2024 11:00"\nCase #:,2024 CA 1\nParcel ID:,1-2\nFinal Judgment Amount:,"$1,234.56"\nProperty Address:,"1 Peña Rd"\n,"Pace, FL"\nAuction Starts,06/01/2024\nCase Number:,B\nParcel ID:,3\nAuction Starts,none\nCase #:,C\n'.encode("latin-1"))
     rows = sorted(files.read_foreclosures(spark, str(tmp_path / "f.csv")).collect(), key=lambda r: r["block"])
-    assert [(r["case_number"], r["judgment"], r["address"], r["auction_date"]) for r in rows] == [("2024 CA 1", 1234, "1 Peña Rd, Pace", dt.date(2024, 5, 7)), ("B", None, None, dt.date(2024, 6, 1))]
+    assert [(r["case_number"], r["judgment"], r["street"], r["city_state_zip"], r["auction_date"]) for r in rows] == [("2024 CA 1", 1234, "1 Peña Rd", "Pace, FL", dt.date(2024, 5, 7)), ("B", None, None, None, dt.date(2024, 6, 1))]
 
 
 def test_listing_lines(spark, tmp_path):
