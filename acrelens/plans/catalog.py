@@ -9,6 +9,7 @@ from acrelens.functions import text as X
 from acrelens.operators import arv, filters, match, merge, search, spatial, workflow
 from acrelens.plans import reports
 from acrelens.plans.fixtures import sql, table
+from acrelens.sources import pages
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -600,3 +601,47 @@ def report_code_distribution(sales):
 @query("SELECT source, count(*) AS n, count(raw_json) AS with_json, count(*) FILTER (raw_json = '{}') AS empty_json, max(try_cast(json_extract_string(raw_json, '$.k') AS BIGINT)) AS top_k FROM signals GROUP BY 1")
 def report_source_tags(signals):
     return reports.source_tags(signals)
+
+
+# Access, caches and landed pages.
+
+
+@query("SELECT profile, counties FROM (SELECT parcel_id AS profile, string_agg(DISTINCT county_fips, ',' ORDER BY county_fips) AS counties FROM (SELECT id % 40 AS parcel_id, county_fips FROM signals) GROUP BY 1) WHERE counties = '12033'")
+def granted_profiles(signals):
+    profiles = signals.groupBy((F.col("id") % 40).alias("profile")).agg(F.sort_array(F.collect_set("county_fips")).alias("county_fips"))  # two counties at most
+    return filters.fully_granted(profiles, ["12033"]).select("profile", F.array_join("county_fips", ",").alias("counties"))
+
+
+@query("SELECT county_fips, parcel_id, contact IS NOT NULL AS cached, contact FROM parcels LEFT JOIN (SELECT county_fips, parcel_id, arg_max('c' || CAST(id AS VARCHAR), id) AS contact FROM signals WHERE id > 5000 GROUP BY ALL) USING (county_fips, parcel_id)")
+def contact_cache(parcels, signals):
+    cache = signals.select(*_ID, F.concat(F.lit("c"), F.col("id").cast("string")).alias("contact"), F.col("id").alias("expires_at"))
+    return workflow.cached_or_missing(parcels.select(*_ID), cache, F.lit(5000)).select(*_ID, "cached", "contact")
+
+
+@query("SELECT id FROM signals WHERE workflow_status IS NOT NULL AND workflow_status NOT IN ('NEW', 'REVIEWED', 'APPROVE_SEND', 'SENT', 'RESPONDED', 'REJECTED', 'CLOSED')")
+def unknown_states(signals):
+    return workflow.invalid_states(signals).select("id")
+
+
+@query("SELECT profile, county_fips, favourite FROM (SELECT DISTINCT signal_tier AS profile, county_fips, signal_tier = 1 AS favourite FROM signals) ORDER BY favourite DESC NULLS LAST, profile NULLS FIRST, county_fips")
+def profiles_in_order(signals):
+    rows = signals.select(F.col("signal_tier").alias("profile"), "county_fips", (F.col("signal_tier") == 1).alias("favourite")).distinct()
+    return rows.orderBy(F.desc_nulls_last("favourite"), F.asc_nulls_first("profile"), "county_fips")
+
+
+@query("SELECT count(*) FILTER (workflow_status = 'NEW') AS drafts, count(*) FILTER (workflow_status = 'SENT' AND created_at >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 7 DAY) AS sent_in_week FROM signals")
+def dashboard_counts(signals):
+    since = F.expr("timestamp '2024-01-20 00:00:00' - interval 7 days")
+    return signals.agg(F.count_if(F.col("workflow_status") == "NEW").alias("drafts"), F.count_if((F.col("workflow_status") == "SENT") & (F.col("created_at") >= since)).alias("sent_in_week"))
+
+
+def _pages(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+QUERIES["landed_page_kinds"] = lambda spark, sf_dir: _pages(spark, sf_dir).groupBy(pages.page_kind(F.col("html")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+ORACLE_SQL["landed_page_kinds"] = r"""SELECT CASE WHEN t = '' THEN 'TRANSIENT' WHEN regexp_matches(t, 'captcha|access denied|too many requests') THEN 'SOFT_BLOCK' WHEN regexp_matches(t, 'no records? found|parcel not found') THEN 'NOT_FOUND' ELSE 'OK' END AS kind, count(*) AS n
+ FROM (SELECT lower(coalesce(html, '')) AS t FROM pages) GROUP BY 1"""
+QUERIES["landed_page_titles"] = lambda spark, sf_dir: _pages(spark, sf_dir).select("page_id", pages.tag_text(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1)).alias("title"), F.size(pages.all_matches(F.col("html"), r"(?is)<li[^>]*>(.*?)</li>")).alias("items"))
+ORACLE_SQL["landed_page_titles"] = r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS title,
+ CAST(len(regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1)) AS INT) AS items FROM pages"""
