@@ -13,7 +13,7 @@ def test_hosts_paths_and_rules(spark):
         (2, "https://example.org/en/12", "example.org", "/en/12", "example.org/en/1"),
         (3, "https://example.org", "example.org", "", None),
         (4, "x://notexample.org?/es/", "notexample.org", "", None),
-        (5, "x://fr.com/fr/://y.org/", "fr.com", "/fr/", "com/fr/"),
+        (5, "x://fr.com/fr/://y.org/", "fr.com", "/fr/://y.org/", "com/fr/"),
         (6, "no scheme.org/", "", "", None),
         (7, None, "", "", None),
         (8, "http://org/", "org", "/", "org/"),
