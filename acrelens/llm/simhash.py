@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acrelens.llm.components import connected_components
+from acrelens.llm.worker import in_small_batches
 from acrelens.scratch import materialize
 
 MAX_DISTANCE = 2
@@ -69,7 +70,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return in_small_batches(docs).select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def _block(i: int) -> Column:

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from acrelens.llm.worker import in_small_batches, remembered
+
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 LIMIT = 300_000
@@ -147,14 +149,9 @@ class Pieces(dict):
         return text[1:].decode("utf-8", "replace") if text[:1] == b" " else text.decode("utf-8", "replace")
 
 
-_models: dict[str, Pieces] = {}
-
-
 def pieces(path: str) -> Pieces:
     """The model of this worker process for a file."""
-    if path not in _models:
-        _models[path] = Pieces(path)
-    return _models[path]
+    return remembered(("pieces", path), lambda: Pieces(path))
 
 
 def _mapped(df: DataFrame, column: str, out: str, kind: str, convert) -> DataFrame:
@@ -168,7 +165,7 @@ def _mapped(df: DataFrame, column: str, out: str, kind: str, convert) -> DataFra
                 values = pa.array([convert(x) for x in part.column(1).to_pylist()], arrow)
                 yield pa.RecordBatch.from_arrays([part.column(0), values], ["doc_id", out])
 
-    return df.select("doc_id", column).mapInArrow(run, f"doc_id {id_type}, {out} {kind}")
+    return in_small_batches(df).select("doc_id", column).mapInArrow(run, f"doc_id {id_type}, {out} {kind}")
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
@@ -193,7 +190,7 @@ def encode_and_decode(docs: DataFrame, model: str) -> DataFrame:
                 ids = [own.encode(x or "") for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([own.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "text"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, ids binary, text string")
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, ids binary, text string")
 
 
 def digest(docs: DataFrame, model: str) -> DataFrame:

@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from acrelens.llm.worker import remembered
 from acrelens.scratch import drop, materialize, scratch_path
 
 WINDOW = 50
@@ -47,7 +48,7 @@ GRAM = 8
 BATCHES = 3
 MAX_RUNS = 1
 BITMAP = 1 << 23
-_WORD_LIMIT = 500_000
+_WORD_LIMIT = 300_000
 _KEY = ["h", "d1", "d2"]
 
 
@@ -64,9 +65,6 @@ class _WordHashes(dict):
         return value
 
 
-_hashes = _WordHashes()
-
-
 def anchors(words: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor hash, first window and number of windows of every span of a text."""
     n = len(words)
@@ -74,7 +72,7 @@ def anchors(words: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.nd
         none = np.zeros(0, dtype=np.int64)
         return none, none, none
     gram = min(GRAM, window)
-    word = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=n)
+    word = np.fromiter(map(remembered(("hashes",), _WordHashes).__getitem__, words), dtype=np.uint64, count=n)
     g = word[: n - gram + 1].copy()
     for j in range(1, gram):
         g *= np.uint64(0x9E3779B97F4A7C15)

@@ -28,6 +28,7 @@ the share of toxic labels.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -38,6 +39,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from acrelens.llm.worker import in_small_batches, remembered
+
 TRAIN_DOCS = 3000
 CALIBRATION_DOCS = 3000
 SENTENCES = 100_000
@@ -46,7 +49,7 @@ DECAY = 0.7
 SPAN = 8
 LONGEST = 24
 ROUNDS = 3
-_LIMIT = 400_000
+_LIMIT = 200_000
 _FEATURES = 1 << 15
 #: What is known of a text after its units are scored.
 FACTS = ("over", "well_over", "excess", "number", "furthest")
@@ -110,6 +113,7 @@ class Machine:
 
     def __init__(self, weight: np.ndarray, bias: float, rule: np.ndarray, share: float):
         self.weight, self.bias, self.rule, self.share = weight, bias, rule, share
+        self.mark = hashlib.sha256(weight.tobytes() + repr(bias).encode()).hexdigest()  # equal for equal margins
 
     def margins(self, found: list[str]) -> dict[str, float]:
         """The margin of every unit; under three characters: -1."""
@@ -146,11 +150,11 @@ class _Known(dict):
         self.update((w, margin[u]) for w, u in by_word.items())
 
 
-def facts_of(texts: list[str], machine: Machine, known: _Known) -> np.ndarray:
+def facts_of(texts: pa.Array, machine: Machine, known: _Known) -> np.ndarray:
     """Per text: what share of the units is over the margin, over half of it, and by how much; how many are; the furthest."""
     out = np.zeros((len(texts), len(FACTS)))
     for at in range(0, len(texts), 200):
-        split = [units(t) for t in texts[at : at + 200]]
+        split = [units(t or "") for t in texts.slice(at, 200).to_pylist()]
         split = [w + spaced for w, spaced in split]
         known.learn(machine, set().union(*split))
         for i, words in enumerate(split, at):
@@ -168,13 +172,13 @@ def facts(docs: DataFrame, machine: Machine, score: bool) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known()
+        known = remembered(("margins", machine.mark), _Known)
         for batch in batches:
-            found = facts_of([t or "" for t in batch.column(1).to_pylist()], machine, known)
+            found = facts_of(batch.column(1), machine, known)
             columns = [machine.score(found)] if score else list(found.T)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], ["doc_id", "score"] if score else ["doc_id", *FACTS])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double" if score else f"doc_id {kind}, " + ", ".join(f"{f} double" for f in FACTS))
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double" if score else f"doc_id {kind}, " + ", ".join(f"{f} double" for f in FACTS))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -310,9 +314,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     schema, names, at = docs.schema, docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known()
+        known = remembered(("margins", machine.mark), _Known)
         for batch in batches:
-            score = machine.score(facts_of([t or "" for t in batch.column(at).to_pylist()], machine, known))
+            score = machine.score(facts_of(batch.column(at), machine, known))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(score < 0.5)) for c in batch.columns], names)
 
-    return docs.mapInArrow(run, schema)
+    return in_small_batches(docs).mapInArrow(run, schema)

@@ -15,6 +15,8 @@ from array import array
 
 import regex
 
+from acrelens.llm.worker import remembered
+
 LIMIT = 300_000
 #: The id that ends each document.
 END = 1
@@ -88,11 +90,6 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, text.split())) + END.to_bytes(4, "little")
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """The encoder of this worker process for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return remembered(("words", path), lambda: WordEncoder(path))
