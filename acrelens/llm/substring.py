@@ -36,11 +36,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from acrelens.llm.worker import remembered
+from acrelens.llm.worker import in_small_batches, remembered
 from acrelens.scratch import drop, materialize, scratch_path
 
 WINDOW = 50
@@ -48,7 +49,7 @@ GRAM = 8
 BATCHES = 3
 MAX_RUNS = 1
 BITMAP = 1 << 23
-_WORD_LIMIT = 300_000
+_WORD_LIMIT = 200_000
 _KEY = ["h", "d1", "d2"]
 
 
@@ -132,33 +133,38 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 row = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(d1), pa.array(d2), batch.column(0).take(row), batch.column(1).take(row), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "d1", "d2", "doc_id", "t", "s", "n"])
 
-    return _keyed(docs).mapInArrow(run, f"h long, d1 long, d2 long, doc_id {kind}, t long, s int, n int")
+    return in_small_batches(_keyed(docs)).mapInArrow(run, f"h long, d1 long, d2 long, doc_id {kind}, t long, s int, n int")
 
 
-def _bitmap(places: DataFrame) -> np.ndarray:
+def _bitmap(places: DataFrame) -> Broadcast:
     """Bits of the documents in (doc_id, t); 1 MB whatever their number."""
-    bit = F.xxhash64("doc_id", "t").bitwiseAND(F.lit(BITMAP - 1)).alias("bit")
-    parts = places.select(bit).selectExpr("cast(bit div 64 as int) as at", "shiftleft(1L, cast(bit % 64 as int)) as b")
+    parts = places.select(_bit("t").alias("bit")).selectExpr("cast(bit div 64 as int) as at", "shiftleft(1L, cast(bit % 64 as int)) as b")
     rows = parts.groupBy("at").agg(F.bit_or("b")).collect()  # at most BITMAP / 64 rows
     out = np.zeros(BITMAP // 64, dtype=np.int64)
     for at, b in rows:
         out[at] = b
-    return out
+    return places.sparkSession.sparkContext.broadcast(out)  # BITMAP bits
 
 
-def _asked(keyed: DataFrame, bitmap: np.ndarray, t: str = "t", wanted: bool = True) -> DataFrame:
-    """The rows of a table with doc_id and the text hash ``t`` whose bit is set, or isn't."""
-    shared = keyed.sparkSession.sparkContext.broadcast(bitmap)  # BITMAP bits
-    names = keyed.columns
+def _bit(t: str) -> Column:
+    return F.xxhash64("doc_id", t).bitwiseAND(F.lit(BITMAP - 1)).alias("_sub_bit")
+
+
+def _tested(batch: pa.RecordBatch, bitmap: np.ndarray, wanted: bool) -> pa.RecordBatch:
+    """The rows whose bit, in the last column, is set, or isn't; without that column."""
+    bit = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+    hit = (bitmap[bit >> 6] >> (bit & 63)) & 1 == (1 if wanted else 0)
+    return pa.RecordBatch.from_arrays([c.filter(pa.array(hit)) for c in batch.columns[:-1]], batch.schema.names[:-1])
+
+
+def _asked(keyed: DataFrame, bitmap: Broadcast, t: str = "t") -> DataFrame:
+    """The rows of a table with doc_id and the text hash ``t`` whose bit is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = batch.column(len(names)).to_numpy(zero_copy_only=False)
-            hit = (shared.value[bit >> 6] >> (bit & 63)) & 1 == (1 if wanted else 0)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit)) for c in batch.columns[:-1]], names)
+            yield _tested(batch, bitmap.value, wanted=True)
 
-    bit = F.xxhash64("doc_id", t).bitwiseAND(F.lit(BITMAP - 1)).alias("_sub_bit")
-    return keyed.select("*", bit).mapInArrow(run, keyed.schema)
+    return in_small_batches(keyed).select("*", _bit(t)).mapInArrow(run, keyed.schema)
 
 
 def windows(docs: DataFrame, places: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -177,7 +183,7 @@ def windows(docs: DataFrame, places: DataFrame, window: int = WINDOW) -> DataFra
                 row = pa.array(np.full(len(s), i))
                 yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), batch.column(0).take(row), batch.column(1).take(row), pa.array(s.astype(np.int32))], ["w1", "w2", "doc_id", "t", "s"])
 
-    return texts.join(lists, ["doc_id", "t"]).select("doc_id", "t", "text", "spans").mapInArrow(run, f"w1 long, w2 long, doc_id {kind}, t long, s int")
+    return in_small_batches(texts).join(lists, ["doc_id", "t"]).select("doc_id", "t", "text", "spans").mapInArrow(run, f"w1 long, w2 long, doc_id {kind}, t long, s int")
 
 
 class FingerprintIndex:
@@ -266,24 +272,30 @@ def strip(docs: DataFrame, covered: DataFrame, window: int = WINDOW) -> DataFram
     bits = _bitmap(covered)
     met = (F.col("doc_id") == F.col("_sub_id")) & (F.col("_sub_t") == F.col("_sub_tt"))
     hit = _asked(named, bits, "_sub_t").join(lists, met, "left").select(*docs.columns, "_sub_covered")
-    rest = _asked(named, bits, "_sub_t", wanted=False).select(*docs.columns, F.lit(None).cast(hit.schema["_sub_covered"].dataType).alias("_sub_covered"))
+
+    def stripped(columns: list[pa.Array], lists: pa.Array | None) -> pa.RecordBatch:
+        kept, n, removed = [], [], []
+        for i, text in enumerate(columns[at]):
+            words = _bytes(text.cast(pa.binary())).split()
+            stay = _strip(words, lists[i].as_py(), window) if lists is not None and lists[i].is_valid else words
+            kept.append(b" ".join(stay))
+            n.append(len(words))
+            removed.append(len(words) - len(stay))
+        columns = [*columns, pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, [*names, "_kept", "_n_words", "_n_removed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, lists = batch.column(at), batch.column(batch.num_columns - 1)
-            kept, n, removed = [], [], []
-            for i in range(batch.num_rows):
-                words = _bytes(text[i].cast(pa.binary())).split()
-                stay = _strip(words, lists[i].as_py(), window) if lists[i].is_valid else words
-                kept.append(b" ".join(stay))
-                n.append(len(words))
-                removed.append(len(words) - len(stay))
-            columns = [*batch.columns[:-1], pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "_kept", "_n_words", "_n_removed"])
+            yield stripped(batch.columns[:-1], batch.column(batch.num_columns - 1))
+
+    def run_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield stripped(_tested(batch, bits.value, wanted=False).columns, None)
 
     added = [StructField("_kept", StringType()), StructField("_n_words", LongType()), StructField("_n_removed", LongType())]
     schema = StructType([*docs.schema.fields, *added])
-    return hit.unionByName(rest).mapInArrow(run, schema)
+    rest = named.select(*docs.columns, _bit("_sub_t"))
+    return in_small_batches(hit).mapInArrow(run, schema).unionByName(rest.mapInArrow(run_rest, schema))
 
 
 def deduplicate(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, max_runs: int = MAX_RUNS) -> DataFrame:

@@ -127,9 +127,9 @@ class Machine:
             if n < 3:
                 margin |= dict.fromkeys(listed, -1.0)
                 continue
-            for at in range(0, len(listed), 2000):
-                f, v = features(listed[at : at + 2000])
-                margin |= zip(listed[at : at + 2000], ((self.weight[f] * v).sum(axis=1) + self.bias).tolist())
+            for at in range(0, len(listed), 500):
+                f, v = features(listed[at : at + 500])
+                margin |= zip(listed[at : at + 500], ((self.weight[f] * v).sum(axis=1) + self.bias).tolist())
         return {u: max(margin[w] for w in windows(u)) for u in found}
 
     def score(self, facts: np.ndarray) -> np.ndarray:
