@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acrelens.llm.words import encoder
-from acrelens.llm.worker import in_small_batches
+from acrelens.llm.worker import in_small_batches, remembered
 from acrelens.scratch import materialize
 
 WINDOW = 2048
@@ -165,6 +165,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, units_
     units = units.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(shards)))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        remembered(("shard",), dict)  # lets the encoder's tables go
         rows = rows.sort_values(["doc_id", "ids"], ignore_index=True)
         arrays = [np.frombuffer(x, dtype="<u2") for x in rows["ids"]]
         placed = pack_shard(arrays, idf, mean_length, window)

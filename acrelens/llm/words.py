@@ -2,8 +2,8 @@
 
 For a tokenizer that drops white space (its pieces never span two words), the ids
 of a text are the ids of its words one after the other. Words repeat, so a worker
-keeps what the library gave for each word, and for each part of a word between
-punctuation; a table that holds LIMIT entries becomes the old one behind a new one.
+keeps what the library gave for each word, and for each part of a word that has several
+between punctuation; a table that holds LIMIT entries becomes the old one behind a new one.
 """
 
 from __future__ import annotations
@@ -61,24 +61,31 @@ class WordEncoder(dict):
 
     def _ids(self, word: bytes) -> bytes:
         if word.isalpha():  # ASCII letters are one part
-            return self._part(word.lower().decode())
-        if word[:-1].isalpha() and word[-1:] in b".,;:!?":
-            return self._part(word[:-1].lower().decode()) + self._part(word[-1:].decode())
+            return self._tokens(word.lower().decode())
+        stem = word[:-1]
+        if stem.isalpha() and word[-1:] in b".,;:!?":
+            ids = self.get(stem) or self.before.get(stem) or self._tokens(stem.lower().decode())
+            return ids + self._part(word[-1:].decode())
         text = word.decode("utf-8", "replace")
         if _PLAIN(word) and b"<|" not in word:
             return b"".join(map(self._part, _PARTS(text.lower())))
         if _LATIN(text) and "<|" not in text:
             low = unicodedata.normalize("NFC", text).lower()
-            parts = [low] if low.isalpha() else _PARTS(low)
-            return b"".join([self._part(p.encode().decode("latin-1").translate(self.letters)) for p in parts])
+            if low.isalpha():
+                return self._tokens(low.encode().decode("latin-1").translate(self.letters))
+            return b"".join([self._part(p.encode().decode("latin-1").translate(self.letters)) for p in _PARTS(low)])
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _tokens(self, part: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
+
     def _part(self, part: str) -> bytes:
+        """The ids of a part of a word, remembered; words of one part are remembered as words."""
         ids = self.parts.get(part)
         if ids is None:
             ids = self.parts_before.get(part)
             if ids is None:
-                ids = array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
+                ids = self._tokens(part)
             if len(part) <= 64:
                 if len(self.parts) >= LIMIT:
                     self.parts_before, self.parts = self.parts, {}
