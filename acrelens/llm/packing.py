@@ -75,10 +75,13 @@ def token_statistics(pieces: DataFrame) -> tuple[np.ndarray, int, float]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, n, total = np.zeros(1 << 16, dtype=np.int64), 0, 0
+        last = np.zeros(1 << 16, dtype=np.int64)  # where a token stands last in the piece at hand
         for batch in batches:
             for piece in batch.column(0):
                 ids = np.frombuffer(piece.as_buffer(), dtype="<u2")
-                counts[np.unique(ids)] += 1
+                places = np.arange(len(ids))
+                last[ids] = places
+                counts[ids[last[ids] == places]] += 1
                 n, total = n + 1, total + len(ids)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([used, [-1, -2]])), pa.array(np.concatenate([counts[used], [n, total]]))], ["token", "df"])
@@ -96,27 +99,26 @@ class ShardIndex:
     """Inverted index of a shard's units: token -> (units, BM25 weights)."""
 
     def __init__(self, units: list[np.ndarray], idf: np.ndarray, mean_length: float):
-        tokens, owners, weights = [], [], []
-        for i, ids in enumerate(units):
-            found, tf = np.unique(ids, return_counts=True)
-            tokens.append(found)
-            owners.append(np.full(len(found), i))
-            weights.append(tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean_length)) * idf[found])
-        self.tokens_of = list(zip(tokens, weights))
-        token, owner, weight = np.concatenate(tokens), np.concatenate(owners), np.concatenate(weights)
+        self.n = len(units)
+        lengths = np.array([len(ids) for ids in units])
+        key, tf = np.unique(np.repeat(np.arange(self.n) << 16, lengths) | np.concatenate(units), return_counts=True)
+        owner, token = key >> 16, (key & 0xFFFF).astype(np.uint16)
+        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / mean_length)) * idf[token]
+        self.token_of, self.weight_of = token, weight  # unit after unit
+        self.unit = np.searchsorted(owner, np.arange(self.n + 1))
         order = np.argsort(token, kind="stable")
-        self.owner, self.weight = owner[order], weight[order]
+        self.owner, self.weight = owner[order], weight[order]  # token after token
         self.start = np.searchsorted(token[order], np.arange((1 << 16) + 1))
-        self.n = len(units)
 
     def scores(self, unit: int) -> np.ndarray:
         """BM25 of every unit for the unit's heaviest tokens."""
-        found, weight = self.tokens_of[unit]
+        own = slice(self.unit[unit], self.unit[unit + 1])
+        found, weight = self.token_of[own], self.weight_of[own]
         if len(found) > QUERY_TOKENS:
             found = found[np.argsort(-weight, kind="stable")[:QUERY_TOKENS]]
         out = np.zeros(self.n)
         for t in found:
-            a, b = self.start[t], self.start[t + 1]
+            a, b = self.start[int(t)], self.start[int(t) + 1]
             out[self.owner[a:b]] += self.weight[a:b]
         return out
 
