@@ -2,17 +2,21 @@
 
 A tree rotates the vectors and writes each as a string of symbols: its signed axes
 from the largest part down, SYMBOLS of them. A tree is the sorted array of those
-strings; it lies in buckets by the first ``depth`` symbols, and a bucket with many
-strings in several salted groups, each sorted. A query descends from its own string,
-and from those that put another of its PROBES largest axes first, to the longest
-prefix that meets something, and ascends: all trees together shorten the prefix
-symbol by symbol until the query has CANDIDATES in all (one counts once for each tree
-that gives it), or its buckets are used up.
+strings; it lies in buckets by the first symbol, and a bucket with many strings in
+several salted groups, each sorted. A query descends from its own string, and from
+those that put another of its PROBES largest axes first, to the longest prefix that
+meets something, and ascends: all trees together shorten the prefix symbol by symbol
+until the query has SHARE of all vectors in all (one counts once for each tree that
+gives it), and ``trees * k`` at least, so that k of them differ. A query that has less
+at one symbol ascends to the empty prefix: it is scored against every vector, in blocks.
+The share doesn't fall as the table grows, so the work grows with its square.
 The first job counts what each prefix length gives, the second scores the candidates
 by inner product in double precision and keeps the best of each group.
 
 Largest inner product becomes smallest angle by one more coordinate on candidates,
-sqrt(1 - |x|^2 / M^2) after scaling by the largest length M, and zero on queries.
+sqrt(1 - |x|^2 / M^2) after scaling by the largest length M, and zero on queries. That
+coordinate is alike for vectors much shorter than M, so vectors are split into bands of
+nearly equal length, a forest each with its own M, and a query ascends in each by itself.
 
 Equal vectors are one class that enters the forest once, with its K + 1 smallest ids
 to be told in results, so any number of copies costs no more than one.
@@ -21,13 +25,11 @@ Measured recall at 20 (random unit vectors of 64 parts): see the README.
 
 Cases: vectors that are null, zero, hold null or non-finite parts, or differ in length
 from the commonest length take no part, nor do null ids. Repeated (id, vector) rows
-count once. Fewer than K candidates: all of them that are found. No rows: none.
+count once. Fewer than K candidates: all of them. No rows: none.
 """
 
 from __future__ import annotations
 
-from itertools import permutations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -39,8 +41,12 @@ K = 20
 TREES = 14
 SYMBOLS = 8
 PROBES = 6
-CANDIDATES = 1 << 16
+SHARE = 0.5
 ROWS_PER_GROUP = 8192
+#: Queries that meet one group at once; more of them meet it in turns.
+QUERIES_PER_GROUP = 32768
+#: Bands for each doubling of the length; lengths near a power of two share one.
+BANDS = 4
 EVERY = 20
 
 
@@ -77,25 +83,26 @@ def _spans(codes: np.ndarray, query: np.ndarray, level: np.ndarray | int, bits:
     return np.searchsorted(codes, query & masks, "left"), np.searchsorted(codes, query | ~masks, "right")
 
 
-def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, trees: int = TREES, probes: int = PROBES, candidates: int = CANDIDATES, rows_per_group: int = ROWS_PER_GROUP, seed: int = 7) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the rows whose id ``every`` divides, against all others."""
+def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, trees: int = TREES, probes: int = PROBES, candidates: int | None = None, rows_per_group: int = ROWS_PER_GROUP, seed: int = 7, queries_per_group: int = QUERIES_PER_GROUP) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the rows whose id ``every`` divides, against all others.
+
+    ``candidates`` in place of SHARE says how many end the ascent in a band.
+    """
     rows = materialize(valid_vectors(embeddings), "vectors")
     smallest = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
-    classes = materialize(
-        smallest.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("c"), F.monotonically_increasing_id().alias("u"), "ids", "v"), "classes"
-    )
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    classes = smallest.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    classes = classes.select(F.col("ids")[0].alias("c"), F.monotonically_increasing_id().alias("u"), "ids", "v", F.floor(F.log2(square) / 2 * BANDS + 0.5).cast("int").alias("band"))
+    classes = materialize(classes, "classes")
     asked = materialize(rows.filter(F.col("vec_id") % every == 0).join(classes.select("u", "v"), "v").select("vec_id", "u"), "asked")
-    stats = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m"), F.max(F.size("v")).alias("dim")).first()
-    n, dim = stats["n"], (stats["dim"] or 1) + 1
-    longest = float(np.sqrt(stats["m"] or 1.0))
+    bands = materialize(classes.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("m"), F.max(F.size("v")).alias("dim")), "bands")
+    stats = bands.collect()  # a row per quarter of a doubling: a double's exponent bounds them
+    dim = max((r["dim"] for r in stats), default=1) + 1
+    longest = {r["band"]: float(np.sqrt(r["m"])) for r in stats}
     bits = 8 if 2 * dim <= 256 else 16
     levels = min(64 // bits, dim)
-    depth = 1
-    while depth < levels and n / (2 * dim) ** depth > rows_per_group:
-        depth += 1
     rng = np.random.default_rng(seed)
     rotations = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(trees)]
-    starts = sorted(permutations(range(min(probes, levels)), depth), key=lambda p: (sum(p), p))[: probes**depth]
 
     def matrix(vectors) -> np.ndarray:
         return np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), dim - 1)
@@ -103,10 +110,11 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, trees: int =
     def hash_rows(batches):
         for df in batches:
             v = matrix(df["v"])
-            x = np.hstack([v / longest, np.sqrt(np.maximum(0, 1 - (v * v).sum(axis=1) / longest**2))[:, None]])
+            x = v / df["band"].map(longest).to_numpy()[:, None]
+            x = np.hstack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))[:, None]])
             for tree in range(trees):
                 code = _packed(_codes(x, rotations[tree], levels), bits)
-                yield pd.DataFrame({"tree": tree, "bucket": (code >> np.uint64(64 - bits * depth)).astype(np.int64), "code": code.view(np.int64), "u": df["u"].to_numpy()})
+                yield pd.DataFrame({"band": df["band"].to_numpy(), "tree": tree, "bucket": (code >> np.uint64(64 - bits)).astype(np.int64), "code": code.view(np.int64), "u": df["u"].to_numpy()})
 
     def hash_queries(batches):
         for df in batches:
@@ -114,37 +122,54 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, trees: int =
             x = np.hstack([v, np.zeros((len(v), 1))])
             for tree in range(trees):
                 symbols = _codes(x, rotations[tree], levels)
-                for start in starts:
-                    rest = [i for i in range(symbols.shape[1]) if i not in start]
-                    code = _packed(symbols[:, [*start, *rest]], bits)
-                    yield pd.DataFrame({"tree": tree, "bucket": (code >> np.uint64(64 - bits * depth)).astype(np.int64), "code": code.view(np.int64), "u": df["u"].to_numpy()})
+                for start in range(min(probes, levels)):
+                    rest = [i for i in range(symbols.shape[1]) if i != start]
+                    code = _packed(symbols[:, [start, *rest]], bits)
+                    yield pd.DataFrame({"tree": tree, "bucket": (code >> np.uint64(64 - bits)).astype(np.int64), "code": code.view(np.int64), "u": df["u"].to_numpy()})
 
     hashed = "tree int, bucket long, code long, u long"
-    strings = materialize(classes.select("u", "v").mapInPandas(hash_rows, hashed), "strings")
-    sizes = strings.groupBy("tree", "bucket").agg(F.ceil(F.count(F.lit(1)) / rows_per_group).cast("int").alias("salts"))
-    data = strings.join(sizes, ["tree", "bucket"]).withColumn("salt", F.pmod(F.xxhash64("u"), "salts").cast("int")).drop("salts")
+    place = ["band", "tree", "bucket"]
+    group = [*place, "salt", "turn"]
+
+    def dealt(strings: DataFrame, probing: DataFrame, small=lambda sizes: sizes) -> tuple[DataFrame, DataFrame]:
+        """Both sides with the groups in which each string meets each query of its place once."""
+        salts = strings.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / rows_per_group).cast("int").alias("salts"))
+        probing = probing.join(small(salts), place)
+        turns = probing.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / queries_per_group).cast("int").alias("turns"))
+        strings = strings.join(small(salts.join(turns, place)), place).withColumn("salt", F.pmod(F.xxhash64("u"), "salts").cast("int"))
+        strings = strings.select(*place, "code", "u", "salt", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
+        probing = probing.join(small(turns), place).withColumn("turn", F.pmod(F.xxhash64("u"), "turns").cast("int"))
+        return strings, probing.select(*place, "code", "u", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "turn")
+
+    strings = materialize(classes.select("band", "u", "v").mapInPandas(hash_rows, "band int, " + hashed), "strings")
     queries = asked.select("u").distinct().join(classes.select("u", "v"), "u")
-    probing = queries.mapInPandas(hash_queries, hashed).join(sizes, ["tree", "bucket"])
-    probing = materialize(probing.select("tree", "bucket", "code", "u", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")), "probes")
-    data = materialize(data, "forest")
-    group = ["tree", "bucket", "salt"]
+    probing = queries.mapInPandas(hash_queries, hashed).join(strings.select(*place).distinct(), ["tree", "bucket"])
+    data, probing = (materialize(x, name) for x, name in zip(dealt(strings, materialize(probing, "probes")), ("forest", "asked_forest")))
 
     def count(strings_: pd.DataFrame, asked_: pd.DataFrame) -> pd.DataFrame:
         if strings_.empty or asked_.empty:
-            return pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in ("u", *(f"n{i}" for i in range(depth, levels + 1)))})
+            return pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in ("u", "band", *(f"n{i}" for i in range(1, levels + 1)))})
         codes = np.sort(strings_["code"].to_numpy().view(np.uint64))
         query = asked_["code"].to_numpy().view(np.uint64)
-        out = {"u": asked_["u"]}
+        out = {"u": asked_["u"], "band": asked_["band"]}
         own = np.isin(asked_["u"].to_numpy(), strings_["u"].to_numpy())  # a query's own class is no candidate
-        for level in range(depth, levels + 1):
+        for level in range(1, levels + 1):
             low, high = _spans(codes, query, np.full(len(query), level), bits)
             out[f"n{level}"] = high - low - own
         return pd.DataFrame(out)
 
-    counted = data.groupBy(*group).cogroup(probing.groupBy(*group)).applyInPandas(count, "u long, " + ", ".join(f"n{i} long" for i in range(depth, levels + 1)))
-    total = counted.groupBy("u").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(depth, levels + 1)])
-    level = F.coalesce(*[F.when(F.col(f"n{i}") >= candidates, i) for i in range(levels, depth, -1)], F.lit(depth))
-    reached = total.select("u", level.alias("level"))
+    counts = [f"n{i}" for i in range(1, levels + 1)]
+    counted = data.groupBy(*group).cogroup(probing.groupBy(*group)).applyInPandas(count, "u long, band int, " + ", ".join(f"{c} long" for c in counts))
+    total = counted.groupBy("u", "band").agg(*[F.sum(c).alias(c) for c in counts])
+    wanted = F.greatest(F.ceil(F.col("n") * SHARE), F.lit(trees * k)) if candidates is None else F.lit(candidates)
+    level = F.coalesce(*[F.when(F.col(f"n{i}") >= wanted, i) for i in range(levels, 0, -1)], F.lit(0))
+    # A pair of query and band that met no bucket has no count.
+    reached = queries.select("u").join(F.broadcast(bands.select("band", "n")), how="cross").join(total, ["u", "band"], "left").select("u", "band", level.alias("level"))
+    reached = materialize(reached, "levels")
+    short = reached.filter("level = 0").select("band", F.lit(-1).alias("tree"), F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("code"), "u")
+    if not short.isEmpty():
+        every_string, every_short = dealt(classes.select("band", F.lit(-1).alias("tree"), F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("code"), "u"), short, F.broadcast)  # sizes: a row per band
+        data, probing = data.unionByName(every_string), probing.unionByName(every_short)
 
     def score(strings_: pd.DataFrame, asked_: pd.DataFrame) -> pd.DataFrame:
         if strings_.empty or asked_.empty:
@@ -166,7 +191,7 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, trees: int =
 
     vectors = classes.select("u", "v")
     left = data.join(vectors, "u").select(*group, "code", "u", "v")
-    right = probing.join(reached, "u").join(vectors, "u").select(*group, "code", "u", F.col("v").alias("qv"), "level")
+    right = probing.join(reached, ["u", "band"]).filter((F.col("level") > 0) == (F.col("tree") >= 0)).join(vectors, "u").select(*group, "code", "u", F.col("v").alias("qv"), "level")
     found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(score, "q long, u long, score double")
     best = found.groupBy("q", "u").agg(F.max("score").alias("score"))
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "u"))).filter(F.col("r") <= k + 1)

@@ -52,6 +52,29 @@ def test_recall_and_ascending_on_random_vectors(spark):
     assert short
 
 
+def unit_rows(n, lengths=None):
+    x = np.random.default_rng(2).standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x if lengths is None else x * lengths[:, None]
+
+
+def recall(spark, x, **settings):
+    """Recall at 20, and the fewest rows that a query got."""
+    n = len(x)
+    met = {(r[0], r[2]) for r in found(ann.nearest(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA), **settings))}
+    asked = np.arange(0, n, 20)
+    products = x[asked] @ x.T
+    products[np.arange(len(asked)), asked] = -1e9
+    best = {(int(q), int(i)) for q, row in zip(asked, products) for i in np.argsort(-row)[: min(20, n - 1)]}
+    counts = [sum(q == a for q, _ in met) for a in asked.tolist()]
+    return len(met & best) / len(best), min(counts)
+
+
+def test_many_vectors_a_group_do_not_shorten_the_ascent(spark):
+    share, fewest = recall(spark, unit_rows(2000), rows_per_group=12)
+    assert share >= 0.9 and fewest == 20
+
+
 def test_no_vectors(spark):
     assert ann.nearest(spark.createDataFrame([], SCHEMA)).count() == 0
     assert ann.nearest(spark.createDataFrame([(20, [1.0, 2.0], 0)], SCHEMA)).count() == 0
