@@ -75,6 +75,22 @@ def test_many_vectors_a_group_do_not_shorten_the_ascent(spark):
     assert share >= 0.9 and fewest == 20
 
 
+@pytest.mark.parametrize("n", [30, 15])
+def test_small_tables_give_all_they_have(spark, n):
+    assert recall(spark, unit_rows(n)) == (1.0, min(20, n - 1))
+
+
+def test_queries_meet_blocks_in_turns(spark):
+    assert recall(spark, unit_rows(45), rows_per_group=20, queries_per_group=2) == (1.0, 20)
+
+
+@pytest.mark.parametrize("kind", ["one long", "spread"])
+def test_unequal_lengths(spark, kind):
+    lengths = np.exp(0.1 * np.random.default_rng(3).standard_normal(2000)) if kind == "spread" else np.where(np.arange(2000) == 7, 10.0, 1.0)
+    share, fewest = recall(spark, unit_rows(2000, lengths))
+    assert share >= 0.9 and fewest == 20
+
+
 def test_no_vectors(spark):
     assert ann.nearest(spark.createDataFrame([], SCHEMA)).count() == 0
     assert ann.nearest(spark.createDataFrame([(20, [1.0, 2.0], 0)], SCHEMA)).count() == 0
