@@ -9,11 +9,14 @@ THRESHOLD of the two together, else allowed; a host that neither reaches is allo
 
 A round is one join of the rank table with the transition table and one aggregate;
 a host with very many links is summed by partial aggregation first. Weight that
-reaches a host without links ends there. Ranks are written every few rounds.
+reaches a host without links ends there. Ranks are written every few rounds; after
+ROUNDS, more follow until no host is new and the last one moved less than MOVED of
+either rank in all.
 
 Cases: a null url, or one without ``://``, has empty host and path, fits no rule and
-is allowed. Null html has no links. Relative links and links within a host don't
-count. Repeated rows come back repeated and count again. Other columns are ignored.
+is allowed. Null html has no links. A link names a host if it begins with a scheme
+and ``://``, or with ``//`` (the page's own scheme). Relative links, whatever stands
+in them, and links within a host don't count. Repeated rows come back repeated and count again. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +31,10 @@ RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block
 DAMPING = 0.85
 ROUNDS = 20
 ROUNDS_AT_ONCE = 5
+MOVED = 1e-9
 THRESHOLD = 0.5
 _URL = "(?s)^.*?://([^/?#]*)([^?#]*)"
+_LINK_HOST = "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
 _LINK = "(?i)href\\s*=\\s*[\"']?([^\"'\\s>]+)"
 
 
@@ -38,6 +43,11 @@ def host_of(url: Column) -> Column:
     return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), _URL, 1), upper, upper.lower())
 
 
+def link_host_of(link: Column) -> Column:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.translate(F.regexp_extract(link, _LINK_HOST, 1), upper, upper.lower())
+
+
 def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), _URL, 2)
 
@@ -62,15 +72,16 @@ def judged_by_rules(pages: DataFrame, rules: dict[str, str]) -> DataFrame:
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, weight): how many pages of src link to dst, another host."""
-    hosts = F.transform(F.regexp_extract_all(F.col("html"), F.lit(_LINK), F.lit(1)), host_of)
+    hosts = F.transform(F.regexp_extract_all(F.col("html"), F.lit(_LINK), F.lit(1)), link_host_of)
     pairs = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.array_distinct(hosts)).alias("dst"))
     return pairs.filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, bound: float | None = None) -> DataFrame:
     """(host, trust, distrust) from edges (src, dst, weight) and seeds (host, trust, distrust).
 
-    ``seeds`` are shares that sum to one in each column.
+    ``seeds`` are shares that sum to one in each column. With ``bound``, ``rounds``
+    are the fewest: more follow until no host is new and the last moved less than it.
     """
     edges = materialize(edges, "host_edges")
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
@@ -79,16 +90,28 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     against = edges.join(back, "dst").select(F.col("dst").alias("from"), F.col("src").alias("to"), (F.col("weight") / F.col("total")).alias("p"), F.lit(False).alias("forward"))
     steps = materialize(along.unionByName(against), "transitions")
     start = materialize(seeds.select("host", *[((1 - damping) * F.col(c)).alias(c) for c in ("trust", "distrust")]), "seeds")
-    ranks = start
-    for i in range(1, rounds + 1):
+    ranks = before = start
+    i = 0
+    while True:
+        i += 1
         flow = F.col("p") * damping
         moved = ranks.join(steps, F.col("host") == F.col("from")).select(
             F.col("to").alias("host"), F.when(F.col("forward"), F.col("trust") * flow).otherwise(0.0).alias("trust"), F.when(F.col("forward"), 0.0).otherwise(F.col("distrust") * flow).alias("distrust")
         )
-        ranks = moved.unionByName(start).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if i % ROUNDS_AT_ONCE == 0 or i == rounds:
+        before, ranks = ranks, moved.unionByName(start).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        if i % ROUNDS_AT_ONCE == 0 or i >= rounds:
             ranks = materialize(ranks, "ranks")
-    return ranks
+        if i >= rounds and (bound is None or ((i - rounds) % ROUNDS_AT_ONCE == 0 and _settled(before, ranks, bound))):
+            return ranks
+
+
+def _settled(before: DataFrame, ranks: DataFrame, bound: float) -> bool:
+    """Whether a round brought no new host to either rank and moved less than ``bound`` of both."""
+    old = before.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d"))
+    both = ranks.join(old, "host", "left").na.fill(0.0)
+    new = ((F.col("trust") > 0) & (F.col("t") == 0)) | ((F.col("distrust") > 0) & (F.col("d") == 0))
+    change = both.agg(F.count_if(new).alias("new"), F.sum(F.abs(F.col("trust") - F.col("t"))).alias("trust"), F.sum(F.abs(F.col("distrust") - F.col("d"))).alias("distrust")).first()
+    return change["new"] == 0 and max(change["trust"] or 0.0, change["distrust"] or 0.0) < bound
 
 
 def judge_pages(pages: DataFrame, rules: dict[str, str] = RULES, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
@@ -97,7 +120,7 @@ def judge_pages(pages: DataFrame, rules: dict[str, str] = RULES, damping: float
     counts = materialize(ruled.filter("ruled is not null").groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("a"), F.count_if(F.col("ruled") == "block").alias("b")), "host_counts")
     total = counts.agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()
     share = lambda c, n: (F.col(c) / F.lit(float(n or 1))).alias("trust" if c == "a" else "distrust")
-    ranks = propagate(host_edges(pages), counts.select("host", share("a", total["a"]), share("b", total["b"])), damping, rounds)
+    ranks = propagate(host_edges(pages), counts.select("host", share("a", total["a"]), share("b", total["b"])), damping, rounds, MOVED)
     blocked = ranks.filter(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust"))).select("host", F.lit("block").alias("by_host"))
     return ruled.join(blocked, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", "by_host", F.lit("allow")).alias("verdict"))
 

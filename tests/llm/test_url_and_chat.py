@@ -88,6 +88,19 @@ def rotated_by_hand(rows):
     return sorted(out, key=str)
 
 
+def test_a_link_names_its_host_only_at_its_start(spark):
+    html = "<a href='//Other.net/p'><a href='/go?u=http://x.org/'><a href='HTTPS://far.org?q'><a href='a//b.org/'><a href='//src.com/'>"
+    edges = url_trust.host_edges(spark.createDataFrame([(1, "http://src.com/", html, "")], DOCS)).collect()
+    assert {(r["src"], r["dst"], r["weight"]) for r in edges} == {("src.com", "other.net", 1), ("src.com", "far.org", 1)}
+
+
+def test_distrust_reaches_hosts_many_links_away(spark):
+    edges = spark.createDataFrame([(f"h{i + 1}", f"h{i}", 1) for i in range(23)], "src string, dst string, weight long")
+    seeds = spark.createDataFrame([("h0", 0.0, 1.0)], "host string, trust double, distrust double")
+    found = {r["host"]: r["distrust"] for r in url_trust.propagate(edges, seeds, bound=url_trust.MOVED).collect()}
+    assert np.allclose([found[f"h{i}"] for i in range(24)], [0.15 * 0.85**i for i in range(24)])
+
+
 def test_every_participant_gets_the_dialogue_from_its_side(spark):
     rng = random.Random(2)
     rows = [(1, 0, "system", "be kind", ""), (1, 1, "ann", "hi <|im_end|>", ""), (1, 2, "bob", None, ""), (1, 2, "bob", None, ""), (1, None, " ", "é🙂", ""), (2, 0, "system", "alone", ""), (None, 3, "user", "a", ""), (None, 1, "assistant", "b", "")]
