@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acrelens.scratch import drop, materialize
+from acrelens.scratch import Workspace
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -17,13 +17,14 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     gathered in one task; the joins that follow are left to skew splitting. Edges
     never outnumber the input's by more than the nodes.
     """
-    now = materialize(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+    work = Workspace(edges.sparkSession, name)
+    now = work.write(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = _mark(now)
     while seen[0]:
         large = _star(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), larger=True)
-        after = materialize(_star(large, larger=False), name)
+        after = work.write(_star(large, larger=False), "stars")
         mark = _mark(after)
-        drop(now)
+        work.drop(now)
         now = after
         if mark == seen:
             break

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acrelens.llm.words import encoder
-from acrelens.llm.worker import in_small_batches
+from acrelens.llm.worker import small_batches
 
 MAGIC = b"DAC1"
 RANK_BLOCK = 512
@@ -121,7 +121,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, segment_ids: int = SEGMENT
         held: list[bytes] = []
         names: list = []
         kind = None
-        for batch in batches:
+        for batch in small_batches(batches):
             kind = batch.schema.field(0).type
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 held.append(own.encode(text.as_buffer().to_pybytes() if text.is_valid else b""))
@@ -135,7 +135,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, segment_ids: int = SEGMENT
             yield _segment(part, seg, first, names, held, kind)
 
     schema = f"part int, seg int, first long, n long, doc_ids array<{id_type.simpleString()}>, lengths array<long>, code binary"
-    ordered = in_small_batches(docs).select("doc_id", F.col("text").cast("binary")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", F.col("text").cast("binary")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, schema).write.option("compression", "none").parquet(f"{path}/segments")
     parts = spark.read.parquet(f"{path}/segments").groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()  # a row per partition
     bases = accumulate((r["n"] for r in parts), initial=0)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acrelens.llm.words import encoder
-from acrelens.llm.worker import in_small_batches, remembered
+from acrelens.llm.worker import remembered, small_batches
 from acrelens.scratch import materialize
 
 WINDOW = 2048
@@ -52,7 +52,7 @@ def encoded(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
         own, slot = encoder(tokenizer), TaskContext.get().partitionId() << 36
         if own.size > 1 << 16:
             raise ValueError("ids above 65535 don't fit this table")
-        for batch in batches:
+        for batch in small_batches(batches):
             rows, starts, totals, slots, ids = [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
                 all_ids = np.frombuffer(own.encode(text.as_buffer().to_pybytes() if text.is_valid else b""), dtype="<u4").astype("<u2").tobytes()
@@ -67,7 +67,7 @@ def encoded(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
                     ids.append(all_ids[2 * start : 2 * (start + window)])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(totals, pa.int64()), pa.array(slots, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "doc_tokens", "slot", "ids"])
 
-    return in_small_batches(docs).select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, start long, doc_tokens long, slot long, ids binary")
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, start long, doc_tokens long, slot long, ids binary")
 
 
 def token_statistics(pieces: DataFrame) -> tuple[np.ndarray, int, float]:

@@ -17,7 +17,8 @@ meeting point then hangs its members on the smallest, a row per member.
 
 Cases: a null text has no words, like an empty one; documents without words link
 with each other. A null doc_id is fingerprinted and takes its component's smallest
-doc_id. Repeated rows come back repeated. Other columns are ignored.
+doc_id. Repeated rows come back repeated. Other columns are ignored, or stay as they
+are, whatever their names. No rows: none.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acrelens.llm.components import connected_components
-from acrelens.llm.worker import in_small_batches
+from acrelens.llm.rows import without
+from acrelens.llm.worker import small_batches
 from acrelens.scratch import materialize
 
 MAX_DISTANCE = 2
@@ -62,15 +64,15 @@ def fingerprint_of(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp: long, the fingerprint's bits) for every row."""
+    """(doc_id, t: hash of the text, fp: long, the fingerprint's bits) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = [fingerprint_of(t.as_buffer().to_pybytes()) if t.is_valid else 0 for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
+        for batch in small_batches(batches):
+            fps = [fingerprint_of(t.as_buffer().to_pybytes()) if t.is_valid else 0 for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["doc_id", "t", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return in_small_batches(docs).select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, t long, fp long")
 
 
 def _block(i: int) -> Column:
@@ -98,18 +100,29 @@ def links(fps: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     return near.unionByName(met).distinct()
 
 
-def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id for every row of ``docs``."""
+def _components(docs: DataFrame, bucket_limit: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, t, fp) of every row, and (fp, component_id, root) of every fingerprint."""
     base = materialize(fingerprints(docs), "fingerprints")
     distinct = materialize(base.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct_fps")
     roots = connected_components(links(distinct.select("fp"), bucket_limit), "simhash_cc")
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    labels = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(labels, "root").select("fp", "component_id")
+    labels = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")), "simhash_labels")
+    return base, materialize(named.join(labels, "root").select("fp", "component_id", "root"), "simhash_by_fp")
+
+
+def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id for every row of ``docs``."""
+    base, by_fp = _components(docs, bucket_limit)
     return base.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: its smallest doc_id. A row without doc_id stays."""
-    dropped = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+def drop_near_copies(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """``docs`` with one row of each component, decided row by row: one of its smallest doc_id, null ones last."""
+    base, by_fp = _components(docs, bucket_limit)
+    rows = base.join(by_fp, "fp").groupBy("root", "doc_id", "t").agg(F.count(F.lit(1)).alias("n"))
+    rows = materialize(rows, "simhash_rows")
+    stays = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("stays"), F.sum("n").alias("size")).filter("size > 1")
+    stays = materialize(stays, "simhash_stays")
+    kept = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("t") == F.col("stays.t"))
+    asked = rows.join(stays, "root").select("doc_id", F.col("t").alias("mark"), kept.alias("kept"), "n").filter("n > 1 or not kept").drop("n")
+    return without(docs, F.xxhash64("text"), materialize(asked, "simhash_asked"))

@@ -10,47 +10,58 @@ span, about one for every 22 windows, and a span is one fingerprint: the anchor'
 hash, and a 128-bit digest of all the span's words that verifies its content.
 
 Index. Documents arrive in batches of ascending doc_id. A batch's distinct spans
-(anchor, digest, first document and place) become a sorted immutable run. The next
-batch is merge-joined with all runs by anchor; runs are compacted, keeping the first
-document of each span, when there are more than MAX_RUNS.
+(anchor, digest, first document and place) become an immutable run, sorted by anchor.
+The next batch is merge-joined with all runs by anchor; runs are compacted, keeping
+the first document of each span, when a batch meets more than MAX_RUNS.
 
 Judging a batch. A span that stands in an earlier document goes with all its windows.
 Spans that share an anchor but not all words (where a repeated passage begins or
 ends) are opened: each of their windows gets a 128-bit digest of its own words, in
-their first document only, and the first document of each window decides. Nothing is
-paired within a group; counts are minima by partial aggregation, and the joins back
-have one small side per key, so skew splitting applies.
+their first document only, and the first document of each window decides. Opened
+spans of several batches are settled together, by one pass over the texts that they
+stand in; their windows become a sorted run too, so a span is opened only once.
 
-Texts move only where needed: a bitmap of BITMAP bits, of fixed size, of the documents
-asked for is tested before a text is shuffled; its false hits cost movement only.
+A later job. The index lies in a folder with a manifest of its runs. A job that opens
+the folder judges new documents against it; it reads texts of old documents only
+where a new document opens a span that no batch has opened before.
+
+Nothing is paired within a group: counts are minima by partial aggregation, written
+before they are joined back, so a join has plain shuffles on both sides and one row per
+key on one of them, and skew splitting applies to a hot anchor, span or window.
+
+Texts move only where needed: bits of the documents asked for (``rows``) are tested before
+a text is shuffled.
 
 Cases: a null text has no words; a text under WINDOW words loses none. A row with null
 doc_id loses nothing and takes nothing from others. Rows of one doc_id are one
-document: they take nothing from each other. Repeated rows come back repeated.
+document: they take nothing from each other. Repeated rows come back repeated. Other
+columns stay, whatever their names. No rows: none.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from acrelens.llm.worker import in_small_batches, remembered
-from acrelens.scratch import drop, materialize, scratch_path
+from acrelens.llm.rows import tested
+from acrelens.llm.worker import remembered, small_batches
+from acrelens.scratch import Workspace, drop_path, folder, scratch_path, write_table
 
 WINDOW = 50
 GRAM = 8
 BATCHES = 3
 MAX_RUNS = 1
-BITMAP = 1 << 23
 _WORD_LIMIT = 200_000
 _KEY = ["h", "d1", "d2"]
+#: The order of each kind of run, and what it keeps a single row of.
+_SORTED = {"spans": _KEY, "opened": _KEY, "windows": ["w1", "w2"]}
 
 
 class _WordHashes(dict):
@@ -120,7 +131,7 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             parts: list[tuple] = []
             for i, text in enumerate(batch.column(2)):
                 words = _bytes(text).split()
@@ -133,48 +144,17 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 row = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(d1), pa.array(d2), batch.column(0).take(row), batch.column(1).take(row), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "d1", "d2", "doc_id", "t", "s", "n"])
 
-    return in_small_batches(_keyed(docs)).mapInArrow(run, f"h long, d1 long, d2 long, doc_id {kind}, t long, s int, n int")
-
-
-def _bitmap(places: DataFrame) -> Broadcast:
-    """Bits of the documents in (doc_id, t); 1 MB whatever their number."""
-    parts = places.select(_bit("t").alias("bit")).selectExpr("cast(bit div 64 as int) as at", "shiftleft(1L, cast(bit % 64 as int)) as b")
-    rows = parts.groupBy("at").agg(F.bit_or("b")).collect()  # at most BITMAP / 64 rows
-    out = np.zeros(BITMAP // 64, dtype=np.int64)
-    for at, b in rows:
-        out[at] = b
-    return places.sparkSession.sparkContext.broadcast(out)  # BITMAP bits
-
-
-def _bit(t: str) -> Column:
-    return F.xxhash64("doc_id", t).bitwiseAND(F.lit(BITMAP - 1)).alias("_sub_bit")
-
-
-def _tested(batch: pa.RecordBatch, bitmap: np.ndarray, wanted: bool) -> pa.RecordBatch:
-    """The rows whose bit, in the last column, is set, or isn't; without that column."""
-    bit = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-    hit = (bitmap[bit >> 6] >> (bit & 63)) & 1 == (1 if wanted else 0)
-    return pa.RecordBatch.from_arrays([c.filter(pa.array(hit)) for c in batch.columns[:-1]], batch.schema.names[:-1])
-
-
-def _asked(keyed: DataFrame, bitmap: Broadcast, t: str = "t") -> DataFrame:
-    """The rows of a table with doc_id and the text hash ``t`` whose bit is set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _tested(batch, bitmap.value, wanted=True)
-
-    return in_small_batches(keyed).select("*", _bit(t)).mapInArrow(run, keyed.schema)
+    return _keyed(docs).mapInArrow(run, f"h long, d1 long, d2 long, doc_id {kind}, t long, s int, n int")
 
 
 def windows(docs: DataFrame, places: DataFrame, window: int = WINDOW) -> DataFrame:
     """(w1, w2, doc_id, t, s) of every window of the spans in ``places`` (doc_id, t, s, n)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     lists = places.groupBy("doc_id", "t").agg(F.collect_set(F.struct("s", "n")).alias("spans"))  # of one document
-    texts = _asked(_keyed(docs), _bitmap(places))
+    texts, _ = tested(_keyed(docs), places, ["doc_id", "t"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             for i in range(batch.num_rows):
                 words = _bytes(batch.column(2)[i]).split()
                 joined, at = _joined(words)
@@ -183,71 +163,117 @@ def windows(docs: DataFrame, places: DataFrame, window: int = WINDOW) -> DataFra
                 row = pa.array(np.full(len(s), i))
                 yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), batch.column(0).take(row), batch.column(1).take(row), pa.array(s.astype(np.int32))], ["w1", "w2", "doc_id", "t", "s"])
 
-    return in_small_batches(texts).join(lists, ["doc_id", "t"]).select("doc_id", "t", "text", "spans").mapInArrow(run, f"w1 long, w2 long, doc_id {kind}, t long, s int")
+    return texts.join(lists, ["doc_id", "t"]).select("doc_id", "t", "text", "spans").mapInArrow(run, f"w1 long, w2 long, doc_id {kind}, t long, s int")
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of the spans of all documents so far."""
+    """Sorted immutable runs of the spans of all documents so far, in a folder.
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, max_runs: int = MAX_RUNS):
-        self.spark, self.window, self.max_runs = spark, window, max_runs
-        self.runs: list[DataFrame] = []
+    Kinds of runs: ``spans`` (h, d1, d2, first, last document), ``opened`` (the keys of opened spans) and
+    ``windows`` (w1, w2, least: the first document of each window of the opened spans).
+    """
 
-    def known(self) -> DataFrame:
-        out = self.runs[0]
-        for run in self.runs[1:]:
-            out = out.unionByName(run)
+    def __init__(self, spark: SparkSession, path: str | None = None, window: int = WINDOW, max_runs: int = MAX_RUNS):
+        self.spark, self.window, self.max_runs = spark, window, max_runs
+        self.path = path or scratch_path(spark, "index")
+        self.runs: dict[str, list[DataFrame]] = {kind: [] for kind in _SORTED}
+        self.paths: dict[str, list[str]] = {kind: [] for kind in _SORTED}
+        self.version = 0
+        self.work = Workspace(spark, "judging")
+        self.pending: list[DataFrame] = []
+        at, files = folder(spark, f"{self.path}/manifest")
+        if files.exists(at):
+            rows = spark.read.parquet(f"{self.path}/manifest")
+            self.version = rows.agg(F.max("version")).first()[0]
+            for r in rows.filter(F.col("version") == self.version).orderBy("kind", "at").collect():  # a row per run
+                self.paths[r["kind"]].append(r["name"])
+                self.runs[r["kind"]].append(spark.read.parquet(f"{self.path}/{r['name']}"))
+
+    def commit(self) -> None:
+        """Add the runs at hand to the manifest, as its newest version and in one file."""
+        self.version += 1
+        rows = [(self.version, kind, at, name) for kind, names in self.paths.items() for at, name in enumerate(names)]
+        self.spark.createDataFrame(rows, "version long, kind string, at int, name string").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+
+    def known(self, kind: str) -> DataFrame | None:
+        out = None
+        for run in self.runs[kind]:
+            out = run if out is None else out.unionByName(run)
         return out
 
-    def add(self, contents: DataFrame) -> None:
-        """Write the distinct spans (h, d1, d2, first: struct) of a batch as a run."""
-        path = scratch_path(self.spark, "run")
-        contents.select(*_KEY, "first").repartitionByRange("h").sortWithinPartitions("h", "d1", "d2").write.option("compression", "zstd").parquet(path)
-        self.runs.append(self.spark.read.schema(contents.select(*_KEY, "first").schema).parquet(path))
+    def add(self, kind: str, rows: DataFrame) -> DataFrame:
+        """Write rows as a sorted run and return it as read back."""
+        name, order = f"{kind}-{uuid.uuid4().hex}", _SORTED[kind]
+        path = f"{self.path}/{name}"
+        rows.hint("rebalance", order[0]).sortWithinPartitions(*order).write.option("compression", "zstd").parquet(path)
+        run = self.spark.read.schema(rows.schema).parquet(path)
+        self.runs[kind].append(run)
+        self.paths[kind].append(name)
+        return run
 
     def compact(self) -> None:
-        """Merge all runs into one when there are more than ``max_runs``."""
-        if len(self.runs) > self.max_runs:
-            old, merged = self.runs, self.known().groupBy(*_KEY).agg(F.min("first").alias("first"))
-            self.runs = []
-            self.add(merged)
-            for run in old:
-                drop(run)
-
-    def judge(self, batch: DataFrame, earlier: DataFrame | None) -> DataFrame:
-        """(doc_id, t, s, n) of the windows to remove from ``batch``; then add the batch to the index.
-
-        ``earlier`` holds the texts of the documents in the runs; all of them come before the batch's.
+        """Merge the runs of each kind into one when there are more than ``max_runs``."""
+        for kind, order in _SORTED.items():
+            if len(self.runs[kind]) > self.max_runs:
+                old, rows = self.paths[kind], self.known(kind)
+                merged = rows.distinct() if kind == "opened" else rows.groupBy(*order).agg(*[(F.max if c == "last" else F.min)(c).alias(c) for c in rows.columns if c not in order])
+                self.runs[kind], self.paths[kind] = [], []
+                self.add(kind, merged)
+                for name in old:
+                    drop_path(self.spark, f"{self.path}/{name}")
+
+    def judge(self, batch: DataFrame) -> DataFrame:
+        """(doc_id, t, s, n) of spans of ``batch`` that stand whole in an earlier document; ``settle`` tells the rest.
+
+        All documents of the index come before the batch's.
         """
-        own = materialize(spans(batch, self.window), "spans")
+        self.compact()
+        write, known, opened = self.work.write, self.known("spans"), self.known("opened")
+        own = write(spans(batch, self.window), "spans")
         contents = own.groupBy(*_KEY).agg(F.min(F.struct("doc_id", "t", "s", "n")).alias("first"), F.max("doc_id").alias("last"))
-        contents = materialize(contents, "contents")
-        if self.runs:
-            met = self.known().join(contents.select("h").distinct(), "h", "left_semi").withColumn("last", F.lit(None).cast(contents.schema["last"].dataType))
+        contents = self.add("spans", contents)
+        merged = contents
+        if known is not None:
+            met = known.join(contents.select("h"), "h", "left_semi").withColumn("last", F.lit(None).cast(contents.schema["last"].dataType))
             merged = contents.unionByName(met).groupBy(*_KEY).agg(F.min("first").alias("first"), F.max("last").alias("last"))
-        else:
-            merged = contents
-        several = merged.groupBy("h").agg(F.min("first.doc_id").alias("least"), F.max("first.doc_id").alias("most")).filter("least < most").select("h", F.lit(True).alias("open"))
-        told = materialize(merged.join(several, "h", "left").select(*_KEY, "first", "last", F.coalesce("open", F.lit(False)).alias("open")).filter("open or last > first.doc_id"), "told")
+        merged = write(merged, "merged") if known is not None else merged
+        several = write(merged.groupBy("h").agg(F.min("first.doc_id").alias("least"), F.max("first.doc_id").alias("most")).filter("least < most").select("h", F.lit(True).alias("open")), "several")
+        told = write(merged.join(several, "h", "left").select(*_KEY, "first", "last", F.coalesce("open", F.lit(False)).alias("open")).filter("open or last > first.doc_id"), "told")
 
         o, k = own.alias("o"), told.alias("k")
-        both = materialize(
-            o.join(k, _KEY).filter("o.doc_id > k.first.doc_id or k.open").select("o.doc_id", "o.t", "o.s", "o.n", F.expr("o.doc_id > k.first.doc_id").alias("whole")), "places"
-        )
-        whole = both.filter("whole").select("doc_id", "t", "s", "n")
-        firsts = both.filter("not whole").select("doc_id", "t", "s", "n")
-        texts = batch.select("doc_id", "text")
-        if self.runs:
-            firsts = firsts.unionByName(told.filter("open and last is null").select("first.*"))
-            firsts = firsts.unionByName(told.filter("open and last is not null and first.doc_id <> last").select("first.*"))
-            texts = texts.unionByName(earlier.select("doc_id", "text"))
-        opened = materialize(windows(texts, materialize(firsts, "firsts"), self.window), "windows")
-        earliest = opened.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("w1", "w2", "least")
-        single = opened.join(earliest, ["w1", "w2"]).filter("doc_id > least").select("doc_id", "t", "s", F.lit(1).alias("n"))
-        out = whole.unionByName(single)
-        self.add(contents)
-        self.compact()
-        return out
+        places = write(o.join(k, _KEY).filter("o.doc_id > k.first.doc_id or k.open").select("o.doc_id", "o.t", "o.s", "o.n", F.expr("o.doc_id > k.first.doc_id").alias("whole")), "places")
+        self.pending.append(places.filter("not whole").select("doc_id", "t", "s", "n"))
+        if known is not None:
+            # First places in documents of earlier batches, of spans that were not opened yet; a span that the
+            # batch has too may have its first place in the batch, and then stands in `pending` twice, which costs nothing.
+            old = told.filter("open and (last is null or first.doc_id <> last)").select(*_KEY, "first")
+            old = old if opened is None else old.join(opened, _KEY, "left_anti")
+            self.pending.append(write(old.select("first.*"), "older"))
+        self.add("opened", told.filter("open").select(*_KEY))
+        self.work.drop(own, several, told, *([merged] if known is not None else []))
+        return places.filter("whole").select("doc_id", "t", "s", "n")
+
+    def settle(self, texts: DataFrame) -> DataFrame:
+        """(doc_id, t, s, n) of single windows to remove from the batches judged since the last call.
+
+        ``texts`` has doc_id and text of the documents judged since then, and of earlier ones.
+        """
+        firsts = None
+        for places in self.pending:
+            firsts = places if firsts is None else firsts.unionByName(places)
+        self.pending = []
+        write = self.work.write
+        opened = write(windows(texts, write(firsts, "firsts"), self.window), "windows")
+        least = opened.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+        known = self.known("windows")
+        if known is not None:
+            met = known.join(opened.select("w1", "w2"), ["w1", "w2"], "left_semi").withColumn("most", F.col("least"))
+            least = least.unionByName(met).groupBy("w1", "w2").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+        least = write(least, "least")
+        self.add("windows", least.select("w1", "w2", "least"))
+        self.commit()
+        earliest = write(least.filter("least < most").select("w1", "w2", "least"), "earliest")
+        return opened.join(earliest, ["w1", "w2"]).filter("doc_id > least").select("doc_id", "t", "s", F.lit(1).alias("n"))
 
 
 def _strip(words: list[bytes], covered: list[dict], window: int) -> list[bytes]:
@@ -260,69 +286,71 @@ def _strip(words: list[bytes], covered: list[dict], window: int) -> list[bytes]:
 
 
 def strip(docs: DataFrame, covered: DataFrame, window: int = WINDOW) -> DataFrame:
-    """All columns of ``docs``, with _kept (its words that stay, joined by one space), _n_words, _n_removed.
+    """row (struct of all columns of ``docs``), kept (its words that stay, joined by one space), n_words, n_removed.
 
     ``covered`` has (doc_id, t, s, n) of the windows to remove.
     """
-    names, at = docs.columns, docs.columns.index("text")
-    named = docs.select(*docs.columns, F.xxhash64("text").alias("_sub_t"))
-    covered = materialize(covered, "covered")
-    lists = covered.groupBy("doc_id", "t").agg(F.collect_list(F.struct("s", "n")).alias("_sub_covered"))  # of one document
-    lists = lists.withColumnsRenamed({"doc_id": "_sub_id", "t": "_sub_tt"})
-    bits = _bitmap(covered)
-    met = (F.col("doc_id") == F.col("_sub_id")) & (F.col("_sub_t") == F.col("_sub_tt"))
-    hit = _asked(named, bits, "_sub_t").join(lists, met, "left").select(*docs.columns, "_sub_covered")
-
-    def stripped(columns: list[pa.Array], lists: pa.Array | None) -> pa.RecordBatch:
+    at = docs.columns.index("text")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("t"))
+    lists = covered.groupBy("doc_id", "t").agg(F.collect_list(F.struct("s", "n")).alias("covered"))  # of one document
+    hit, rest = tested(rows, covered, ["doc_id", "t"])
+    hit = hit.join(lists, ["doc_id", "t"], "left").select("row", "covered")
+
+    def stripped(batch: pa.RecordBatch, lists: pa.Array | None) -> pa.RecordBatch:
         kept, n, removed = [], [], []
-        for i, text in enumerate(columns[at]):
-            words = _bytes(text.cast(pa.binary())).split()
+        for i, text in enumerate(batch.column(0).field(at).cast(pa.binary())):
+            words = _bytes(text).split()
             stay = _strip(words, lists[i].as_py(), window) if lists is not None and lists[i].is_valid else words
             kept.append(b" ".join(stay))
             n.append(len(words))
             removed.append(len(words) - len(stay))
-        columns = [*columns, pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, [*names, "_kept", "_n_words", "_n_removed"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], ["row", "kept", "n_words", "n_removed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield stripped(batch.columns[:-1], batch.column(batch.num_columns - 1))
+        for batch in small_batches(batches):
+            yield stripped(batch, batch.column(1))
 
     def run_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield stripped(_tested(batch, bits.value, wanted=False).columns, None)
+        for batch in small_batches(batches):
+            yield stripped(batch, None)
 
-    added = [StructField("_kept", StringType()), StructField("_n_words", LongType()), StructField("_n_removed", LongType())]
-    schema = StructType([*docs.schema.fields, *added])
-    rest = named.select(*docs.columns, _bit("_sub_t"))
-    return in_small_batches(hit).mapInArrow(run, schema).unionByName(rest.mapInArrow(run_rest, schema))
+    schema = StructType([rows.schema["row"], StructField("kept", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())])
+    return hit.mapInArrow(run, schema).unionByName(rest.select("row").mapInArrow(run_rest, schema))
 
 
-def deduplicate(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, max_runs: int = MAX_RUNS) -> DataFrame:
-    """``strip`` of all documents, judged batch after batch in ascending doc_id."""
+def deduplicate(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, max_runs: int = MAX_RUNS, index: FingerprintIndex | None = None, earlier: DataFrame | None = None) -> DataFrame:
+    """``strip`` of all documents, judged batch after batch in ascending doc_id.
+
+    With an ``index`` that holds documents already, ``earlier`` has their doc_id and text;
+    all of them come before those of ``docs``. The index then holds these too.
+    """
     shares = [i / batches for i in range(1, batches)]
     cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", shares).alias("q")).first()["q"] or [])) if shares else []
     bounds = [None, *cuts, None]
-    index = FingerprintIndex(docs.sparkSession, window, max_runs)
+    own = index is None
+    index = index or FingerprintIndex(docs.sparkSession, None, window, max_runs)
     covered = None
     for low, high in zip(bounds, bounds[1:]):
         batch = docs.filter("doc_id is not null")
         batch = batch.filter(F.col("doc_id") > low) if low is not None else batch
         batch = batch.filter(F.col("doc_id") <= high) if high is not None else batch
-        earlier = docs.filter(F.col("doc_id") <= low) if low is not None else None
-        found = index.judge(batch, earlier)
+        found = index.judge(batch)
         covered = found if covered is None else covered.unionByName(found)
+    texts = docs.select("doc_id", "text")
+    covered = covered.unionByName(index.settle(texts if earlier is None else texts.unionByName(earlier.select("doc_id", "text"))))
+    covered = write_table(covered, scratch_path(docs.sparkSession, "covered"))
+    index.work.clear()
+    if own:
+        drop_path(docs.sparkSession, index.path)
     return strip(docs, covered, window)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row."""
-    return deduplicate(docs.select("doc_id", "text")).select(
-        "doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256")
-    )
+    return deduplicate(docs.select("doc_id", "text")).select("row.doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def drop_repeated_passages(docs: DataFrame) -> DataFrame:
     """``docs`` with what stays of every text; a text that loses nothing is left as it is."""
-    text = F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col("text")).alias("text")
-    return deduplicate(docs).select(*[text if c == "text" else c for c in docs.columns])
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text")).alias("text")
+    return deduplicate(docs).select(*[text if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

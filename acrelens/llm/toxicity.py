@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acrelens.llm.worker import in_small_batches, remembered
+from acrelens.llm.worker import remembered, small_batches
 
 TRAIN_DOCS = 3000
 CALIBRATION_DOCS = 3000
@@ -173,12 +173,12 @@ def facts(docs: DataFrame, machine: Machine, score: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = remembered(("margins", machine.mark), _Known)
-        for batch in batches:
+        for batch in small_batches(batches):
             found = facts_of(batch.column(1), machine, known)
             columns = [machine.score(found)] if score else list(found.T)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], ["doc_id", "score"] if score else ["doc_id", *FACTS])
 
-    return in_small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double" if score else f"doc_id {kind}, " + ", ".join(f"{f} double" for f in FACTS))
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double" if score else f"doc_id {kind}, " + ", ".join(f"{f} double" for f in FACTS))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -315,8 +315,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = remembered(("margins", machine.mark), _Known)
-        for batch in batches:
+        for batch in small_batches(batches):
             score = machine.score(facts_of(batch.column(at), machine, known))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(score < 0.5)) for c in batch.columns], names)
 
-    return in_small_batches(docs).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)

@@ -1,4 +1,4 @@
-"""The memory of Python workers: what they remember, and how much they get at once.
+"""The memory of Python workers: what they remember, and how much they work on at once.
 
 Spark reuses its workers, so one may serve several operators in turn. Only the last
 one's tables are held: what another operator remembered goes before they are made.
@@ -6,14 +6,13 @@ one's tables are held: what another operator remembered goes before they are mad
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
 
-#: Rows of whole texts in one Arrow batch, where the session has Spark's own number.
+#: Rows of whole texts that are worked on, and given back, at once.
 ROWS = 512
-_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _held: dict[tuple, Any] = {}
 
 
@@ -25,9 +24,8 @@ def remembered(key: tuple, make: Callable[[], Any]) -> Any:
     return _held[key]
 
 
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """``df``, whose rows hold whole texts; its session sends ROWS of them to Python at once unless told otherwise."""
-    conf = df.sparkSession.conf
-    if conf.get(_ROWS_KEY) == "10000":
-        conf.set(_ROWS_KEY, str(ROWS))
-    return df
+def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of Spark's batches, whose bytes the session bounds, ROWS at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)

@@ -28,11 +28,14 @@ def exact_by_hand(rows):
     groups = {}
     for i, t, _ in rows:
         groups.setdefault(norm(t), []).append(i)
-    out = []
+    out, seen = [], set()
     for i, t, _ in rows:
         own = groups[norm(t)]
         keep = min((x for x in own if x is not None), default=None)
-        out.append((i, keep, len(own), i == keep, hashlib.sha256(norm(t).encode()).hexdigest()))
+        stays = i == keep and norm(t) not in seen
+        if stays:
+            seen.add(norm(t))
+        out.append((i, keep, len(own), stays, hashlib.sha256(norm(t).encode()).hexdigest()))
     return out
 
 
@@ -61,9 +64,38 @@ def test_exact_copies_are_dropped_and_columns_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
     kept = exact_dedup.drop_exact_copies(docs)
     assert kept.columns == docs.columns
-    wanted = {r[0] for r in exact_by_hand(rows) if r[3]} | {None}
-    assert {r["doc_id"] for r in kept.collect()} == wanted
-    assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
+    assert told_exact(kept) == wanted_exact(rows)
+    assert exact_dedup.exact_groups(docs.limit(0)).count() == 0 and exact_dedup.drop_exact_copies(docs.limit(0)).count() == 0
+
+
+def told_exact(kept):
+    return sorted((str(r["doc_id"]), " ".join((r["text"] or "").split())) for r in kept.collect())
+
+
+def wanted_exact(rows):
+    return sorted((str(i), " ".join((t or "").split())) for (i, t, *_), told in zip(rows, exact_by_hand(rows)) if told[3])
+
+
+REPEATED = [
+    (1, "alpha beta", "x"), (5, "alpha beta", "x"), (5, "a unique text of its own", "x"), (7, "same row", "x"), (7, "same row", "x"), (7, "same  row", "y"),
+    (2**60 + 1, "alpha beta", "x"), (2**60 + 1, "far away", "x"), (None, "alpha beta", "x"), (None, "nobody's", "x"), (None, "nobody's", "x"),
+]
+
+
+def test_copies_are_dropped_row_by_row(spark):
+    docs = spark.createDataFrame(REPEATED, "doc_id long, text string, mark string").selectExpr("*", "mark as row", "mark as `a.b`", "map(mark, 1) as m")
+    kept = exact_dedup.drop_exact_copies(docs)
+    assert kept.columns == docs.columns
+    assert told_exact(kept) == wanted_exact(REPEATED)
+    assert len(wanted_exact(REPEATED)) == 5
+    fps = [fingerprint_by_hand(t) for _, t, _ in REPEATED]
+    best = {}
+    for (i, t, _), root in zip(REPEATED, components_by_hand(fps)):
+        best[root] = min(best.get(root, (2**62, "")), (2**61 if i is None else i, " ".join(t.split())))
+    near = simhash.drop_near_copies(docs)
+    assert near.columns == docs.columns
+    assert sorted((2**61 if r["doc_id"] is None else r["doc_id"], " ".join(r["text"].split())) for r in near.collect()) == sorted(best.values())
+    assert simhash.drop_near_copies(docs.limit(0)).count() == 0
 
 
 def fingerprint_by_hand(text):
@@ -108,8 +140,8 @@ def test_simhash_matches_brute_force_with_and_without_crowded_blocks(spark):
     expected = by_text((i, f"{f:016x}", least.get(r)) for (i, _, _), f, r in zip(rows, fps, roots))
     for limit in (0, 2, 32):
         assert by_text(simhash.near_duplicates(docs, limit).collect()) == expected
-    kept = {r["doc_id"] for r in simhash.drop_near_copies(docs).collect()}
-    assert kept == {least[r] for r in set(roots)} | {None}
+    kept = sorted(r["doc_id"] for r in simhash.drop_near_copies(docs).collect())
+    assert kept == sorted(least[r] for r in set(roots))
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 

@@ -48,12 +48,45 @@ def test_removed_words_match_brute_force(spark, batches, max_runs):
     rows = corpus(random.Random(batches))
     docs = spark.createDataFrame(rows, "doc_id long, text string, t string")
     found = substring.deduplicate(docs, batches=batches, max_runs=max_runs).collect()
-    assert sorted(((r["doc_id"], r["_n_words"], r["_n_removed"], hashlib.sha256(r["_kept"].encode()).hexdigest()) for r in found), key=str) == by_hand(rows, 50)
-    assert {r["t"] for r in found} == {"x"}
+    assert told(found) == by_hand(rows, 50)
+    assert {r["row"]["t"] for r in found} == {"x"}
+
+
+def told(found):
+    return sorted(((r["row"]["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in found), key=str)
+
+
+def test_a_later_job_reopens_the_index(spark, tmp_path):
+    rows = [r for r in corpus(random.Random(9)) if r[0] is not None]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, t string")
+    parts = [docs.filter("doc_id < 25"), docs.filter("doc_id between 25 and 45"), docs.filter("doc_id > 45")]
+    found = []
+    for i, part in enumerate(parts):
+        session = spark.newSession()
+        index = substring.FingerprintIndex(session, f"{tmp_path}/index")
+        assert index.version == i and (len(index.runs["spans"]) > 0) == (i > 0)
+        earlier = docs.filter("doc_id < 25" if i == 1 else "doc_id <= 45") if i else None
+        found += substring.deduplicate(part, batches=2, index=index, earlier=earlier).collect()
+    assert told(found) == by_hand(rows, 50)
+    assert sum(r["n_removed"] > 0 for r in found) > 10
+
+
+def test_old_texts_are_not_read_without_need(spark, tmp_path):
+    rng = random.Random(2)
+    old = [(i, " ".join(str(rng.random()) for _ in range(90)), "x") for i in range(5)]
+    new = [(9, old[1][1], "x"), (10, "other " * 90, "x")]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, t string")
+    substring.deduplicate(frame(old), batches=1, index=substring.FingerprintIndex(spark, f"{tmp_path}/index"))
+    index = substring.FingerprintIndex(spark, f"{tmp_path}/index")
+    found = substring.deduplicate(frame(new), batches=1, index=index)
+    assert told(found.collect()) == [r for r in by_hand(old + new, 50) if r[0] > 8]
+    assert index.known("opened").count() == 0
 
 
 def test_texts_that_lose_nothing_stay_as_they_are(spark):
     rows = [(1, "a  b\nc", "x"), (2, "word " * 60, "y"), (3, "word " * 55 + "end", "z")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, _spans string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, covered string")
     assert sorted(map(tuple, substring.drop_repeated_passages(docs).collect())) == [rows[0], rows[1], (3, "end", "z")]
     assert substring.digest(docs.limit(0)).count() == 0
+    clashing = docs.selectExpr("doc_id", "text", "covered as row", "covered as t", "covered as n_removed", "covered as kept", "covered as bit", "covered as `a.b`")
+    assert sorted(map(tuple, substring.drop_repeated_passages(clashing).collect())) == [(*rows[0], *"xxxxx"), (*rows[1], *"yyyyy"), (3, "end", *"zzzzzz")]
