@@ -17,7 +17,8 @@ Cases: a null or empty role is the participant ``unknown``; a null text is empty
 null conv_id is a conversation of its own; turns of equal number follow each other
 by speaker and text, null numbers first; repeated rows are repeated turns. A
 conversation of system turns only has no participant and no sample. The marks'
-opening ``<|`` inside names and texts is written ``< |``. Other columns are ignored.
+opening ``<|`` inside names and texts is written ``< |``; white space in a name, line
+breaks included, is one space. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,12 +35,17 @@ def _plain(c: Column) -> Column:
     return F.replace(c, F.lit("<|"), F.lit("< |"))
 
 
+def _name(c: Column) -> Column:
+    """A speaker's name on one line, so that it can't open another header."""
+    return F.trim(F.regexp_replace(_plain(c), r"[\s\u0085\u2028\u2029]+", " "))
+
+
 def rotate(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per (conv_id, perspective, seq); see the module's text."""
     turns = conversations.select(
         "conv_id",
         F.col("turn").cast("long").alias("turn"),
-        F.when(F.coalesce(F.trim("role"), F.lit("")) == "", UNKNOWN).otherwise(_plain(F.trim("role"))).alias("speaker"),
+        F.coalesce(F.nullif(_name(F.col("role")), F.lit("")), F.lit(UNKNOWN)).alias("speaker"),
         _plain(F.coalesce("text", F.lit(""))).alias("content"),
     )
     sides = turns.filter(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("perspective")).distinct()
@@ -91,7 +97,7 @@ def rotate(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
 ORACLE_SQL = r"""
 WITH turns AS (
   SELECT conv_id, CAST(turn AS BIGINT) AS turn,
-         CASE WHEN coalesce(trim(role), '') = '' THEN 'unknown' ELSE replace(trim(role), '<|', '< |') END AS speaker,
+         coalesce(nullif(trim(regexp_replace(replace(role, '<|', '< |'), '[\s\x0B\x{85}\x{2028}\x{2029}]+', ' ', 'g')), ''), 'unknown') AS speaker,
          replace(coalesce(text, ''), '<|', '< |') AS content
   FROM conversations),
 sides AS (SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker <> 'system'),

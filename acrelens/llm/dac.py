@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -33,12 +32,15 @@ from pyspark.sql import functions as F
 
 from acrelens.llm.words import encoder
 from acrelens.llm.worker import small_batches
+from acrelens.scratch import materialize
 
 MAGIC = b"DAC1"
 RANK_BLOCK = 512
 SEGMENT_IDS = 1 << 18
 #: Ids between two marks of the segment index that lookups join on.
 MARK = 1 << 16
+#: Positions of one segment that a task reads.
+PER_TASK = 1 << 16
 _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
@@ -165,22 +167,34 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return found.mapInArrow(run, f"doc_id {id_type}, start long, ids binary")
 
 
-def lookup(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
-    """(position, id) for every row of ``positions`` (position: long) within the files' ids.
+def placed(spark: SparkSession, path: str, positions: DataFrame, per_task: int = PER_TASK) -> tuple[DataFrame, DataFrame]:
+    """Positions with the segment that holds each, and the codes of those segments alone.
 
-    Positions meet segments on marks every MARK ids, in sixteen salts, and are read by rank.
+    A segment that many positions ask for stands in several turns, of about ``per_task`` positions each.
     """
-    own = segments(spark, path).filter("n > 0")
-    marked = own.select("start", "n", "code", F.explode(F.sequence(F.floor(F.col("start") / MARK), F.floor((F.col("start") + F.col("n") - 1) / MARK))).alias("mark"))
-    asked = positions.select("position", F.floor(F.col("position") / MARK).alias("mark"), F.pmod(F.col("position"), F.lit(16)).alias("salt"))
-    keys = marked.select("mark", F.explode(F.array(*[F.lit(i).cast("long") for i in range(16)])).alias("salt"), "start", "n", "code")
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    ranges = segments(spark, path).filter("n > 0").select("part", "seg", "start", "n")
+    marks = F.sequence(F.floor(F.col("start") / MARK), F.floor((F.col("start") + F.col("n") - 1) / MARK))
+    asked = positions.select("position", F.floor(F.col("position") / MARK).alias("mark"))
+    met = asked.join(ranges.withColumn("mark", F.explode(marks)), "mark").filter("position >= start and position < start + n")
+    met = materialize(met.select("part", "seg", "position", (F.col("position") - F.col("start")).alias("at"), F.monotonically_increasing_id().alias("row")), "positions")
+    turns = materialize(met.groupBy("part", "seg").agg(F.ceil(F.count(F.lit(1)) / per_task).alias("turns")), "turns")
+    parts = [r["part"] for r in turns.select("part").distinct().collect()]  # a number per partition of the files
+    codes = spark.read.parquet(f"{path}/segments").filter(F.col("part").isin(parts)).select("part", "seg", "code")
+    codes = codes.join(turns, ["part", "seg"]).select("part", "seg", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "code")
+    places = met.join(turns, ["part", "seg"]).select("part", "seg", F.pmod("row", "turns").alias("turn"), "position", "at")
+    return places, codes
+
+
+def lookup(spark: SparkSession, path: str, positions: DataFrame, per_task: int = PER_TASK) -> DataFrame:
+    """(position, id) for every row of ``positions`` (position: long) within the files' ids, each read by rank."""
+    places, codes = placed(spark, path, positions, per_task)
+    key = ["part", "seg", "turn"]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for start, n, code in right[["start", "n", "code"]].itertuples(index=False):
-            here = left["position"][(left["position"] >= start) & (left["position"] < start + n)]
-            opened = Code(bytes(code))
-            out += [(p, opened[p - start]) for p in here]
-        return pd.DataFrame(out, columns=["position", "id"]).astype("int64")
+        if left.num_rows and right.num_rows:
+            code = Code(right.column("code")[0].as_buffer().to_pybytes())
+            out = [int(code[i]) for i in left.column("at").to_pylist()]
+        return pa.table({"position": left.column("position") if out else pa.array([], pa.int64()), "id": pa.array(out, pa.int64())})
 
-    return asked.groupBy("mark", "salt").cogroup(keys.groupBy("mark", "salt")).applyInPandas(run, "position long, id long")
+    return places.groupBy(*key).cogroup(codes.groupBy(*key)).applyInArrow(run, "position long, id long")

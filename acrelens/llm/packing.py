@@ -2,20 +2,25 @@
 
 A document is its token ids and an end id. Every full window of a long document is
 a sequence of its own; what is left of each document, less than a window, is a unit
-to be packed. Units are dealt by hash to shards of about UNITS_PER_SHARD. A shard has
-a BM25 inverted index of all its units over token ids, weighted with document
+to be packed. Units are ordered by their KEY_TOKENS highest ids, the highest first (a
+merge vocabulary lists what is frequent first, so these are rare pieces), and a shard
+is UNITS_PER_SHARD units in a row: units that share rare pieces mostly share a shard,
+and any number of like or equal units is dealt to as many shards as it fills. A shard
+has a BM25 inverted index of all its units over token ids, weighted with document
 frequencies and the mean length of the whole corpus. The next unused unit is a seed:
 the index returns its unused neighbours, nearest first, and they fill the seed's
 window greedily; the last to go in is cut where the window is full and its rest
 stays unused. Only a shard's last sequence is short, so padding is at most a window
-per shard.
+per shard; each partition ends with a shard of its own.
 
 The frequency table has one row per vocabulary entry, which bounds what is sent to
-the tasks. Every unit is indexed and packed, whatever its score.
+the tasks. Every unit is indexed and packed, whatever its score. Vocabularies of up to
+65,536 ids fit; a larger one is refused.
 
 Cases: a null text is empty; a document without tokens is its end id. Null doc_ids
-are packed like others; repeated rows are packed as often as they stand. Other
-columns are ignored. No rows: no pieces.
+are packed like others, and doc_ids of any type and size come back as they were;
+repeated rows are packed as often as they stand. Other columns are ignored. No rows: no
+pieces.
 """
 
 from __future__ import annotations
@@ -23,7 +28,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -35,6 +39,7 @@ from acrelens.scratch import materialize
 
 WINDOW = 2048
 UNITS_PER_SHARD = 2048
+KEY_TOKENS = 3
 #: The seed's tokens of highest weight that the index is asked for.
 QUERY_TOKENS = 24
 K1, B = 1.2, 0.75
@@ -42,32 +47,41 @@ _PIECE = "start long, length long, doc_tokens long, sequence_id long, offset lon
 
 
 def encoded(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
-    """Full windows and remainders of every document: doc_id, start, doc_tokens, slot, ids (uint16).
+    """Full windows and remainders of every document: doc_id, start, doc_tokens, number, key, ids (uint16).
 
-    ``slot`` numbers the full windows (null for a remainder).
+    ``number`` numbers the pieces; ``key`` holds the highest ids of a remainder (null for a full window).
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, slot = encoder(tokenizer), TaskContext.get().partitionId() << 36
+        own, number = encoder(tokenizer), TaskContext.get().partitionId() << 36
         if own.size > 1 << 16:
             raise ValueError("ids above 65535 don't fit this table")
         for batch in small_batches(batches):
-            rows, starts, totals, slots, ids = [], [], [], [], []
+            rows, starts, totals, keys, ids = [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
-                all_ids = np.frombuffer(own.encode(text.as_buffer().to_pybytes() if text.is_valid else b""), dtype="<u4").astype("<u2").tobytes()
-                n = len(all_ids) // 2
+                all_ids = np.frombuffer(own.encode(text.as_buffer().to_pybytes() if text.is_valid else b""), dtype="<u4").astype("<u2")
+                n = len(all_ids)
                 for start in range(0, n, window):
-                    full = start + window <= n
                     rows.append(i)
                     starts.append(start)
                     totals.append(n)
-                    slots.append(slot if full else None)
-                    slot += full
-                    ids.append(all_ids[2 * start : 2 * (start + window)])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(totals, pa.int64()), pa.array(slots, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "doc_tokens", "slot", "ids"])
+                    part = all_ids[start : start + window]
+                    keys.append(None if len(part) == window else _key(part))
+                    ids.append(part.tobytes())
+            numbers = np.arange(number, number + len(rows))
+            number += len(rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(totals, pa.int64()), pa.array(numbers), pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "doc_tokens", "number", "key", "ids"])
 
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, start long, doc_tokens long, slot long, ids binary")
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, start long, doc_tokens long, number long, key long, ids binary")
+
+
+def _key(ids: np.ndarray) -> int:
+    """The KEY_TOKENS highest ids as one number that sorts by the highest first."""
+    out, top = 0, np.unique(ids)[: -KEY_TOKENS - 1 : -1].tolist()
+    for token in top:
+        out = out << 16 | token
+    return out << 16 * (KEY_TOKENS - len(top))
 
 
 def token_statistics(pieces: DataFrame) -> tuple[np.ndarray, int, float]:
@@ -158,42 +172,58 @@ def pack_shard(units: list[np.ndarray], idf: np.ndarray, mean_length: float, win
 
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, units_per_shard: int = UNITS_PER_SHARD) -> DataFrame:
     """Pieces: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian uint32)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     pieces = materialize(encoded(docs, tokenizer, window), "token_pieces")
     df, n, mean_length = token_statistics(pieces)
     idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
-    units = pieces.filter("slot is null")
+    units = pieces.filter("key is not null")
     shards = max(1, -(-units.count() // units_per_shard))
-    units = units.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(shards)))
+    parts = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
+
+    def packed_shard(rows: pa.Table, shard: int) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        arrays = [np.frombuffer(x.as_buffer(), dtype="<u2") for x in rows.column("ids")]
+        placed = np.array(pack_shard(arrays, idf, mean_length, window), dtype=np.int64)
+        at, low, high, sequence, offset = placed.T
+        taken = rows.select(["doc_id", "start", "doc_tokens"]).take(pa.array(at)).combine_chunks().to_batches()[0]
+        ids = [arrays[i][a:b].astype("<u4").tobytes() for i, a, b in zip(at.tolist(), low.tolist(), high.tolist())]
+        starts = taken.column(1).to_numpy() + low
+        return pa.RecordBatch.from_arrays([taken.column(0), pa.array(starts), pa.array(high - low), taken.column(2), pa.array(2 * ((shard << 16) + sequence)), pa.array(offset), pa.array(ids, pa.binary())], names)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembered(("shard",), dict)  # lets the encoder's tables go
-        rows = rows.sort_values(["doc_id", "ids"], ignore_index=True)
-        arrays = [np.frombuffer(x, dtype="<u2") for x in rows["ids"]]
-        placed = pack_shard(arrays, idf, mean_length, window)
-        at, shard = [p[0] for p in placed], int(rows["shard"].iloc[0])
-        return pd.DataFrame(
-            {
-                "doc_id": rows["doc_id"].to_numpy()[at],
-                "start": rows["start"].to_numpy()[at] + [p[1] for p in placed],
-                "length": [p[2] - p[1] for p in placed],
-                "doc_tokens": rows["doc_tokens"].to_numpy()[at],
-                "sequence_id": [2 * ((shard << 32) + p[3]) for p in placed],
-                "offset": [p[4] for p in placed],
-                "ids": [arrays[p[0]][p[1] : p[2]].astype("<u4").tobytes() for p in placed],
-            }
-        )
+        shard = TaskContext.get().partitionId() << 24
+        for shard, rows in enumerate(_in_shards(batches, units_per_shard), shard):
+            yield packed_shard(rows, shard)
 
     def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wide = pa.array([np.frombuffer(x.as_buffer(), dtype="<u2").astype("<u4").tobytes() for x in batch.column(6)], pa.binary())
             yield batch.set_column(6, "ids", wide)
 
-    packed = units.groupBy("shard").applyInPandas(run, f"doc_id {kind}, {_PIECE}")
-    whole = pieces.filter("slot is not null").select("doc_id", "start", F.lit(window).cast("long").alias("length"), "doc_tokens", (F.col("slot") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "ids")
+    dealt = units.repartitionByRange(parts, "key", "number").sortWithinPartitions("key", "number").select("doc_id", "start", "doc_tokens", "ids")
+    packed = dealt.mapInArrow(run, f"doc_id {kind}, {_PIECE}")
+    whole = pieces.filter("key is null").select("doc_id", "start", F.lit(window).cast("long").alias("length"), "doc_tokens", (F.col("number") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "ids")
     return packed.unionByName(whole.mapInArrow(widen, f"doc_id {kind}, {_PIECE}"))
 
 
+def _in_shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """The rows of Spark's batches, ``size`` at a time."""
+    held, n = [], 0
+    for batch in batches:
+        while n + batch.num_rows >= size:
+            held.append(batch.slice(0, size - n))
+            batch = batch.slice(size - n)
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def digest(pieces: DataFrame) -> DataFrame:
     """The pieces with the crc32 of their ids in place of the ids."""
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

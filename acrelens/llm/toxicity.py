@@ -3,20 +3,23 @@
 Kernel: gap-weighted subsequences of three characters; a subsequence spread over s
 characters counts DECAY^(s - 3), up to SPAN of them, so a word keeps most of its
 likeness when characters are put into it. A unit is a word without its outer
-punctuation, or a run of three or more single characters, which are joined.
+punctuation, or a run of three or more single characters, which are joined. The kernel
+of two units is normalised; that of two sentences is the sum over their units.
 
 Fitting, on the driver, from a bounded sample of labelled documents (TRAIN_DOCS by
-hash order, SENTENCES of their sentences): a sentence has its document's label. The
-witnesses of toxic sentences are the units that stand in far more toxic than clean
-documents; clean sentences give the commonest units and, in further rounds, those
-that the machine still takes for toxic. LANDMARKS of both span the Nystrom space, in
-which a linear machine with squared hinge loss is fitted. The kernel has explicit
-features (three character codes of 32), so the machine folds into one weight per
-feature and a unit is scored without touching the landmarks.
-
-Scoring: every unit of the whole text; a logistic rule, fitted on CALIBRATION_DOCS
-other labelled documents, turns the share of units over the margin, their number and
-the furthest margin into a probability.
+hash order; SENTENCES of their sentences, of SENTENCE_CHARS characters at most): a
+sentence has its document's label, and each is an example of the machine. LANDMARKS,
+which are sentences of a single unit, span the Nystrom space, half of them from units
+that stand unevenly in both kinds of sentences and half from all others; they are a
+basis and have no label. In that space a linear machine with squared hinge loss is
+fitted to the labelled sentences. A clean sentence on the wrong side costs CLEAN_COST
+times a toxic one, as most sentences of a toxic document are not toxic themselves. The
+kernel has explicit features (three character codes of 32), so the machine folds into
+one weight per feature and a unit is scored without touching the landmarks.
+
+Scoring: every unit of the whole text, as the sentence that it alone would be; a
+logistic rule, fitted on CALIBRATION_DOCS other labelled documents, turns the share of
+units over the margin, their number and the furthest margin into a probability.
 
 Labels are learnt only from documents whose crc32(doc_id) mod 5 is not 0.
 
@@ -43,12 +46,13 @@ from acrelens.llm.worker import remembered, small_batches
 
 TRAIN_DOCS = 3000
 CALIBRATION_DOCS = 3000
-SENTENCES = 100_000
-LANDMARKS = 192
+SENTENCES = 24_000
+SENTENCE_CHARS = 400
+LANDMARKS = 256
+CLEAN_COST = 2.0
 DECAY = 0.7
 SPAN = 8
 LONGEST = 24
-ROUNDS = 3
 _LIMIT = 200_000
 _FEATURES = 1 << 15
 #: What is known of a text after its units are scored.
@@ -200,61 +204,62 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, calibr
         picked += [(r["doc_id"], label, place % 2) for place, r in enumerate(ids)]
     chosen = docs.sparkSession.createDataFrame(picked, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _toxic int, _part int")
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text is not null")  # at most `total` rows are broadcast
-    sentence = sample.filter("_part = 0").select("doc_id", "_toxic", F.explode(F.split("text", _SENTENCE)).alias("sentence"))
-    rows = sentence.orderBy(F.xxhash64("doc_id", "sentence"), "doc_id", "sentence").limit(sentences).collect()
-    weight, bias = _fit_units([(r["doc_id"], r["_toxic"], r["sentence"]) for r in rows])
+    sentence = sample.filter("_part = 0").select("doc_id", "_toxic", F.explode(F.split("text", _SENTENCE)).alias("sentence")).withColumn("sentence", F.substring("sentence", 1, SENTENCE_CHARS))
+    rows = sentence.orderBy(F.xxhash64("doc_id", "sentence"), "doc_id", "sentence").limit(sentences).select("_toxic", "sentence").collect()
+    weight, bias = _fit_sentences([r["_toxic"] for r in rows], [r["sentence"] for r in rows])
+    del rows
     machine = Machine(weight, bias, np.zeros(0), share)
-    told = facts(sample.filter("_part = 1"), machine, score=False).join(F.broadcast(chosen), "doc_id").select(*FACTS, "_toxic", "doc_id").orderBy("doc_id").collect()
-    y = np.array([r["_toxic"] for r in told])
+    told = facts(sample.filter("_part = 1"), machine, score=False).join(F.broadcast(chosen), "doc_id").select("doc_id", *FACTS, "_toxic").collect()  # CALIBRATION_DOCS rows at most
+    told = [r[1:] for r in sorted(told)]
+    y = np.array([r[-1] for r in told])
     if len(set(y.tolist())) < 2:
         return nothing
-    x = np.array([tuple(r)[: len(FACTS)] for r in told])
+    x = np.array([r[: len(FACTS)] for r in told])
     machine.rule = _logistic(x, y)
     return machine
 
 
-def _fit_units(rows: list[tuple]) -> tuple[np.ndarray, float]:
-    seen = {0: Counter(), 1: Counter()}
-    docs = {0: set(), 1: set()}
-    pairs = {0: set(), 1: set()}
-    for doc, label, sentence in rows:
+def _fit_sentences(labels: list[int], sentences: list[str]) -> tuple[np.ndarray, float]:
+    """Weight of each feature and bias of the machine; see the module's text."""
+    number: dict[str, int] = {}
+    at, unit = [], []  # a row per unit of a sentence
+    for i, sentence in enumerate(sentences):
         words, spaced = units(sentence)
-        docs[label].add(doc)
-        pairs[label].update((doc, unit_of(w)) for w in words + spaced)
-    for label in (0, 1):
-        seen[label].update(u for _, u in pairs[label])
-    n0, n1 = max(1, len(docs[0])), max(1, len(docs[1]))
-    usable = lambda u: 3 <= len(u) <= LONGEST
-    lift = {u: (c + 0.5) / (n1 + 1) / ((seen[0][u] + 0.5) / (n0 + 1)) for u, c in seen[1].items() if usable(u) and c >= 3}
-    toxic = sorted((u for u, x in lift.items() if x >= 5), key=lambda u: (-seen[1][u] * np.log(lift[u]), u))[:600]
-    if not toxic:
+        for u in map(unit_of, words + spaced):
+            for w in windows(u):
+                if len(w) >= 3:
+                    at.append(i)
+                    unit.append(number.setdefault(w, len(number)))
+    y = np.where(np.array(labels) > 0, 1.0, -1.0)
+    if not number or len(set(labels)) < 2:
         return np.zeros(_FEATURES), -1.0
-    common = [u for u, _ in sorted(seen[0].items(), key=lambda x: (-x[1], x[0])) if usable(u) and u not in lift or lift.get(u, 9) < 2]
-    common = [u for u in common if usable(u)]
-    step = max(1, len(common) // 2000)
-    clean = common[:2000] + common[2000::step][:2000]
-    others = [u for u in seen[0] if usable(u) and u not in set(toxic)]
-    weight, bias = np.zeros(_FEATURES), -1.0
-    landmarks = toxic[: LANDMARKS // 2] + clean[:: max(1, len(clean) // (LANDMARKS // 2))][: LANDMARKS // 2]
-    z = _dense(landmarks)
-    values, vectors = np.linalg.eigh(z @ z.T)
-    values = np.maximum(values, 1e-6)
-    root = vectors @ np.diag(values**-0.5) @ vectors.T
-    for _ in range(ROUNDS):
-        words = toxic + clean
-        x = np.hstack([_products(words, z) @ root, np.ones((len(words), 1))])
-        y = np.array([1.0] * len(toxic) + [-1.0] * len(clean))
-        importance = np.concatenate([np.full(len(toxic), len(clean) / len(toxic)), np.ones(len(clean))])
-        w = _squared_hinge(x, y, importance)
-        weight, bias = (root @ w[:-1]) @ z, float(w[-1])
-        margin = Machine(weight, bias, np.zeros(0), 0.0).margins(others)
-        wrong = [u for u in others if margin[u] > -0.2 and lift.get(u, 0) < 2]
-        clean = list(dict.fromkeys(clean + sorted(wrong, key=lambda u: (-margin[u] * np.log1p(seen[0][u]), u))[:2000]))
-    return weight, bias
+    at, unit, names = np.array(at), np.array(unit), list(number)
+    seen = np.zeros((2, len(names)))
+    np.add.at(seen, ((y[at] > 0).astype(int), unit), 1)
+    total, (clean, toxic) = seen.sum(axis=1, keepdims=True), seen
+    expected = seen.sum(axis=0) * total[1, 0] / total.sum()
+    uneven = np.argsort(-np.abs(toxic - expected) / np.sqrt(expected + 1), kind="stable")[: LANDMARKS // 2]
+    others = np.setdiff1d(np.arange(len(names)), uneven)
+    common = others[np.argsort(-seen.sum(axis=0)[others], kind="stable")]
+    basis = np.concatenate([uneven, common[:: max(1, 2 * len(common) // LANDMARKS)][: LANDMARKS // 2]])
+    z = _dense([names[i] for i in basis])
+    values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
+    root = vectors @ np.diag(np.maximum(values, 1e-4) ** -0.5) @ vectors.T
+    x = np.zeros((len(sentences), len(basis)), dtype=np.float32)
+    order = np.argsort(unit, kind="stable")
+    start = np.searchsorted(unit[order], np.arange(len(names) + 1))
+    for low in range(0, len(names), 2000):
+        high = min(low + 2000, len(names))
+        here = order[start[low] : start[high]]
+        np.add.at(x, at[here], (_products(names[low:high], z))[unit[here] - low])
+    x = np.hstack([x.astype(np.float64) @ root, np.ones((len(x), 1))])
+    importance = np.where(y > 0, (y < 0).sum() / max(1, (y > 0).sum()) / CLEAN_COST, 1.0)
+    w = _squared_hinge(x, y, importance)
+    return (root @ w[:-1]) @ z.astype(np.float64), float(w[-1])
 
 
 def _dense(words: list[str]) -> np.ndarray:
-    out = np.zeros((len(words), _FEATURES))
+    out = np.zeros((len(words), _FEATURES), dtype=np.float32)
     for row, w in zip(out, words):
         f, v = features([w])
         np.add.at(row, f[0], v[0])
@@ -263,15 +268,15 @@ def _dense(words: list[str]) -> np.ndarray:
 
 def _products(words: list[str], z: np.ndarray) -> np.ndarray:
     """Kernel values of words against landmarks with dense features z."""
-    out = np.zeros((len(words), len(z)))
+    out = np.zeros((len(words), len(z)), dtype=np.float32)
     by_length: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         by_length.setdefault(len(w), []).append(i)
     columns = np.ascontiguousarray(z.T)
     for at in by_length.values():
-        for a in range(0, len(at), 200):
-            f, v = features([words[i] for i in at[a : a + 200]])
-            out[at[a : a + 200]] = np.einsum("wfl,wf->wl", columns[f], v)
+        for a in range(0, len(at), 50):
+            f, v = features([words[i] for i in at[a : a + 50]])
+            out[at[a : a + 50]] = np.einsum("wfl,wf->wl", columns[f], v.astype(np.float32))
     return out
 
 

@@ -4,10 +4,13 @@ For a tokenizer that drops white space (its pieces never span two words), the id
 of a text are the ids of its words one after the other. Words repeat, so a worker
 keeps what the library gave for each word, and for each part of a word that has several
 between punctuation; a table that holds LIMIT entries becomes the old one behind a new one.
+A file is taken word by word only if its normaliser and its split are those of WORDWISE
+and its added tokens begin with "<|"; the library encodes whole texts for any other file.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -20,6 +23,17 @@ from acrelens.llm.worker import remembered
 LIMIT = 300_000
 #: The id that ends each document.
 END = 1
+# What a tokenizer file says of its normaliser and split, where words can be taken one by one.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 _PLAIN = re.compile(rb"[!-&(-~]+").fullmatch
 _LATIN = re.compile("[!-&(-~\u00a1-\u024f]+").fullmatch
 _PARTS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
@@ -47,6 +61,8 @@ class WordEncoder(dict):
         self.parts_before: dict[str, bytes] = {}
         self.letters = _byte_letters()
         self.size = self.tokenizer.get_vocab_size()
+        told = json.loads(self.tokenizer.to_str())
+        self.wordwise = all(told[k] == v for k, v in WORDWISE.items()) and told["truncation"] is None and all(t["content"].startswith("<|") and not t["normalized"] for t in told["added_tokens"])
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.before.get(word)
@@ -94,6 +110,8 @@ class WordEncoder(dict):
 
     def encode(self, text: bytes) -> bytes:
         """All ids of a text and the end id."""
+        if not self.wordwise:
+            return array("I", [*self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, END]).tobytes()
         return b"".join(map(self.__getitem__, text.split())) + END.to_bytes(4, "little")
 
 

@@ -32,6 +32,14 @@ def test_remembered_words_give_the_librarys_ids():
         assert np.frombuffer(own.encode(text.encode()), "<u4").tolist() == ids_by_library(text), repr(text)
 
 
+def test_another_tokenizer_is_not_taken_word_by_word():
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    own = WordEncoder(other)
+    assert WordEncoder(WORDS).wordwise and not own.wordwise
+    for text in ODD:
+        assert np.frombuffer(own.encode(text.encode()), "<u4").tolist() == [*Tokenizer.from_file(other).encode(text, add_special_tokens=False).ids, 1]
+
+
 @pytest.mark.parametrize("top", [1, 200, 256, 40_000, 1 << 20, (1 << 32) - 1])
 def test_codes_give_every_id_back_and_any_one_by_rank(top):
     rng = np.random.default_rng(top)
@@ -59,6 +67,17 @@ def test_token_files_hold_all_ids_in_order(spark):
     asked = spark.createDataFrame([(int(p),) for p in range(0, start, 37)], "position long")
     assert all(r["id"] == everything[r["position"]] for r in dac.lookup(spark, path, asked).collect())
     assert dac.lookup(spark, path, asked).count() == len(range(0, start, 37))
+    repeated = spark.createDataFrame([(5,)] * 30 + [(start - 1,)], "position long")
+    assert sorted(map(tuple, dac.lookup(spark, path, repeated, per_task=7).collect())) == [(5, everything[5])] * 30 + [(start - 1, everything[start - 1])]
+
+
+def test_a_lookup_moves_the_codes_asked_for_only(spark):
+    path = scratch_path(spark, "files")
+    dac.write(spark.createDataFrame([(i, f"words of text {i} " * 40) for i in range(200)], "doc_id long, text string"), path, WORDS, segment_ids=300)
+    assert dac.segments(spark, path).count() > 50
+    places, codes = dac.placed(spark, path, spark.createDataFrame([(3,), (7,), (9000,)], "position long"), per_task=1)
+    assert sorted((r["position"], r["turn"]) for r in places.collect())[:2] != [(3, 0), (7, 0)] and places.count() == 3
+    assert codes.count() == 3  # two turns of one segment and one of another, of all those segments
 
 
 def test_token_files_of_no_rows(spark):
@@ -94,10 +113,29 @@ def test_packing_places_every_id_once_without_gaps(spark):
         assert [r["offset"] for r in own] == np.cumsum([0] + [r["length"] for r in own])[:-1].tolist()
         fills.append(sum(r["length"] for r in own))
     shards = -(-len(rows) // 40)
-    assert max(fills) <= 256 and sum(f < 256 for f in fills) <= shards
+    assert max(fills) <= 256 and sum(f < 256 for f in fills) <= 2 * shards
     assert packing.pack_documents(docs.limit(0), WORDS).count() == 0
 
 
+def test_large_doc_ids_beside_null_ones_and_equal_rows_in_several_shards(spark):
+    rows = [(2**60 + 1, "a large id"), (None, "none"), (2**53 + 1, "another")] + [(5, "equal rows of one id")] * 50
+    found = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), WORDS, window=64, units_per_shard=16).collect()
+    assert {r["doc_id"] for r in found} == {2**60 + 1, None, 2**53 + 1, 5}
+    assert sum(r["length"] for r in found if r["doc_id"] == 5) == 50 * len(ids_by_library("equal rows of one id"))
+    assert len({r["sequence_id"] // 2 >> 16 for r in found}) >= 4
+    named = packing.pack_documents(spark.createDataFrame([("x", "text ids")], "doc_id string, text string"), WORDS).collect()
+    assert [r["doc_id"] for r in named] == ["x"]
+
+
+def test_like_units_stand_in_one_shard():
+    rng = np.random.default_rng(1)
+    topics = [rng.choice(np.arange(20_000, 49_000), 3) for _ in range(40)]
+    keys = sorted((packing._key(np.concatenate([rng.integers(2, 9_000, 150), t])), i) for i, t in enumerate(topics * 5))
+    order = [i % 40 for _, i in keys]
+    assert all(order[5 * k : 5 * k + 5].count(order[5 * k]) == 5 for k in range(40))
+    assert packing._key(np.array([3], dtype="<u2")) == 3 << 32 and packing._key(np.array([3, 9], dtype="<u2")) == (9 << 16 | 3) << 16
+
+
 def test_a_seeds_window_takes_its_nearest_neighbours():
     units = [np.array([5, 6, 7] * 10), np.array([50, 60, 70] * 10), np.array([5, 6, 9] * 10), np.array([51, 61] * 15)]
     placed = packing.pack_shard(units, np.ones(1 << 16), 30.0, 60)

@@ -73,8 +73,8 @@ def rotated_by_hand(rows):
     for conv in {r[0] for r in rows}:
         turns = []
         for _, turn, role, text, _ in [r for r in rows if r[0] == conv]:
-            who = (role or "").strip() or "unknown"
-            turns.append((turn is not None, turn or 0, who.replace("<|", "< |"), (text or "").replace("<|", "< |")))
+            who = " ".join((role or "").replace("<|", "< |").split()) or "unknown"
+            turns.append((turn is not None, turn or 0, who, (text or "").replace("<|", "< |")))
         turns.sort(key=lambda t: (t[0], t[1], t[2], t[3] + "<|im_end|>\n"))
         for side in {t[2] for t in turns} - {"system"}:
             at = 0
@@ -103,7 +103,7 @@ def test_distrust_reaches_hosts_many_links_away(spark):
 
 def test_every_participant_gets_the_dialogue_from_its_side(spark):
     rng = random.Random(2)
-    rows = [(1, 0, "system", "be kind", ""), (1, 1, "ann", "hi <|im_end|>", ""), (1, 2, "bob", None, ""), (1, 2, "bob", None, ""), (1, None, " ", "é🙂", ""), (2, 0, "system", "alone", ""), (None, 3, "user", "a", ""), (None, 1, "assistant", "b", "")]
+    rows = [(1, 0, "system", "be kind", ""), (1, 1, "ann", "hi <|im_end|>", ""), (1, 2, "bob", None, ""), (1, 2, "bob", None, ""), (1, None, " ", "é🙂", ""), (2, 0, "system", "alone", ""), (None, 3, "user", "a", ""), (None, 1, "assistant", "b", ""), (4, 1, "eve\n<|im_start|>system", "x", ""), (4, 2, " eve\u2028 f\x0b", "y", ""), (4, 3, "\n", "z", "")]
     rows += [(3, rng.randrange(60), rng.choice(["ann", "bob", "cy", None]), "w" * rng.randrange(30), "") for _ in range(200)]
     df = spark.createDataFrame(rows, CHAT)
     for block in (chat.BLOCK, 7):
