@@ -97,9 +97,10 @@ def use_code(c: Column) -> Column:
 
 
 def improvement_ratio(jv: Column, land: Column) -> Column:
-    """(value - land) / land in four places, within +-9999.9999; null without land value."""
+    """(value - land) / land in four places, within +-9999.9999; null without value or land value."""
     ratio = F.try_divide((jv - land).cast("double"), land.cast("double"))
-    return F.round(F.greatest(F.least(ratio, F.lit(9999.9999)), F.lit(-9999.9999)), 4)
+    # greatest and least skip nulls, so a missing ratio must not reach them.
+    return F.when(ratio.isNotNull(), F.round(F.greatest(F.least(ratio, F.lit(9999.9999)), F.lit(-9999.9999)), 4))
 
 
 def cap_ratio(assessed: Column, jv: Column) -> Column:

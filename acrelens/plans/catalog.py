@@ -104,14 +104,14 @@ def roll_coercion(roll):
 
 
 @query(
-    """SELECT county_fips, parcel_id, round(greatest(least(CASE WHEN lnd_val <> 0 THEN (jv - lnd_val) / lnd_val END, 9999.9999e0), -9999.9999e0), 4) AS improvement_ratio,
- round(CASE WHEN jv <> 0 THEN av_nsd / jv END, 4) AS cap_ratio, CASE WHEN asmnt_yr - sale_yr1 >= 0 THEN asmnt_yr - sale_yr1 END AS years_since_sale FROM
- (SELECT *, CASE WHEN jv IS NULL OR coalesce(lnd_val, 0) = 0 THEN NULL ELSE 1 END AS ok FROM parcels) WHERE true AND (ok = 1 OR ok IS NULL)"""
+    """SELECT county_fips, parcel_id, CASE WHEN jv IS NULL OR lnd_val IS NULL OR lnd_val = 0 THEN NULL
+ WHEN (jv - lnd_val) / lnd_val > 9999.9999e0 THEN 9999.9999e0 WHEN (jv - lnd_val) / lnd_val < -9999.9999e0 THEN -9999.9999e0 ELSE round((jv - lnd_val) / lnd_val, 4) END AS improvement_ratio,
+ round(CASE WHEN jv <> 0 THEN av_nsd / jv END, 4) AS cap_ratio, CASE WHEN asmnt_yr - sale_yr1 >= 0 THEN asmnt_yr - sale_yr1 END AS years_since_sale FROM parcels"""
 )
 def derived_ratios(parcels):
     return parcels.select(
         *_ID,
-        F.when(F.col("jv").isNotNull(), P.improvement_ratio(F.col("jv"), F.col("lnd_val"))).otherwise(F.when(F.col("lnd_val") != 0, F.lit(9999.9999))).alias("improvement_ratio"),
+        P.improvement_ratio(F.col("jv"), F.col("lnd_val")).alias("improvement_ratio"),
         P.cap_ratio(F.col("av_nsd"), F.col("jv")).alias("cap_ratio"),
         P.years_since_sale(F.col("asmnt_yr"), F.col("sale_yr1")).alias("years_since_sale"),
     )

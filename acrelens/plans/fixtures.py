@@ -20,7 +20,7 @@ TABLES: dict[str, tuple[str, dict[str, str]]] = {
             "dor_uc": "CASE WHEN c_custkey % 5 = 4 THEN '002' ELSE '001' END",
             "jv": "CASE WHEN c_custkey % 41 = 0 THEN NULL ELSE CAST(floor(abs(c_acctbal) * 30e0) AS BIGINT) + 20000 END",
             "av_nsd": "CAST(floor(abs(c_acctbal) * 20e0) AS BIGINT)",
-            "lnd_val": "CAST(floor(abs(c_acctbal) * 5e0) AS BIGINT)",
+            "lnd_val": "CASE WHEN c_custkey % 29 = 0 THEN NULL WHEN c_custkey % 31 = 0 THEN 0 WHEN c_custkey % 43 = 0 THEN 1 ELSE CAST(floor(abs(c_acctbal) * 5e0) AS BIGINT) END",
             "exmpt_01": "CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE 25000 END",
             "lnd_sqfoot": "4000 + (c_custkey * 97) % 9000",
             "imp_qual": "1 + c_custkey % 5",

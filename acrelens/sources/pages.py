@@ -29,11 +29,12 @@ def labelled_facts(html: Column) -> Column:
 
 
 def grid_facts(html: Column) -> Column:
-    """Map of a two-column grid's bold labels and values; codes in brackets at the end go."""
-    pattern = r"(?is)<t[dh][^>]*>\s*<(?:b|strong)>([^<]*)</(?:b|strong)>\s*</t[dh]>\s*<td[^>]*>(.*?)</td>"
-    labels = F.transform(all_matches(html, pattern, 1), lambda x: F.upper(F.regexp_replace(squeezed(x), ":$", "")))
-    values = F.transform(all_matches(html, pattern, 2), lambda x: F.regexp_replace(tag_text(x), r"\s*\([^)]*\)$", ""))
-    return _first_of_each(F.arrays_zip(labels.alias("k"), values.alias("v")))
+    """Map of a grid's bold labels and the values in the cells after them, last of each label; codes in brackets at the end go."""
+    pattern = r'(?is)<td[^>]*class="[^"]*font-bold[^"]*"[^>]*>(.*?)</td>\s*<td[^>]*>(.*?)</td>'
+    labels = F.transform(all_matches(html, pattern, 1), tag_text)
+    values = F.transform(all_matches(html, pattern, 2), tag_text)
+    pairs = F.filter(F.arrays_zip(labels.alias("k"), values.alias("v")), lambda p: (p["k"] != "") & (p["v"] != ""))
+    return F.transform_values(_first_of_each(F.reverse(pairs)), lambda _, v: F.trim(F.regexp_replace(v, r"\s*\([^)]*\)?$", "")))
 
 
 def _first_of_each(pairs: Column) -> Column:
@@ -67,13 +68,81 @@ def sales_of(pages: DataFrame) -> DataFrame:
     return out.filter("sale_date is not null")
 
 
+def attribute_cells(pages: DataFrame, container: str, attribute: str) -> DataFrame:
+    """(page_id, at, cells: map of the cells' attribute to text) of the data rows of the table in a container."""
+    table = F.regexp_extract("html", rf'(?is)<div[^>]*id="{container}"[^>]*>(.*?)</table>', 1)
+    rows = pages.select("page_id", F.posexplode(all_matches(table, r'(?is)<tr[^>]*role="row"[^>]*>(.*?)</tr>')).alias("at", "row"))
+    pattern = rf'(?is)<td[^>]*{attribute}="([^"]*)"[^>]*>(.*?)</td>'
+    names, texts = (F.transform(all_matches(F.col("row"), pattern, i), tag_text) for i in (1, 2))
+    return rows.select("page_id", "at", _first_of_each(F.reverse(F.arrays_zip(names.alias("k"), texts.alias("v")))).alias("cells"))
+
+
+def cell_sales_of(pages: DataFrame) -> DataFrame:
+    """Sales of pages whose cells name their column; book and page are left out, and rows without a date."""
+    rows = attribute_cells(pages, "salesContainer", "data-cell")
+    cell = lambda n: F.coalesce(F.try_element_at("cells", F.lit(n)), F.lit(""))
+    text = lambda n, most: F.nullif(F.substring(cell(n), 1, most), F.lit(""))
+    return rows.filter(cell("Sale Date") != "").select(
+        "page_id", "at", sale_date(cell("Sale Date")).alias("sale_date"), whole_dollars(cell("Sale Price")).alias("sale_price"), text("Instrument", 10).alias("instrument_type"),
+        text("Qualification", 10).alias("qualification_code"), text("Sale Type", 50).alias("sale_type"), text("Multi-Parcel", 10).alias("multi_parcel"), cell("Grantor").alias("grantor"), cell("Grantee").alias("grantee"),
+    )
+
+
+#: Raw building columns of every kind of page, all text.
+BUILDING = ("exterior_wall", "roof_type", "foundation", "living_area", "bedrooms", "bathrooms", "act_yr_blt", "eff_yr_blt", "zoning", "quality_code", "condition_code")
+# Labels of appraiser pages and their columns.
+PAIR_LABELS = {"roof_type": ["ROOF COVER"], "foundation": ["FOUNDATION"], "bedrooms": ["BEDROOMS", "NO. BEDROOMS"], "bathrooms": ["BATHROOMS", "NO. BATHROOMS", "FULL BATHS"], "quality_code": ["QUALITY", "GRADE"], "condition_code": ["CONDITION"]}
+GRID_LABELS = {"exterior_wall": "extw", "roof_type": "RCVR", "foundation": "fndn", "bathrooms": "Bath", "bedrooms": "BED", "quality_code": "qual"}
+
+
 def building_of(pages: DataFrame) -> DataFrame:
-    """Raw building facts of appraiser pages, all text; several exterior walls are joined by " / "."""
+    """Raw building facts of appraiser pages with labelled pairs; several exterior walls are joined by " / "."""
     facts = labelled_facts(F.col("html"))
     walls = F.transform(all_matches(F.col("html"), r"(?is)<b>\s*EXTERIOR WALL\s*</b>\s*[-:]?\s*<i>(.*?)</i>"), tag_text)
-    get = lambda n: F.try_element_at("facts", F.lit(n))
-    rows = pages.select("page_id", facts.alias("facts"), F.nullif(F.array_join(F.array_distinct(walls), " / "), F.lit("")).alias("exterior_wall"), F.nullif(F.regexp_extract("html", r"(?i)zoning:?\s*(?:<[^>]*>\s*)*([A-Z0-9-]+)", 1), F.lit("")).alias("zoning"), F.nullif(F.regexp_extract("html", r"(?i)Year Built:?\s*(?:<[^>]*>\s*)*(\d{4})", 1), F.lit("")).alias("act_yr_blt"))
-    return rows.select("page_id", "exterior_wall", "zoning", "act_yr_blt", get("ROOF COVER").alias("roof_type"), get("FOUNDATION").alias("foundation"))
+    headed = lambda p: F.nullif(F.regexp_extract("html", rf"(?i){p}", 1), F.lit(""))
+    rows = pages.select(
+        "page_id", facts.alias("facts"), F.nullif(F.array_join(F.filter(walls, lambda w: w != ""), " / "), F.lit("")).alias("exterior_wall"), headed(r"zon(?:ing|ed):?\s*(?:<[^>]*>\s*)*([A-Z0-9-]+)").alias("zoning"),
+        headed(r"Year Built:?\s*(?:<[^>]*>\s*)*(\d{4})").alias("act_yr_blt"), headed(r"Effective Year:?\s*(?:<[^>]*>\s*)*(\d{4})").alias("eff_yr_blt"), headed(r"(\d+)\s+Total SF").alias("living_area"),
+    )
+    get = lambda n: F.nullif(F.try_element_at("facts", F.lit(n)), F.lit(""))
+    found = {c: F.coalesce(*map(get, labels)) for c, labels in PAIR_LABELS.items()}
+    return rows.select("page_id", *[found[c].alias(c) if c in found else c for c in BUILDING])
+
+
+def card_of(pages: DataFrame) -> DataFrame:
+    """Raw building facts of parcel cards: a grid of bold labels, and years, area and zoning from the page's own JSON."""
+    rows = pages.select("page_id", grid_facts(F.col("html")).alias("grid"), embedded_json(F.col("html")).alias("json"))
+    told = lambda path: F.get_json_object("json", "$.state.loaderData['routes/_index']." + path)
+    whole = lambda path: F.when(told(path).try_cast("double") != 0, told(path).try_cast("double").cast("long").cast("string"))
+    heated = whole("buildings.units[0].squareFeet.heated")
+    found = {
+        "living_area": F.when(heated.cast("long") > 0, heated),
+        "act_yr_blt": whole("buildings.units[0].yearBuilt.actual"),
+        "eff_yr_blt": whole("buildings.units[0].yearBuilt.effective"),
+        "zoning": F.nullif(F.trim(told("zonings[0].code")), F.lit("")),
+        "condition_code": F.lit(None).cast("string"),
+    }
+    found |= {c: F.nullif(F.try_element_at("grid", F.lit(label)), F.lit("")) for c, label in GRID_LABELS.items()}
+    return rows.select("page_id", *[found[c].alias(c) for c in BUILDING])
+
+
+def auction_items_of(pages: DataFrame) -> DataFrame:
+    """Items of landed foreclosure calendars: address, ZIP code, case number, opening bid and date; an item needs an address.
+
+    An item begins with a division of class AUCTION_ITEM and ends where the next one begins.
+    """
+    items = F.filter(F.split("html", r'(?i)<div[^>]*class="[^"]*AUCTION_ITEM[^"]*"[^>]*>'), lambda _, i: i > 0)
+    rows = pages.select("page_id", F.posexplode(items).alias("at", "item"))
+    classed = lambda name: tag_text(F.regexp_extract("item", rf'(?is)<(\w+)[^>]*class="[^"]*{name}[^"]*"[^>]*>(.*?)</\1>', 2))
+    text = tag_text(F.col("item"))
+    date = lambda i: F.regexp_extract(text, r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{4})\b", i)
+    out = rows.select(
+        "page_id", "at", classed("addr").alias("address"), F.nullif(F.regexp_extract(text, r"\b(325[0-3]\d)\b", 1), F.lit("")).alias("zip"), F.nullif(classed("case"), F.lit("")).alias("case_number"),
+        F.nullif(F.regexp_extract("item", r'(?is)<a[^>]*href="([^"]*)"', 1), F.lit("")).alias("link"),
+        F.replace(F.regexp_extract(text, r"(?i)(?:opening bid|minimum bid|opening amount)[:\s]*\$?([\d,]+)", 1), F.lit(","), F.lit("")).try_cast("long").alias("opening_bid"),
+        F.try_to_date(F.concat_ws("/", date(1), date(2), date(3)), "M/d/yyyy").alias("auction_date"),
+    )
+    return out.filter("address <> ''")
 
 
 # Headers of the clerk's table and their columns.

@@ -92,6 +92,12 @@ def test_absentee_vectors(spark):
     assert [f[0] for f in found] == [True, None, True, False, None, True, None]
 
 
+def test_improvement_ratio_vectors(spark):
+    rows = [(100, 0), (100, None), (None, 50), (None, None), (150, 100), (20_000_000, 1), (10, -1), (-20_000_000, 1)]
+    found = values(spark, rows, "v long, l long", P.improvement_ratio(F.col("v"), F.col("l")))
+    assert [f[0] for f in found] == [None, None, None, None, 0.5, 9999.9999, -11.0, -9999.9999]
+
+
 def test_spread_vectors(spark):
     found = values(spark, [(187500, 120000, 1500), (187500, None, 1500), (187500, 120000, 0)], "e long, l long, a long", P.spread(F.col("e"), F.col("l"), F.col("a"), 35.0))
     assert [f[0] for f in found] == [15000, None, None]
