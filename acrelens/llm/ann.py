@@ -1,17 +1,20 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
-A tree rotates the vectors and writes each as a string of symbols: its signed axes
-from the largest part down, SYMBOLS of them. A tree is the sorted array of those
-strings; it lies in buckets by the first symbol, and a bucket with many strings in
-several salted groups, each sorted. A query descends from its own string, and from
-those that put another of its PROBES largest axes first, to the longest prefix that
-meets something, and ascends: all trees together shorten the prefix symbol by symbol
-until the query has SHARE of all vectors in all (one counts once for each tree that
-gives it), and ``trees * k`` at least, so that k of them differ. A query that has less
-at one symbol ascends to the empty prefix: it is scored against every vector, in blocks.
-The share doesn't fall as the table grows, so the work grows with its square.
-The first job counts what each prefix length gives, the second scores the candidates
-by inner product in double precision and keeps the best of each group.
+A tree projects the vectors on random orthogonal axes and writes each as a string of
+BITS signs. A tree is the sorted array of those strings; it lies in buckets by the first
+bits, and a bucket with many strings in several salted groups, each sorted. A query
+descends from its own string, and from PROBES strings with one sign turned where the
+query is nearest to the axis' border, to the longest prefix that meets something, and
+ascends: all trees together shorten the prefix bit by bit until they give the query
+``enough(n)`` rows in all, and k for each tree at least, so that k of them differ. How
+long the prefix is then differs from query to query, as its surroundings are dense or
+thin. A query that has less at the bucket's bits ascends to the empty prefix: it is
+scored against every vector, in blocks. The first job counts what each prefix length
+gives; the second multiplies each query with the rows of its spans alone, by inner
+product in double precision, and keeps the best of each group.
+
+``enough(n)`` is n * (STARTS / n) ** FALL: near-random vectors need a share of the table
+that falls slowly as it grows. Measured recall is in the README.
 
 Largest inner product becomes smallest angle by one more coordinate on candidates,
 sqrt(1 - |x|^2 / M^2) after scaling by the largest length M, and zero on queries. That
@@ -21,33 +24,52 @@ nearly equal length, a forest each with its own M, and a query ascends in each b
 Equal vectors are one class that enters the forest once, with its K + 1 smallest ids
 to be told in results, so any number of copies costs no more than one.
 
-Measured recall at 20 (random unit vectors of 64 parts): see the README.
-
 Cases: vectors that are null, zero, hold null or non-finite parts, or differ in length
 from the commonest length take no part, nor do null ids. Repeated (id, vector) rows
-count once. Fewer than K candidates: all of them. No rows: none.
+count once. Fewer than K candidates: all of them. No rows: none. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from acrelens.scratch import materialize
+from acrelens.scratch import Workspace, materialize
 
 K = 20
-TREES = 14
-SYMBOLS = 8
-PROBES = 6
-SHARE = 0.5
+TREES = 32
+BITS = 64
+#: The longest prefix that is counted.
+LONGEST = 40
+PROBES = 4
+#: Signs that may be turned.
+TURNED = 10
+STARTS, FALL = 500, 0.2
 ROWS_PER_GROUP = 8192
 #: Queries that meet one group at once; more of them meet it in turns.
 QUERIES_PER_GROUP = 32768
 #: Bands for each doubling of the length; lengths near a power of two share one.
 BANDS = 4
 EVERY = 20
+_PLACE = ["band", "tree", "bucket"]
+_GROUP = [*_PLACE, "salt", "turn"]
+
+
+@dataclass(frozen=True)
+class Settings:
+    k: int = K
+    every: int = EVERY
+    trees: int = TREES
+    probes: int = PROBES
+    #: How many rows end the ascent in a band, in place of ``enough(n)``.
+    candidates: int | None = None
+    rows_per_group: int = ROWS_PER_GROUP
+    queries_per_group: int = QUERIES_PER_GROUP
+    seed: int = 7
 
 
 def valid_vectors(embeddings: DataFrame) -> DataFrame:
@@ -59,149 +81,186 @@ def valid_vectors(embeddings: DataFrame) -> DataFrame:
     return rows.filter(F.size("v") == (lengths[0]["dim"] if lengths else 0)).distinct()
 
 
-def _codes(x: np.ndarray, rotation: np.ndarray, symbols: int) -> np.ndarray:
-    """The signed axes of rotated vectors from the largest part down."""
-    y = x @ rotation
-    order = np.argsort(-np.abs(y), axis=1, kind="stable")[:, :symbols]
-    return 2 * order + (np.take_along_axis(y, order, 1) > 0)
+def axes(dim: int, trees: int, seed: int) -> list[np.ndarray]:
+    """For each tree BITS directions; orthogonal as far as the dimension allows."""
+    rng = np.random.default_rng(seed)
+    blocks = -(-BITS // dim)
+    return [np.hstack([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(blocks)])[:, :BITS] for _ in range(trees)]
 
 
-def _packed(symbols: np.ndarray, bits: int) -> np.ndarray:
-    out = np.zeros(len(symbols), dtype=np.uint64)
-    for i in range(symbols.shape[1]):
-        out |= symbols[:, i].astype(np.uint64) << np.uint64(64 - bits * (i + 1))
-    return out
+def strings(y: np.ndarray) -> np.ndarray:
+    """The signs of projections as unsigned 64-bit numbers, the first sign highest."""
+    return np.packbits(y > 0, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def _mask(symbols: int, bits: int) -> np.uint64:
-    return np.uint64((1 << 64) - (1 << (64 - bits * symbols)))
+def probed(y: np.ndarray, probes: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Strings of queries and which sign is turned in each: none (-1), then the least certain ones."""
+    own = strings(y)
+    order = np.argsort(np.abs(y[:, :TURNED]), axis=1, kind="stable")[:, :probes]
+    out = [(own, np.full(len(y), -1))]
+    for turned in order.T:
+        out.append((own ^ (np.uint64(1) << (63 - turned).astype(np.uint64)), turned))
+    return out
 
 
-def _spans(codes: np.ndarray, query: np.ndarray, level: np.ndarray | int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where in the sorted codes the strings stand that share ``level`` symbols with each query."""
-    masks = np.array([_mask(s, bits) if s else 0 for s in range(64 // bits + 1)], dtype=np.uint64)[level]
+def spans(codes: np.ndarray, query: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in the sorted codes the strings stand that share ``level`` bits with each query."""
+    masks = np.array([((1 << 64) - 1) ^ ((1 << (64 - n)) - 1) for n in range(65)], dtype=np.uint64)[level]
     return np.searchsorted(codes, query & masks, "left"), np.searchsorted(codes, query | ~masks, "right")
 
 
-def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, trees: int = TREES, probes: int = PROBES, candidates: int | None = None, rows_per_group: int = ROWS_PER_GROUP, seed: int = 7, queries_per_group: int = QUERIES_PER_GROUP) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the rows whose id ``every`` divides, against all others.
-
-    ``candidates`` in place of SHARE says how many end the ascent in a band.
-    """
-    rows = materialize(valid_vectors(embeddings), "vectors")
-    smallest = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    classes = smallest.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    classes = classes.select(F.col("ids")[0].alias("c"), F.monotonically_increasing_id().alias("u"), "ids", "v", F.floor(F.log2(square) / 2 * BANDS + 0.5).cast("int").alias("band"))
-    classes = materialize(classes, "classes")
-    asked = materialize(rows.filter(F.col("vec_id") % every == 0).join(classes.select("u", "v"), "v").select("vec_id", "u"), "asked")
-    bands = materialize(classes.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("m"), F.max(F.size("v")).alias("dim")), "bands")
-    stats = bands.collect()  # a row per quarter of a doubling: a double's exponent bounds them
-    dim = max((r["dim"] for r in stats), default=1) + 1
-    longest = {r["band"]: float(np.sqrt(r["m"])) for r in stats}
-    bits = 8 if 2 * dim <= 256 else 16
-    levels = min(64 // bits, dim)
-    rng = np.random.default_rng(seed)
-    rotations = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(trees)]
-
-    def matrix(vectors) -> np.ndarray:
-        return np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), dim - 1)
-
-    def hash_rows(batches):
-        for df in batches:
-            v = matrix(df["v"])
-            x = v / df["band"].map(longest).to_numpy()[:, None]
-            x = np.hstack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))[:, None]])
-            for tree in range(trees):
-                code = _packed(_codes(x, rotations[tree], levels), bits)
-                yield pd.DataFrame({"band": df["band"].to_numpy(), "tree": tree, "bucket": (code >> np.uint64(64 - bits)).astype(np.int64), "code": code.view(np.int64), "u": df["u"].to_numpy()})
-
-    def hash_queries(batches):
-        for df in batches:
-            v = matrix(df["v"])
-            x = np.hstack([v, np.zeros((len(v), 1))])
-            for tree in range(trees):
-                symbols = _codes(x, rotations[tree], levels)
-                for start in range(min(probes, levels)):
-                    rest = [i for i in range(symbols.shape[1]) if i != start]
-                    code = _packed(symbols[:, [start, *rest]], bits)
-                    yield pd.DataFrame({"tree": tree, "bucket": (code >> np.uint64(64 - bits)).astype(np.int64), "code": code.view(np.int64), "u": df["u"].to_numpy()})
-
-    hashed = "tree int, bucket long, code long, u long"
-    place = ["band", "tree", "bucket"]
-    group = [*place, "salt", "turn"]
-
-    def dealt(strings: DataFrame, probing: DataFrame, small=lambda sizes: sizes) -> tuple[DataFrame, DataFrame]:
+def enough(n):
+    """How many rows, repeats in several trees included, end the ascent among n; of numbers or a Column."""
+    return n * (STARTS / n) ** FALL
+
+
+def _matrix(vectors: pd.Series, dim: int) -> np.ndarray:
+    return np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), dim)
+
+
+class Forest:
+    """The distinct vectors of a table, their trees, and the queries' strings; all tables are written."""
+
+    def __init__(self, embeddings: DataFrame, settings: Settings):
+        self.settings = settings
+        #: Vectors of floats travel as floats, which are doubles exactly.
+        self.kind = embeddings.schema["embedding"].dataType.simpleString()
+        self.work = work = Workspace(embeddings.sparkSession, "forest")
+        rows = work.write(valid_vectors(embeddings), "vectors")
+        smallest = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("r") <= settings.k + 1)
+        square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+        classes = smallest.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # k + 1 at most
+        self.classes = work.write(classes.select(F.monotonically_increasing_id().alias("u"), "ids", "v", F.floor(F.log2(square) / 2 * BANDS + 0.5).cast("int").alias("band")), "classes")
+        self.asked = work.write(rows.filter(F.col("vec_id") % settings.every == 0).join(self.classes.select("u", "v"), "v").select("vec_id", "u"), "asked")
+        self.queries = self.asked.select("u").distinct()
+        self.bands = work.write(self.classes.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("m"), F.max(F.size("v")).alias("dim")), "bands")
+        stats = self.bands.collect()  # a row per quarter of a doubling: a double's exponent bounds them
+        self.longest = {r["band"]: float(np.sqrt(r["m"])) for r in stats}
+        self.dim = max((r["dim"] for r in stats), default=1)
+        #: Bits of a bucket; no query stops between these and the empty prefix.
+        self.least = min(6, max(0, int(np.log2(max(1, *(r["n"] for r in stats), 1) / 2048))))
+        self._grow()
+
+    def _grow(self) -> None:
+        settings, longest, dim, shift = self.settings, self.longest, self.dim, np.uint64(64 - self.least)
+        directions = axes(dim + 1, settings.trees, settings.seed)
+
+        def bucket(code: np.ndarray) -> np.ndarray:
+            return (code >> shift).astype(np.int64) if shift < 64 else np.zeros(len(code), dtype=np.int64)
+
+        def plant(batches):
+            for df in batches:
+                x = _matrix(df["v"], dim) / df["band"].map(longest).to_numpy()[:, None]
+                x = np.hstack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))[:, None]])
+                for tree, to in enumerate(directions):
+                    code = strings(x @ to)
+                    yield pd.DataFrame({"band": df["band"].to_numpy(), "tree": tree, "bucket": bucket(code), "code": code.view(np.int64), "u": df["u"].to_numpy()})
+
+        def ask(batches):
+            for df in batches:
+                x = np.hstack([_matrix(df["v"], dim), np.zeros((len(df), 1))])
+                for tree, to in enumerate(directions):
+                    for code, turned in probed(x @ to, settings.probes):
+                        yield pd.DataFrame({"tree": tree, "bucket": bucket(code), "code": code.view(np.int64), "turned": turned.astype(np.int32), "u": df["u"].to_numpy()})
+
+        planted = self.work.write(self.classes.select("band", "u", "v").mapInPandas(plant, "band int, tree int, bucket long, code long, u long"), "strings")
+        asking = self.queries.join(self.classes.select("u", "v"), "u").mapInPandas(ask, "tree int, bucket long, code long, turned int, u long")
+        met = asking.join(planted.select(*_PLACE).distinct(), ["tree", "bucket"])
+        self.trees, self.probes = self.dealt(planted, self.work.write(met, "probes"))
+
+    def dealt(self, planted: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Both sides with the groups in which each string meets each query of its place once."""
-        salts = strings.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / rows_per_group).cast("int").alias("salts"))
-        probing = probing.join(small(salts), place)
-        turns = probing.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / queries_per_group).cast("int").alias("turns"))
-        strings = strings.join(small(salts.join(turns, place)), place).withColumn("salt", F.pmod(F.xxhash64("u"), "salts").cast("int"))
-        strings = strings.select(*place, "code", "u", "salt", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
-        probing = probing.join(small(turns), place).withColumn("turn", F.pmod(F.xxhash64("u"), "turns").cast("int"))
-        return strings, probing.select(*place, "code", "u", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "turn")
-
-    strings = materialize(classes.select("band", "u", "v").mapInPandas(hash_rows, "band int, " + hashed), "strings")
-    queries = asked.select("u").distinct().join(classes.select("u", "v"), "u")
-    probing = queries.mapInPandas(hash_queries, hashed).join(strings.select(*place).distinct(), ["tree", "bucket"])
-    data, probing = (materialize(x, name) for x, name in zip(dealt(strings, materialize(probing, "probes")), ("forest", "asked_forest")))
-
-    def count(strings_: pd.DataFrame, asked_: pd.DataFrame) -> pd.DataFrame:
-        if strings_.empty or asked_.empty:
-            return pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in ("u", "band", *(f"n{i}" for i in range(1, levels + 1)))})
-        codes = np.sort(strings_["code"].to_numpy().view(np.uint64))
-        query = asked_["code"].to_numpy().view(np.uint64)
-        out = {"u": asked_["u"], "band": asked_["band"]}
-        own = np.isin(asked_["u"].to_numpy(), strings_["u"].to_numpy())  # a query's own class is no candidate
-        for level in range(1, levels + 1):
-            low, high = _spans(codes, query, np.full(len(query), level), bits)
-            out[f"n{level}"] = high - low - own
-        return pd.DataFrame(out)
-
-    counts = [f"n{i}" for i in range(1, levels + 1)]
-    counted = data.groupBy(*group).cogroup(probing.groupBy(*group)).applyInPandas(count, "u long, band int, " + ", ".join(f"{c} long" for c in counts))
-    total = counted.groupBy("u", "band").agg(*[F.sum(c).alias(c) for c in counts])
-    wanted = F.greatest(F.ceil(F.col("n") * SHARE), F.lit(trees * k)) if candidates is None else F.lit(candidates)
-    level = F.coalesce(*[F.when(F.col(f"n{i}") >= wanted, i) for i in range(levels, 0, -1)], F.lit(0))
-    # A pair of query and band that met no bucket has no count.
-    reached = queries.select("u").join(F.broadcast(bands.select("band", "n")), how="cross").join(total, ["u", "band"], "left").select("u", "band", level.alias("level"))
-    reached = materialize(reached, "levels")
-    short = reached.filter("level = 0").select("band", F.lit(-1).alias("tree"), F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("code"), "u")
-    if not short.isEmpty():
-        every_string, every_short = dealt(classes.select("band", F.lit(-1).alias("tree"), F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("code"), "u"), short, F.broadcast)  # sizes: a row per band
-        data, probing = data.unionByName(every_string), probing.unionByName(every_short)
-
-    def score(strings_: pd.DataFrame, asked_: pd.DataFrame) -> pd.DataFrame:
-        if strings_.empty or asked_.empty:
-            return pd.DataFrame({"q": [], "u": [], "score": []}).astype({"q": "int64", "u": "int64", "score": "float64"})
-        code = strings_["code"].to_numpy().view(np.uint64)
-        order = np.argsort(code, kind="stable")
-        code, names, x = code[order], strings_["u"].to_numpy()[order], matrix(strings_["v"])[order]
-        out = []
-        for at in range(0, len(asked_), 512):
-            part = asked_.iloc[at : at + 512]
-            low, high = _spans(code, part["code"].to_numpy().view(np.uint64), part["level"].to_numpy(), bits)
-            products = matrix(part["qv"]) @ x.T
-            for q, a, b, row in zip(part["u"].tolist(), low.tolist(), high.tolist(), products):
-                best = row[a:b]
-                take = np.argpartition(-best, k)[: k + 1] if b - a > k + 1 else np.arange(b - a)
-                out.append((np.full(len(take), q), names[a:b][take], best[take]))
-        q, u, s = (np.concatenate(c) for c in zip(*out))
-        return pd.DataFrame({"q": q, "u": u, "score": s})
-
-    vectors = classes.select("u", "v")
-    left = data.join(vectors, "u").select(*group, "code", "u", "v")
-    right = probing.join(reached, ["u", "band"]).filter((F.col("level") > 0) == (F.col("tree") >= 0)).join(vectors, "u").select(*group, "code", "u", F.col("v").alias("qv"), "level")
-    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(score, "q long, u long, score double")
-    best = found.groupBy("q", "u").agg(F.max("score").alias("score"))
+        salts = planted.groupBy(*_PLACE).agg(F.ceil(F.count(F.lit(1)) / self.settings.rows_per_group).cast("int").alias("salts"))
+        turns = probes.groupBy(*_PLACE).agg(F.ceil(F.count(F.lit(1)) / self.settings.queries_per_group).cast("int").alias("turns"))
+        places = self.work.write(salts.join(turns, _PLACE), "places")  # written: the joins below can split a hot place
+        upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        planted = planted.join(places, _PLACE).withColumn("salt", F.pmod(F.xxhash64("u"), "salts").cast("int"))
+        planted = planted.select(*_PLACE, "code", "u", "salt", upto("turns").alias("turn"))
+        probes = probes.join(places, _PLACE).withColumn("turn", F.pmod(F.xxhash64("u"), "turns").cast("int"))
+        probes = probes.select(*_PLACE, "code", "turned", "u", upto("salts").alias("salt"), "turn")
+        return self.work.write(planted, "trees"), self.work.write(probes, "asking")
+
+    def levels(self) -> DataFrame:
+        """(u, band, level): where each query's ascent ends in each band; 0 is the empty prefix."""
+        least, settings = max(1, self.least), self.settings
+        levels = range(least, LONGEST + 1)
+
+        def count(planted: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
+            order = np.argsort(planted["code"].to_numpy().view(np.uint64), kind="stable")
+            codes = planted["code"].to_numpy().view(np.uint64)[order]
+            at = pd.Series(np.arange(len(order)), index=planted["u"].to_numpy()[order]).reindex(probes["u"]).fillna(-1).to_numpy()  # the query's own class is no candidate
+            query, turned = probes["code"].to_numpy().view(np.uint64), probes["turned"].to_numpy()
+            out = {"u": probes["u"], "band": probes["band"]}
+            for level in levels:
+                low, high = spans(codes, query, np.full(len(query), level))
+                out[f"n{level}"] = np.where(turned < level, high - low - ((low <= at) & (at < high)), 0)
+            return pd.DataFrame(out)
+
+        names = [f"n{level}" for level in levels]
+        counted = self.trees.groupBy(*_GROUP).cogroup(self.probes.groupBy(*_GROUP)).applyInPandas(count, "u long, band int, " + ", ".join(f"{c} long" for c in names))
+        total = counted.groupBy("u", "band").agg(*[F.sum(c).alias(c) for c in names])
+        wanted = F.greatest(F.ceil(enough(F.col("n"))), F.lit(settings.trees * settings.k)) if settings.candidates is None else F.lit(settings.candidates)
+        level = F.coalesce(*[F.when(F.col(f"n{i}") >= wanted, i) for i in reversed(levels)], F.lit(0))
+        # A pair of query and band that met no bucket has no count.
+        reached = self.queries.join(F.broadcast(self.bands.select("band", "n")), how="cross").join(total, ["u", "band"], "left")  # bands: a few rows
+        return self.work.write(reached.select("u", "band", level.alias("level")), "levels")
+
+    def scored(self, reached: DataFrame) -> DataFrame:
+        """(q, u, score): for each query the best k + 1 of each group among the rows of its spans."""
+        k, dim = self.settings.k, self.dim
+
+        def score(planted: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
+            none = pd.DataFrame({"q": [], "u": [], "score": []}).astype({"q": "int64", "u": "int64", "score": "float64"})
+            if planted.empty or probes.empty:
+                return none
+            order = np.argsort(planted["code"].to_numpy().view(np.uint64), kind="stable")
+            codes, names, x = planted["code"].to_numpy().view(np.uint64)[order], planted["u"].to_numpy()[order], _matrix(planted["v"], dim)[order]
+            low, high = spans(codes, probes["code"].to_numpy().view(np.uint64), probes["level"].to_numpy())
+            asked, vectors = probes["u"].to_numpy(), _matrix(probes["qv"], dim)
+            rows = np.flatnonzero(high > low)
+            rows = rows[np.lexsort((high[rows], low[rows]))]
+            cuts = np.flatnonzero((np.diff(low[rows]) != 0) | (np.diff(high[rows]) != 0)) + 1
+            out = []
+            for same in np.split(rows, cuts):  # queries of one span
+                for at in range(0, len(same), 512):
+                    part = same[at : at + 512]
+                    a, b = low[part[0]], high[part[0]]
+                    products = vectors[part] @ x[a:b].T
+                    take = np.argpartition(-products, k, axis=1)[:, : k + 1] if b - a > k + 1 else np.broadcast_to(np.arange(b - a), products.shape)
+                    out.append((np.repeat(asked[part], take.shape[1]), names[a:b][take].ravel(), np.take_along_axis(products, take, 1).ravel()))
+            if not out:
+                return none
+            q, u, s = (np.concatenate(c) for c in zip(*out))
+            order = np.lexsort((-s, q))
+            q, u, s = q[order], u[order], s[order]
+            best = np.arange(len(q)) - np.searchsorted(q, q, "left") <= k
+            return pd.DataFrame({"q": q[best], "u": u[best], "score": s[best]})
+
+        trees, probes = self.trees, self.probes
+        short = reached.filter("level = 0").select("band", F.lit(-1).alias("tree"), F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("code"), F.lit(-1).alias("turned"), "u")
+        if not short.isEmpty():
+            whole = self.classes.select("band", F.lit(-1).alias("tree"), F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("code"), "u")
+            every_row, every_short = self.dealt(whole, short)
+            trees, probes = trees.unionByName(every_row), probes.unionByName(every_short)
+        vectors = self.classes.select("u", F.col("v").cast(self.kind if self.kind == "array<float>" else "array<double>").alias("v"))
+        left = trees.join(vectors, "u").select(*_GROUP, "code", "u", "v")
+        right = probes.join(reached, ["u", "band"]).filter("if(tree < 0, level = 0, level > turned and level > 0)")
+        right = right.join(vectors, "u").select(*_GROUP, "code", "u", F.col("v").alias("qv"), "level")
+        return left.groupBy(*_GROUP).cogroup(right.groupBy(*_GROUP)).applyInPandas(score, "q long, u long, score double")
+
+
+def nearest(embeddings: DataFrame, **settings) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the rows whose id ``every`` divides, against all others; see ``Settings``."""
+    forest = Forest(embeddings, Settings(**settings))
+    k = forest.settings.k
+    best = forest.scored(forest.levels()).groupBy("q", "u").agg(F.max("score").alias("score"))
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "u"))).filter(F.col("r") <= k + 1)
-    told = best.join(classes.select("u", "ids"), "u").select("q", "score", F.explode("ids").alias("vec_id"))
+    told = best.join(forest.classes.select("u", "ids"), "u").select("q", "score", F.explode("ids").alias("vec_id"))
     told = told.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k + 1)
     lists = told.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("found"))  # k + 1 at most
-    a = asked.select(F.col("vec_id").alias("query_id"), F.col("u").alias("q"))
+    asked = forest.asked.select(F.col("vec_id").alias("query_id"), F.col("u").alias("q"))
     own = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    return (
-        a.join(lists, "q")
-        .select("query_id", F.posexplode(own).alias("p", "x"))
-        .select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
-    )
+    out = asked.join(lists, "q").select("query_id", F.posexplode(own).alias("p", "x"))
+    out = materialize(out.select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score")), "nearest")
+    forest.work.clear()
+    return out

@@ -27,14 +27,12 @@ def test_a_forest_that_keeps_everything_is_exact(spark, rows_per_group):
     rows += [(i, rows[7][1], 0) for i in range(200, 290)] + [rows[3], (None, rows[0][1], 0), (500, None, 0), (520, [0.0] * 8, 0), (540, [1.0] * 7 + [None], 0), (560, [float("nan")] + [1.0] * 7, 0), (580, [float("inf")] + [1.0] * 7, 0), (600, [1.0] * 3, 0), (620, [], 0)]
     df = spark.createDataFrame(rows, SCHEMA)
     rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], 0) for i, v, _ in rows]
-    kept = found(ann.nearest(df, trees=10, probes=8, rows_per_group=rows_per_group) if rows_per_group > 100 else ann.nearest(df, trees=10, probes=8, rows_per_group=rows_per_group, candidates=10**9))
+    kept = found(ann.nearest(df, trees=3, rows_per_group=rows_per_group, candidates=10**9))
     wanted = exact(rows, 20)
-    if rows_per_group > 100:
-        assert [x[:3] for x in kept] == [x[:3] for x in wanted]
-        assert np.allclose([x[3] for x in kept], [x[3] for x in wanted], rtol=1e-14)
-    else:
-        met = {(q, i) for q, _, i, _ in kept}
-        assert len(met & {(q, i) for q, _, i, _ in wanted}) >= 0.9 * len(wanted)
+    assert [x[:3] for x in kept] == [x[:3] for x in wanted]
+    assert np.allclose([x[3] for x in kept], [x[3] for x in wanted], rtol=1e-14)
+    met = {(q, i) for q, _, i, _ in found(ann.nearest(df, trees=8, rows_per_group=rows_per_group))}
+    assert len(met & {(q, i) for q, _, i, _ in wanted}) >= 0.9 * len(wanted)
 
 
 def test_recall_and_ascending_on_random_vectors(spark):
@@ -47,7 +45,7 @@ def test_recall_and_ascending_on_random_vectors(spark):
     best = {(20 * q, int(i)) for q, row in enumerate(products) for i in np.argpartition(-row, 20)[:20]}
     full = {(r[0], r[2]) for r in found(ann.nearest(df))}
     assert len(full & best) >= 0.9 * len(best)
-    short = {(r[0], r[2]) for r in found(ann.nearest(df, candidates=5))}
+    short = {(r[0], r[2]) for r in found(ann.nearest(df, candidates=5, trees=8))}
     assert len(short & best) < len(full & best)
     assert short
 
@@ -71,17 +69,17 @@ def recall(spark, x, **settings):
 
 
 def test_many_vectors_a_group_do_not_shorten_the_ascent(spark):
-    share, fewest = recall(spark, unit_rows(2000), rows_per_group=12)
+    share, fewest = recall(spark, unit_rows(2000), rows_per_group=100, trees=24)
     assert share >= 0.9 and fewest == 20
 
 
 @pytest.mark.parametrize("n", [30, 15])
 def test_small_tables_give_all_they_have(spark, n):
-    assert recall(spark, unit_rows(n)) == (1.0, min(20, n - 1))
+    assert recall(spark, unit_rows(n), trees=4) == (1.0, min(20, n - 1))
 
 
 def test_queries_meet_blocks_in_turns(spark):
-    assert recall(spark, unit_rows(45), rows_per_group=20, queries_per_group=2) == (1.0, 20)
+    assert recall(spark, unit_rows(45), rows_per_group=20, queries_per_group=2, trees=2) == (1.0, 20)
 
 
 @pytest.mark.parametrize("kind", ["one long", "spread"])
@@ -91,6 +89,31 @@ def test_unequal_lengths(spark, kind):
     assert share >= 0.9 and fewest == 20
 
 
+def test_prefixes_are_as_long_as_the_surroundings_are_dense(spark):
+    rng = np.random.default_rng(5)
+    tight = rng.standard_normal(64) + 0.05 * rng.standard_normal((1500, 64))
+    loose = rng.standard_normal((1500, 64))
+    x = np.vstack([tight, loose])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    forest = ann.Forest(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA), ann.Settings())
+    names = {r["u"]: r["vec_id"] for r in forest.asked.collect()}
+    level = {names[r["u"]]: r["level"] for r in forest.levels().collect()}
+    assert min(level.values()) > 3 and len(set(level.values())) >= 3
+    assert np.median([v for i, v in level.items() if i < 1500]) >= np.median([v for i, v in level.items() if i >= 1500]) + 3
+
+
+def test_strings_turn_the_least_certain_signs():
+    y = np.random.default_rng(1).standard_normal((50, 64))
+    own = ann.strings(y)
+    assert all(int(c) == int("".join("1" if v > 0 else "0" for v in row), 2) for c, row in zip(own, y))
+    for code, turned in ann.probed(y, 3)[1:]:
+        assert all(int(a ^ b) == 1 << (63 - t) and t < ann.TURNED for a, b, t in zip(own, code, turned.tolist()))
+    codes = np.sort(own)
+    for level in (0, 1, 5, 64):
+        low, high = ann.spans(codes, own, np.full(50, level))
+        assert (high - low).tolist() == [sum(int(a) >> 64 - level == int(b) >> 64 - level for a in own) for b in own]
+
+
 def test_no_vectors(spark):
     assert ann.nearest(spark.createDataFrame([], SCHEMA)).count() == 0
     assert ann.nearest(spark.createDataFrame([(20, [1.0, 2.0], 0)], SCHEMA)).count() == 0
