@@ -19,7 +19,6 @@ class Settings:
     rehab_per_sqft: float = 35.0
     min_pool: int = 1000
     min_price: int = 10_000
-    max_latitude: float = 31.5
 
 
 _ID = ["county_fips", "parcel_id"]
@@ -61,14 +60,14 @@ def valuation(parcels: DataFrame, sales: DataFrame, settings: Settings = Setting
     priced = priced.filter("qualification_code in ('Q', 'C', 'U') or (qualification_code is null and instrument_type = 'WD')")
     comps = priced.join(located.select(*_ID, "dor_uc", "eff_yr_blt", "tot_lvg_area", "lat", "lon"), _ID)
     in_pool = subjects.join(viable_counties(sales, settings).filter("viable").select("county_fips"), "county_fips", "left_semi")
-    pairs = within_radius(in_pool, comps, ["county_fips", "dor_uc"], radius, years, settings.max_latitude)
+    pairs = within_radius(in_pool, comps, ["county_fips", "dor_uc"], radius, years)
     strict = F.coalesce(F.col("r.qualification_code") != "U", F.lit(True))
     sold = _summary(pairs, {"strict": strict, "wide": F.lit(True)}, "sale_price")
 
     enough = lambda p: (F.col(f"n_{p}") >= settings.min_comps) & F.col(f"ppsf_{p}").isNotNull()
     settled = sold.filter(enough("strict") | enough("wide")).select(*_ID)
     own = located.filter(f"qual_cd1 = '01' and sale_prc1 >= {settings.min_price} and tot_lvg_area > 0").select(*_ID, "dor_uc", "eff_yr_blt", "tot_lvg_area", "sale_prc1", "lat", "lon")
-    rest = within_radius(subjects.join(settled, _ID, "left_anti"), own, ["county_fips", "dor_uc"], radius, years, settings.max_latitude)
+    rest = within_radius(subjects.join(settled, _ID, "left_anti"), own, ["county_fips", "dor_uc"], radius, years)
     roll = _summary(rest, {"roll": F.lit(True)}, "sale_prc1")
 
     chosen = F.when(enough("strict"), F.struct(F.lit("COMP").alias("source"), F.col("n_strict").alias("n"), F.col("ppsf_strict").alias("ppsf")))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from acrelens.functions.text import parcel_key, street_address
+from acrelens.functions.text import UNIT_MARK, parcel_key, street_address
 
-_UNIT_AT_END = r"^(.*?)\s*(?:#|APT\.?\s*|UNIT\s+|STE\.?\s*|SUITE\s+)([A-Z0-9][\w-]*)\s*$"
+_UNIT_AT_END = rf"^(.*?)\s*{UNIT_MARK}([A-Z0-9][\w-]*)\s*$"
 _PREFIX = r"^(\d+\s+\S+(?:\s+\S+)?)"
 
 
@@ -46,46 +47,123 @@ def by_address(listings: DataFrame, parcels: DataFrame) -> DataFrame:
     return listings.select("listing_id").join(found, "listing_id", "left").select("listing_id", "parcel_id", "level", "review")
 
 
-@F.pandas_udf(DoubleType())
-def _indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def likeness(x: str, y: str) -> float:
     """100 x twice the longest common subsequence over both lengths."""
-    def ratio(x: str, y: str) -> float:
-        if not x and not y:
-            return 100.0
-        rows: dict[str, int] = {}
-        for i, c in enumerate(x):
-            rows[c] = rows.get(c, 0) | 1 << i
-        open_ = full = (1 << len(x)) - 1
-        for c in y:
-            hit = open_ & rows.get(c, 0)
-            open_ = (open_ + hit | open_ - hit) & full
-        return 200.0 * (len(x) - open_.bit_count()) / (len(x) + len(y))
+    if not x and not y:
+        return 100.0
+    rows: dict[str, int] = {}
+    for i, c in enumerate(x):
+        rows[c] = rows.get(c, 0) | 1 << i
+    open_ = full = (1 << len(x)) - 1
+    for c in y:
+        hit = open_ & rows.get(c, 0)
+        open_ = (open_ + hit | open_ - hit) & full
+    return 200.0 * (len(x) - open_.bit_count()) / (len(x) + len(y))
+
 
-    return pd.Series([ratio(x, y) for x, y in zip(a, b)])
+@F.pandas_udf(DoubleType())
+def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([likeness(x, y) for x, y in zip(a, b)])
 
 
 def sorted_words(c: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(F.upper(F.trim(c)), r"\s+"), lambda w: w != "")), " ")
 
 
+def _shared(n: Column, least: float) -> Column:
+    """How many letter pairs a text of n letters shares at least with any text that is as like as asked.
+
+    A common subsequence of c letters leaves c - (a - c) - (b - c) - 1 pairs of neighbours in
+    both texts of a and b letters, c is at least least / 200 of a + b, and b at least that of a
+    text of which the whole stands in the other.
+    """
+    shortest = F.ceil(n * least / (200.0 - least))
+    return F.ceil((3.0 * least / 200.0 - 1.0) * (n + shortest) - 1.0 - 1e-9).cast("int")
+
+
+def _lettered(rows: DataFrame, name: str, least: float) -> DataFrame:
+    """county_fips, id, text and its letter pairs; a pair's second time is another pair. ``rare`` of them are enough to be found by."""
+    text = sorted_words(F.col("text"))
+    rows = rows.select("county_fips", F.col(name).alias("id"), text.alias("text"), F.length(text).alias("n")).filter("county_fips is not null and text is not null")
+    pairs = F.when(F.col("n") > 1, F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.substring("text", i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("pairs", pairs)
+    counted = F.transform("pairs", lambda g, i: F.concat(g, F.size(F.filter(F.slice("pairs", F.lit(1), i), lambda x: x == g)).cast("string")))
+    return rows.select("county_fips", "id", "text", "n", counted.alias("pairs"), _shared(F.col("n"), least).alias("shared"), (F.col("n") - F.greatest(_shared(F.col("n"), least), F.lit(1))).alias("rare"))
+
+
+def _rarest(rows: DataFrame, seen: DataFrame) -> DataFrame:
+    """county_fips, id, n, pair: the ``rare`` letter pairs of each text that the fewest choices have."""
+    each = rows.select("county_fips", "id", "n", "rare", F.explode("pairs").alias("pair")).join(seen, ["county_fips", "pair"], "left")
+    place = F.row_number().over(Window.partitionBy("county_fips", "id").orderBy(F.coalesce("seen", F.lit(0)), "pair"))  # the pairs of one text
+    return each.withColumn("place", place).filter("place <= rare").select("county_fips", "id", "n", "pair")
+
+
 def by_likeness(queries: DataFrame, choices: DataFrame, least: float) -> DataFrame:
-    """query_id, choice_id, score: the likeliest choice of each query's county at the score or more.
+    """query_id, choice_id, score: the likeliest choice of each query's county at the score or more, ties to the greater id.
 
-    Both sides have county_fips and text. Likeness is that of the texts with their words
-    sorted. Pairs share a word; of those that share several, one pair is compared.
+    Both sides have county_fips and text; an id stands once. Likeness is that of the texts
+    with their words sorted. No pair at the score is lost: texts that are so alike share
+    a number of letter pairs (``_shared``), so each has one of its rarest pairs in common with
+    the other, and only texts that meet on those are compared. Where more than half of a
+    query's pairs would be needed, it is compared with every choice of its county, in blocks.
     """
-    def words(df: DataFrame, name: str) -> DataFrame:
-        text = sorted_words(F.col("text"))
-        return df.select("county_fips", name, text.alias(f"{name}_text"), F.explode(F.array_distinct(F.split(text, " "))).alias("word")).filter("word <> ''")
-
-    pairs = words(queries, "query_id").join(words(choices, "choice_id"), ["county_fips", "word"]).drop("word").distinct()
-    # Two texts can't be as like as asked if their lengths are too different.
-    a, b = F.length("query_id_text"), F.length("choice_id_text")
-    scored = pairs.filter(200.0 * F.least(a, b) >= least * (a + b)).withColumn("score", _indel_ratio("query_id_text", "choice_id_text")).filter(F.col("score") >= least)
+    asked, offered = _lettered(queries, "query_id", least), _lettered(choices, "choice_id", least)
+    few = (F.col("shared") >= 1) & (F.col("rare") * 2 <= F.col("n") - 1)
+    seen = offered.select("county_fips", F.explode("pairs").alias("pair")).groupBy("county_fips", "pair").agg(F.count(F.lit(1)).alias("seen"))
+    a = _rarest(asked.filter(few), seen).select("county_fips", "pair", F.col("id").alias("query_id"), F.col("n").alias("a"))
+    b = _rarest(offered, seen).select("county_fips", "pair", F.col("id").alias("choice_id"), F.col("n").alias("b"))
+    met = a.join(b, ["county_fips", "pair"]).filter(200.0 * F.least("a", "b") >= least * (F.col("a") + F.col("b"))).select("query_id", "choice_id").distinct()
+    texts = met.join(asked.select(F.col("id").alias("query_id"), F.col("text").alias("x")), "query_id").join(offered.select(F.col("id").alias("choice_id"), F.col("text").alias("y")), "choice_id")
+    scored = texts.select("query_id", "choice_id", _likeness("x", "y").alias("score")).filter(F.col("score") >= least)
+    scored = scored.unionByName(_in_blocks(asked.filter(~few), offered, least))
     best = scored.groupBy("query_id").agg(F.max(F.struct("score", F.col("choice_id"))).alias("b"))
     return best.select("query_id", "b.choice_id", "b.score")
 
 
+#: Texts of one side that meet in a block.
+BLOCK = 4096
+
+
+def _in_blocks(asked: DataFrame, offered: DataFrame, least: float) -> DataFrame:
+    """query_id, choice_id, score: each query's likeliest choice of every block of its county, at the score or more.
+
+    In a block, letters alone bound the likeness; texts are compared from the highest bound down, while one can win.
+    """
+    def dealt(rows: DataFrame, others: DataFrame, mine: str, theirs: str) -> DataFrame:
+        blocks = lambda df, name: df.groupBy("county_fips").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+        sizes = blocks(rows, "own").join(blocks(others, "met"), "county_fips")
+        return rows.select("county_fips", "id", "text").join(sizes, "county_fips").select("county_fips", "id", "text", F.pmod(F.xxhash64("id"), "own").cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.col("met") - 1)).alias(theirs))
+
+    def letters(texts: pd.Series) -> np.ndarray:
+        out = np.zeros((len(texts), 64), dtype=np.int16)
+        for row, t in zip(out, texts):
+            np.add.at(row, [ord(c) & 63 for c in t], 1)
+        return out
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(left) and len(right):
+            have, n = letters(right["text"]), right["text"].str.len().to_numpy()
+            ids, texts = right["id"].tolist(), right["text"].tolist()
+            for query, x, own in zip(left["id"].tolist(), left["text"], letters(left["text"])):
+                bound = 200.0 * np.minimum(have, own).sum(axis=1) / np.maximum(n + len(x), 1)
+                top = None
+                for i in np.argsort(-bound, kind="stable"):
+                    if bound[i] < least or top is not None and bound[i] < top[0]:
+                        break
+                    score = likeness(x, texts[i])
+                    if score >= least and (top is None or (score, ids[i]) > top):
+                        top = (score, ids[i])
+                if top is not None:
+                    found.append((query, top[1], top[0]))
+        return pd.DataFrame(found, columns=["query_id", "choice_id", "score"])
+
+    key = ["county_fips", "turn", "block"]
+    kinds = [df.schema["id"].dataType.simpleString() for df in (asked, offered)]
+    a, b = dealt(asked, offered, "turn", "block"), dealt(offered, asked, "block", "turn")
+    return a.groupBy(*key).cogroup(b.groupBy(*key)).applyInPandas(best, f"query_id {kinds[0]}, choice_id {kinds[1]}, score double")
+
+
 def legal_spellings(legal: Column) -> Column:
     """The spellings under which a roll may hold a lot of a subdivision, in order."""
     lot, block, name = F.replace(legal["lot"], F.lit("/"), F.lit(" ")), F.trim(legal["block"]), F.trim(legal["subdivision"])
@@ -93,6 +171,42 @@ def legal_spellings(legal: Column) -> Column:
     return F.when(lot.isNotNull() & block.isNotNull(), full).otherwise(F.array(F.upper(name)))
 
 
+def by_legal(records: DataFrame, parcels: DataFrame, least: float = 72.0) -> DataFrame:
+    """record_id, parcel_id, score, spelling: parcels (county_fips, parcel_id, s_legal) of records (record_id, county_fips, legal).
+
+    The spellings of a record's lot are tried in order; the first that is as like as asked to
+    a parcel's description decides. Of parcels with the same description the greatest id counts.
+    """
+    spelt = records.filter("legal.subdivision is not null").select("record_id", "county_fips", F.posexplode(legal_spellings(F.col("legal"))).alias("spelling", "text"))
+    spelt = spelt.select(F.concat_ws("|", F.col("record_id").cast("string"), F.col("spelling").cast("string")).alias("query_id"), "record_id", "spelling", "county_fips", "text")
+    roll = parcels.filter("trim(s_legal) <> ''").groupBy("county_fips", F.upper(F.trim("s_legal")).alias("text")).agg(F.max("parcel_id").alias("choice_id"))
+    roll = roll.withColumn("choice_id", F.concat_ws("|", "county_fips", "choice_id"))
+    hits = by_likeness(spelt.select("query_id", "county_fips", "text"), roll, least).join(spelt.select("query_id", "record_id", "spelling"), "query_id")
+    first = hits.groupBy("record_id").agg(F.min(F.struct("spelling", "choice_id", "score")).alias("b"))
+    return first.select("record_id", F.element_at(F.split("b.choice_id", r"\|"), -1).alias("parcel_id"), "b.score", "b.spelling")
+
+
+def by_court_record(records: DataFrame, parcels: DataFrame) -> DataFrame:
+    """record_id, parcel_id, method of every record (record_id, county_fips, legal): by lot, else by section, else none."""
+    lots = by_legal(records, parcels)
+    left = records.join(lots, "record_id", "left_anti")
+    sections = by_section(left.select("record_id", "county_fips", "legal.sec", "legal.twp", "legal.rge"), parcels)
+    found = lots.select("record_id", "parcel_id", F.lit("fuzzy_legal").alias("method")).unionByName(sections.withColumn("method", F.lit("str")))
+    return records.select("record_id").join(found, "record_id", "left").select("record_id", "parcel_id", F.coalesce("method", F.lit("none")).alias("method"))
+
+
+def match_cycle(listings: DataFrame, parcels: DataFrame, events: DataFrame) -> DataFrame:
+    """county_fips, listings, matched, unmatched, to_review, inserted of one round of matching.
+
+    ``events`` (county_fips, parcel_id) are there already; a matched parcel without one is inserted once.
+    """
+    found = by_address(listings, parcels).join(listings.select("listing_id", "county_fips"), "listing_id")
+    counts = found.groupBy("county_fips").agg(F.count(F.lit(1)).alias("listings"), F.count("parcel_id").alias("matched"), F.count_if(F.col("parcel_id").isNull()).alias("unmatched"), F.count("review").alias("to_review"))
+    fresh = found.filter("parcel_id is not null").select("county_fips", "parcel_id").distinct().join(events, ["county_fips", "parcel_id"], "left_anti")
+    inserted = fresh.groupBy("county_fips").agg(F.count(F.lit(1)).alias("inserted"))
+    return counts.join(inserted, "county_fips", "left").withColumn("inserted", F.coalesce("inserted", F.lit(0)))
+
+
 def by_section(records: DataFrame, parcels: DataFrame) -> DataFrame:
     """record_id, parcel_id where section, township and range (endings N and S aside) name one parcel alone."""
     bare = lambda c: F.regexp_replace(F.upper(F.trim(c)), "[NSEW]$", "")

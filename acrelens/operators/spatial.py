@@ -7,10 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from acrelens.scratch import materialize
+
 EARTH_M = 6_371_008.8
 MILE_M = 1609.344
-#: Cells are laid out for latitudes up to this; beyond it, pass another.
-MAX_LATITUDE = 60.0
+#: Half of the way round: every place is within it.
+FARTHEST_M = math.pi * EARTH_M * 1.001
 
 
 def distance_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -19,27 +21,32 @@ def distance_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column
     return 2 * EARTH_M * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
-def cell_sizes(radius_m: float, max_latitude: float = MAX_LATITUDE) -> tuple[float, float]:
-    """Degrees of latitude and longitude that are at least the radius."""
-    lat = math.degrees(radius_m / EARTH_M) * 1.000001
-    return lat, lat / math.cos(math.radians(max_latitude))
-
-
 def cell(value: Column, size: float) -> Column:
     return F.floor(value / size).cast("long")
 
 
-def within_radius(left: DataFrame, right: DataFrame, keys: list[str], radius_m: float, condition: str = "true", max_latitude: float = MAX_LATITUDE) -> DataFrame:
+def _columns(lon: Column, size: float) -> Column:
+    """Number of the cell of a longitude, on a circle of whole cells."""
+    return F.pmod(F.floor((lon + 180.0) / size).cast("long"), F.lit(round(360.0 / size)))
+
+
+def within_radius(left: DataFrame, right: DataFrame, keys: list[str], radius_m: float, condition: str = "true") -> DataFrame:
     """Pairs (structs l and r) with equal keys and at most the radius apart, for which ``condition`` on l.* and r.* holds.
 
-    Both sides have lat and lon. The left side is spread over its nine cells, so each
-    pair meets in exactly one and the join is an equi-join that AQE can split.
+    Both sides have lat and lon. The left side is spread over the cells that its circle
+    touches, about nine and more towards the poles, round the date line too; each pair
+    meets in exactly one of them and the join is an equi-join that AQE can split.
     """
-    lat, lon = cell_sizes(radius_m, max_latitude)
-    near = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
+    reach = min(math.degrees(radius_m / EARTH_M) * 1.000001, 180.0)
+    high, wide = max(reach, 1e-6), 360.0 / max(1, math.floor(360.0 / max(reach, 1e-6)))
+    at = F.col("l.lat"), F.col("l.lon")
+    # How far the circle reaches east and west: to all longitudes where it holds a pole.
+    across = F.when(F.abs(at[0]) + reach >= 89.999, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(math.sin(math.radians(min(reach, 90.0)))) / F.cos(F.radians(at[0])), F.lit(1.0)))) * 1.000001)
+    rows = F.sequence(cell(at[0] - reach, high), cell(at[0] + reach, high))
+    columns = F.array_distinct(F.transform(F.sequence(F.floor((at[1] - across + 180.0) / wide).cast("long"), F.floor((at[1] + across + 180.0) / wide).cast("long")), lambda x: F.pmod(x, F.lit(round(360.0 / wide)))))
     a = left.filter("lat is not null and lon is not null").select(*[F.col(k).alias(f"k_{k}") for k in keys], F.struct("*").alias("l"))
-    a = a.withColumn("y", F.explode(F.transform(near, lambda d: cell(F.col("l.lat"), lat) + d))).withColumn("x", F.explode(F.transform(near, lambda d: cell(F.col("l.lon"), lon) + d)))
-    b = right.filter("lat is not null and lon is not null").select(*[F.col(k).alias(f"k_{k}") for k in keys], F.struct("*").alias("r"), cell(F.col("lat"), lat).alias("y"), cell(F.col("lon"), lon).alias("x"))
+    a = a.withColumn("y", F.explode(rows)).withColumn("x", F.explode(columns))
+    b = right.filter("lat is not null and lon is not null").select(*[F.col(k).alias(f"k_{k}") for k in keys], F.struct("*").alias("r"), cell(F.col("lat"), high).alias("y"), _columns(F.col("lon"), wide).alias("x"))
     pairs = a.join(b, [*[f"k_{k}" for k in keys], "y", "x"])
     apart = distance_m(F.col("l.lat"), F.col("l.lon"), F.col("r.lat"), F.col("r.lon"))
     return pairs.filter(F.expr(condition)).filter(apart <= radius_m).select("l", "r")
@@ -84,13 +91,16 @@ def tiles(lat_low: Column, lat_high: Column, size: float) -> Column:
 def containing(points: DataFrame, polygons: DataFrame, key: list[str], size: float = 0.25) -> DataFrame:
     """Pairs of points (key, lat, lon) and polygons (name, ring) that hold them: key, name, area.
 
-    A polygon stands in every grid tile that its box touches; a point in one.
+    A polygon stands in every grid tile that its box touches; a point in one. Polygons may
+    have ``holes``, rings that lie inside, and an ``area`` of their own.
     """
+    holes = F.col("holes") if "holes" in polygons.columns else F.array().cast("array<array<struct<lon:double,lat:double>>>")
+    area = F.col("area") if "area" in polygons.columns else ring_area(F.col("ring"))
     lats, lons = F.transform("ring", lambda p: p["lat"]), F.transform("ring", lambda p: p["lon"])
-    shapes = polygons.select(F.col("name"), "ring", ring_area(F.col("ring")).alias("area"), F.array_min(lats).alias("s"), F.array_max(lats).alias("n"), F.array_min(lons).alias("w"), F.array_max(lons).alias("e"))
+    shapes = polygons.select(F.col("name"), "ring", holes.alias("holes"), area.alias("area"), F.array_min(lats).alias("s"), F.array_max(lats).alias("n"), F.array_min(lons).alias("w"), F.array_max(lons).alias("e"))
     shapes = shapes.withColumn("y", F.explode(tiles(F.col("s"), F.col("n"), size))).withColumn("x", F.explode(tiles(F.col("w"), F.col("e"), size)))
     spots = points.select(*key, "lat", "lon", cell(F.col("lat"), size).alias("y"), cell(F.col("lon"), size).alias("x"))
-    met = spots.join(shapes, ["y", "x"]).filter("lat between s and n and lon between w and e").filter(inside(F.col("lat"), F.col("lon"), F.col("ring")))
+    met = spots.join(shapes, ["y", "x"]).filter("lat between s and n and lon between w and e").filter(inside(F.col("lat"), F.col("lon"), F.col("ring")) & ~F.exists("holes", lambda h: inside(F.col("lat"), F.col("lon"), h)))
     return met.select(*key, "name", "area")
 
 
@@ -104,19 +114,22 @@ def any_containing(points: DataFrame, polygons: DataFrame, key: list[str]) -> Da
     return containing(points, polygons, key).groupBy(*key).agg(F.min("name").alias("name"))
 
 
-def nearest_place(points: DataFrame, places: DataFrame, key: list[str], radii_m: tuple[float, ...] = (5_000.0, 40_000.0, 320_000.0), max_latitude: float = MAX_LATITUDE) -> DataFrame:
-    """key, name, metres of the nearest place (name, lat, lon) within the last radius, ties to the lesser name.
+def nearest_place(points: DataFrame, places: DataFrame, key: list[str], radii_m: tuple[float, ...] = (5_000.0, 40_000.0, 320_000.0, 2_560_000.0)) -> DataFrame:
+    """key, name, metres of the nearest place (name, lat, lon) of every point, ties to the lesser name.
 
-    Rings of growing radius: a point that a smaller one settles does not enter the next.
+    Rings of growing radius, the last one round the earth: a point that a smaller one
+    settles does not enter the next, and no further ring is made when none is left.
     """
-    out, left = None, points
-    for radius in radii_m:
-        pairs = within_radius(left.select(*key, "lat", "lon"), places.select("name", "lat", "lon"), [], radius, max_latitude=max_latitude)
+    out, left = None, points.filter("lat is not null and lon is not null").select(*key, "lat", "lon")
+    for radius in (*radii_m, FARTHEST_M):
+        pairs = within_radius(left, places.select("name", "lat", "lon"), [], radius)
         metres = distance_m(F.col("l.lat"), F.col("l.lon"), F.col("r.lat"), F.col("r.lon"))
         best = pairs.select(*[F.col(f"l.{k}").alias(k) for k in key], F.struct(metres.alias("metres"), F.col("r.name").alias("name")).alias("b")).groupBy(*key).agg(F.min("b").alias("b"))
-        best = best.select(*key, "b.name", "b.metres")
+        best = materialize(best.select(*key, "b.name", "b.metres"), "nearest")
         out = best if out is None else out.unionByName(best)
         left = left.join(best, key, "left_anti")
+        if left.isEmpty():
+            break
     return out
 
 

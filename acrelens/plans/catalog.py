@@ -286,31 +286,35 @@ def county_viability(sales):
 @query(f"SELECT a.county_fips, a.parcel_id, count(*) AS neighbours FROM parcels a JOIN parcels b ON a.county_fips = b.county_fips AND a.parcel_id <> b.parcel_id AND {_MILES} <= 1000e0 GROUP BY ALL")
 def radius_neighbours(parcels):
     slim = parcels.select(*_ID, "lat", "lon")
-    pairs = spatial.within_radius(slim, slim, ["county_fips"], 1000.0, "l.parcel_id <> r.parcel_id", max_latitude=31.5)
+    pairs = spatial.within_radius(slim, slim, ["county_fips"], 1000.0, "l.parcel_id <> r.parcel_id")
     return pairs.groupBy(F.col("l.county_fips").alias("county_fips"), F.col("l.parcel_id").alias("parcel_id")).agg(F.count(F.lit(1)).alias("neighbours"))
 
 
-def _squares(places):
-    corner = lambda dy, dx: F.struct((F.col("lon") + dx * F.col("half")).alias("lon"), (F.col("lat") + dy * F.col("half")).alias("lat"))
-    return places.select("name", F.array(corner(-1, -1), corner(-1, 1), corner(1, 1), corner(1, -1)).alias("ring"))
+def _diamonds(places):
+    """Squares on a corner, with a smaller one cut out."""
+    def ring(half):
+        corner = lambda dy, dx: F.struct((F.col("lon") + dx * half).alias("lon"), (F.col("lat") + dy * half).alias("lat"))
+        return F.array(corner(-1, 0), corner(0, 1), corner(1, 0), corner(0, -1))
 
+    return places.select("name", ring(F.col("half") + 1.3e-4).alias("ring"), F.array(ring(F.col("half") * 0.31 + 1.3e-4)).alias("holes"))
 
-_IN_SQUARE = "p.lat >= q.lat - q.half AND p.lat < q.lat + q.half AND p.lon >= q.lon - q.half AND p.lon < q.lon + q.half"
 
+_IN_DIAMOND = "abs(p.lat - q.lat) + abs(p.lon - q.lon) < q.half + 1.3e-4 AND abs(p.lat - q.lat) + abs(p.lon - q.lon) > q.half * 0.31e0 + 1.3e-4"
 
-@query(f"SELECT p.county_fips, p.parcel_id, arg_min(q.name, (-round(q.half, 6), q.name)) AS name FROM parcels p JOIN places q ON {_IN_SQUARE} GROUP BY ALL")
+
+@query(f"SELECT p.county_fips, p.parcel_id, arg_min(q.name, (-round(q.half, 6), q.name)) AS name FROM parcels p JOIN places q ON {_IN_DIAMOND} GROUP BY ALL")
 def city_by_polygon(parcels, places):
-    return spatial.largest_containing(parcels.filter("lat is not null"), _squares(places).withColumn("ring", F.col("ring")), _ID)
+    return spatial.largest_containing(parcels.filter("lat is not null"), _diamonds(places).withColumn("area", F.round(spatial.ring_area(F.col("ring")), 9)), _ID)
 
 
-@query(f"SELECT p.county_fips, p.parcel_id, min(q.name) AS name FROM parcels p JOIN places q ON {_IN_SQUARE} GROUP BY ALL")
+@query(f"SELECT p.county_fips, p.parcel_id, min(q.name) AS name FROM parcels p JOIN places q ON {_IN_DIAMOND} GROUP BY ALL")
 def zip_by_polygon(parcels, places):
-    return spatial.any_containing(parcels.filter("lat is not null"), _squares(places), _ID)
+    return spatial.any_containing(parcels.filter("lat is not null"), _diamonds(places), _ID)
 
 
 @query(f"SELECT county_fips, parcel_id, name, round(m, 3) AS metres FROM (SELECT a.county_fips, a.parcel_id, b.name, {_MILES} AS m FROM parcels a CROSS JOIN places b WHERE a.lat IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY county_fips, parcel_id ORDER BY m, name) = 1")
 def nearest_place(parcels, places):
-    return spatial.nearest_place(parcels.filter("lat is not null"), places, _ID, max_latitude=31.5).select(*_ID, "name", F.round("metres", 3).alias("metres"))
+    return spatial.nearest_place(parcels.filter("lat is not null"), places, _ID).select(*_ID, "name", F.round("metres", 3).alias("metres"))
 
 
 @query(
@@ -368,6 +372,34 @@ def section_match(listings, parcels):
     return match.by_section(records, parcels)
 
 
+_WITH_UNIT = "CASE WHEN CAST(parcel_id AS BIGINT) % 4 < 2 THEN phy_addr1 || ' 4' ELSE phy_addr1 END"
+
+
+@query(
+    f"""WITH asked AS (SELECT listing_id, county_fips, zip, {_STREETS} AS street FROM listings),
+ units AS (SELECT county_fips, parcel_id, phy_zipcd, upper(trim({_WITH_UNIT})) AS key FROM parcels),
+ missed AS (SELECT * FROM asked a WHERE listing_id % 5 = 1 AND NOT EXISTS (SELECT 1 FROM units p WHERE a.county_fips = p.county_fips AND p.key = a.street)),
+ hits AS (SELECT listing_id, min(parcel_id) FILTER (p.phy_zipcd = a.zip) AS z, min(parcel_id) AS k FROM missed a JOIN units p ON a.county_fips = p.county_fips AND p.key = a.street || ' 4' GROUP BY 1)
+ SELECT listing_id, coalesce(z, k) AS parcel_id, CAST(CASE WHEN z IS NOT NULL THEN 3 ELSE 4 END AS INT) AS level FROM hits"""
+)
+def address_unit_match(listings, parcels):
+    return match.by_address(listings, parcels.withColumn("phy_addr1", F.expr(_WITH_UNIT))).filter("level in (3, 4)").select("listing_id", "parcel_id", "level")
+
+
+@query(
+    f"""WITH asked AS (SELECT listing_id, county_fips, zip, {_STREETS} AS street FROM listings),
+ hits AS (SELECT listing_id, coalesce(min(parcel_id) FILTER (p.phy_zipcd = a.zip), min(parcel_id)) AS parcel_id FROM asked a JOIN parcels p ON a.county_fips = p.county_fips AND upper(trim(p.phy_addr1)) = a.street GROUP BY 1),
+ met AS (SELECT listing_id, count(DISTINCT parcel_id) AS n, min(parcel_id) AS one FROM
+  (SELECT m.*, p.parcel_id FROM (SELECT *, trim(regexp_extract(street, '^([0-9]+\\s+\\S+(\\s+\\S+)?)', 1)) AS prefix FROM asked ANTI JOIN hits USING (listing_id)) m
+   JOIN parcels p ON m.county_fips = p.county_fips AND starts_with(upper(trim(p.phy_addr1)), prefix) AND (m.zip IS NULL OR m.zip = p.phy_zipcd) WHERE prefix <> '') GROUP BY 1),
+ found AS (SELECT county_fips, coalesce(h.parcel_id, CASE WHEN n = 1 THEN one END) AS parcel_id, coalesce(n, 0) > 1 AS several FROM asked LEFT JOIN hits h USING (listing_id) LEFT JOIN met USING (listing_id))
+ SELECT county_fips, count(*) AS listings, count(parcel_id) AS matched, count(*) - count(parcel_id) AS unmatched, count(*) FILTER (several) AS to_review,
+  count(DISTINCT parcel_id) FILTER (parcel_id NOT IN (SELECT parcel_id FROM signals WHERE id % 9 = 0)) AS inserted FROM found GROUP BY 1"""
+)
+def match_cycle_counts(listings, parcels, signals):
+    return match.match_cycle(listings, parcels, signals.filter("id % 9 = 0").select(*_ID))
+
+
 @query(None)
 def fuzzy_address_match(listings, parcels):
     queries = listings.select(F.col("listing_id").alias("query_id"), "county_fips", X.street_address(F.col("address")).alias("text"))
@@ -375,6 +407,13 @@ def fuzzy_address_match(listings, parcels):
     return match.by_likeness(queries, choices, 88.0).select("query_id", "choice_id", F.round("score", 6).alias("score"))
 
 
+@query(None)
+def court_record_match(landed, parcels):
+    k = F.col("parcel_id").cast("long")
+    roll = parcels.withColumn("s_legal", F.concat(F.lit("LT "), (k % 50).cast("string"), F.lit(" BLK B"), (k % 7).cast("string"), F.lit(" PINE HILLS "), (k % 5).cast("string")))
+    return match.by_court_record(landed.select(F.col("page_id").alias("record_id"), "county_fips", X.legal_parts(F.col("legal")).alias("legal")), roll)
+
+
 @query("""SELECT listing_id, p.parcel_id, p.jv AS arv_estimate, round(CASE WHEN l.list_price <> 0 AND tot_lvg_area > 0 THEN l.list_price / tot_lvg_area END, 2) AS price_per_sqft, CASE WHEN p.jv <> 0 AND l.list_price > 0 THEN p.jv - l.list_price END AS arv_spread FROM listings l JOIN parcels p ON l.county_fips = p.county_fips AND CAST(listing_id AS VARCHAR) = p.parcel_id""")
 def match_financials(listings, parcels):
     p = parcels.select(*_ID, "jv", "tot_lvg_area")
@@ -427,11 +466,17 @@ def fill_missing_bedrooms(parcels):
     return merge.fill_nulls(parcels.select(*_ID, "bedrooms"), parcels.select(*_ID, F.lit(3).cast("long").alias("bedrooms")), _ID, ["bedrooms"])
 
 
-@query("SELECT source, county_fips, arg_max(st, id) AS status, max(id) AS last_run_at, max(id) FILTER (st = 'SUCCESS') AS last_success_at FROM (SELECT *, CASE WHEN id % 7 < 3 THEN 'SUCCESS' ELSE 'FAILED' END AS st FROM signals) GROUP BY ALL")
+@query(
+    """WITH runs AS (SELECT *, CASE WHEN id % 7 < 3 AND NOT (id > 500 AND source = 'auction') THEN 'SUCCESS' ELSE 'FAILED' END AS st FROM signals WHERE NOT (id > 500 AND source = 'clerk'))
+ SELECT source, county_fips, arg_max(st, id) AS status, max(id) AS last_run_at, max(id) FILTER (st = 'SUCCESS') AS last_success_at FROM runs GROUP BY ALL"""
+)
 def source_health(signals):
-    runs = signals.select("source", "county_fips", F.when(F.col("id") % 7 < 3, "SUCCESS").otherwise("FAILED").alias("status"), F.col("id").alias("run_at"))
+    # Of the later runs, one source has failures only and one has none: their last success comes from the table before.
+    good = (F.col("id") % 7 < 3) & ~((F.col("id") > 500) & (F.col("source") == "auction"))
+    runs = signals.filter("not (id > 500 and source = 'clerk')").select("source", "county_fips", F.when(good, "SUCCESS").otherwise("FAILED").alias("status"), F.col("id").alias("run_at"))
     empty = runs.limit(0).select("source", "county_fips", "status", F.col("run_at").alias("last_run_at"), F.col("run_at").alias("last_success_at"))
-    return merge.source_status(empty, runs)
+    before = merge.source_status(empty, runs.filter("run_at <= 500"))
+    return merge.source_status(before, runs.filter("run_at > 500"))
 
 
 @query("SELECT parcel_id AS user_id, signal_tier AS profile_id, count(*) AS run_count, arg_max_null(list_price, id) AS last_total, min(id) AS first_run_at, max(id) AS last_run_at FROM signals GROUP BY ALL")
@@ -606,9 +651,12 @@ def report_source_tags(signals):
 # Access, caches and landed pages.
 
 
-@query("SELECT profile, counties FROM (SELECT parcel_id AS profile, string_agg(DISTINCT county_fips, ',' ORDER BY county_fips) AS counties FROM (SELECT id % 40 AS parcel_id, county_fips FROM signals) GROUP BY 1) WHERE counties = '12033'")
+_PROFILE = "(CAST(parcel_id AS BIGINT) + CASE WHEN CAST(parcel_id AS BIGINT) % 5 = 0 AND id % 3 = 0 THEN 1 ELSE 0 END) % 40"
+
+
+@query(f"SELECT profile, counties FROM (SELECT {_PROFILE} AS profile, string_agg(DISTINCT county_fips, ',' ORDER BY county_fips) AS counties FROM signals GROUP BY 1) WHERE counties = '12033'")
 def granted_profiles(signals):
-    profiles = signals.groupBy((F.col("id") % 40).alias("profile")).agg(F.sort_array(F.collect_set("county_fips")).alias("county_fips"))  # two counties at most
+    profiles = signals.groupBy(F.expr(_PROFILE).alias("profile")).agg(F.sort_array(F.collect_set("county_fips")).alias("county_fips"))  # two counties at most
     return filters.fully_granted(profiles, ["12033"]).select("profile", F.array_join("county_fips", ",").alias("counties"))
 
 
@@ -618,9 +666,9 @@ def contact_cache(parcels, signals):
     return workflow.cached_or_missing(parcels.select(*_ID), cache, F.lit(5000)).select(*_ID, "cached", "contact")
 
 
-@query("SELECT id FROM signals WHERE workflow_status IS NOT NULL AND workflow_status NOT IN ('NEW', 'REVIEWED', 'APPROVE_SEND', 'SENT', 'RESPONDED', 'REJECTED', 'CLOSED')")
+@query("SELECT id FROM (SELECT id, CASE WHEN id % 13 = 0 THEN 'PARKED' ELSE workflow_status END AS workflow_status FROM signals) WHERE workflow_status IS NOT NULL AND workflow_status NOT IN ('NEW', 'REVIEWED', 'APPROVE_SEND', 'SENT', 'RESPONDED', 'REJECTED', 'CLOSED')")
 def unknown_states(signals):
-    return workflow.invalid_states(signals).select("id")
+    return workflow.invalid_states(signals.withColumn("workflow_status", F.when(F.col("id") % 13 == 0, "PARKED").otherwise(F.col("workflow_status")))).select("id")
 
 
 @query("SELECT profile, county_fips, favourite FROM (SELECT DISTINCT signal_tier AS profile, county_fips, signal_tier = 1 AS favourite FROM signals) ORDER BY favourite DESC NULLS LAST, profile NULLS FIRST, county_fips")
@@ -645,3 +693,59 @@ ORACLE_SQL["landed_page_kinds"] = r"""SELECT CASE WHEN t = '' THEN 'TRANSIENT' W
 QUERIES["landed_page_titles"] = lambda spark, sf_dir: _pages(spark, sf_dir).select("page_id", pages.tag_text(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1)).alias("title"), F.size(pages.all_matches(F.col("html"), r"(?is)<li[^>]*>(.*?)</li>")).alias("items"))
 ORACLE_SQL["landed_page_titles"] = r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS title,
  CAST(len(regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1)) AS INT) AS items FROM pages"""
+
+
+@query("SELECT CASE page_id % 5 WHEN 1 THEN 'SOFT_BLOCK' WHEN 2 THEN 'NOT_FOUND' WHEN 4 THEN 'OK' ELSE 'TRANSIENT' END AS kind, count(*) AS n FROM landed GROUP BY 1")
+def page_kinds(landed):
+    return landed.groupBy(pages.page_kind(F.col("answer")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """SELECT page_id, 'BRICK' AS exterior_wall, CASE WHEN page_id % 7 > 0 THEN page_id % 7 * 300 END AS tot_lvg_area, CASE WHEN page_id % 25 BETWEEN 1 AND 20 THEN page_id % 25 END AS bedrooms, 1 + page_id % 3 + 0.5e0 AS bathrooms,
+ CASE WHEN page_id % 200 >= 10 THEN 1790 + page_id % 200 END AS act_yr_blt, 'R' || CAST(page_id % 4 AS VARCHAR) AS zoning, 'CLASS ' || CAST(page_id % 6 AS VARCHAR) AS cama_quality_code,
+ concat_ws(',', CASE WHEN page_id % 200 < 10 THEN 'act_yr_blt' END, CASE WHEN page_id % 25 NOT BETWEEN 1 AND 20 THEN 'bedrooms' END) AS refused FROM landed"""
+)
+def card_buildings(landed):
+    facts, refused = P.building_facts(F.lit(2026))
+    wanted = ("exterior_wall", "tot_lvg_area", "bedrooms", "bathrooms", "act_yr_blt", "zoning", "cama_quality_code")
+    return pages.card_of(landed.select("page_id", F.col("card").alias("html"))).select("page_id", *[facts[c].alias(c) for c in wanted], F.array_join(refused, ",").alias("refused"))
+
+
+@query("SELECT page_id, CAST(make_date(1990 + page_id % 30, 1 + page_id % 12, 1 + page_id % 28) AS DATE) AS sale_date, page_id * 1000 + 500 AS sale_price, 'WD' AS instrument_type, CAST(NULL AS VARCHAR) AS qualification_code, 'A & B ' || CAST(page_id AS VARCHAR) AS grantor FROM landed")
+def named_cell_sales(landed):
+    return pages.cell_sales_of(landed.select("page_id", F.col("sales_page").alias("html"))).select("page_id", "sale_date", "sale_price", "instrument_type", "qualification_code", "grantor")
+
+
+@query(
+    """SELECT page_id, CAST(100 + page_id AS VARCHAR) || ' OAK ST' AS address, CASE WHEN page_id % 60 < 40 THEN '325' || lpad(CAST(page_id % 60 AS VARCHAR), 2, '0') END AS zip, '2024 CA ' || CAST(page_id AS VARCHAR) AS case_number,
+ page_id * 1000 AS opening_bid, CASE WHEN page_id % 9 = 1 AND page_id % 30 > 28 THEN NULL ELSE make_date(2024, 1 + page_id % 9, 1 + page_id % 30) END AS auction_date FROM landed"""
+)
+def auction_items(landed):
+    return pages.auction_items_of(landed.select("page_id", F.col("calendar").alias("html"))).select("page_id", "address", "zip", "case_number", "opening_bid", "auction_date")
+
+
+@query(
+    """SELECT page_id, '2024 CA ' || CAST(page_id AS VARCHAR) AS case_number, CAST(page_id % 40 AS VARCHAR) AS lot, CASE WHEN page_id % 3 <> 0 THEN 'B' || CAST(page_id % 7 AS VARCHAR) END AS block, 'PINE HILLS ' || CAST(page_id % 5 AS VARCHAR) AS subdivision,
+ CASE WHEN page_id % 4 = 0 THEN '1' || CAST(page_id % 9 AS VARCHAR) END AS sec, CASE WHEN page_id % 4 = 0 THEN '3N' END AS twp, CASE WHEN page_id % 4 = 0 THEN '31W' END AS rge FROM landed"""
+)
+def legal_fields(landed):
+    return landed.select("page_id", F.explode(F.array(X.legal_parts(F.col("legal")))).alias("p")).select("page_id", "p.*")
+
+
+@query(
+    """SELECT page_id, CASE WHEN page_id % 4 > 0 THEN 'JANE DOE ' || CAST(page_id AS VARCHAR) WHEN page_id % 3 = 0 THEN 'FIRST BANK NA' ELSE 'TRUST ' || CAST(page_id AS VARCHAR) END AS owner,
+ make_date(2024, CASE page_id % 3 WHEN 0 THEN 5 WHEN 1 THEN 6 ELSE 12 END, 1 + page_id % 28) AS auction_date, make_date(2001, 1 + page_id % 12, 1) AS sale_date, 'Dear ' || CAST(page_id AS VARCHAR) || '$1, !' AS letter FROM landed"""
+)
+def owners_and_dates(landed):
+    k = F.col("page_id").cast("string")
+    day = (F.col("page_id") % 28 + 1).cast("string")
+    return landed.select(
+        "page_id", X.owner_name(F.col("owners")).alias("owner"), X.auction_date(F.concat_ws(" ", "month", F.concat(day, F.when(F.col("page_id") % 2 == 0, ",").otherwise("")), F.lit("2024"))).alias("auction_date"),
+        X.sale_date(F.concat_ws("/", (F.col("page_id") % 12 + 1).cast("string"), F.lit("2001"))).alias("sale_date"), X.rendered(F.lit("Dear {{ name }}, {{none}}!"), {"name": F.concat(k, F.lit("$1"))}).alias("letter"),
+    )
+
+
+@query("SELECT county_fips, parcel_id FROM parcels WHERE jv IS NOT NULL AND CAST(parcel_id AS BIGINT) % 3 <> 0")
+def arv_resumed(parcels, sales):
+    done = parcels.withColumn("arv_estimate", F.when(F.col("parcel_id").cast("long") % 3 == 0, F.lit(1).cast("long")))
+    return arv.valuation(done, sales, resume=True).select(*_ID)

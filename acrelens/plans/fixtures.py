@@ -108,6 +108,26 @@ TABLES: dict[str, tuple[str, dict[str, str]]] = {
             "raw_id": "'0-' || CAST(p_partkey AS STRING) || ' '",
         },
     ),
+    "landed": (
+        "part",
+        {
+            "page_id": "p_partkey",
+            "county_fips": _COUNTY.format(k="p_partkey"),
+            "card": "'<table><tr><td class=\"w font-bold\">extw</td><td>BRICK (' || CAST(p_partkey AS STRING) || ')</td> <td class=\"font-bold\">BED</td><td>' || CAST(p_partkey % 25 AS STRING) || '</td></tr>"
+            " <tr><td class=\"font-bold\">Bath</td><td> <i>' || CAST(1 + p_partkey % 3 AS STRING) || '.5</i> </td><td class=\"font-bold\">qual</td><td>CLASS ' || CAST(p_partkey % 6 AS STRING) || '(04</td></tr></table>"
+            "<script>window.__remixContext = {\"state\":{\"loaderData\":{\"routes/_index\":{\"buildings\":{\"units\":[{\"squareFeet\":{\"heated\":' || CAST(p_partkey % 7 * 300 AS STRING) || '},\"yearBuilt\":{\"actual\":' || CAST(1790 + p_partkey % 200 AS STRING) || ',\"effective\":null}}]},"
+            "\"zonings\":[{\"code\":\" R' || CAST(p_partkey % 4 AS STRING) || ' \"}]}}}};</script>'",
+            "sales_page": "'<div class=\"c\" id=\"salesContainer\"><table><tr role=\"row\"><th>Sale Date</th></tr><tr role=\"row\"><td data-cell=\"Sale Date\">' || CAST(1 + p_partkey % 12 AS STRING) || '/' || CAST(1 + p_partkey % 28 AS STRING) || '/' || CAST(1990 + p_partkey % 30 AS STRING) || '</td>"
+            "<td data-cell=\"Book / Page\"><a>1</a></td><td data-cell=\"Sale Price\"><span>$' || CAST(p_partkey AS STRING) || ',500</span></td><td data-cell=\"Instrument\">WD</td><td data-cell=\"Grantor\">A &amp; B ' || CAST(p_partkey AS STRING) || '</td></tr>"
+            "<tr role=\"row\"><td data-cell=\"Sale Date\"></td><td data-cell=\"Grantor\">nobody</td></tr></table></div>'",
+            "calendar": "'<h1>Auctions</h1><div class=\"AUCTION_ITEM PREVIEW\"><div class=\"ad_addr\">' || CAST(100 + p_partkey AS STRING) || ' OAK ST</div> Pensacola FL 325' || lpad(CAST(p_partkey % 60 AS STRING), 2, '0') || ' <span class=\"caseNo\">2024 CA ' || CAST(p_partkey AS STRING) || '</span>"
+            "<a href=\"/d?' || CAST(p_partkey AS STRING) || '\">x</a> Opening Bid: $' || CAST(p_partkey AS STRING) || ',000 on 0' || CAST(1 + p_partkey % 9 AS STRING) || '-' || CAST(1 + p_partkey % 30 AS STRING) || '-2024</div><div class=\"AUCTION_ITEM\">Minimum bid 5</div>'",
+            "answer": "CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN '<p>Too Many Requests</p>' WHEN 2 THEN '<p>Parcel not found</p>' WHEN 3 THEN NULL ELSE '<table></table>' END",
+            "legal": "'CN:2024 CA ' || CAST(p_partkey AS STRING) || ' LOT:' || CAST(p_partkey % 40 AS STRING) || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' BLK:B' || CAST(p_partkey % 7 AS STRING) END || ' SUB:PINE  HILLS ' || CAST(p_partkey % 5 AS STRING) || CASE WHEN p_partkey % 4 = 0 THEN ' SEC:1' || CAST(p_partkey % 9 AS STRING) || ' TWP:3N RGE:31W' ELSE '' END",
+            "owners": "CASE p_partkey % 3 WHEN 0 THEN 'FIRST BANK NA' ELSE 'TRUST ' || CAST(p_partkey AS STRING) END || chr(10) || CASE p_partkey % 4 WHEN 0 THEN ' LLC CO' ELSE ' JANE DOE ' || CAST(p_partkey AS STRING) END",
+            "month": "CASE p_partkey % 3 WHEN 0 THEN 'May' WHEN 1 THEN 'Jun' ELSE 'Dec' END",
+        },
+    ),
     "roll": (
         "customer",
         {

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from acrelens.functions.parcel import ROLL_COLUMNS, roll_projection
 from acrelens.functions.text import auction_date, listing_facts, whole_dollars
+from acrelens.operators.spatial import ring_area
 
 # Texts that a roll file's reader takes for missing.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -34,7 +35,7 @@ def parcels_of_roll(roll: DataFrame, county_fips: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """(file, at, line) of text files; a file is one record of its own, so lines keep their places."""
+    """(file, at, line) of text files; a file is one record of its own, of 2 GB at most, so lines keep their places."""
     text = F.decode("content", encoding)
     files = spark.read.format("binaryFile").load(path)
     return files.select(F.col("path").alias("file"), F.posexplode(F.split(F.regexp_replace(text, "^﻿", ""), "\r\n|\n|\r")).alias("at", "line"))
@@ -112,21 +113,46 @@ def read_auctions(spark: SparkSession, path: str, county: str = "ESCAMBIA", stat
 
 
 def read_court_records(spark: SparkSession, path: str) -> DataFrame:
-    """Lis pendens rows exported as CSV, or as a workbook where a reader of those is installed."""
+    """Lis pendens rows exported as CSV, or as workbooks where a reader of those is installed, a file in a task."""
     if path.endswith((".xlsx", ".xls")):
-        import pandas as pd  # needs openpyxl; small files of a clerk's export
-
-        rows = spark.createDataFrame(pd.read_excel(path, dtype=str).fillna(""))
+        rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(_workbook_rows, "cells map<string, string>")
+        names = [r["name"] for r in rows.select(F.explode(F.map_keys("cells")).alias("name")).distinct().collect()]  # the headers
+        rows = rows.select(*[F.try_element_at("cells", F.lit(n)).alias(n) for n in names])
     else:
         rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     rows = rows.toDF(*[c.strip() for c in rows.columns])
     return rows.filter(F.upper(F.trim("`Doc Type`")).contains("LIS PENDENS") & (F.trim(F.coalesce("Status", F.lit(""))) != ""))
 
 
-def read_polygons(spark: SparkSession, path: str) -> DataFrame:
-    """(name, ring: array<struct<lon,lat>>) of GeoJSON features; the outer ring of polygons, one per feature."""
-    shape = "type string, properties map<string, string>, geometry struct<type: string, coordinates: array<array<array<double>>>>"
-    rows = spark.read.schema(f"features array<struct<{shape.replace('type string,', 'type: string,').replace('properties map', 'properties: map').replace('geometry struct', 'geometry: struct')}>>").option("multiLine", True).json(path)
-    f = rows.select(F.explode("features").alias("f")).filter("f.geometry.type = 'Polygon'")
-    ring = F.transform(F.col("f.geometry.coordinates")[0], lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))
-    return f.select(F.coalesce(F.col("f.properties")["ZCTA5CE20"], F.col("f.properties")["NAME"], F.col("f.properties")["name"]).alias("name"), ring.alias("ring"))
+def _workbook_rows(batches):
+    import io
+
+    import pandas as pd  # needs openpyxl
+
+    for files in batches:
+        for content in files["content"]:
+            rows = pd.read_excel(io.BytesIO(content), dtype=str).fillna("")
+            yield pd.DataFrame({"cells": rows.to_dict("records")})
+
+
+def read_polygons(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(name, ring, holes, area) of GeoJSON polygons; rings are array<struct<lon,lat>>.
+
+    A feature of several parts gives a row for each, with the area of the whole, holes
+    taken off. With ``lines`` a file holds a feature per line and can be read in splits.
+    """
+    feature = "properties map<string, string>, geometry struct<type: string, coordinates: string>"
+    if lines:
+        features = spark.read.schema(feature).json(path)
+    else:
+        whole = f"features array<struct<{feature.replace('properties map', 'properties: map').replace('geometry struct', 'geometry: struct')}>>"
+        features = spark.read.schema(whole).option("multiLine", True).json(path).select(F.explode("features").alias("f")).select("f.*")
+    point = lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"))
+    single = F.from_json("geometry.coordinates", "array<array<array<double>>>")
+    several = F.from_json("geometry.coordinates", "array<array<array<array<double>>>>")
+    parts = F.when(F.col("geometry.type") == "Polygon", F.array(single)).when(F.col("geometry.type") == "MultiPolygon", several)
+    rings = F.transform(parts, lambda part: F.transform(part, lambda ring: F.transform(ring, point)))
+    rows = features.select(F.coalesce(*[F.col("properties")[k] for k in ("ZCTA5CE20", "NAME", "name")]).alias("name"), rings.alias("parts")).filter("parts is not null")
+    covered = lambda part: ring_area(part[0]) - F.aggregate(F.slice(part, F.lit(2), F.size(part)), F.lit(0.0), lambda a, hole: a + ring_area(hole))
+    rows = rows.withColumn("area", F.aggregate("parts", F.lit(0.0), lambda a, part: a + covered(part)))
+    return rows.select("name", "area", F.explode("parts").alias("part")).select("name", F.col("part")[0].alias("ring"), F.slice("part", F.lit(2), F.size("part")).alias("holes"), "area")

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from acrelens.operators import arv, filters, match, merge, search, spatial, workflow
@@ -30,7 +31,7 @@ def test_radius_join_is_brute_force(spark):
     rng = random.Random(1)
     rows = [(i, i % 2, 30 + rng.random() * 0.3, -87 + rng.random() * 0.3) for i in range(400)]
     df = spark.createDataFrame(rows, "id int, k int, lat double, lon double")
-    found = {(r["l"]["id"], r["r"]["id"]) for r in spatial.within_radius(df, df, ["k"], 3000.0, "l.id <> r.id", 31.0).collect()}
+    found = {(r["l"]["id"], r["r"]["id"]) for r in spatial.within_radius(df, df, ["k"], 3000.0, "l.id <> r.id").collect()}
 
     def metres(a, b):
         h = math.sin(math.radians(b[2] - a[2]) / 2) ** 2 + math.cos(math.radians(a[2])) * math.cos(math.radians(b[2])) * math.sin(math.radians(b[3] - a[3]) / 2) ** 2
@@ -98,3 +99,71 @@ def test_workflow(spark):
     events = spark.createDataFrame([(1, None, None), (2, "CLOSED", "x"), (3, "SENT", "x")], "id int, workflow_status string, notes string")
     asked = spark.createDataFrame([(1, "REVIEWED", "n"), (2, "NEW", "n"), (3, "CLOSED", "n")], "id int, new_status string, note string")
     assert sorted(map(tuple, workflow.apply_changes(events, asked).collect())) == [(1, "REVIEWED", "n", True), (2, "CLOSED", "x", False), (3, "CLOSED", "x\nn", True)]
+
+
+def test_likeness_loses_no_pair(spark):
+    rng = random.Random(3)
+    base = [f"{rng.randrange(1, 400)} {rng.choice('OAK PALAFOX HILL PINE N'.split())} {rng.choice('ST AVE RD'.split())}" for _ in range(60)]
+
+    def typo(t):
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(t) + 1)
+            t = t[:at] + rng.choice(["", "X", "QQ"]) + t[at + rng.randrange(2) :]
+        return t
+
+    texts = [*base, *map(typo, base), "A", "AB", "", "ST", "100 PALAFOXX", "1001 PALAFOX", "LOT 5 LOT 5 LOT 5"]
+    q = [(i, "1" if i % 5 else "2", typo(t)) for i, t in enumerate(texts)]
+    c = [(f"c{i:03}", "1" if i % 4 else "2", t) for i, t in enumerate(texts)]
+    words = lambda t: " ".join(sorted(t.upper().split()))
+    a = spark.createDataFrame(q, "query_id int, county_fips string, text string")
+    b = spark.createDataFrame(c, "choice_id string, county_fips string, text string")
+    for least in (88.0, 72.0, 95.0):
+        best = {}
+        for i, county, t in q:
+            for j, other, u in c:
+                if county == other and (words(t) or words(u)):
+                    x, y = words(t), words(u)
+                    score = match.likeness(x, y)
+                    assert score == pytest.approx(100.0 * difflib_free_ratio(x, y))
+                    if score >= least:
+                        best[i] = max(best.get(i, (0.0, "")), (score, j))
+        found = {r["query_id"]: (r["score"], r["choice_id"]) for r in match.by_likeness(a, b, least).collect()}
+        assert found == best and len(best) > 40
+
+
+def difflib_free_ratio(x, y):
+    row = [0] * (len(y) + 1)
+    for p in x:
+        before = row[:]
+        for k, r in enumerate(y, 1):
+            row[k] = before[k - 1] + 1 if p == r else max(before[k], row[k - 1])
+    return 2 * row[-1] / (len(x) + len(y))
+
+
+def test_court_records_by_lot_then_section(spark):
+    legal = "case_number string, lot string, block string, subdivision string, sec string, twp string, rge string"
+    records = spark.createDataFrame(
+        [(1, "1", (None, "5/6", "B2", "PINE HILLS", None, None, None)), (2, "1", (None, None, None, "PINE HILS UNIT 4", "3", "2N", "30W")), (3, "1", (None, None, None, "ZZZ", "3", "2S", "30W")), (4, "1", (None,) * 7), (5, "1", (None, "9", "Q", "ELSEWHERE", None, None, None))],
+        f"record_id int, county_fips string, legal struct<{legal.replace(' string', ':string')}>",
+    )
+    parcels = spark.createDataFrame([("1", "a", "LTS 5 6 BLK B2 PINE HILLS", "1", "1N", "1W"), ("1", "b", "PINE HILLS UNIT 4", "3", "2N", "30W"), ("1", "c", None, "4", "4N", "4W"), ("2", "d", "LOT 9 BLK Q ELSEWHERE", "5", "5N", "5W")], "county_fips string, parcel_id string, s_legal string, sec string, twn string, rng string")
+    found = {r["record_id"]: (r["parcel_id"], r["method"]) for r in match.by_court_record(records, parcels).collect()}
+    assert found == {1: ("a", "fuzzy_legal"), 2: ("b", "fuzzy_legal"), 3: ("b", "str"), 4: (None, "none"), 5: (None, "none")}
+
+
+def test_circles_over_poles_and_the_date_line_and_far_places(spark):
+    rng = random.Random(4)
+    spots = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(60)] + [(60, 89.9, 10.0), (61, 89.8, -170.0), (62, 10.0, 179.99), (63, 10.0, -179.99), (64, -60.0, 179.9), (65, 0.0, 0.0)]
+    places = [(f"p{i:02}", rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(12)] + [("pole", 90.0, 0.0), ("line", 10.0, -179.999)]
+
+    def apart(a, b):
+        p, q = math.radians(a[1]), math.radians(b[1])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * spatial.EARTH_M * math.asin(min(1.0, math.sqrt(h)))
+
+    points = spark.createDataFrame(spots, "id int, lat double, lon double")
+    for metres in (3_000.0, 50_000.0, 900_000.0, 9_000_000.0):
+        pairs = {(r["l"]["id"], r["r"]["id"]) for r in spatial.within_radius(points, points, [], metres).collect()}
+        assert pairs == {(a[0], b[0]) for a in spots for b in spots if apart(a, b) <= metres}
+    found = {r["id"]: r["name"] for r in spatial.nearest_place(points, spark.createDataFrame(places, "name string, lat double, lon double"), ["id"]).collect()}
+    assert found == {s[0]: min(places, key=lambda p: (apart(s, p), p[0]))[0] for s in spots}

@@ -3,6 +3,7 @@ import json
 
 import pytest
 
+from acrelens.operators import spatial
 from acrelens.sources import files, pages
 from acrelens.streaming import signals
 
@@ -65,3 +66,19 @@ def test_stream_appends_each_signal_once(spark, tmp_path):
     df.write.mode("append").parquet(source)
     run()
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2]
+
+
+def test_polygons_of_several_parts_and_with_holes(spark, tmp_path):
+    square = lambda x, y, half: [[x - half, y - half], [x + half, y - half], [x + half, y + half], [x - half, y + half], [x - half, y - half]]
+    features = [
+        {"type": "Feature", "properties": {"NAME": "ring"}, "geometry": {"type": "Polygon", "coordinates": [square(0, 0, 2), square(0, 0, 1)]}},
+        {"type": "Feature", "properties": {"NAME": "isles"}, "geometry": {"type": "MultiPolygon", "coordinates": [[square(5, 0, 1)], [square(9, 0, 1), square(9, 0, 0.5)]]}},
+        {"type": "Feature", "properties": {"NAME": "point"}, "geometry": {"type": "Point", "coordinates": [1, 2]}},
+    ]
+    (tmp_path / "whole.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}, indent=1))
+    (tmp_path / "lines.geojson").write_text("\n".join(map(json.dumps, features)))
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 1.5), (3, 0.2, 5.1), (4, 0.1, 9.1), (5, 0.7, 9.6), (6, 0.0, 7.0)], "id int, lat double, lon double")
+    for name, lines in (("whole", False), ("lines", True)):
+        rows = files.read_polygons(spark, str(tmp_path / f"{name}.geojson"), lines)
+        assert sorted((r["name"], round(r["area"], 6)) for r in rows.collect()) == [("isles", 7.0), ("isles", 7.0), ("ring", 12.0)]
+        assert {r["id"]: r["name"] for r in spatial.largest_containing(points, rows, ["id"]).collect()} == {2: "ring", 3: "isles", 5: "isles"}
