@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from acrelens.functions.parcel import deal_score
 from acrelens.functions.text import address_order
-from acrelens.operators.filters import event_predicates, matching, predicates, score_predicates
+from acrelens.operators.filters import event_predicates, matching, predicates, score_predicates, visible_to
 
 _ID = ["county_fips", "parcel_id"]
 _EVENT = ["signal_tier", "listing_type", "days_on_market", "event_arv_source", "event_arv_estimate"]
@@ -77,3 +77,10 @@ def details(parcels: DataFrame, events: DataFrame, sales: DataFrame) -> DataFram
     history = sales.groupBy(*_ID).agg(F.sort_array(F.collect_list(F.struct("sale_date", "id", "sale_price")), asc=False).alias("sales"))
     event = latest_events(events).select(*_ID, F.struct("id", "listing_type", "signal_tier").alias("event"))
     return parcels.join(event, _ID, "left").join(history, _ID, "left")
+
+
+def lookup(parcels: DataFrame, events: DataFrame, parcel_ids: list[str], granted: list[str]) -> DataFrame:
+    """Parcels of the given ids in every granted county, with their latest event's facts; the score is null."""
+    found = visible_to(parcels.filter(F.col("parcel_id").isin(list(parcel_ids))), granted)
+    latest = latest_events(events.join(found.select(*_ID), _ID, "left_semi")).select(*_ID, *[c for c in _EVENT if c in events.columns])
+    return found.join(latest, _ID, "left").withColumn("deal_score", F.lit(None).cast("double"))

@@ -749,3 +749,24 @@ def owners_and_dates(landed):
 def arv_resumed(parcels, sales):
     done = parcels.withColumn("arv_estimate", F.when(F.col("parcel_id").cast("long") % 3 == 0, F.lit(1).cast("long")))
     return arv.valuation(done, sales, resume=True).select(*_ID)
+
+
+@query(
+    _SCORED_SQL.replace("SELECT county_fips, parcel_id, jv, arv_spread", "SELECT listing_type, county_fips, parcel_id, jv, arv_spread").replace("AS tw FROM joined", "AS tw FROM joined WHERE listing_type IN ('click', 'purchase', 'view') AND days_on_market BETWEEN 20 AND 400")
+    + " SELECT county_fips, parcel_id, deal_score FROM scored WHERE deal_score >= 0.3"
+)
+def search_by_event_dimensions(parcels, signals):
+    criteria = {"filters": {"listing_types": {"include": ["click", "purchase", "view"]}, "days_on_market": {"min": 20, "max": 400}, "min_deal_score": {"value": 0.3}}}
+    return search.scored(_with_absentee(parcels), signals, criteria, WEIGHTS).select(*_ID, "deal_score")
+
+
+@query("WITH " + LATEST_SQL + " SELECT p.county_fips, p.parcel_id, p.jv, CAST(NULL AS DOUBLE) AS deal_score, e.signal_tier FROM parcels p LEFT JOIN latest e USING (county_fips, parcel_id) WHERE p.parcel_id IN ('17', '18', '20', '99999999') AND p.county_fips IN ('12033')")
+def parcel_lookup(parcels, signals):
+    return search.lookup(parcels, signals, ["17", "18", "20", "99999999"], ["12033"]).select(*_ID, "jv", "deal_score", "signal_tier")
+
+
+@query("SELECT county_fips, parcel_id, jv, CASE WHEN CAST(parcel_id AS BIGINT) % 3 = 0 THEN CASE WHEN CAST(parcel_id AS BIGINT) % 2 = 0 THEN 7 END ELSE bedrooms END AS bedrooms FROM parcels")
+def replaced_columns(parcels):
+    k = F.col("parcel_id").cast("long")
+    computed = parcels.filter(k % 3 == 0).select(*_ID, F.when(k % 2 == 0, F.lit(7).cast("long")).alias("bedrooms"))
+    return merge.replace_columns(parcels.select(*_ID, "jv", "bedrooms"), computed, _ID, ["bedrooms"])
