@@ -15,7 +15,8 @@ SEGMENT_IDS ids: part, seg, first id within the part, document ids, document len
 code) and ``manifest`` (first id of each part). Documents stand in ascending doc_id.
 
 Cases: a null text is empty, an empty text has the end id alone. Null doc_ids come
-first; rows of equal doc_id follow each other by text. No rows: no segments.
+first; rows of equal doc_id follow each other by a hash of their text, then by text, so
+that any number of them can be split. No rows: no segments.
 """
 
 from __future__ import annotations
@@ -137,7 +138,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, segment_ids: int = SEGMENT
             yield _segment(part, seg, first, names, held, kind)
 
     schema = f"part int, seg int, first long, n long, doc_ids array<{id_type.simpleString()}>, lengths array<long>, code binary"
-    ordered = docs.select("doc_id", F.col("text").cast("binary")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", F.col("text").cast("binary"), F.xxhash64("text").alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     ordered.mapInArrow(run, schema).write.option("compression", "none").parquet(f"{path}/segments")
     parts = spark.read.parquet(f"{path}/segments").groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()  # a row per partition
     bases = accumulate((r["n"] for r in parts), initial=0)

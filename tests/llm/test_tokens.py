@@ -58,7 +58,7 @@ def test_token_files_hold_all_ids_in_order(spark):
     dac.write(docs, path, WORDS, segment_ids=500)
     found = sorted(dac.read(spark, path).collect(), key=lambda r: r["start"])
     expected, start = [], 0
-    for i, text, _ in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0)):
+    for i, text, _ in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0)):  # rows of equal doc_id are equal here
         ids = ids_by_library(text)
         expected.append((i, start, crc(ids)))
         start += len(ids)

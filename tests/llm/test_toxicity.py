@@ -69,9 +69,10 @@ def test_held_out_accuracy_and_gapped_insults(spark, tables):
 
 def test_odd_rows_and_missing_labels(spark, tables):
     docs, labels = tables
-    odd = docs.unionByName(spark.createDataFrame([(None, "a", "x"), (5000, None, "x"), (5001, "", "x"), (5002, "z" * 70000, "x"), (1, "again", "x")], docs.schema))
+    odd = docs.unionByName(spark.createDataFrame([(None, "a", "x"), (5000, None, "x"), (5001, "", "x"), (5002, "z" * 70000, "x"), (5003, "the tionand er " * 40000 + "idiot " * 9000, "x"), (1, "again", "x")], docs.schema))
     rows = toxicity.judge(odd, labels).collect()
-    assert len(rows) == 905 and all(0 <= r["score"] <= 1 for r in rows)
+    assert len(rows) == 906 and all(0 <= r["score"] <= 1 for r in rows)
+    assert [r["predicted"] for r in rows if r["doc_id"] == 5003] == [1]
     kept = toxicity.drop_toxic(odd, labels)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in rows if r["predicted"] == 0} == {r["doc_id"] for r in kept.collect()}

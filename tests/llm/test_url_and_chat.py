@@ -94,6 +94,10 @@ def test_a_link_names_its_host_only_at_its_start(spark):
     assert {(r["src"], r["dst"], r["weight"]) for r in edges} == {("src.com", "other.net", 1), ("src.com", "far.org", 1)}
 
 
+def test_no_pages(spark):
+    assert url_trust.judge_pages(spark.createDataFrame([], DOCS)).count() == 0
+
+
 def test_distrust_reaches_hosts_many_links_away(spark):
     edges = spark.createDataFrame([(f"h{i + 1}", f"h{i}", 1) for i in range(23)], "src string, dst string, weight long")
     seeds = spark.createDataFrame([("h0", 0.0, 1.0)], "host string, trust double, distrust double")
