@@ -10,17 +10,17 @@ and its added tokens begin with "<|"; the library encodes whole texts for any ot
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
-import unicodedata
 from array import array
 
 import regex
 
 from acrelens.llm.worker import remembered
 
-LIMIT = 300_000
+LIMIT = 200_000
 #: The id that ends each document.
 END = 1
 # What a tokenizer file says of its normaliser and split, where words can be taken one by one.
@@ -35,15 +35,19 @@ WORDWISE = {
     },
 }
 _PLAIN = re.compile(rb"[!-&(-~]+").fullmatch
+_MARKS = (b".", b",", b";", b":", b"!", b"?")
+#: Ends in a letter up to U+024F; the signs for times and divided by are none, and a dotted I gets its dot as a mark.
+_ENDS_IN_LETTER = re.compile(rb"(?s).*(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])").fullmatch
 _LATIN = re.compile("[!-&(-~\u00a1-\u024f]+").fullmatch
 _PARTS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letters that byte-level vocabularies write for bytes: printable Latin-1 as itself, others from 256 on."""
+def _byte_letters() -> str:
+    """The letters that byte-level vocabularies write for the 256 bytes: printable Latin-1 as itself, others from 256 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in printable]
-    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+    letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+    return "".join(letters[b] for b in range(256))
 
 
 class WordEncoder(dict):
@@ -79,19 +83,23 @@ class WordEncoder(dict):
         if word.isalpha():  # ASCII letters are one part
             return self._tokens(word.lower().decode())
         stem = word[:-1]
-        if stem.isalpha() and word[-1:] in b".,;:!?":
-            ids = self.get(stem) or self.before.get(stem) or self._tokens(stem.lower().decode())
+        if word[-1:] in _MARKS and _ENDS_IN_LETTER(stem):  # a mark after a letter is a part of its own
+            ids = self.get(stem) or self.before.get(stem) or self._ids(stem)
             return ids + self._part(word[-1:].decode())
-        text = word.decode("utf-8", "replace")
         if _PLAIN(word) and b"<|" not in word:
-            return b"".join(map(self._part, _PARTS(text.lower())))
+            return b"".join(map(self._part, _PARTS(word.decode().lower())))
+        text = word.decode("utf-8", "replace")
         if _LATIN(text) and "<|" not in text:
-            low = unicodedata.normalize("NFC", text).lower()
+            low = text.lower()  # letters up to U+024F are composed as they are
             if low.isalpha():
-                return self._tokens(low.encode().decode("latin-1").translate(self.letters))
-            return b"".join([self._part(p.encode().decode("latin-1").translate(self.letters)) for p in _PARTS(low)])
+                return self._tokens(self._written(low))
+            return b"".join([self._part(self._written(p)) for p in _PARTS(low)])
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _written(self, part: str) -> str:
+        """A part in the letters of the vocabulary."""
+        return codecs.charmap_decode(part.encode(), "strict", self.letters)[0]
+
     def _tokens(self, part: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
 

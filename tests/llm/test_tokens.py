@@ -28,7 +28,8 @@ def crc(ids):
 def test_remembered_words_give_the_librarys_ids():
     own = WordEncoder(WORDS)
     rng = random.Random(1)
-    for text in ODD + ["".join(chr(rng.choice([rng.randrange(1, 0x250), rng.randrange(33, 127), 32])) for _ in range(300)) for _ in range(200)]:
+    ends = [f"{stem}{mark}" for stem in ("aé", "İ", "Ƚİ", "×", "a÷", "9", "ß", "ɏ", "it's", "x'", "<|") for mark in ".,;:!?"]
+    for text in ODD + [" ".join(ends)] + ["".join(chr(rng.choice([rng.randrange(1, 0x250), rng.randrange(33, 127), 32])) for _ in range(300)) for _ in range(200)]:
         assert np.frombuffer(own.encode(text.encode()), "<u4").tolist() == ids_by_library(text), repr(text)
 
 
