@@ -179,6 +179,9 @@ class FingerprintIndex:
         self.runs: dict[str, list[DataFrame]] = {kind: [] for kind in _SORTED}
         self.paths: dict[str, list[str]] = {kind: [] for kind in _SORTED}
         self.version = 0
+        #: Runs that the manifest names; when merged they stay until it names them no more.
+        self.committed: set[str] = set()
+        self.retired: list[str] = []
         self.work = Workspace(spark, "judging")
         self.pending: list[DataFrame] = []
         at, files = folder(spark, f"{self.path}/manifest")
@@ -188,12 +191,17 @@ class FingerprintIndex:
             for r in rows.filter(F.col("version") == self.version).orderBy("kind", "at").collect():  # a row per run
                 self.paths[r["kind"]].append(r["name"])
                 self.runs[r["kind"]].append(spark.read.parquet(f"{self.path}/{r['name']}"))
+                self.committed.add(r["name"])
 
     def commit(self) -> None:
-        """Add the runs at hand to the manifest, as its newest version and in one file."""
+        """Add the runs at hand to the manifest, as its newest version and in one file; then merged runs go."""
         self.version += 1
         rows = [(self.version, kind, at, name) for kind, names in self.paths.items() for at, name in enumerate(names)]
         self.spark.createDataFrame(rows, "version long, kind string, at int, name string").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        self.committed = {name for _, _, _, name in rows}
+        for name in self.retired:
+            drop_path(self.spark, f"{self.path}/{name}")
+        self.retired = []
 
     def known(self, kind: str) -> DataFrame | None:
         out = None
@@ -220,7 +228,10 @@ class FingerprintIndex:
                 self.runs[kind], self.paths[kind] = [], []
                 self.add(kind, merged)
                 for name in old:
-                    drop_path(self.spark, f"{self.path}/{name}")
+                    if name in self.committed:
+                        self.retired.append(name)
+                    else:
+                        drop_path(self.spark, f"{self.path}/{name}")
 
     def judge(self, batch: DataFrame) -> DataFrame:
         """(doc_id, t, s, n) of spans of ``batch`` that stand whole in an earlier document; ``settle`` tells the rest.
