@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from acrelens.llm import ann, chat, dac, exact_dedup, packing, simhash, spm, substring, toxicity, url_trust
+from acrelens.llm import ann, audit, bpe, chat, dac, exact_dedup, packing, simhash, spelling, spm, substring, toxicity, url_trust
 from acrelens.scratch import scratch_path
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark, sf_dir, name):
@@ -58,6 +59,18 @@ def op10_perspectives(spark, sf_dir):
     return chat.rotate(_table(spark, sf_dir, "conversations"))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark, sf_dir):
+    return audit.interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_byte_bpe(spark, sf_dir):
+    return bpe.digest(_table(spark, sf_dir, "documents"), BYTES)
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -75,6 +88,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_pieces": op9_pieces,
     "op10_perspectives": op10_perspectives,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_byte_bpe": op13_byte_bpe,
     "pipeline": pipeline,
 }
 
@@ -82,4 +98,6 @@ ORACLE_SQL = {
     "op2_url_trust": url_trust.oracle_sql(),
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
     "op10_perspectives": chat.ORACLE_SQL,
+    "op11_spelling_variants": spelling.ORACLE_SQL,
+    "op12_filter_audit": audit.ORACLE_SQL,
 }

@@ -15,15 +15,20 @@ BITS = 16
 LARGEST = 1 << 25
 
 
-def tested(rows: DataFrame, keys: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The rows that may have one of ``keys``, and those that surely haven't; ``keys`` is a written table."""
+def flagged(rows: DataFrame, keys: DataFrame, key: list[str], name: str) -> DataFrame:
+    """``rows`` and a column ``name``: false if the row surely has none of ``keys``, which is a written table."""
     size = min(LARGEST, 1 << max(10, (BITS * keys.count()).bit_length()))
     bit = F.xxhash64(*key).bitwiseAND(F.lit(size - 1))
     mark = F.expr("shiftleft(1L, cast(_bit % 64 as int))")
     words = keys.select(bit.alias("_bit")).groupBy(F.expr("_bit div 64").alias("_at")).agg(F.bit_or(mark).alias("_word"))
     met = rows.withColumn("_bit", bit).join(F.broadcast(words), F.expr("_bit div 64 = _at"), "left")  # LARGEST / 64 rows at most
-    hit = F.coalesce(F.col("_word").bitwiseAND(mark) != 0, F.lit(False))
-    return met.filter(hit).select(*rows.columns), met.filter(~hit).select(*rows.columns)
+    return met.select(*rows.columns, F.coalesce(F.col("_word").bitwiseAND(mark) != 0, F.lit(False)).alias(name))
+
+
+def tested(rows: DataFrame, keys: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows that may have one of ``keys``, and those that surely haven't."""
+    met = flagged(rows, keys, key, "_hit")
+    return met.filter("_hit").select(*rows.columns), met.filter("not _hit").select(*rows.columns)
 
 
 def without(docs: DataFrame, mark: Column, asked: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ _LATIN = re.compile("[!-&(-~\u00a1-\u024f]+").fullmatch
 _PARTS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 
 
-def _byte_letters() -> str:
+def byte_letters() -> str:
     """The letters that byte-level vocabularies write for the 256 bytes: printable Latin-1 as itself, others from 256 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in printable]
@@ -63,7 +63,7 @@ class WordEncoder(dict):
         self.before: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.parts_before: dict[str, bytes] = {}
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
         self.size = self.tokenizer.get_vocab_size()
         told = json.loads(self.tokenizer.to_str())
         self.wordwise = all(told[k] == v for k, v in WORDWISE.items()) and told["truncation"] is None and all(t["content"].startswith("<|") and not t["normalized"] for t in told["added_tokens"])

@@ -62,6 +62,6 @@ def test_every_stage_against_brute_force(spark, tmp_path):
 
 def test_registered_queries(spark):
     found = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in found if q.startswith("op") and q[2].isdigit()}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in found if q.startswith("op") and q[2].isdigit()}
     assert "pipeline" in found and set(__spark_entry__.oracle_sql()) <= set(found)
     assert np.all([callable(f) for f in found.values()])
