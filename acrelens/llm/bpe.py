@@ -28,7 +28,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,7 @@ LONGEST = 64
 # Fixed value: the split that byte-level files with use_regex mean.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _DEAD, _EDGE = -2, -1
+_BITS = 32
 
 
 class Merges(dict):
@@ -63,15 +64,17 @@ class Merges(dict):
         letters = byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}
         vocabulary = model["vocab"]
-        self.symbol = [vocabulary[c] for c in letters]
-        #: (left id, right id) to (rank, id of both)
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
-        self.sides: list[tuple[int, int]] = []
+        self.symbol = np.array([vocabulary[c] for c in letters])
+        #: Of a rank: left id, right id, id of both; and the rank of (left, right) as one number.
+        self.sides: list[tuple[int, int, int]] = []
+        self.known: dict[int, int] = {}
+        self.of_bytes = np.full((256, 256), -1)
         for rank, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            pair = vocabulary[left], vocabulary[right]
-            self.sides.append(pair)
-            self.pairs[pair] = rank, vocabulary[left + right]
+            self.sides.append((vocabulary[left], vocabulary[right], vocabulary[left + right]))
+            self.known[vocabulary[left] << _BITS | vocabulary[right]] = rank
+            if left in byte_of and right in byte_of:
+                self.of_bytes[byte_of[left], byte_of[right]] = rank
         self.bytes_of = [b""] * (1 + max([*vocabulary.values(), *[t["id"] for t in added]]))
         for token, i in vocabulary.items():
             self.bytes_of[i] = bytes(map(byte_of.__getitem__, token)) if all(c in byte_of for c in token) else token.encode()
@@ -93,28 +96,31 @@ class Merges(dict):
 
     def merged(self, parts: list[str]) -> list[bytes]:
         """The ids of each part, by one index over the positions of all of them."""
-        symbol, pairs, sides = self.symbol, self.pairs, self.sides
-        symbols, starts = [_EDGE], []
-        for part in parts:
-            starts.append(len(symbols))
-            symbols += [symbol[b] for b in part.encode()]
-            symbols.append(_EDGE)
-        n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        active: dict[int, list[int]] = {}
-        known = pairs.get
-        for at, pair in enumerate(zip(symbols, symbols[1:])):
-            found = known(pair)
-            if found is not None:
-                active.setdefault(found[0], []).append(at)
-        ranks = list(active)
-        heapify(ranks)
+        joined = [part.encode() for part in parts]
+        lengths = np.array([len(part) for part in joined])
+        text = np.frombuffer(b"".join(joined), dtype=np.uint8)
+        starts = np.cumsum(lengths + 1) - lengths  # an edge stands before every part and after the last
+        places = np.arange(len(text)) + np.repeat(np.arange(1, len(parts) + 1), lengths)
+        n = len(text) + len(parts) + 1
+        flat = np.full(n, _EDGE)
+        flat[places] = self.symbol[text]
+        symbols, after, before = flat.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        # The index at first: pairs of bytes that touch, by rank.
+        rank_at = self.of_bytes[text[:-1], text[1:]]
+        pairs = np.flatnonzero((rank_at >= 0) & (np.diff(places) == 1))
+        pairs = pairs[np.argsort(rank_at[pairs], kind="stable")]
+        first, cuts = np.unique(rank_at[pairs], return_index=True)
+        listed = places[pairs].tolist()
+        ranks = first.tolist()  # ascending, and so a heap
+        active = {rank: listed[a:b] for rank, a, b in zip(ranks, cuts.tolist(), [*cuts[1:].tolist(), len(listed)])}
+        known, sides = self.known.get, self.sides
         while ranks:
             rank = heappop(ranks)
-            left, right = sides[rank]
-            both = pairs[left, right][1]
+            left, right, both = sides[rank]
             positions = active.pop(rank)
-            positions.sort()
+            if left == right:
+                positions.sort()  # they may overlap
+            behind = both << _BITS
             for at in positions:
                 if symbols[at] != left:
                     continue
@@ -122,24 +128,31 @@ class Merges(dict):
                 if symbols[second] != right:
                     continue
                 symbols[at], symbols[second] = both, _DEAD
-                follower = after[second]
+                follower, leader = after[second], before[at]
                 after[at], before[follower] = follower, at
-                leader = before[at]
-                for place, pair in ((leader, (symbols[leader], both)), (at, (both, symbols[follower]))):
-                    found = known(pair)
+                other = symbols[leader]
+                if other >= 0:
+                    found = known(other << _BITS | both)
                     if found is not None:
-                        listed = active.get(found[0])
-                        if listed is None:
-                            active[found[0]] = [place]
-                            heappush(ranks, found[0])
+                        if found in active:
+                            active[found].append(leader)
                         else:
-                            listed.append(place)
-        flat = np.array(symbols, dtype=np.int64)
+                            active[found] = [leader]
+                            heappush(ranks, found)
+                other = symbols[follower]
+                if other >= 0:
+                    found = known(behind | other)
+                    if found is not None:
+                        if found in active:
+                            active[found].append(at)
+                        else:
+                            active[found] = [at]
+                            heappush(ranks, found)
+        flat = np.array(symbols)
         alive = flat >= 0
         ids = flat[alive].astype("<u4").tobytes()
         upto = np.concatenate([[0], np.cumsum(alive)]) * 4
-        ends = [*starts[1:], n]
-        return [ids[a:b] for a, b in zip(upto[starts].tolist(), upto[ends].tolist())]
+        return [ids[a:b] for a, b in zip(upto[starts].tolist(), upto[starts + lengths].tolist())]
 
     def learn(self, split: list[list[str]]) -> dict[str, bytes]:
         """The ids of the parts of these texts: of those not remembered by one run of the index."""
