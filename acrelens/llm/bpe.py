@@ -44,6 +44,8 @@ LIMIT = 300_000
 LONGEST = 64
 # Fixed value: the split that byte-level files with use_regex mean.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A rank with so many positions is applied to all of them at once.
+MANY = 64
 _DEAD, _EDGE = -2, -1
 _BITS = 32
 
@@ -75,6 +77,8 @@ class Merges(dict):
             self.known[vocabulary[left] << _BITS | vocabulary[right]] = rank
             if left in byte_of and right in byte_of:
                 self.of_bytes[byte_of[left], byte_of[right]] = rank
+        self.keys = np.array(sorted(self.known), dtype=np.int64)
+        self.rank_of = np.array([self.known[k] for k in self.keys.tolist()], dtype=np.int64)
         self.bytes_of = [b""] * (1 + max([*vocabulary.values(), *[t["id"] for t in added]]))
         for token, i in vocabulary.items():
             self.bytes_of[i] = bytes(map(byte_of.__getitem__, token)) if all(c in byte_of for c in token) else token.encode()
@@ -104,7 +108,8 @@ class Merges(dict):
         n = len(text) + len(parts) + 1
         flat = np.full(n, _EDGE)
         flat[places] = self.symbol[text]
-        symbols, after, before = flat.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        next_place, last_place = np.arange(1, n + 1), np.arange(-1, n - 1)
+        symbols, after, before = map(memoryview, (flat, next_place, last_place))  # the same numbers, one at a time
         # The index at first: pairs of bytes that touch, by rank.
         rank_at = self.of_bytes[text[:-1], text[1:]]
         pairs = np.flatnonzero((rank_at >= 0) & (np.diff(places) == 1))
@@ -120,6 +125,22 @@ class Merges(dict):
             positions = active.pop(rank)
             if left == right:
                 positions.sort()  # they may overlap
+            elif len(positions) >= MANY:
+                at = np.unique(positions)
+                at = at[flat[at] == left]
+                at = at[flat[next_place[at]] == right]
+                second = next_place[at]
+                follower = next_place[second]
+                flat[at], flat[second] = both, _DEAD
+                next_place[at], last_place[follower] = follower, at
+                leader = last_place[at]
+                for rank, some in self._ranked(np.concatenate([flat[leader] << _BITS | both, both << _BITS | flat[follower]]), np.concatenate([leader, at])):
+                    if rank in active:
+                        active[rank] += some
+                    else:
+                        active[rank] = some
+                        heappush(ranks, rank)
+                continue
             behind = both << _BITS
             for at in positions:
                 if symbols[at] != left:
@@ -148,12 +169,21 @@ class Merges(dict):
                         else:
                             active[found] = [at]
                             heappush(ranks, found)
-        flat = np.array(symbols)
         alive = flat >= 0
         ids = flat[alive].astype("<u4").tobytes()
         upto = np.concatenate([[0], np.cumsum(alive)]) * 4
         return [ids[a:b] for a, b in zip(upto[starts].tolist(), upto[starts + lengths].tolist())]
 
+    def _ranked(self, pairs: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """The ranks among pairs (an edge is in none) and the places of each."""
+        found = np.searchsorted(self.keys, pairs)
+        here = np.flatnonzero(self.keys[np.minimum(found, len(self.keys) - 1)] == pairs)
+        ranks = self.rank_of[found[here]]
+        order = np.argsort(ranks, kind="stable")
+        ranks, listed = ranks[order], places[here[order]].tolist()
+        first = np.flatnonzero(np.diff(ranks, prepend=-1)).tolist()
+        return zip(ranks[first].tolist(), (listed[a:b] for a, b in zip(first, [*first[1:], len(listed)])))
+
     def learn(self, split: list[list[str]]) -> dict[str, bytes]:
         """The ids of the parts of these texts: of those not remembered by one run of the index."""
         if len(self) >= LIMIT:

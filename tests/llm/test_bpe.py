@@ -59,8 +59,18 @@ def test_what_is_remembered_makes_no_difference(library, monkeypatch):
     assert len(own.before) and len(own) < 3000
 
 
-def test_ranks_that_do_not_rise(tmp_path):
+@pytest.mark.parametrize("many", [1, 3, 10**9])
+def test_many_positions_at_once_or_one_by_one(library, monkeypatch, many):
+    monkeypatch.setattr(bpe, "MANY", many)
+    own, some = bpe.Merges(PATH), texts()
+    for text, ids in zip(some, own.encode(some)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("many", [1, 64])
+def test_ranks_that_do_not_rise(tmp_path, monkeypatch, many):
     """A merge whose parts come later than itself: the lowest rank at hand goes first, as in the library."""
+    monkeypatch.setattr(bpe, "MANY", many)
     told = json.load(open(PATH))
     vocabulary = {c: i for i, c in enumerate([k for k, v in sorted(told["model"]["vocab"].items(), key=lambda x: x[1]) if len(k) == 1])}
     for token in ("abc", "ab", "bc", "abab", "aba", "aa", "aaa"):
