@@ -11,7 +11,10 @@ long the prefix is then differs from query to query, as its surroundings are den
 thin. A query that has less at the bucket's bits ascends to the empty prefix: it is
 scored against every vector, in blocks. The first job counts what each prefix length
 gives; the second multiplies each query with the rows of its spans alone, by inner
-product in double precision, and keeps the best of each group.
+product in double precision, and keeps the best of each group. Equal products go to the
+smaller vec_id: every cut is by score and by the least id of a class, all that ties at a
+cut is compared, and a product is the sum from the first part to the last, so that it is
+the same number in any block.
 
 ``enough(n)`` is n * (STARTS / n) ** FALL: near-random vectors need a share of the table
 that falls slowly as it grows. Measured recall is in the README.
@@ -118,6 +121,33 @@ def _matrix(vectors: pd.Series, dim: int) -> np.ndarray:
     return np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), dim)
 
 
+def reaching(queries: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of all rows of x whose product may be among the k largest of query i, every tie at the k-th with them."""
+    found = queries @ x.T
+    if len(x) <= k:
+        return tuple(np.indices(found.shape).reshape(2, -1))
+    # A matrix product adds up in an order of its own, so what it says of a row may be off by this much.
+    off = 4 * x.shape[1] * np.finfo(float).eps * np.linalg.norm(queries, axis=1) * np.linalg.norm(x, axis=1).max()
+    return np.nonzero(found >= (np.partition(found, -k, axis=1)[:, -k] - off)[:, None])
+
+
+def products(queries: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of pairs, added up from the first part to the last, whatever else is in a block."""
+    out = np.zeros(len(i))
+    for at in range(0, len(i), 1 << 16):
+        a, b = queries[i[at : at + (1 << 16)]], x[j[at : at + (1 << 16)]]
+        for part in range(x.shape[1]):
+            out[at : at + len(a)] += a[:, part] * b[:, part]
+    return out
+
+
+def _first(q: np.ndarray, u: np.ndarray, least: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k best of each query; ties by the classes' least ids."""
+    order = np.lexsort((least, -score, q))
+    kept = order[np.arange(len(q)) - np.searchsorted(q[order], q[order], "left") < k]
+    return q[kept], u[kept], least[kept], score[kept]
+
+
 class Forest:
     """The distinct vectors of a table, their trees, and the queries' strings; all tables are written."""
 
@@ -130,7 +160,7 @@ class Forest:
         smallest = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("r") <= settings.k + 1)
         square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
         classes = smallest.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # k + 1 at most
-        self.classes = work.write(classes.select(F.monotonically_increasing_id().alias("u"), "ids", "v", F.floor(F.log2(square) / 2 * BANDS + 0.5).cast("int").alias("band")), "classes")
+        self.classes = work.write(classes.select(F.monotonically_increasing_id().alias("u"), "ids", F.col("ids")[0].alias("least"), "v", F.floor(F.log2(square) / 2 * BANDS + 0.5).cast("int").alias("band")), "classes")
         self.asked = work.write(rows.filter(F.col("vec_id") % settings.every == 0).join(self.classes.select("u", "v"), "v").select("vec_id", "u"), "asked")
         self.queries = self.asked.select("u").distinct()
         self.bands = work.write(self.classes.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("m"), F.max(F.size("v")).alias("dim")), "bands")
@@ -206,15 +236,16 @@ class Forest:
         return self.work.write(reached.select("u", "band", level.alias("level")), "levels")
 
     def scored(self, reached: DataFrame) -> DataFrame:
-        """(q, u, score): for each query the best k + 1 of each group among the rows of its spans."""
+        """(q, u, least, score): for each query the best k + 1 of each group among the rows of its spans."""
         k, dim = self.settings.k, self.dim
 
         def score(planted: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
-            none = pd.DataFrame({"q": [], "u": [], "score": []}).astype({"q": "int64", "u": "int64", "score": "float64"})
+            none = pd.DataFrame({"q": [], "u": [], "least": [], "score": []}).astype({"q": "int64", "u": "int64", "least": "int64", "score": "float64"})
             if planted.empty or probes.empty:
                 return none
             order = np.argsort(planted["code"].to_numpy().view(np.uint64), kind="stable")
-            codes, names, x = planted["code"].to_numpy().view(np.uint64)[order], planted["u"].to_numpy()[order], _matrix(planted["v"], dim)[order]
+            codes, names, least = planted["code"].to_numpy().view(np.uint64)[order], planted["u"].to_numpy()[order], planted["least"].to_numpy()[order]
+            x = _matrix(planted["v"], dim)[order]
             low, high = spans(codes, probes["code"].to_numpy().view(np.uint64), probes["level"].to_numpy())
             asked, vectors = probes["u"].to_numpy(), _matrix(probes["qv"], dim)
             rows = np.flatnonzero(high > low)
@@ -225,16 +256,11 @@ class Forest:
                 for at in range(0, len(same), 512):
                     part = same[at : at + 512]
                     a, b = low[part[0]], high[part[0]]
-                    products = vectors[part] @ x[a:b].T
-                    take = np.argpartition(-products, k, axis=1)[:, : k + 1] if b - a > k + 1 else np.broadcast_to(np.arange(b - a), products.shape)
-                    out.append((np.repeat(asked[part], take.shape[1]), names[a:b][take].ravel(), np.take_along_axis(products, take, 1).ravel()))
+                    i, j = reaching(vectors[part], x[a:b], k + 1)
+                    out.append(_first(asked[part][i], names[a:b][j], least[a:b][j], products(vectors[part], x[a:b], i, j), k + 1))
             if not out:
                 return none
-            q, u, s = (np.concatenate(c) for c in zip(*out))
-            order = np.lexsort((-s, q))
-            q, u, s = q[order], u[order], s[order]
-            best = np.arange(len(q)) - np.searchsorted(q, q, "left") <= k
-            return pd.DataFrame({"q": q[best], "u": u[best], "score": s[best]})
+            return pd.DataFrame(dict(zip(none, _first(*(np.concatenate(c) for c in zip(*out)), k + 1))))
 
         trees, probes = self.trees, self.probes
         short = reached.filter("level = 0").select("band", F.lit(-1).alias("tree"), F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("code"), F.lit(-1).alias("turned"), "u")
@@ -242,19 +268,19 @@ class Forest:
             whole = self.classes.select("band", F.lit(-1).alias("tree"), F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("code"), "u")
             every_row, every_short = self.dealt(whole, short)
             trees, probes = trees.unionByName(every_row), probes.unionByName(every_short)
-        vectors = self.classes.select("u", F.col("v").cast(self.kind if self.kind == "array<float>" else "array<double>").alias("v"))
-        left = trees.join(vectors, "u").select(*_GROUP, "code", "u", "v")
+        vectors = self.classes.select("u", "least", F.col("v").cast(self.kind if self.kind == "array<float>" else "array<double>").alias("v"))
+        left = trees.join(vectors, "u").select(*_GROUP, "code", "u", "least", "v")
         right = probes.join(reached, ["u", "band"]).filter("if(tree < 0, level = 0, level > turned and level > 0)")
         right = right.join(vectors, "u").select(*_GROUP, "code", "u", F.col("v").alias("qv"), "level")
-        return left.groupBy(*_GROUP).cogroup(right.groupBy(*_GROUP)).applyInPandas(score, "q long, u long, score double")
+        return left.groupBy(*_GROUP).cogroup(right.groupBy(*_GROUP)).applyInPandas(score, "q long, u long, least long, score double")
 
 
 def nearest(embeddings: DataFrame, **settings) -> DataFrame:
     """(query_id, rank, vec_id, score) of the rows whose id ``every`` divides, against all others; see ``Settings``."""
     forest = Forest(embeddings, Settings(**settings))
     k = forest.settings.k
-    best = forest.scored(forest.levels()).groupBy("q", "u").agg(F.max("score").alias("score"))
-    best = best.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "u"))).filter(F.col("r") <= k + 1)
+    best = forest.scored(forest.levels()).groupBy("q", "u", "least").agg(F.max("score").alias("score"))
+    best = best.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "least", "u"))).filter(F.col("r") <= k + 1)
     told = best.join(forest.classes.select("u", "ids"), "u").select("q", "score", F.explode("ids").alias("vec_id"))
     told = told.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k + 1)
     lists = told.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("found"))  # k + 1 at most

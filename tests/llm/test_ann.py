@@ -50,6 +50,65 @@ def test_recall_and_ascending_on_random_vectors(spark):
     assert short
 
 
+def tied_tables():
+    rng = np.random.default_rng(6)
+    return {
+        "whole": rng.integers(-2, 3, (400, 8)),
+        "binary": rng.integers(0, 2, (400, 16)),
+        "one-hot": np.eye(64, dtype=int)[rng.integers(0, 64, 400)],
+        "two values": rng.integers(0, 2, (300, 3)) * 2 - 1,
+    }
+
+
+def ranked_by_hand(x, names):
+    """Whole numbers: every sum is exact, so ties are ties."""
+    out = {}
+    for q in range(len(x)):
+        if names[q] % 20 == 0 and x[q].any():
+            order = sorted((-int(x[q] @ x[i]), int(names[i])) for i in range(len(x)) if i != q and x[i].any())
+            out[int(names[q])] = [(i, -float(s)) for s, i in order[:20]]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["whole", "binary", "one-hot", "two values"])
+def test_ties_go_to_the_smaller_id(spark, kind):
+    x = tied_tables()[kind]
+    names = np.random.default_rng(8).permutation(3 * len(x))[: len(x)]
+    rows = spark.createDataFrame([(int(i), [float(c) for c in v], 0) for i, v in zip(names, x)], "vec_id long, embedding array<double>, rank int").repartition(7)
+    want = ranked_by_hand(x, names)
+
+    def lists(**settings):
+        out = {}
+        for q, rank, i, score in found(ann.nearest(rows, **settings)):
+            out.setdefault(q, []).append((i, score))
+        return out
+
+    assert lists(candidates=10**9, trees=4, rows_per_group=60, queries_per_group=5) == want  # cut in many blocks
+    got = lists()  # as in production
+    assert set(got) == set(want)
+    assert sum(got[q] == want[q] for q in want) >= 0.9 * len(want)
+    for q, own in got.items():
+        assert own == sorted(own, key=lambda x: (-x[1], x[0])) and len(own) == len(want[q])
+
+
+def test_products_are_the_same_in_any_block():
+    rng = np.random.default_rng(4)
+    q, x = rng.standard_normal((30, 64)), rng.standard_normal((500, 64))
+    x[100:200] = x[0] * 1.0
+    whole = {}
+    for a, b in ((0, 500), (0, 37), (37, 250), (250, 500), (90, 210)):
+        i, j = ann.reaching(q, x[a:b], 20)
+        for r, c, s in zip(i.tolist(), (j + a).tolist(), ann.products(q, x[a:b], i, j).tolist()):
+            assert whole.setdefault((r, c), s) == s
+    for (r, c), s in list(whole.items())[:200]:
+        by_hand = 0.0
+        for p in range(64):
+            by_hand += float(q[r, p]) * float(x[c, p])
+        assert by_hand == s
+    i, j = ann.reaching(q, x, 20)  # all that ties at the cut is there
+    assert all(set(range(100, 200)) <= set(j[i == r]) for r in range(30) if 150 in j[i == r])
+
+
 def unit_rows(n, lengths=None):
     x = np.random.default_rng(2).standard_normal((n, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
