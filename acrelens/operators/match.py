@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from acrelens.functions.text import UNIT_MARK, parcel_key, street_address
+from acrelens.functions.text import UNIT_AT_END, parcel_key, street_address
 
-_UNIT_AT_END = rf"^(.*?)\s*{UNIT_MARK}([A-Z0-9][\w-]*)\s*$"
 _PREFIX = r"^(\d+\s+\S+(?:\s+\S+)?)"
 
 
@@ -26,7 +25,7 @@ def by_address(listings: DataFrame, parcels: DataFrame) -> DataFrame:
     # Exploding one row keeps later steps from repeating the address expressions.
     once = lambda df, *cols: df.select("listing_id", "county_fips", F.explode(F.array(F.struct(*cols))).alias("a")).select("listing_id", "county_fips", "a.*")
     forms = once(listings, zip_.alias("zip"), street_address(F.col("address")).alias("street"), street_address(F.col("address"), strip_unit=False).alias("kept"))
-    base, unit = F.trim(F.regexp_extract("kept", _UNIT_AT_END, 1)), F.regexp_extract("kept", _UNIT_AT_END, 2)
+    base, unit = F.trim(F.regexp_extract("kept", UNIT_AT_END, 1)), F.regexp_extract("kept", UNIT_AT_END, 2)
     asked = once(forms, F.col("zip"), F.col("street"), F.when(unit != "", F.concat_ws(" ", base, unit)).alias("with_unit"), F.when(unit != "", base).alias("base"))
     roll = parcels.filter("phy_addr1 is not null").select("county_fips", "parcel_id", F.upper(F.trim("phy_addr1")).alias("key"), F.col("phy_zipcd").alias("zip"))
     by_zip = roll.groupBy("county_fips", "key", "zip").agg(F.min("parcel_id").alias("parcel_id"))
@@ -187,12 +186,12 @@ def by_legal(records: DataFrame, parcels: DataFrame, least: float = 72.0) -> Dat
 
 
 def by_court_record(records: DataFrame, parcels: DataFrame) -> DataFrame:
-    """record_id, parcel_id, method of every record (record_id, county_fips, legal): by lot, else by section, else none."""
+    """record_id, parcel_id, method of every record (record_id, county_fips, legal): by lot (fuzzy_legal), else by section, else no_match."""
     lots = by_legal(records, parcels)
     left = records.join(lots, "record_id", "left_anti")
     sections = by_section(left.select("record_id", "county_fips", "legal.sec", "legal.twp", "legal.rge"), parcels)
-    found = lots.select("record_id", "parcel_id", F.lit("fuzzy_legal").alias("method")).unionByName(sections.withColumn("method", F.lit("str")))
-    return records.select("record_id").join(found, "record_id", "left").select("record_id", "parcel_id", F.coalesce("method", F.lit("none")).alias("method"))
+    found = lots.select("record_id", "parcel_id", F.lit("fuzzy_legal").alias("method")).unionByName(sections)
+    return records.select("record_id").join(found, "record_id", "left").select("record_id", "parcel_id", F.coalesce("method", F.lit("no_match")).alias("method"))
 
 
 def match_cycle(listings: DataFrame, parcels: DataFrame, events: DataFrame) -> DataFrame:
@@ -208,13 +207,25 @@ def match_cycle(listings: DataFrame, parcels: DataFrame, events: DataFrame) -> D
 
 
 def by_section(records: DataFrame, parcels: DataFrame) -> DataFrame:
-    """record_id, parcel_id where section, township and range (endings N and S aside) name one parcel alone."""
-    bare = lambda c: F.regexp_replace(F.upper(F.trim(c)), "[NSEW]$", "")
-    key = ["county_fips", "s", "t", "r"]
-    a = records.select("record_id", "county_fips", F.trim("sec").alias("s"), bare(F.col("twp")).alias("t"), bare(F.col("rge")).alias("r"))
-    b = parcels.select("county_fips", "parcel_id", F.trim("sec").alias("s"), bare(F.col("twn")).alias("t"), bare(F.col("rng")).alias("r"))
-    single = b.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("parcel_id").alias("parcel_id")).filter("n = 1")
-    return a.join(single, key).select("record_id", "parcel_id")
+    """record_id, parcel_id, method of the records (record_id, county_fips, sec, twp, rge) that section, township and range lead somewhere.
+
+    The key as it is written goes first: one parcel with it is the match (``str``), several
+    are ``str_ambiguous`` and nothing more is tried. Without any, N or S at the township's end
+    and E or W at the range's are dropped on both sides, and a written key that one parcel
+    alone has is the match; of several such keys that of the least parcel_id.
+    """
+    def parts(sec: str, town: str, range_: str) -> list[Column]:
+        return [F.trim(sec).alias("s"), F.trim(town).alias("t"), F.trim(range_).alias("r")]
+
+    bare = [F.regexp_replace("t", "[NS]$", "").alias("t"), F.regexp_replace("r", "[EW]$", "").alias("r")]
+    told = lambda df, *c: df.filter(" and ".join(f"{x} <> ''" for x in c))
+    asked = told(records, "sec", "twp", "rge").select("record_id", "county_fips", *parts("sec", "twp", "rge"))
+    written = told(parcels, "sec", "twn", "rng").select("county_fips", "parcel_id", *parts("sec", "twn", "rng")).groupBy("county_fips", "s", "t", "r").agg(F.count(F.lit(1)).alias("n"), F.min("parcel_id").alias("one"))
+    tolerant = written.filter("n = 1").select("county_fips", "s", *bare, "one").groupBy("county_fips", "s", "t", "r").agg(F.min("one").alias("parcel_id"))
+    met = asked.join(written, ["county_fips", "s", "t", "r"], "left")
+    exact = met.filter("n is not null").select("record_id", F.when(F.col("n") == 1, F.col("one")).alias("parcel_id"), F.when(F.col("n") == 1, "str").otherwise("str_ambiguous").alias("method"))
+    rest = met.filter("n is null").select("record_id", "county_fips", "s", *bare).join(tolerant, ["county_fips", "s", "t", "r"])
+    return exact.unionByName(rest.select("record_id", "parcel_id", F.lit("str").alias("method")))
 
 
 def by_parcel_id(records: DataFrame, parcels: DataFrame) -> DataFrame:

@@ -126,18 +126,31 @@ def absentee_owners(parcels):
 _MARKED = r"""regexp_replace(regexp_replace(regexp_replace({x}, '([0-9])([A-Z])', '\1~\2', 'g'), '~(ST|ND|RD|TH)\b', '\1', 'g'), '~', ' ', 'g')"""
 
 
-def _address_sql(column: str) -> str:
-    text = f"trim(regexp_replace(upper(coalesce({column}, '')), '\\s+', ' ', 'g'))"
-    text = f"trim(regexp_replace(regexp_replace({text}, '(\\b(APT\\.?|UNIT|STE|SUITE)\\s+[\\w-]+|#\\s*[\\w-]+)', '', 'g'), '\\s+', ' ', 'g'))"
-    text = _MARKED.format(x=text)
+# The two patterns of a unit, as they must be.
+_UNIT_SQL = r"(\b(APT\.?|UNIT|STE|SUITE)\s+[\w-]+|#\s*[\w-]+)"
+_UNIT_END_SQL = r"^(.*?)\s*(?:#|APT\.?\s*|UNIT\s+|STE\.?\s*|SUITE\s+)([A-Z0-9][\w-]*)\s*$"
+
+
+def _address_sql(column: str, strip_unit: bool = True) -> str:
+    squeeze = lambda t: f"trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
+    text = squeeze(f"upper(coalesce({column}, ''))")
+    if strip_unit:
+        text = _MARKED.format(x=squeeze(f"regexp_replace({text}, '{_UNIT_SQL}', '', 'g')"))
+    else:
+        head = f"regexp_extract(t, '^(.*?)(?:{_UNIT_SQL}.*)?$', 1)"
+        text = f"list_transform([{text}], lambda t: {_MARKED.format(x=head)} || substr(t, length({head}) + 1))[1]"
+    text = squeeze(text)
     for full, short in X.SUFFIXES.items():
         text = f"regexp_replace({text}, '\\b{full}\\b', '{short}', 'g')"
-    return f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+    text, words = squeeze(text), "|".join(X.COMPASS)
+    shorts = " ".join(f"WHEN '{full}' THEN '{short}'" for full, short in X.COMPASS.items())
+    led = f"^([0-9]+\\s+)({words})\\s+"
+    return f"list_transform([{text}], lambda t: CASE WHEN regexp_matches(t, '{led}') AND NOT regexp_matches(t, '{led}({words})\\b') THEN regexp_replace(t, '{led}', '\\1' || CASE regexp_extract(t, '{led}', 2) {shorts} END || ' ') ELSE t END)[1]"
 
 
-@query(f"SELECT listing_id, {_address_sql('address')} AS street FROM listings")
+@query(f"SELECT listing_id, {_address_sql('address')} AS street, {_address_sql('address', False)} AS kept FROM listings")
 def address_normal_form(listings):
-    return listings.select("listing_id", X.street_address(F.col("address")).alias("street"))
+    return listings.select("listing_id", X.street_address(F.col("address")).alias("street"), X.street_address(F.col("address"), strip_unit=False).alias("kept"))
 
 
 @query(
@@ -332,26 +345,28 @@ def bounding_box(parcels):
 
 # Matching.
 
-_STREETS = _address_sql("address")
+_ASKED = f"""asked AS MATERIALIZED (SELECT *, CASE WHEN u <> '' THEN trim(b) || ' ' || u END AS with_unit, CASE WHEN u <> '' THEN trim(b) ELSE street END AS base FROM
+ (SELECT *, regexp_extract(kept, '{_UNIT_END_SQL}', 1) AS b, regexp_extract(kept, '{_UNIT_END_SQL}', 2) AS u FROM
+  (SELECT listing_id, county_fips, nullif(trim(zip), '') AS zip, {_address_sql("address")} AS street, {_address_sql("address", False)} AS kept FROM listings)))"""
 
 
-@query(
-    f"""WITH asked AS (SELECT listing_id, county_fips, zip, {_STREETS} AS street FROM listings),
- hits AS (SELECT listing_id, min(parcel_id) FILTER (p.phy_zipcd = a.zip) AS z, min(parcel_id) AS k FROM asked a JOIN parcels p ON a.county_fips = p.county_fips AND upper(trim(p.phy_addr1)) = a.street GROUP BY 1)
- SELECT listing_id, coalesce(z, k) AS parcel_id, CAST(CASE WHEN z IS NOT NULL THEN 1 ELSE 2 END AS INT) AS level FROM hits"""
-)
+def _levels_sql(roll: str) -> str:
+    """CTEs: what was asked, the keys of ``roll``, and the first level that hits; then the prefixes of the others."""
+    return f"""WITH {_ASKED},
+ keys AS (SELECT county_fips, parcel_id, phy_zipcd, upper(trim(phy_addr1)) AS key FROM {roll} WHERE phy_addr1 IS NOT NULL),
+ tried AS (SELECT listing_id, zip, county_fips, street AS key, 1 AS level FROM asked UNION ALL SELECT listing_id, zip, county_fips, with_unit, 3 FROM asked WHERE with_unit IS NOT NULL),
+ hits AS MATERIALIZED (SELECT listing_id, min(struct_pack(level := level + CASE WHEN p.phy_zipcd = t.zip THEN 0 ELSE 1 END, id := parcel_id)) AS h FROM tried t JOIN keys p ON t.county_fips = p.county_fips AND t.key = p.key WHERE t.key <> '' GROUP BY 1),
+ met AS MATERIALIZED (SELECT listing_id, count(DISTINCT parcel_id) AS n, min(parcel_id) AS one, string_agg(DISTINCT parcel_id, ',' ORDER BY parcel_id) AS every FROM
+  (SELECT m.*, p.parcel_id FROM (SELECT *, trim(regexp_extract(base, '^([0-9]+\\s+\\S+(\\s+\\S+)?)', 1)) AS prefix FROM asked ANTI JOIN hits USING (listing_id)) m
+   JOIN keys p ON m.county_fips = p.county_fips AND starts_with(p.key, prefix) AND (m.zip IS NULL OR m.zip = p.phy_zipcd) WHERE prefix <> '') GROUP BY 1)"""
+
+
+@query(_levels_sql("parcels") + " SELECT listing_id, h.id AS parcel_id, CAST(h.level AS INT) AS level FROM hits WHERE h.level <= 2")
 def address_match(listings, parcels):
     return match.by_address(listings, parcels).filter("level <= 2").select("listing_id", "parcel_id", "level")
 
 
-@query(
-    f"""WITH asked AS (SELECT listing_id, county_fips, zip, {_STREETS} AS street FROM listings),
- missed AS (SELECT * FROM asked a WHERE NOT EXISTS (SELECT 1 FROM parcels p WHERE a.county_fips = p.county_fips AND upper(trim(p.phy_addr1)) = a.street)),
- met AS (SELECT listing_id, count(DISTINCT parcel_id) AS n, min(parcel_id) AS one, string_agg(DISTINCT parcel_id, ',' ORDER BY parcel_id) AS every FROM
-  (SELECT m.*, p.parcel_id FROM (SELECT *, trim(regexp_extract(street, '^([0-9]+\\s+\\S+(\\s+\\S+)?)', 1)) AS prefix FROM missed) m
-   JOIN parcels p ON m.county_fips = p.county_fips AND starts_with(upper(trim(p.phy_addr1)), prefix) AND (m.zip IS NULL OR m.zip = p.phy_zipcd) WHERE prefix <> '') GROUP BY 1)
- SELECT listing_id, CASE WHEN n = 1 THEN one END AS parcel_id, CASE WHEN n > 1 THEN every END AS review FROM met"""
-)
+@query(_levels_sql("parcels") + " SELECT listing_id, CASE WHEN n = 1 THEN one END AS parcel_id, CASE WHEN n > 1 THEN every END AS review FROM met")
 def address_prefix_match(listings, parcels):
     return match.by_address(listings, parcels).filter("level = 5 or review is not null").select("listing_id", "parcel_id", "review")
 
@@ -362,37 +377,36 @@ def parcel_id_match(listings, parcels):
     return match.by_parcel_id(records.filter("raw_id not like '0%'"), parcels)
 
 
+_DIRECTED = "CASE {k} % 4 WHEN 0 THEN '{a}' WHEN 1 THEN '{b}' WHEN 2 THEN ' ' ELSE '{a} ' END"
+
+
 @query(
-    """WITH s AS (SELECT county_fips, trim(sec) AS s, regexp_replace(upper(twn), '[NSEW]$', '') AS t, regexp_replace(upper(rng), '[NSEW]$', '') AS r, parcel_id FROM parcels)
- SELECT CAST(l.listing_id AS BIGINT) AS record_id, min(s.parcel_id) AS parcel_id FROM listings l JOIN s ON l.county_fips = s.county_fips AND s.s = CAST(listing_id % 36 + 1 AS VARCHAR) AND s.t = CAST(listing_id % 9 AS VARCHAR) AND s.r = CAST(listing_id % 31 AS VARCHAR) GROUP BY 1 HAVING count(*) = 1"""
+    f"""WITH asked AS (SELECT CAST(listing_id AS BIGINT) AS record_id, county_fips, CAST(listing_id % 36 + 1 AS VARCHAR) AS s, trim(CAST(listing_id % 9 AS VARCHAR) || {_DIRECTED.format(k="listing_id", a="N", b="S")}) AS t, trim(CAST(listing_id % 31 AS VARCHAR) || {_DIRECTED.format(k="(listing_id + 1)", a="W", b="E")}) AS r FROM listings),
+ keys AS (SELECT county_fips, trim(sec) AS s, trim(twn) AS t, trim(rng) AS r, count(*) AS n, min(parcel_id) AS one FROM parcels WHERE coalesce(sec, '') <> '' AND coalesce(twn, '') <> '' AND coalesce(rng, '') <> '' GROUP BY ALL),
+ exact AS (SELECT record_id, CASE WHEN n = 1 THEN one END AS parcel_id, CASE WHEN n = 1 THEN 'str' ELSE 'str_ambiguous' END AS method FROM asked JOIN keys USING (county_fips, s, t, r))
+ SELECT * FROM exact UNION ALL
+ SELECT record_id, min(one), 'str' FROM asked a JOIN keys k ON a.county_fips = k.county_fips AND a.s = k.s AND rtrim(a.t, 'NS') = rtrim(k.t, 'NS') AND rtrim(a.r, 'EW') = rtrim(k.r, 'EW') AND n = 1
+ WHERE record_id NOT IN (SELECT record_id FROM exact) GROUP BY 1"""
 )
 def section_match(listings, parcels):
     k = F.col("listing_id")
-    records = listings.select(k.alias("record_id"), "county_fips", (k % 36 + 1).cast("string").alias("sec"), F.concat((k % 9).cast("string"), F.lit("S")).alias("twp"), (k % 31).cast("string").alias("rge"))
+    town = F.concat((k % 9).cast("string"), F.expr(_DIRECTED.format(k="listing_id", a="N", b="S")))
+    range_ = F.concat((k % 31).cast("string"), F.expr(_DIRECTED.format(k="(listing_id + 1)", a="W", b="E")))
+    records = listings.select(k.cast("long").alias("record_id"), "county_fips", (k % 36 + 1).cast("string").alias("sec"), town.alias("twp"), range_.alias("rge"))
     return match.by_section(records, parcels)
 
 
 _WITH_UNIT = "CASE WHEN CAST(parcel_id AS BIGINT) % 4 < 2 THEN phy_addr1 || ' 4' ELSE phy_addr1 END"
 
 
-@query(
-    f"""WITH asked AS (SELECT listing_id, county_fips, zip, {_STREETS} AS street FROM listings),
- units AS (SELECT county_fips, parcel_id, phy_zipcd, upper(trim({_WITH_UNIT})) AS key FROM parcels),
- missed AS (SELECT * FROM asked a WHERE listing_id % 5 = 1 AND NOT EXISTS (SELECT 1 FROM units p WHERE a.county_fips = p.county_fips AND p.key = a.street)),
- hits AS (SELECT listing_id, min(parcel_id) FILTER (p.phy_zipcd = a.zip) AS z, min(parcel_id) AS k FROM missed a JOIN units p ON a.county_fips = p.county_fips AND p.key = a.street || ' 4' GROUP BY 1)
- SELECT listing_id, coalesce(z, k) AS parcel_id, CAST(CASE WHEN z IS NOT NULL THEN 3 ELSE 4 END AS INT) AS level FROM hits"""
-)
+@query(_levels_sql(f"(SELECT * REPLACE ({_WITH_UNIT} AS phy_addr1) FROM parcels)") + " SELECT listing_id, h.id AS parcel_id, CAST(h.level AS INT) AS level FROM hits WHERE h.level IN (3, 4)")
 def address_unit_match(listings, parcels):
     return match.by_address(listings, parcels.withColumn("phy_addr1", F.expr(_WITH_UNIT))).filter("level in (3, 4)").select("listing_id", "parcel_id", "level")
 
 
 @query(
-    f"""WITH asked AS (SELECT listing_id, county_fips, zip, {_STREETS} AS street FROM listings),
- hits AS (SELECT listing_id, coalesce(min(parcel_id) FILTER (p.phy_zipcd = a.zip), min(parcel_id)) AS parcel_id FROM asked a JOIN parcels p ON a.county_fips = p.county_fips AND upper(trim(p.phy_addr1)) = a.street GROUP BY 1),
- met AS (SELECT listing_id, count(DISTINCT parcel_id) AS n, min(parcel_id) AS one FROM
-  (SELECT m.*, p.parcel_id FROM (SELECT *, trim(regexp_extract(street, '^([0-9]+\\s+\\S+(\\s+\\S+)?)', 1)) AS prefix FROM asked ANTI JOIN hits USING (listing_id)) m
-   JOIN parcels p ON m.county_fips = p.county_fips AND starts_with(upper(trim(p.phy_addr1)), prefix) AND (m.zip IS NULL OR m.zip = p.phy_zipcd) WHERE prefix <> '') GROUP BY 1),
- found AS (SELECT county_fips, coalesce(h.parcel_id, CASE WHEN n = 1 THEN one END) AS parcel_id, coalesce(n, 0) > 1 AS several FROM asked LEFT JOIN hits h USING (listing_id) LEFT JOIN met USING (listing_id))
+    _levels_sql("parcels")
+    + """, found AS (SELECT county_fips, coalesce(h.h.id, CASE WHEN n = 1 THEN one END) AS parcel_id, coalesce(n, 0) > 1 AS several FROM asked LEFT JOIN hits h USING (listing_id) LEFT JOIN met USING (listing_id))
  SELECT county_fips, count(*) AS listings, count(parcel_id) AS matched, count(*) - count(parcel_id) AS unmatched, count(*) FILTER (several) AS to_review,
   count(DISTINCT parcel_id) FILTER (parcel_id NOT IN (SELECT parcel_id FROM signals WHERE id % 9 = 0)) AS inserted FROM found GROUP BY 1"""
 )
@@ -687,17 +701,22 @@ def _pages(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
-QUERIES["landed_page_kinds"] = lambda spark, sf_dir: _pages(spark, sf_dir).groupBy(pages.page_kind(F.col("html")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-ORACLE_SQL["landed_page_kinds"] = r"""SELECT CASE WHEN t = '' THEN 'TRANSIENT' WHEN regexp_matches(t, 'captcha|access denied|too many requests') THEN 'SOFT_BLOCK' WHEN regexp_matches(t, 'no records? found|parcel not found') THEN 'NOT_FOUND' ELSE 'OK' END AS kind, count(*) AS n
- FROM (SELECT lower(coalesce(html, '')) AS t FROM pages) GROUP BY 1"""
+_LIST_RULE = pages.PageRule("<li", "</h1>", ("404",))
+QUERIES["landed_page_kinds"] = lambda spark, sf_dir: _pages(spark, sf_dir).groupBy(pages.page_kind(F.col("html"), _LIST_RULE).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+ORACLE_SQL["landed_page_kinds"] = r"""SELECT CASE WHEN html IS NULL THEN 'TRANSIENT' WHEN NOT contains(html, '<li') THEN 'SOFT_BLOCK' WHEN contains(html, '404') THEN 'NOT_FOUND' WHEN NOT contains(html, '</h1>') THEN 'TRANSIENT' ELSE 'OK' END AS kind, count(*) AS n FROM pages GROUP BY 1"""
 QUERIES["landed_page_titles"] = lambda spark, sf_dir: _pages(spark, sf_dir).select("page_id", pages.tag_text(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1)).alias("title"), F.size(pages.all_matches(F.col("html"), r"(?is)<li[^>]*>(.*?)</li>")).alias("items"))
 ORACLE_SQL["landed_page_titles"] = r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS title,
  CAST(len(regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1)) AS INT) AS items FROM pages"""
 
 
-@query("SELECT CASE page_id % 5 WHEN 1 THEN 'SOFT_BLOCK' WHEN 2 THEN 'NOT_FOUND' WHEN 4 THEN 'OK' ELSE 'TRANSIENT' END AS kind, count(*) AS n FROM landed GROUP BY 1")
+@query(
+    r"""SELECT page_id, CASE WHEN answer IS NULL THEN 'TRANSIENT'
+ WHEN county_fips = '12033' THEN CASE WHEN contains(lower(redirects), '/cama/search.aspx') THEN 'NOT_FOUND' WHEN regexp_matches(lower(redirects), '^https://(www\.)?escpa\.org/*$') THEN 'SOFT_BLOCK'
+  WHEN NOT contains(answer, 'Parcel ID:') THEN 'SOFT_BLOCK' WHEN NOT contains(answer, 'General Information') THEN 'TRANSIENT' ELSE 'OK' END
+ WHEN NOT contains(answer, 'window.__remixContext') THEN 'SOFT_BLOCK' WHEN regexp_matches(answer, '"empty": ?true') THEN 'NOT_FOUND' ELSE 'OK' END AS kind FROM landed"""
+)
 def page_kinds(landed):
-    return landed.groupBy(pages.page_kind(F.col("answer")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return landed.select("page_id", pages.county_page_kind(F.col("county_fips"), F.col("answer"), F.split("redirects", " ")).alias("kind"))
 
 
 @query(

@@ -57,8 +57,8 @@ TABLES: dict[str, tuple[str, dict[str, str]]] = {
             "lon": "CASE WHEN c_custkey % 37 = 0 THEN NULL ELSE -873e-1 + (c_custkey * 104729 % 1000) * 4e-4 END",
             "enriched_on": "CASE WHEN c_custkey % 4 <> 0 THEN DATE '2025-03-01' END",
             "sec": "CAST(c_custkey % 36 + 1 AS STRING)",
-            "twn": "CAST(c_custkey % 9 AS STRING) || 'N'",
-            "rng": "CAST(c_custkey % 31 AS STRING) || 'W'",
+            "twn": "CAST(c_custkey % 9 AS STRING) || CASE WHEN c_custkey % 5 < 3 THEN 'N' WHEN c_custkey % 5 = 3 THEN 'S' ELSE '' END",
+            "rng": "CAST(c_custkey % 31 AS STRING) || CASE WHEN c_custkey % 7 < 5 THEN 'W' WHEN c_custkey % 7 = 5 THEN 'E' ELSE ' ' END",
         },
     ),
     "sales": (
@@ -101,7 +101,9 @@ TABLES: dict[str, tuple[str, dict[str, str]]] = {
         {
             "listing_id": "p_partkey",
             "county_fips": _COUNTY.format(k="p_partkey"),
-            "address": f"CAST(100 + (p_partkey * 3) % 400 AS STRING) || ' ' || lower({_STREET.format(k='p_partkey')}) || CASE p_partkey % 5 WHEN 0 THEN ' Street' WHEN 1 THEN ' st  # 4' WHEN 2 THEN ' ST APT 2B' WHEN 3 THEN '' ELSE ' Str' END",
+            "address": "CAST(100 + (p_partkey * 3) % 400 AS STRING) || CASE p_partkey % 17 WHEN 3 THEN ' North ' WHEN 5 THEN ' southwest ' WHEN 7 THEN ' NORTH South ' WHEN 11 THEN '  ' ELSE ' ' END || lower("
+            + _STREET.format(k="p_partkey")
+            + ") || CASE p_partkey % 13 WHEN 0 THEN ' Street' WHEN 1 THEN ' st  # 4' WHEN 2 THEN ' ST APT 2B' WHEN 3 THEN '' WHEN 4 THEN ' Str' WHEN 5 THEN ' ST APT4' WHEN 6 THEN ' st #4' WHEN 7 THEN ' ST APT.4' WHEN 8 THEN ' ST UNIT5' WHEN 9 THEN ' st ste 4' WHEN 10 THEN ' st apt. 4' WHEN 11 THEN ' ST Unit  4' ELSE ' Street' END",
             "zip": "CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(32500 + p_partkey % 40 AS STRING) END",
             "price_text": "'$' || CAST(CAST(floor(p_retailprice) AS BIGINT) AS STRING) || ',000'",
             "list_price": "CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE CAST(floor(p_retailprice * 100e0) AS BIGINT) END",
@@ -122,7 +124,9 @@ TABLES: dict[str, tuple[str, dict[str, str]]] = {
             "<tr role=\"row\"><td data-cell=\"Sale Date\"></td><td data-cell=\"Grantor\">nobody</td></tr></table></div>'",
             "calendar": "'<h1>Auctions</h1><div class=\"AUCTION_ITEM PREVIEW\"><div class=\"ad_addr\">' || CAST(100 + p_partkey AS STRING) || ' OAK ST</div> Pensacola FL 325' || lpad(CAST(p_partkey % 60 AS STRING), 2, '0') || ' <span class=\"caseNo\">2024 CA ' || CAST(p_partkey AS STRING) || '</span>"
             "<a href=\"/d?' || CAST(p_partkey AS STRING) || '\">x</a> Opening Bid: $' || CAST(p_partkey AS STRING) || ',000 on 0' || CAST(1 + p_partkey % 9 AS STRING) || '-' || CAST(1 + p_partkey % 30 AS STRING) || '-2024</div><div class=\"AUCTION_ITEM\">Minimum bid 5</div>'",
-            "answer": "CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN '<p>Too Many Requests</p>' WHEN 2 THEN '<p>Parcel not found</p>' WHEN 3 THEN NULL ELSE '<table></table>' END",
+            "answer": "CASE p_partkey % 9 WHEN 0 THEN NULL WHEN 1 THEN '<p>Parcel ID: ' || CAST(p_partkey AS STRING) || '</p><h2>General Information</h2>' WHEN 2 THEN '<p>The portal of the county</p>' WHEN 3 THEN '<script>window.__remixContext = {\"empty\":true};</script>'"
+            " WHEN 4 THEN '<script>window.__remixContext = {\"empty\":false};</script>' WHEN 5 THEN '<script>window.__remixContext = {\"empty\": true};</script>' WHEN 6 THEN '<p>Parcel ID: none</p>' WHEN 7 THEN '' ELSE '<p>Parcel ID: 7</p> General Information <script>window.__remixContext = {};</script>' END",
+            "redirects": "CASE p_partkey % 11 WHEN 3 THEN 'https://www.ESCPA.org/' WHEN 5 THEN 'https://www.escpa.org/CAMA/Search.aspx?id=1' WHEN 7 THEN 'https://escpa.org/cama' END",
             "legal": "'CN:2024 CA ' || CAST(p_partkey AS STRING) || ' LOT:' || CAST(p_partkey % 40 AS STRING) || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' BLK:B' || CAST(p_partkey % 7 AS STRING) END || ' SUB:PINE  HILLS ' || CAST(p_partkey % 5 AS STRING) || CASE WHEN p_partkey % 4 = 0 THEN ' SEC:1' || CAST(p_partkey % 9 AS STRING) || ' TWP:3N RGE:31W' ELSE '' END",
             "owners": "CASE p_partkey % 3 WHEN 0 THEN 'FIRST BANK NA' ELSE 'TRUST ' || CAST(p_partkey AS STRING) END || chr(10) || CASE p_partkey % 4 WHEN 0 THEN ' LLC CO' ELSE ' JANE DOE ' || CAST(p_partkey AS STRING) END",
             "month": "CASE p_partkey % 3 WHEN 0 THEN 'May' WHEN 1 THEN 'Jun' ELSE 'Dec' END",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -164,7 +166,49 @@ def clerk_rows(pages: DataFrame) -> DataFrame:
     return out.withColumns(bids | {"sales_date": auction_date(F.col("sales_date"))}).filter("clerk_file is not null")
 
 
-def page_kind(html: Column) -> Column:
-    """What a landed page tells the crawl: SOFT_BLOCK stops it, NOT_FOUND is stamped and passed, OK is parsed."""
-    text = F.lower(F.coalesce(html, F.lit("")))
-    return F.when(text == "", "TRANSIENT").when(text.rlike("captcha|access denied|too many requests"), "SOFT_BLOCK").when(text.rlike("no records? found|parcel not found"), "NOT_FOUND").otherwise("OK")
+class PageRule(NamedTuple):
+    """How a county's portal shows what it answered."""
+
+    #: Every real answer holds it; a page without it is a soft block.
+    marker: str
+    #: A page that lacks it, though it has the marker, is tried again.
+    content: str = ""
+    #: Texts of an answer that knows no such parcel.
+    unknown: tuple[str, ...] = ()
+    #: Where a request is sent when the portal blocks it, and part of where it is sent for an unknown parcel.
+    blocked_at: tuple[str, ...] = ()
+    unknown_at: str = ""
+
+
+# By county, the texts and addresses of the portals' answers.
+PAGE_RULES = {
+    "12033": PageRule("Parcel ID:", "General Information", (), ("https://www.escpa.org", "https://escpa.org"), "/cama/search.aspx"),
+    "12113": PageRule("window.__remixContext", "", ('"empty":true', '"empty": true')),
+}
+#: The sale history page of the second county.
+SALES_PAGE_RULE = PageRule("salesContainer")
+
+
+def page_kind(html: Column, rule: PageRule, redirects: Column | None = None) -> Column:
+    """What a landed page tells the crawl: SOFT_BLOCK stops it, NOT_FOUND is stamped and passed, TRANSIENT is tried again, OK is parsed.
+
+    A null page is a request without an answer. ``redirects`` are the addresses that the request was sent on to.
+    """
+    at = F.lit(None).cast("array<string>") if redirects is None else F.transform(redirects, F.lower)
+    sent = lambda test: F.coalesce(F.exists(at, test), F.lit(False))
+    kind = F.when(html.isNull(), "TRANSIENT")
+    if rule.unknown_at:
+        kind = kind.when(sent(lambda u: u.contains(rule.unknown_at)), "NOT_FOUND")
+    if rule.blocked_at:
+        kind = kind.when(sent(lambda u: F.regexp_replace(u, "/+$", "").isin(*rule.blocked_at)), "SOFT_BLOCK")
+    kind = kind.when(~html.contains(rule.marker), "SOFT_BLOCK")
+    for text in rule.unknown:
+        kind = kind.when(html.contains(text), "NOT_FOUND")
+    if rule.content:
+        kind = kind.when(~html.contains(rule.content), "TRANSIENT")
+    return kind.otherwise("OK")
+
+
+def county_page_kind(county: Column, html: Column, redirects: Column | None = None) -> Column:
+    """``page_kind`` by the county's rule; null for a county without one."""
+    return F.coalesce(*[F.when(county == c, page_kind(html, rule, redirects)) for c, rule in PAGE_RULES.items()])

@@ -19,6 +19,7 @@ ADDRESSES = {
     None: "",
 }
 ADDRESSES |= {f"123 OAK ST {u}": "123 OAK ST" for u in ("APT 4", "APT. 4", "UNIT B", "STE 100", "SUITE 2A", "#4", "# 4")}
+ADDRESSES |= {f"12 OAK ST {u}": f"12 OAK ST {v}" for u, v in (("APT4", "APT4"), ("APT.4B", "APT.4 B"), ("UNIT5", "UNIT5"), ("APTOS", "APTOS"))}
 ADDRESSES |= {f"9 ELM {full}": f"9 ELM {short}" for full, short in X.SUFFIXES.items()}
 ADDRESSES |= {f"9 {full} ELM ST": f"9 {short} ELM ST" for full, short in X.COMPASS.items()}
 

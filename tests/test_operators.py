@@ -149,7 +149,19 @@ def test_court_records_by_lot_then_section(spark):
     )
     parcels = spark.createDataFrame([("1", "a", "LTS 5 6 BLK B2 PINE HILLS", "1", "1N", "1W"), ("1", "b", "PINE HILLS UNIT 4", "3", "2N", "30W"), ("1", "c", None, "4", "4N", "4W"), ("2", "d", "LOT 9 BLK Q ELSEWHERE", "5", "5N", "5W")], "county_fips string, parcel_id string, s_legal string, sec string, twn string, rng string")
     found = {r["record_id"]: (r["parcel_id"], r["method"]) for r in match.by_court_record(records, parcels).collect()}
-    assert found == {1: ("a", "fuzzy_legal"), 2: ("b", "fuzzy_legal"), 3: ("b", "str"), 4: (None, "none"), 5: (None, "none")}
+    assert found == {1: ("a", "fuzzy_legal"), 2: ("b", "fuzzy_legal"), 3: ("b", "str"), 4: (None, "no_match"), 5: (None, "no_match")}
+
+
+def test_sections_as_written_then_without_their_directions(spark):
+    parcels = [("a", "3", "2N", "30W"), ("b", "3", "2S", "30W"), ("c", "4", "1N", "9W"), ("d", "4", "1N", "9W"), ("e", "4", "1", "9"), ("f", "5", "6", "7E "), ("g", "6", "1N", "1W"), ("h", "6", "1S", "1W"), ("i", "6", "1S", "1W"), ("j", "", "1", "1"), ("k", None, "1", "1")]
+    wanted = {
+        ("3", "2N", "30W"): ("a", "str"), ("3", "2S", "30W"): ("b", "str"), ("3", "2", "30"): ("a", "str"), ("4", "1N", "9W"): (None, "str_ambiguous"), ("4", "1S", "9W"): ("e", "str"), ("4", "1", "9"): ("e", "str"),
+        (" 5 ", "6N", "7E"): ("f", "str"), ("5", "6", "7N"): None, ("6", "1", "1"): ("g", "str"), ("6", "1S", "1W"): (None, "str_ambiguous"), ("", "1", "1"): None, (None, "1", "1"): None, ("9", "9", "9"): None,
+    }
+    records = spark.createDataFrame([(i, "1", *k) for i, k in enumerate(wanted)] + [(99, "2", "3", "2N", "30W")], "record_id int, county_fips string, sec string, twp string, rge string")
+    roll = spark.createDataFrame([("1", *p) for p in parcels], "county_fips string, parcel_id string, sec string, twn string, rng string")
+    found = {r["record_id"]: (r["parcel_id"], r["method"]) for r in match.by_section(records, roll).collect()}
+    assert found == {i: w for i, w in enumerate(wanted.values()) if w}
 
 
 def test_circles_over_poles_and_the_date_line_and_far_places(spark):

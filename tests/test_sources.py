@@ -1,6 +1,8 @@
 import datetime as dt
 import json
 
+from pyspark.sql import functions as F
+
 import pytest
 
 from acrelens.operators import spatial
@@ -53,7 +55,17 @@ def test_pages(spark):
     assert (row["exterior_wall"], row["roof_type"], row["zoning"], row["act_yr_blt"]) == ("BRICK / VINYL", "COMP SHNGL", "R-1", "1984")
     assert [(r["sale_date"], r["sale_price"], r["instrument_type"]) for r in pages.sales_of(df).collect()] == [(dt.date(2020, 5, 1), 100000, "WD")]
     assert json.loads(df.select(pages.embedded_json(df["html"])).first()[0]) == {"a": {"b": 1}}
-    assert [r[0] for r in df.orderBy("page_id").select(pages.page_kind(df["html"])).collect()] == ["OK", "SOFT_BLOCK", "TRANSIENT"]
+
+
+def test_kinds_of_pages(spark):
+    good = "<b>Parcel ID:</b> 1 General Information"
+    rows = [
+        (1, "12033", good, None, "OK"), (2, "12033", "<p>Welcome to the portal</p>", None, "SOFT_BLOCK"), (3, "12033", "", None, "SOFT_BLOCK"), (4, "12033", None, None, "TRANSIENT"), (5, "12033", "Parcel ID: 7", [], "TRANSIENT"),
+        (6, "12033", good, ["https://www.escpa.org/CAMA/Search.aspx?x=1"], "NOT_FOUND"), (7, "12033", good, ["https://a.org/b", "https://ESCPA.org/"], "SOFT_BLOCK"), (8, "12033", good, ["https://escpa.org/cama"], "OK"), (9, "12033", "x", ["https://escpa.org", "/cama/search.aspx"], "NOT_FOUND"),
+        (10, "12113", "window.__remixContext = {}", None, "OK"), (11, "12113", 'window.__remixContext = {"empty":true}', None, "NOT_FOUND"), (12, "12113", 'window.__remixContext = {"empty": true}', None, "NOT_FOUND"), (13, "12113", '{"empty":true}', None, "SOFT_BLOCK"), (14, "12001", good, None, None),
+    ]
+    df = spark.createDataFrame(rows, "id int, county string, html string, redirects array<string>, kind string")
+    assert df.filter(~pages.county_page_kind(F.col("county"), F.col("html"), F.col("redirects")).eqNullSafe(F.col("kind"))).collect() == []
 
 
 def test_stream_appends_each_signal_once(spark, tmp_path):
