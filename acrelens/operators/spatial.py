@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from acrelens.functions.projection import SPHERE_SHARE, geodesic_m
 from acrelens.scratch import materialize
 
 EARTH_M = 6_371_008.8
@@ -36,8 +37,13 @@ def within_radius(left: DataFrame, right: DataFrame, keys: list[str], radius_m:
     Both sides have lat and lon. The left side is spread over the cells that its circle
     touches, about nine and more towards the poles, round the date line too; each pair
     meets in exactly one of them and the join is an equi-join that AQE can split.
+
+    Distances are on the ellipsoid. The mean sphere's differ by less than SPHERE_SHARE, so
+    it settles all pairs but those near the radius, and only for these the geodesic is worked
+    out (places nearly opposite on the earth keep the sphere's distance).
     """
-    reach = min(math.degrees(radius_m / EARTH_M) * 1.000001, 180.0)
+    most = radius_m / (1 - SPHERE_SHARE)
+    reach = min(math.degrees(most / EARTH_M) * 1.000001, 180.0)
     high, wide = max(reach, 1e-6), 360.0 / max(1, math.floor(360.0 / max(reach, 1e-6)))
     at = F.col("l.lat"), F.col("l.lon")
     # How far the circle reaches east and west: to all longitudes where it holds a pole.
@@ -48,8 +54,10 @@ def within_radius(left: DataFrame, right: DataFrame, keys: list[str], radius_m:
     a = a.withColumn("y", F.explode(rows)).withColumn("x", F.explode(columns))
     b = right.filter("lat is not null and lon is not null").select(*[F.col(k).alias(f"k_{k}") for k in keys], F.struct("*").alias("r"), cell(F.col("lat"), high).alias("y"), _columns(F.col("lon"), wide).alias("x"))
     pairs = a.join(b, [*[f"k_{k}" for k in keys], "y", "x"])
-    apart = distance_m(F.col("l.lat"), F.col("l.lon"), F.col("r.lat"), F.col("r.lon"))
-    return pairs.filter(F.expr(condition)).filter(apart <= radius_m).select("l", "r")
+    ends = F.col("l.lat"), F.col("l.lon"), F.col("r.lat"), F.col("r.lon")
+    near = pairs.filter(F.expr(condition)).withColumn("apart", distance_m(*ends)).filter(F.col("apart") <= most)
+    unsure = F.col("apart") > radius_m / (1 + SPHERE_SHARE)
+    return near.filter(~unsure | (F.coalesce(geodesic_m(*ends), "apart") <= radius_m)).select("l", "r")
 
 
 def inside(lat: Column, lon: Column, ring: Column) -> Column:
@@ -115,15 +123,16 @@ def any_containing(points: DataFrame, polygons: DataFrame, key: list[str]) -> Da
 
 
 def nearest_place(points: DataFrame, places: DataFrame, key: list[str], radii_m: tuple[float, ...] = (5_000.0, 40_000.0, 320_000.0, 2_560_000.0)) -> DataFrame:
-    """key, name, metres of the nearest place (name, lat, lon) of every point, ties to the lesser name.
+    """key, name, metres on the ellipsoid of the nearest place (name, lat, lon) of every point, ties to the lesser name.
 
     Rings of growing radius, the last one round the earth: a point that a smaller one
     settles does not enter the next, and no further ring is made when none is left.
     """
     out, left = None, points.filter("lat is not null and lon is not null").select(*key, "lat", "lon")
     for radius in (*radii_m, FARTHEST_M):
+        ends = F.col("l.lat"), F.col("l.lon"), F.col("r.lat"), F.col("r.lon")
         pairs = within_radius(left, places.select("name", "lat", "lon"), [], radius)
-        metres = distance_m(F.col("l.lat"), F.col("l.lon"), F.col("r.lat"), F.col("r.lon"))
+        metres = F.coalesce(geodesic_m(*ends), distance_m(*ends))
         best = pairs.select(*[F.col(f"l.{k}").alias(k) for k in key], F.struct(metres.alias("metres"), F.col("r.name").alias("name")).alias("b")).groupBy(*key).agg(F.min("b").alias("b"))
         best = materialize(best.select(*key, "b.name", "b.metres"), "nearest")
         out = best if out is None else out.unionByName(best)

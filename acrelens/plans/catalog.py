@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from acrelens.functions import parcel as P
+from acrelens.functions import projection as J
 from acrelens.functions import text as X
 from acrelens.operators import arv, filters, match, merge, search, spatial, workflow
 from acrelens.plans import reports
 from acrelens.plans.fixtures import sql, table
-from acrelens.sources import pages
+from acrelens.scratch import scratch_path
+from acrelens.sources import pages, shapefile
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -268,7 +270,25 @@ def parcel_details(parcels, signals, sales):
 
 # Valuation and space.
 
-_MILES = "2 * 6371008.8e0 * asin(sqrt(least(power(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin((radians(b.lon) - radians(a.lon)) / 2), 2), 1e0)))"
+# Metres between places some miles apart: arcs of the meridian and of the parallel at the middle latitude, good to a hundredth of a millimetre.
+_E2 = J.WGS84_F * (2 - J.WGS84_F)
+_MID = "radians((a.lat + b.lat) / 2)"
+_MILES = f"sqrt(power({J.WGS84_A} * (1 - {_E2!r}) / power(1 - {_E2!r} * power(sin({_MID}), 2), 1.5e0) * radians(b.lat - a.lat), 2) + power({J.WGS84_A} / sqrt(1 - {_E2!r} * power(sin({_MID}), 2)) * cos({_MID}) * radians(b.lon - a.lon), 2))"
+
+
+def _geodesic_sql(rows: str, steps: int = 6) -> str:
+    """Rows with lat1, lon1, lat2, lon2 and metres between them: the inverse geodesic, a subquery per step."""
+    f, a = J.WGS84_F, J.WGS84_A
+    b = a * (1 - f)
+    out = f"(SELECT *, atan(tan(radians(lat1)) * {1 - f!r}) AS u, atan(tan(radians(lat2)) * {1 - f!r}) AS v, radians(lon2 - lon1) AS l0, radians(lon2 - lon1) AS l, 0 AS w, 0 AS z, 0 AS y, 0 AS q, 0 AS m FROM {rows})"
+    for _ in range(steps):
+        out = f"(SELECT * EXCLUDE (l), sqrt(power(cos(v) * sin(l), 2) + power(cos(u) * sin(v) - sin(u) * cos(v) * cos(l), 2)) AS ss, sin(u) * sin(v) + cos(u) * cos(v) * cos(l) AS cs, l FROM {out})"
+        out = f"(SELECT *, atan2(ss, cs) AS s, CASE WHEN ss = 0 THEN 0 ELSE cos(u) * cos(v) * sin(l) / ss END AS sa FROM {out})"
+        out = f"(SELECT *, 1 - sa * sa AS ca, CASE WHEN sa * sa >= 1 THEN 0 ELSE cs - 2 * sin(u) * sin(v) / (1 - sa * sa) END AS cm, {f!r} / 16 * (1 - sa * sa) * (4 + {f!r} * (4 - 3 * (1 - sa * sa))) AS c FROM {out})"
+        out = f"(SELECT * EXCLUDE (l, c, ss, cs, s, sa, ca, cm, w, z, y, q, m), l0 + (1 - c) * {f!r} * sa * (s + c * ss * (cm + c * cs * (2 * cm * cm - 1))) AS l, ca AS w, ss AS z, cs AS y, s AS q, cm AS m FROM {out})"
+    out = f"(SELECT *, w * {(a * a - b * b) / (b * b)!r} AS g FROM {out})"
+    out = f"(SELECT *, 1 + g / 16384 * (4096 + g * (-768 + g * (320 - 175 * g))) AS k1, g / 1024 * (256 + g * (-128 + g * (74 - 47 * g))) AS k2 FROM {out})"
+    return f"(SELECT *, {b!r} * k1 * (q - k2 * z * (m + k2 / 4 * (y * (2 * m * m - 1) - k2 / 6 * m * (4 * z * z - 3) * (4 * m * m - 3)))) AS metres FROM {out})"
 _NEAR = f"a.county_fips = b.county_fips AND a.dor_uc = b.dor_uc AND abs(a.eff_yr_blt - b.eff_yr_blt) <= 10 AND a.parcel_id <> b.parcel_id AND {_MILES} <= 1.5e0 * 1609.344e0"
 _ARV_SQL = f"""WITH viable AS (SELECT county_fips FROM sales WHERE (qualification_code IN ('Q', 'C') OR (qualification_code IS NULL AND instrument_type = 'WD')) AND sale_price >= 10000 GROUP BY 1 HAVING count(*) >= 1000),
  comps AS (SELECT p.*, s.sale_price, s.qualification_code AS qc FROM sales s JOIN parcels p USING (county_fips, parcel_id) WHERE s.sale_price >= 10000 AND (s.qualification_code IN ('Q', 'C', 'U') OR (s.qualification_code IS NULL AND s.instrument_type = 'WD'))),
@@ -325,7 +345,7 @@ def zip_by_polygon(parcels, places):
     return spatial.any_containing(parcels.filter("lat is not null"), _diamonds(places), _ID)
 
 
-@query(f"SELECT county_fips, parcel_id, name, round(m, 3) AS metres FROM (SELECT a.county_fips, a.parcel_id, b.name, {_MILES} AS m FROM parcels a CROSS JOIN places b WHERE a.lat IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY county_fips, parcel_id ORDER BY m, name) = 1")
+@query(f"SELECT county_fips, parcel_id, name, round(metres, 3) AS metres FROM {_geodesic_sql('(SELECT a.county_fips, a.parcel_id, b.name, a.lat AS lat1, a.lon AS lon1, b.lat AS lat2, b.lon AS lon2 FROM parcels a CROSS JOIN places b WHERE a.lat IS NOT NULL)')} QUALIFY row_number() OVER (PARTITION BY county_fips, parcel_id ORDER BY metres, name) = 1")
 def nearest_place(parcels, places):
     return spatial.nearest_place(parcels.filter("lat is not null"), places, _ID).select(*_ID, "name", F.round("metres", 3).alias("metres"))
 
@@ -789,3 +809,54 @@ def replaced_columns(parcels):
     k = F.col("parcel_id").cast("long")
     computed = parcels.filter(k % 3 == 0).select(*_ID, F.when(k % 2 == 0, F.lit(7).cast("long")).alias("bedrooms"))
     return merge.replace_columns(parcels.select(*_ID, "jv", "bedrooms"), computed, _ID, ["bedrooms"])
+
+
+# Shapefiles and planes.
+
+
+def _square(x, y, half):
+    corner = lambda dx, dy: F.struct((x + dx * half).alias("x"), (y + dy * half).alias("y"))
+    return F.array(corner(-1, -1), corner(-1, 1), corner(1, 1), corner(1, -1))
+
+
+def _lots(parcels):
+    """Parcels as squares in feet with a hole, some of two parts, some without geometry; the centroid is the parcel's place."""
+    k = F.col("parcel_id").cast("long")
+    x, y = J.to_plane(J.ZONES[2883], F.col("lon"), F.col("lat"))
+    at = parcels.filter("lat is not null").select("parcel_id", "county_fips", "jv", x.alias("x"), y.alias("y"), (40 + k % 60).cast("double").alias("half"), k.alias("k"))
+    x, y, half = F.col("x"), F.col("y"), F.col("half")
+    part = lambda dx, hole: F.struct(_square(x + dx, y, half).alias("ring"), (F.array(_square(x + dx, y, half / 3)) if hole else F.array().cast("array<array<struct<x:double,y:double>>>")).alias("holes"))
+    parts = F.when(F.col("k") % 11 == 0, None).when(F.col("k") % 5 == 0, F.array(part(-3 * half, True), part(3 * half, True))).when(F.col("k") % 3 == 0, F.array(part(F.lit(0.0), False))).otherwise(F.array(part(F.lit(0.0), True)))
+    return at.select("parcel_id", "county_fips", "jv", parts.alias("parts"))
+
+
+@query(
+    """SELECT parcel_id, county_fips, jv, CAST(CASE WHEN k % 5 = 0 THEN 2 ELSE 1 END AS INT) AS n_parts, CAST(CASE WHEN k % 5 = 0 THEN 2 WHEN k % 3 = 0 THEN 0 ELSE 1 END AS INT) AS n_holes, round(lat, 7) AS lat, round(lon, 7) AS lon
+ FROM (SELECT *, CAST(parcel_id AS BIGINT) AS k FROM parcels) WHERE lat IS NOT NULL AND k % 11 <> 0"""
+)
+def shapefile_parcels(parcels):
+    spark, plane = parcels.sparkSession, J.ZONES[2883]
+    path = scratch_path(spark, "shapefile")
+    shapefile.write_shapefile(_lots(parcels), path, plane)
+    found, _ = shapefile.plane_of(path, plane)
+    rows = shapefile.parcel_places(shapefile.read_shapefile(spark, path, records=200), found)
+    holes = F.aggregate("parts", F.lit(0), lambda a, p: a + F.size(p["holes"]))
+    return rows.select("parcel_id", F.col("county_fip").alias("county_fips"), "jv", F.size("parts").alias("n_parts"), holes.alias("n_holes"), F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))
+
+
+def _conic_sql(lon: str, lat: str) -> str:
+    """Easting and northing of the northern zone as the textbook writes them: 2 standard parallels, whole formulas, no series."""
+    p = J.ZONES[2883]
+    e = f"sqrt({p.f * (2 - p.f)!r}e0)" if "e" not in repr(p.f * (2 - p.f)) else f"sqrt({p.f * (2 - p.f)!r})"
+    t = lambda f: f"(tan(pi() / 4 - ({f}) / 2) / pow((1 - {e} * sin({f})) / (1 + {e} * sin({f})), {e} / 2))"
+    m = lambda f: f"(cos({f}) / sqrt(1 - {e} * {e} * sin({f}) * sin({f})))"
+    a, b, o = (f"radians({v!r})" for v in (*p.parallels, p.lat0))
+    n = f"((ln({m(a)}) - ln({m(b)})) / (ln({t(a)}) - ln({t(b)})))"
+    r = lambda f: f"({p.a!r} / {p.unit!r} * {m(a)} / ({n} * pow({t(a)}, {n})) * pow({t(f)}, {n}))"
+    return f"round({p.east!r} + {r(f'radians({lat})')} * sin({n} * radians({lon} - ({p.lon0!r}))), 4) AS x, round({r(o)} - {r(f'radians({lat})')} * cos({n} * radians({lon} - ({p.lon0!r}))), 4) AS y"
+
+
+@query(f"SELECT county_fips, parcel_id, {_conic_sql('lon', 'lat')} FROM parcels WHERE lat IS NOT NULL")
+def plane_coordinates(parcels):
+    x, y = J.to_plane(J.ZONES[2883], F.col("lon"), F.col("lat"))
+    return parcels.filter("lat is not null").select(*_ID, F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))

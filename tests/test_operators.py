@@ -170,9 +170,25 @@ def test_circles_over_poles_and_the_date_line_and_far_places(spark):
     places = [(f"p{i:02}", rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(12)] + [("pole", 90.0, 0.0), ("line", 10.0, -179.999)]
 
     def apart(a, b):
-        p, q = math.radians(a[1]), math.radians(b[1])
-        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
-        return 2 * spatial.EARTH_M * math.asin(min(1.0, math.sqrt(h)))
+        """The inverse geodesic on the ellipsoid, step after step until it stands still."""
+        big, f = 6_378_137.0, 1 / 298.257223563
+        small, (u, v), turn = big * (1 - f), (math.atan((1 - f) * math.tan(math.radians(x[1]))) for x in (a, b)), math.radians(b[2] - a[2])
+        l = turn  # noqa: E741
+        for _ in range(200):
+            ss = math.hypot(math.cos(v) * math.sin(l), math.cos(u) * math.sin(v) - math.sin(u) * math.cos(v) * math.cos(l))
+            if ss == 0:
+                return 0.0
+            cs = math.sin(u) * math.sin(v) + math.cos(u) * math.cos(v) * math.cos(l)
+            s, sa = math.atan2(ss, cs), math.cos(u) * math.cos(v) * math.sin(l) / ss
+            ca = 1 - sa * sa
+            cm = cs - 2 * math.sin(u) * math.sin(v) / ca if ca > 1e-15 else 0.0
+            c = f / 16 * ca * (4 + f * (4 - 3 * ca))
+            before, l = l, turn + (1 - c) * f * sa * (s + c * ss * (cm + c * cs * (2 * cm * cm - 1)))  # noqa: E741
+            if abs(l - before) < 1e-12:
+                break
+        w = ca * (big**2 - small**2) / small**2
+        k1, k2 = 1 + w / 16384 * (4096 + w * (-768 + w * (320 - 175 * w))), w / 1024 * (256 + w * (-128 + w * (74 - 47 * w)))
+        return small * k1 * (s - k2 * ss * (cm + k2 / 4 * (cs * (2 * cm * cm - 1) - k2 / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3))))
 
     points = spark.createDataFrame(spots, "id int, lat double, lon double")
     for metres in (3_000.0, 50_000.0, 900_000.0, 9_000_000.0):
@@ -180,3 +196,14 @@ def test_circles_over_poles_and_the_date_line_and_far_places(spark):
         assert pairs == {(a[0], b[0]) for a in spots for b in spots if apart(a, b) <= metres}
     found = {r["id"]: r["name"] for r in spatial.nearest_place(points, spark.createDataFrame(places, "name string, lat double, lon double"), ["id"]).collect()}
     assert found == {s[0]: min(places, key=lambda p: (apart(s, p), p[0]))[0] for s in spots}
+
+
+def test_radius_on_the_ellipsoid(spark):
+    """North the sphere is too long, east too short: pairs between the two distances go by the ellipsoid's."""
+    at = spark.createDataFrame([(0, 30.5, -87.2)], "id int, lat double, lon double")
+    other = spark.createDataFrame([(1, 30.5217, -87.2), (2, 30.5, -87.1749), (3, 30.5215, -87.2), (4, 30.5, -87.17)], "id int, lat double, lon double")
+    found = {r["r"]["id"] for r in spatial.within_radius(at, other, [], 2407.0).collect()}
+    assert found == {1, 3}
+    flat = spark.createDataFrame([(0, 30.5, -87.2, i, a, b) for i, a, b in [(1, 30.5217, -87.2), (2, 30.5, -87.1749)]], "x int, lat double, lon double, id int, a double, b double")
+    on_sphere = {r["id"] for r in flat.filter(spatial.distance_m(F.col("lat"), F.col("lon"), F.col("a"), F.col("b")) <= 2407.0).collect()}
+    assert on_sphere == {2}
