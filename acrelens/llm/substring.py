@@ -48,7 +48,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import DateType, LongType, NumericType, StringType, StructField, StructType, TimestampType
 
 from acrelens.llm.rows import tested
 from acrelens.llm.worker import remembered, small_batches
@@ -274,7 +274,10 @@ class FingerprintIndex:
             firsts = places if firsts is None else firsts.unionByName(places)
         self.pending = []
         write = self.work.write
-        opened = write(windows(texts, write(firsts, "firsts"), self.window), "windows")
+        firsts = write(firsts, "firsts")
+        opened = write(windows(texts, firsts, self.window), "windows")
+        if self.version and not firsts.join(opened, ["doc_id", "t"], "left_anti").isEmpty():
+            raise ValueError("the batches share passages with documents that the index holds; give their doc_id and text as `earlier`")
         least = opened.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
         known = self.known("windows")
         if known is not None:
@@ -333,9 +336,11 @@ def deduplicate(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, m
     """``strip`` of all documents, judged batch after batch in ascending doc_id.
 
     With an ``index`` that holds documents already, ``earlier`` has their doc_id and text;
-    all of them come before those of ``docs``. The index then holds these too.
+    all of them come before those of ``docs``. The index then holds these too. It is an
+    error if a text of theirs is needed and not there.
     """
-    shares = [i / batches for i in range(1, batches)]
+    ordered = isinstance(docs.schema["doc_id"].dataType, (NumericType, DateType, TimestampType))  # quantiles of other types aren't told; one batch gives the same
+    shares = [i / batches for i in range(1, batches)] if ordered else []
     cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", shares).alias("q")).first()["q"] or [])) if shares else []
     bounds = [None, *cuts, None]
     own = index is None

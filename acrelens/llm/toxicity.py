@@ -6,9 +6,11 @@ likeness when characters are put into it. A unit is a word without its outer
 punctuation, or a run of three or more single characters, which are joined. The kernel
 of two units is normalised; that of two sentences is the sum over their units.
 
-Fitting, on the driver, from a bounded sample of labelled documents (TRAIN_DOCS by
-hash order; SENTENCES of their sentences, of SENTENCE_CHARS characters at most): a
-sentence has its document's label, and each is an example of the machine. LANDMARKS,
+Fitting, on the driver, from a bounded sample of labelled documents (TRAIN_DOCS and
+CALIBRATION_DOCS by hash order, and as many of their rows where a doc_id repeats; SENTENCES
+of their sentences): a sentence has its document's label, and each is an example of the
+machine. A sentence of over SENTENCE_CHARS characters is several, cut between words (a
+longer word by itself in stretches of that length). LANDMARKS,
 which are sentences of a single unit, span the Nystrom space, half of them from units
 that stand unevenly in both kinds of sentences and half from all others; they are a
 basis and have no label. In that space a linear machine with squared hinge loss is
@@ -59,6 +61,7 @@ _FEATURES = 1 << 15
 FACTS = ("over", "well_over", "excess", "number", "furthest")
 _SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 _SENTENCE = "[.!?]+\\s+|\\n+"
+_STRETCH = rf"(?s)\S.{{0,{SENTENCE_CHARS - 1}}}(?=\s|\z)|\S{{1,{SENTENCE_CHARS}}}"
 
 
 def _code(c: str) -> int:
@@ -204,12 +207,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, calibr
         picked += [(r["doc_id"], label, place % 2) for place, r in enumerate(ids)]
     chosen = docs.sparkSession.createDataFrame(picked, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _toxic int, _part int")
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text is not null")  # at most `total` rows are broadcast
-    sentence = sample.filter("_part = 0").select("doc_id", "_toxic", F.explode(F.split("text", _SENTENCE)).alias("sentence")).withColumn("sentence", F.substring("sentence", 1, SENTENCE_CHARS))
+    sentence = sample.filter("_part = 0").select("doc_id", "_toxic", F.explode(F.split("text", _SENTENCE)).alias("sentence"))
+    sentence = sentence.select("doc_id", "_toxic", F.explode(F.when(F.length("sentence") <= SENTENCE_CHARS, F.array("sentence")).otherwise(F.regexp_extract_all("sentence", F.lit(_STRETCH), F.lit(0)))).alias("sentence"))
     rows = sentence.orderBy(F.xxhash64("doc_id", "sentence"), "doc_id", "sentence").limit(sentences).select("_toxic", "sentence").collect()
     weight, bias = _fit_sentences([r["_toxic"] for r in rows], [r["sentence"] for r in rows])
     del rows
     machine = Machine(weight, bias, np.zeros(0), share)
-    told = facts(sample.filter("_part = 1"), machine, score=False).join(F.broadcast(chosen), "doc_id").select("doc_id", *FACTS, "_toxic").collect()  # CALIBRATION_DOCS rows at most
+    known = facts(sample.filter("_part = 1"), machine, score=False).join(F.broadcast(chosen), "doc_id").select("doc_id", *FACTS, "_toxic")
+    told = known.orderBy(F.xxhash64("doc_id", *FACTS), "doc_id", *FACTS).limit(calibration_docs).collect()
     told = [r[1:] for r in sorted(told)]
     y = np.array([r[-1] for r in told])
     if len(set(y.tolist())) < 2:

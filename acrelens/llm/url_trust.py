@@ -126,8 +126,10 @@ def judge_pages(pages: DataFrame, rules: dict[str, str] = RULES, damping: float
 
 
 def oracle_sql() -> str:
-    """The same by DuckDB, with its rounds written out."""
-    host = lambda u: f"lower(regexp_extract(coalesce({u}, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1))"
+    """The same by DuckDB, with ROUNDS rounds written out: enough where no host is further from a seed."""
+    low = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    host = lambda u: low(f"regexp_extract(coalesce({u}, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1)")
+    named = lambda link: low(f"regexp_extract({link}, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)")
     fits = []
     for rule in sorted(RULES, key=len, reverse=True):
         name, _, start = rule.partition("/")
@@ -139,7 +141,7 @@ def oracle_sql() -> str:
         f"ruled AS MATERIALIZED (SELECT page_id, host, path, rule, CASE rule {verdicts} END AS ruled FROM matched)",
         "counts AS (SELECT host, count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS b FROM ruled WHERE ruled IS NOT NULL GROUP BY host)",
         f"seeds AS MATERIALIZED (SELECT host, {1 - DAMPING} * a / greatest((SELECT sum(a) FROM counts), 1) AS trust, {1 - DAMPING} * b / greatest((SELECT sum(b) FROM counts), 1) AS distrust FROM counts)",
-        "links AS (SELECT host AS src, unnest(list_distinct(list_transform(regexp_extract_all(html, '(?i)href\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1), lambda x: " + host("x") + "))) AS dst FROM parts)",
+        "links AS (SELECT host AS src, unnest(list_distinct(list_transform(regexp_extract_all(html, '(?i)href\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1), lambda x: " + named("x") + "))) AS dst FROM parts)",
         "edges AS MATERIALIZED (SELECT src, dst, count(*) AS weight FROM links WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst)",
         "steps AS MATERIALIZED (SELECT src AS f, dst AS t, weight / sum(weight) OVER (PARTITION BY src) AS p, true AS forward FROM edges UNION ALL SELECT dst, src, weight / sum(weight) OVER (PARTITION BY dst), false FROM edges)",
         "r0 AS MATERIALIZED (SELECT * FROM seeds)",

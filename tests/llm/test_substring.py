@@ -71,6 +71,31 @@ def test_a_later_job_reopens_the_index(spark, tmp_path):
     assert sum(r["n_removed"] > 0 for r in found) > 10
 
 
+def test_texts_that_are_needed_must_be_there(spark, tmp_path):
+    rng = random.Random(3)
+    prose = lambda n: " ".join(str(rng.random()) for _ in range(n))
+    passage = prose(60)
+    old = [(1, f"{prose(20)} {passage} {prose(20)}", "x"), (2, prose(100), "x")]
+    new = [(9, f"{prose(30)} {passage} {prose(30)}", "x")]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, t string")
+    for earlier in (None, frame(old[1:])):
+        path = f"{tmp_path}/{earlier is None}"
+        substring.deduplicate(frame(old), batches=1, index=substring.FingerprintIndex(spark, path))
+        with pytest.raises(ValueError, match="earlier"):
+            substring.deduplicate(frame(new), batches=1, index=substring.FingerprintIndex(spark, path), earlier=earlier)
+        index = substring.FingerprintIndex(spark, path)
+        found = substring.deduplicate(frame(new), batches=1, index=index, earlier=frame(old)).collect()
+        assert [r["n_removed"] for r in found] == [60]
+
+
+def test_ids_of_text_and_long_texts(spark):
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(300_000))
+    rows = [("b", long, "x"), ("a", "some other words " + long[: len(long) // 2], "x"), ("c", "word " * 20, "x"), (None, long, "x")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, t string")
+    assert told(substring.deduplicate(docs).collect()) == by_hand(rows, 50)
+
+
 def test_old_texts_are_not_read_without_need(spark, tmp_path):
     rng = random.Random(2)
     old = [(i, " ".join(str(rng.random()) for _ in range(90)), "x") for i in range(5)]

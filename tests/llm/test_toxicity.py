@@ -4,6 +4,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from acrelens.llm import toxicity
 
 INSULTS = ["idiot", "worthless", "scumbag", "pathetic"]
@@ -79,3 +81,24 @@ def test_odd_rows_and_missing_labels(spark, tables):
     one_kind = toxicity.judge(docs, labels.filter("toxic = 0")).collect()
     assert {r["score"] for r in one_kind} == {0.0}
     assert toxicity.judge(docs.limit(0), labels).count() == 0
+
+
+def test_what_comes_to_the_driver_is_bounded(spark, monkeypatch):
+    """Repeated doc_ids give no more rows than documents are asked for, and no part of a long sentence is left out."""
+    rng = random.Random(4)
+    docs = [(i % 10, f"{sentence(rng, i % 2 == 0)}. {sentence(rng, False)}", "x") for i in range(1000)]
+    labels = [(i, 1, int(i % 2 == 0)) for i in range(10)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string, score string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    sizes = []
+    logistic = toxicity._logistic
+    monkeypatch.setattr(toxicity, "_logistic", lambda x, y, *a: sizes.append(len(x)) or logistic(x, y, *a))
+    toxicity.fit(*frames, train_docs=10, calibration_docs=10)
+    assert sizes == [10]
+
+
+def test_long_sentences_are_cut_between_words(spark):
+    long = " ".join(f"word{i}" for i in range(300)) + " " + "x" * 1000 + "  end"
+    parts = spark.createDataFrame([(long,)], "s string").select(F.explode(F.regexp_extract_all("s", F.lit(toxicity._STRETCH), F.lit(0))).alias("p")).collect()
+    parts = [r["p"] for r in parts]
+    assert max(map(len, parts)) <= toxicity.SENTENCE_CHARS and "".join("".join(parts).split()) == "".join(long.split())
+    assert {w for p in parts for w in p.split() if not w.startswith("x")} == {*(f"word{i}" for i in range(300)), "end"}

@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import numpy as np
 
 from acrelens.llm import chat, url_trust
@@ -45,6 +46,21 @@ def test_distrust_goes_back_over_links_and_trust_along_them(spark):
     assert url_trust.judge_pages(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_sql_tells_the_same_over_links_of_every_form(spark):
+    rng = random.Random(12)
+    hosts = ["good.org", "a.net", "B.net", "bad.com", "c.info", "d.info", "shop.example.org", "ÄB.net"]
+    forms = ["<a href='http://{h}/x'>", '<A HREF = "//{h}/y?z">', "<a href=https://{h}>", "<a href='/go?u=http://{h}/'>", "<a href='{h}/'>", "<a href='mailto:x@{h}'>", '<a href="x://{h}#f">']
+    rows = [(i, f"http://{rng.choice(hosts)}/{rng.choice(['de/', 'fr/', 'es/', 'en/1', ''])}{i}", "".join(rng.choice(forms).format(h=rng.choice(hosts)) for _ in range(rng.randrange(4)))) for i in range(90)]
+    rows += [(100, None, "<a href='//bad.com/'>"), (101, "http://e.info/", "<a href='/go?u=http://bad.com/'>"), (102, "http://f.info/", "<a href='//bad.com/'>"), (103, "http://g.info/", None)]
+    pages = spark.createDataFrame([(*r, "") for r in rows], DOCS)
+    found = {r["page_id"]: tuple(r[c] for c in ("host", "path", "rule", "verdict")) for r in url_trust.judge_pages(pages).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    assert {r[0]: tuple(r[1:]) for r in con.sql(f"SELECT page_id, host, path, rule, verdict FROM ({url_trust.oracle_sql()})").fetchall()} == found
+    assert found[101][3] == "allow" and found[102][3] == "block"
+
+
 def test_ranks_match_dense_power_iteration(spark):
     rng = random.Random(1)
     hosts = [f"h{i}" for i in range(12)]
