@@ -115,8 +115,9 @@ class ShardIndex:
     def __init__(self, units: list[np.ndarray], idf: np.ndarray, mean_length: float):
         self.n = len(units)
         lengths = np.array([len(ids) for ids in units])
-        key, tf = np.unique(np.repeat(np.arange(self.n) << 16, lengths) | np.concatenate(units), return_counts=True)
-        owner, token = key >> 16, (key & 0xFFFF).astype(np.uint16)
+        kind = np.uint32 if self.n <= 1 << 16 else np.uint64  # narrow keys sort faster
+        key, tf = np.unique(np.repeat(np.arange(self.n, dtype=kind) << kind(16), lengths) | np.concatenate(units), return_counts=True)
+        owner, token = (key >> kind(16)).astype(np.int64), (key & kind(0xFFFF)).astype(np.uint16)
         weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / mean_length)) * idf[token]
         self.token_of, self.weight_of = token, weight  # unit after unit
         self.unit = np.searchsorted(owner, np.arange(self.n + 1))
