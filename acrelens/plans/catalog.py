@@ -11,7 +11,7 @@ from acrelens.operators import arv, filters, match, merge, search, spatial, work
 from acrelens.plans import reports
 from acrelens.plans.fixtures import sql, table
 from acrelens.scratch import scratch_path
-from acrelens.sources import pages, shapefile
+from acrelens.sources import county_pages, pages, shapefile
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -860,3 +860,41 @@ def _conic_sql(lon: str, lat: str) -> str:
 def plane_coordinates(parcels):
     x, y = J.to_plane(J.ZONES[2883], F.col("lon"), F.col("lat"))
     return parcels.filter("lat is not null").select(*_ID, F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
+
+
+# Landed pages by table functions.
+
+
+@query(
+    """SELECT page_id, 'BRICK & STONE / VINYL' AS exterior_wall, 'METAL' AS roof_type, 'SLAB ' || CAST(page_id % 4 AS VARCHAR) AS foundation, CAST(CASE WHEN page_id % 3 = 0 THEN 700 ELSE 800 END + page_id AS VARCHAR) AS living_area,
+ CAST(1900 + page_id % 120 AS VARCHAR) AS act_yr_blt, CAST(1950 + page_id % 70 AS VARCHAR) AS eff_yr_blt, 'R-' || CAST(page_id % 5 AS VARCHAR) AS zoning FROM landed"""
+)
+def appraiser_buildings(landed):
+    rows = county_pages.rows_of(landed.select("page_id", F.col("appraiser").alias("html")), "escambia_building")
+    return rows.select("page_id", "exterior_wall", "roof_type", "foundation", "living_area", "act_yr_blt", "eff_yr_blt", "zoning")
+
+
+@query(
+    """SELECT page_id, CAST(0 AS INT) AS at, make_date(2001, 1 + page_id % 9, 1) AS sale_date, page_id * 1000 + 500 AS sale_price, 'WD' AS instrument_type, CASE WHEN page_id % 2 = 0 THEN 'Y' ELSE 'N' END AS multi_parcel FROM landed
+ UNION ALL SELECT page_id, 1, DATE '1999-03-04', 7, 'CT', 'N' FROM landed WHERE page_id % 7 <> 0"""
+)
+def appraiser_sales(landed):
+    rows = county_pages.rows_of(landed.select("page_id", F.col("appraiser").alias("html")), "escambia_sales")
+    return county_pages.typed_sales(rows).select("page_id", "at", "sale_date", "sale_price", "instrument_type", "multi_parcel")
+
+
+@query(
+    """SELECT page_id, '2024 TD ' || CAST(page_id AS VARCHAR) AS clerk_file, 'A' || CAST(page_id % 9 AS VARCHAR) AS account, make_date(2024, 5, 1 + page_id % 28) AS sales_date, page_id * 1000 + 1 AS opening_bid_amount,
+ 'LOT 1 BLK ' || CAST(page_id % 5 AS VARCHAR) || ' more' AS legal_description FROM landed WHERE page_id % 6 <> 0"""
+)
+def clerk_tax_sales(landed):
+    spark = landed.sparkSession
+    county_pages.register(spark)
+    landed.select("page_id", F.col("clerk_page").alias("html")).createOrReplaceTempView("clerk_pages")
+    rows = spark.sql("SELECT page_id, s.* FROM clerk_pages, LATERAL escambia_clerk_sales(html) s")
+    return county_pages.typed_clerk_sales(rows).select("page_id", "clerk_file", "account", "sales_date", "opening_bid_amount", "legal_description")
+
+
+@query("SELECT page_id, 'BRICK' AS exterior_wall, CAST(page_id % 25 AS VARCHAR) AS bedrooms, CAST(1 + page_id % 3 AS VARCHAR) || '.5' AS bathrooms, 'CLASS ' || CAST(page_id % 6 AS VARCHAR) AS quality_code FROM landed")
+def card_grids(landed):
+    return county_pages.rows_of(landed.select("page_id", F.col("card").alias("html")), "santa_rosa_card").select("page_id", "exterior_wall", "bedrooms", "bathrooms", "quality_code")

@@ -127,6 +127,15 @@ TABLES: dict[str, tuple[str, dict[str, str]]] = {
             "answer": "CASE p_partkey % 9 WHEN 0 THEN NULL WHEN 1 THEN '<p>Parcel ID: ' || CAST(p_partkey AS STRING) || '</p><h2>General Information</h2>' WHEN 2 THEN '<p>The portal of the county</p>' WHEN 3 THEN '<script>window.__remixContext = {\"empty\":true};</script>'"
             " WHEN 4 THEN '<script>window.__remixContext = {\"empty\":false};</script>' WHEN 5 THEN '<script>window.__remixContext = {\"empty\": true};</script>' WHEN 6 THEN '<p>Parcel ID: none</p>' WHEN 7 THEN '' ELSE '<p>Parcel ID: 7</p> General Information <script>window.__remixContext = {};</script>' END",
             "redirects": "CASE p_partkey % 11 WHEN 3 THEN 'https://www.ESCPA.org/' WHEN 5 THEN 'https://www.escpa.org/CAMA/Search.aspx?id=1' WHEN 7 THEN 'https://escpa.org/cama' END",
+            "appraiser": "'<table><tr><td><div id=ctl00_MasterPlaceHolder_MapBodyStats class=m><b>Section Map Id:</b><br>CA12<br><b>Approx. Acreage:</b><br>0.' || CAST(p_partkey % 90 AS STRING) || '<br>Zoned:<br>R-' || CAST(p_partkey % 5 AS STRING) || '</div>"
+            "<table border=0 id=\"ctl00_MasterPlaceHolder_tblBldgs\"><tr><td><table><tr><th>Address: 1 OAK ST, Improvement Type: X, Year Built: ' || CAST(1900 + p_partkey % 120 AS STRING) || ', Effective Year: ' || CAST(1950 + p_partkey % 70 AS STRING) || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ', <span>' || CAST(800 + p_partkey AS STRING) || ' Total SF</span>' END || '</th><tr><td>"
+            "<b>exterior wall</b>-<i>BRICK &amp; STONE</i><br><b>EXTERIOR WALL</b>-<i> VINYL </i><b>ROOF COVER</b>-<i></i><p><b>Foundation</b>-<u>x</u><i>SLAB ' || CAST(p_partkey % 4 AS STRING) || '</i></table>"
+            "<table><tr><td><b>ROOF COVER</b>-<i>no head, no facts</i></table><table><tr><th>Year Built: 1800<tr><td><b>ROOF COVER</b>-<i>METAL</i></table></td></tr><tr><td><span style=\"background:LightGrey\">' || CAST(700 + p_partkey AS STRING) || ' Total SF</span></table>"
+            "<tr><td align=left id=\"ctl00_MasterPlaceHolder_SalesCell\"><table class=s><tr><th colspan=7>Sales Data<tr><td>Sale Date<td>Book<td>Page<td>Value<td>Type<td>Multi Parcel<td>Records"
+            "<tr><td>0' || CAST(1 + p_partkey % 9 AS STRING) || '/2001<td>1<td>2<td>$' || CAST(p_partkey AS STRING) || ',500<td>WD<td>' || CASE WHEN p_partkey % 2 = 0 THEN 'y' ELSE '' END || '<td><table><tr><td>View<td>Instr</table>"
+            "<tr><td></td><td>9</td><td>9</td><td>$1</td><td>QC</td><tr><td>' || CASE WHEN p_partkey % 7 = 0 THEN 'soon' ELSE '3/4/1999' END || '</td><td>5<td>6<td>$7<td>CT</tr><tr><td colspan=7>Official Records Inquiry</table></table>'",
+            "clerk_page": "'<table><tr><td>Tax sale<table width=100% BGCOLOR=\"#0054A6\"><tr><th>View Image</th><th>Clerk<br>File #<th>Account<th>Sales Date<th>Opening Bid Amount</th><th>Legal Description<th>.</tr>"
+            "<tr><td><a href=x>v</a><td>' || CASE WHEN p_partkey % 6 = 0 THEN '' ELSE '2024 TD ' || CAST(p_partkey AS STRING) END || '<td>A' || CAST(p_partkey % 9 AS STRING) || '<td>May ' || CAST(1 + p_partkey % 28 AS STRING) || ', 2024<td>$' || CAST(p_partkey AS STRING) || ',001.00<td>LOT 1' || chr(10) || '<br>  BLK ' || CAST(p_partkey % 5 AS STRING) || '<table><tr><td>more</table><td>.</table><table width=100%><tr><td>Count=1</table></table>'",
             "legal": "'CN:2024 CA ' || CAST(p_partkey AS STRING) || ' LOT:' || CAST(p_partkey % 40 AS STRING) || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' BLK:B' || CAST(p_partkey % 7 AS STRING) END || ' SUB:PINE  HILLS ' || CAST(p_partkey % 5 AS STRING) || CASE WHEN p_partkey % 4 = 0 THEN ' SEC:1' || CAST(p_partkey % 9 AS STRING) || ' TWP:3N RGE:31W' ELSE '' END",
             "owners": "CASE p_partkey % 3 WHEN 0 THEN 'FIRST BANK NA' ELSE 'TRUST ' || CAST(p_partkey AS STRING) END || chr(10) || CASE p_partkey % 4 WHEN 0 THEN ' LLC CO' ELSE ' JANE DOE ' || CAST(p_partkey AS STRING) END",
             "month": "CASE p_partkey % 3 WHEN 0 THEN 'May' WHEN 1 THEN 'Jun' ELSE 'Dec' END",
