@@ -11,7 +11,7 @@ from acrelens.operators import arv, filters, match, merge, search, spatial, work
 from acrelens.plans import reports
 from acrelens.plans.fixtures import sql, table
 from acrelens.scratch import scratch_path
-from acrelens.sources import county_pages, pages, shapefile
+from acrelens.sources import county_pages, files, pages, shapefile
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -898,3 +898,32 @@ def clerk_tax_sales(landed):
 @query("SELECT page_id, 'BRICK' AS exterior_wall, CAST(page_id % 25 AS VARCHAR) AS bedrooms, CAST(1 + page_id % 3 AS VARCHAR) || '.5' AS bathrooms, 'CLASS ' || CAST(page_id % 6 AS VARCHAR) AS quality_code FROM landed")
 def card_grids(landed):
     return county_pages.rows_of(landed.select("page_id", F.col("card").alias("html")), "santa_rosa_card").select("page_id", "exterior_wall", "bedrooms", "bathrooms", "quality_code")
+
+
+# Files of lines: written from the listings, then read in splits.
+
+
+def _written_lines(listings, *lines):
+    path = scratch_path(listings.sparkSession, "lines")
+    listings.select(F.explode(F.array(*[F.expr(line) for line in lines])).alias("value")).write.text(path)
+    return path
+
+
+@query(
+    """SELECT '2024 CA ' || CAST(listing_id AS VARCHAR) AS case_number, 'P' || CAST(listing_id AS VARCHAR) AS parcel_id, listing_id * 1000 + 500 AS judgment, CASE WHEN listing_id % 4 = 0 THEN NULL ELSE listing_id END AS assessed_value,
+ CAST(listing_id AS VARCHAR) || ' OAK ST' AS street, 'Pace, FL' AS city_state_zip, make_date(2024, 1 + listing_id % 9, 10 + listing_id % 9) AS auction_date FROM listings WHERE listing_id % 10 <> 0"""
+)
+def foreclosure_files(listings):
+    path = _written_lines(
+        listings, "concat('Auction Starts:,\"0', 1 + listing_id % 9, '/', 10 + listing_id % 9, '/2024 11:00 AM\"')", "concat('Case #:,2024 CA ', listing_id)", "concat('Parcel ID:,', if(listing_id % 10 = 0, ' ', concat('P', listing_id)))", "''",
+        "concat('Final Judgment Amount:,\"$', listing_id, ',500.75\"')", "concat('Assessed Value:,', if(listing_id % 4 = 0, 'n/a', concat('$', listing_id)))", "concat('Property Address:,', listing_id, ' OAK ST')", "',\"Pace, FL\"'",
+    )
+    return files.read_foreclosures(listings.sparkSession, path).select("case_number", "parcel_id", "judgment", "assessed_value", "street", "city_state_zip", "auction_date")
+
+
+@query(
+    """SELECT listing_id * 1000 AS list_price, CAST(CASE WHEN listing_id % 5 > 0 THEN listing_id % 5 END AS INT) AS bedrooms, CAST(listing_id AS VARCHAR) || ' Oak St, Pace, FL 32571' AS address, 'REALTY ' || CAST(listing_id AS VARCHAR) AS brokerage FROM listings"""
+)
+def listing_files(listings):
+    path = _written_lines(listings, "concat('\"$', listing_id, ',000\"')", "'Save'", "concat(if(listing_id % 5 > 0, concat(listing_id % 5, ' bds2 ba'), ''), '1,319 sqftForeclosure')", "concat('\"', listing_id, ' Oak St, Pace, FL 32571\"')", "concat('REALTY ', listing_id)", "'More'")
+    return files.read_listings(listings.sparkSession, path).select("list_price", F.col("bedrooms").cast("int").alias("bedrooms"), "address", "brokerage")

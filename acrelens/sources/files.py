@@ -35,16 +35,24 @@ def parcels_of_roll(roll: DataFrame, county_fips: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """(file, at, line) of text files; a file is one record of its own, of 2 GB at most, so lines keep their places."""
-    text = F.decode("content", encoding)
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.col("path").alias("file"), F.posexplode(F.split(F.regexp_replace(text, "^﻿", ""), "\r\n|\n|\r")).alias("at", "line"))
+    """(file, split, at, line) of text files; a large file is read in splits, ``at`` orders the lines of each."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.decode(F.col("value").cast("binary"), encoding).alias("line"))
+    return rows.withColumn("line", F.regexp_replace("line", "^\ufeff", ""))
 
 
 def blocks(lines: DataFrame, opens: Column) -> DataFrame:
-    """Lines with the number of the block that they stand in; lines before the first are left out."""
-    w = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return lines.withColumn("block", F.sum(opens.cast("int")).over(w)).filter("block > 0")
+    """Lines with the number of the block of their file that they stand in; lines before the first are left out.
+
+    Two levels of sums: what all earlier splits of a file open, a row per split, and the
+    running sum within a split. A block may so go on over any number of splits, and no
+    task holds more than one split's lines.
+    """
+    marked = lines.withColumn("opens", F.coalesce(opens, F.lit(False)).cast("int"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # a row per split
+    opened = marked.groupBy("file", "split").agg(F.sum("opens").alias("n")).select("file", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = marked.join(opened, ["file", "split"]).withColumn("block", F.col("before") + F.sum("opens").over(within))
+    return rows.filter("block > 0").withColumn("at", F.struct("split", "at")).drop("opens", "before", "split")
 
 
 def read_key_values(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFrame:
@@ -56,7 +64,7 @@ def read_key_values(spark: SparkSession, path: str, fields: dict[str, str]) -> D
     """
     lines = _lines(spark, path, "ISO-8859-1").filter("trim(line) <> ''")
     key = F.regexp_replace(F.replace(F.replace(F.trim(F.regexp_replace(F.lower(F.trim(F.coalesce("p.k", F.lit("")))), ":+$", "")), F.lit(" "), F.lit("_")), F.lit("#"), F.lit("num")), "_+", "_")
-    keyed = lines.withColumn("p", F.from_csv("line", F.lit("k string, v string"))).select("file", "at", key.alias("key"), F.nullif(F.trim("p.v"), F.lit("")).alias("value"))
+    keyed = lines.withColumn("p", F.from_csv("line", F.lit("k string, v string"))).select("file", "split", "at", key.alias("key"), F.nullif(F.trim("p.v"), F.lit("")).alias("value"))
     grouped = blocks(keyed, F.regexp_replace("key", "[^a-z]", "").startswith("auctionstarts")).groupBy("file", "block")
     columns: dict[str, list[str]] = {}
     for k, c in fields.items():
@@ -91,7 +99,7 @@ NOISE = r"(?i)^(More|Save|Previous photoNext photo|Save this search.*|.*to get e
 
 def read_listings(spark: SparkSession, path: str) -> DataFrame:
     """Listings of a file with one value per line: a price line opens one; then specs, address, brokerage."""
-    lines = _lines(spark, path, "UTF-8").select("file", "at", F.trim(F.regexp_replace("line", '^"+|"+$', "")).alias("line")).filter((F.col("line") != "") & ~F.col("line").rlike(NOISE))
+    lines = _lines(spark, path, "UTF-8").select("file", "split", "at", F.trim(F.regexp_replace("line", '^"+|"+$', "")).alias("line")).filter((F.col("line") != "") & ~F.col("line").rlike(NOISE))
     parts = blocks(lines, F.col("line").rlike(r"^\$[\d,]+(\.\d{2})?$")).groupBy("file", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]).alias("l"))  # lines of one listing
     specs_at = F.array_position(F.transform("l", lambda x: x.rlike(r"(?i)\d+\s*bds?|[\d,]+\s*sqft")), F.lit(True)).cast("int")
     after = lambda at: F.slice("l", at + 1, F.size("l"))

@@ -34,6 +34,29 @@ def test_listing_lines(spark, tmp_path):
     assert rows[1]["list_price"] == 1 and rows[1]["address"] is None
 
 
+def test_blocks_go_on_over_the_edges_of_splits(spark, tmp_path):
+    lines = ["junk,0"]
+    for i in range(120):
+        lines += [f"Auction Starts,05/{1 + i % 28:02}/2024", f"Case #:,C{i}", f"Parcel ID:,{i}", "Property Address:," + "x" * (i % 50), ',"Pace, FL"']
+    text = "\r\n".join(lines)
+    (tmp_path / "a.csv").write_text(text)
+    (tmp_path / "b.csv").write_text("Auction Starts,05/07/2024\nCase #:,only\nParcel ID:,b\n")
+    settings = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    seen = []
+    for size in (str(1 << 27), str(max(64, len(text) // 10))):
+        for name, value in zip(settings, (size, "0", "1")):
+            spark.conf.set(name, value)
+        try:
+            rows = files.read_foreclosures(spark, str(tmp_path / "*.csv"))
+            places = files._lines(spark, str(tmp_path / "a.csv"), "UTF-8").select("split").distinct().count()
+            seen.append((places, sorted(map(str, rows.collect()))))
+        finally:
+            for name in settings:
+                spark.conf.unset(name)
+    assert seen[0][0] == 1 and seen[1][0] >= 10
+    assert seen[0][1] == seen[1][1] and len(seen[0][1]) == 121
+
+
 def test_auctions_and_polygons(spark, tmp_path):
     asset = {"id": "1", "address": {"street": "1 A", "city": "P", "county": "Escambia", "state": "FL", "zip": "1"}, "bid": 0, "value": 5, "asset_type": "REO", "auction_at": "2024-05-07T10:00:00Z"}
     (tmp_path / "a.json").write_text(json.dumps(asset) + "\n" + json.dumps(asset | {"address": asset["address"] | {"state": "GA"}}))
