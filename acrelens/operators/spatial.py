@@ -112,6 +112,42 @@ def containing(points: DataFrame, polygons: DataFrame, key: list[str], size: flo
     return met.select(*key, "name", "area")
 
 
+def edges(polygons: DataFrame, band: float) -> DataFrame:
+    """(shape, slab, lat1, lon1, lat2, lon2): sides of all rings of polygons (shape, ring, holes) in every band of latitude that they cross."""
+    def sides(ring: Column) -> Column:
+        def side(i: Column) -> Column:
+            p, q = F.element_at(ring, i.cast("int")), F.element_at(ring, (i % F.size(ring) + 1).cast("int"))
+            return F.struct(p["lat"].alias("lat1"), p["lon"].alias("lon1"), q["lat"].alias("lat2"), q["lon"].alias("lon2"))
+
+        return F.transform(F.sequence(F.lit(1), F.size(ring)), side)
+
+    rings = polygons.select("shape", F.explode(F.concat(F.array("ring"), "holes")).alias("r")).filter("size(r) > 0")
+    rows = rings.select("shape", F.explode(sides(F.col("r"))).alias("e")).select("shape", "e.*").filter("lat1 <> lat2")
+    slabs = F.sequence(cell(F.least("lat1", "lat2"), band), cell(F.greatest("lat1", "lat2"), band))
+    return rows.select("shape", F.explode(slabs).alias("slab"), "lat1", "lon1", "lat2", "lon2")
+
+
+def containing_by_slabs(points: DataFrame, polygons: DataFrame, key: list[str], band: float = 0.01, size: float = 0.25) -> DataFrame:
+    """``containing`` for polygons of very many corners: key, name, area, by an index of their sides.
+
+    Sides are dealt to bands of latitude. A point meets, of each polygon whose box holds it,
+    the sides in its own band only; whether a ray crosses an odd number of them is a partial
+    sum, so no row holds a ring and no task all sides of one. Holes' sides count like others.
+    """
+    holes = F.col("holes") if "holes" in polygons.columns else F.array().cast("array<array<struct<lon:double,lat:double>>>")
+    area = F.col("area") if "area" in polygons.columns else ring_area(F.col("ring"))
+    shapes = materialize(polygons.select("name", "ring", holes.alias("holes"), area.alias("area"), F.monotonically_increasing_id().alias("shape")), "shapes")
+    lats, lons = F.transform("ring", lambda p: p["lat"]), F.transform("ring", lambda p: p["lon"])
+    boxes = shapes.select("shape", "name", "area", F.array_min(lats).alias("s"), F.array_max(lats).alias("n"), F.array_min(lons).alias("w"), F.array_max(lons).alias("e"))
+    boxes = boxes.withColumn("y", F.explode(tiles(F.col("s"), F.col("n"), size))).withColumn("x", F.explode(tiles(F.col("w"), F.col("e"), size)))
+    spots = points.select(*key, "lat", "lon", cell(F.col("lat"), size).alias("y"), cell(F.col("lon"), size).alias("x"))
+    held = spots.join(boxes, ["y", "x"]).filter("lat between s and n and lon between w and e").select(*key, "lat", "lon", "shape", "name", "area", cell(F.col("lat"), band).alias("slab"))
+    met = held.join(edges(shapes.select("shape", "ring", "holes"), band), ["shape", "slab"])
+    crossed = ((F.col("lat1") > F.col("lat")) != (F.col("lat2") > F.col("lat"))) & (F.col("lon") < F.try_divide((F.col("lon2") - F.col("lon1")) * (F.col("lat") - F.col("lat1")), F.col("lat2") - F.col("lat1")) + F.col("lon1"))
+    odd = met.groupBy(*key, "lat", "lon", "shape", "name", "area").agg((F.count_if(crossed) % 2 == 1).alias("inside"))
+    return odd.filter("inside").select(*key, "name", "area")
+
+
 def largest_containing(points: DataFrame, polygons: DataFrame, key: list[str]) -> DataFrame:
     """key, name of the largest polygon that holds each point, ties to the lesser name."""
     return containing(points, polygons, key).groupBy(*key).agg(F.min_by("name", F.struct(-F.col("area"), F.col("name"))).alias("name"))

@@ -345,6 +345,31 @@ def zip_by_polygon(parcels, places):
     return spatial.any_containing(parcels.filter("lat is not null"), _diamonds(places), _ID)
 
 
+def _many_corners(places, corners):
+    """The diamonds with so many corners more on every side."""
+    def ring(half):
+        turn = F.sequence(F.lit(0), F.lit(4 * corners - 1))
+
+        def corner(i):
+            # How far the corner is from the diamond's middle, in halves: round the square on its corner.
+            t = i % corners / corners
+            side = F.floor(i / corners)
+            dx = F.when(side == 0, t).when(side == 1, 1 - t).when(side == 2, -t).otherwise(t - 1)
+            dy = F.when(side == 0, t - 1).when(side == 1, t).when(side == 2, 1 - t).otherwise(-t)
+            return F.struct((F.col("lon") + dx * half).alias("lon"), (F.col("lat") + dy * half).alias("lat"))
+
+        return F.transform(turn, corner)
+
+    half = F.col("half")
+    return places.select("name", ring(half + 1.3e-4).alias("ring"), F.array(ring(half * 0.31 + 1.3e-4)).alias("holes"), half.alias("area"))
+
+
+@query(f"SELECT p.county_fips, p.parcel_id, q.name, round(q.half, 6) AS half FROM parcels p JOIN places q ON {_IN_DIAMOND}")
+def places_by_slabs(parcels, places):
+    held = spatial.containing_by_slabs(parcels.filter("lat is not null"), _many_corners(places, 700), _ID)
+    return held.select(*_ID, "name", F.round("area", 6).alias("half"))
+
+
 @query(f"SELECT county_fips, parcel_id, name, round(metres, 3) AS metres FROM {_geodesic_sql('(SELECT a.county_fips, a.parcel_id, b.name, a.lat AS lat1, a.lon AS lon1, b.lat AS lat2, b.lon AS lon2 FROM parcels a CROSS JOIN places b WHERE a.lat IS NOT NULL)')} QUALIFY row_number() OVER (PARTITION BY county_fips, parcel_id ORDER BY metres, name) = 1")
 def nearest_place(parcels, places):
     return spatial.nearest_place(parcels.filter("lat is not null"), places, _ID).select(*_ID, "name", F.round("metres", 3).alias("metres"))

@@ -207,3 +207,24 @@ def test_radius_on_the_ellipsoid(spark):
     flat = spark.createDataFrame([(0, 30.5, -87.2, i, a, b) for i, a, b in [(1, 30.5217, -87.2), (2, 30.5, -87.1749)]], "x int, lat double, lon double, id int, a double, b double")
     on_sphere = {r["id"] for r in flat.filter(spatial.distance_m(F.col("lat"), F.col("lon"), F.col("a"), F.col("b")) <= 2407.0).collect()}
     assert on_sphere == {2}
+
+
+def test_slabs_tell_what_whole_rings_tell(spark):
+    """Stars of 20,000 corners with a hole, whose sides are each in few bands; work per point falls with the bands."""
+    rng = random.Random(11)
+
+    def star(lat, lon, far, n):
+        turns = [2 * math.pi * i / n for i in range(n)]
+        return [(lon + far * rng.uniform(0.5, 1) * math.cos(t), lat + far * rng.uniform(0.5, 1) * math.sin(t)) for t in turns]
+
+    shapes = [(f"s{i}", star(30 + i / 10, -87, 0.4, 20_000 if i == 0 else 300), [star(30 + i / 10, -87, 0.1, 50)] if i % 2 == 0 else []) for i in range(4)]
+    ring = "array<struct<lon:double,lat:double>>"
+    polygons = spark.createDataFrame(shapes, f"name string, ring {ring}, holes array<{ring}>")
+    points = spark.createDataFrame([(i, rng.uniform(29.5, 30.8), rng.uniform(-87.5, -86.5)) for i in range(250)] + [(900, 30.0, -87.0), (901, -5.0, 3.0)], "id int, lat double, lon double")
+    told = lambda df: {(r["id"], r["name"]) for r in df.collect()}
+    whole = told(spatial.containing(points, polygons, ["id"]))
+    assert told(spatial.containing_by_slabs(points, polygons, ["id"], band=0.01)) == whole and len(whole) > 100
+    assert told(spatial.containing_by_slabs(points, polygons.drop("holes"), ["id"], band=0.3)) == told(spatial.containing(points, polygons.drop("holes"), ["id"]))
+    round_one = spark.createDataFrame([("r", [(-87 + math.cos(i / 3000), 30 + math.sin(i / 3000)) for i in range(18_849)], [])], f"shape string, ring {ring}, holes array<{ring}>")
+    met = lambda band: spatial.edges(round_one, band).groupBy("shape", "slab").count().agg(F.max("count")).first()[0]
+    assert met(0.01) < met(0.1) / 4
