@@ -27,17 +27,35 @@ def test_valuation_passes_and_floors(spark):
     assert "none" not in found
 
 
+def apart(a, b):
+    """The inverse geodesic on the ellipsoid, step after step until it stands still."""
+    big, f = 6_378_137.0, 1 / 298.257223563
+    small, (u, v), turn = big * (1 - f), (math.atan((1 - f) * math.tan(math.radians(x[1]))) for x in (a, b)), math.radians(b[2] - a[2])
+    l = turn  # noqa: E741
+    for _ in range(200):
+        ss = math.hypot(math.cos(v) * math.sin(l), math.cos(u) * math.sin(v) - math.sin(u) * math.cos(v) * math.cos(l))
+        if ss == 0:
+            return 0.0
+        cs = math.sin(u) * math.sin(v) + math.cos(u) * math.cos(v) * math.cos(l)
+        s, sa = math.atan2(ss, cs), math.cos(u) * math.cos(v) * math.sin(l) / ss
+        ca = 1 - sa * sa
+        cm = cs - 2 * math.sin(u) * math.sin(v) / ca if ca > 1e-15 else 0.0
+        c = f / 16 * ca * (4 + f * (4 - 3 * ca))
+        before, l = l, turn + (1 - c) * f * sa * (s + c * ss * (cm + c * cs * (2 * cm * cm - 1)))  # noqa: E741
+        if abs(l - before) < 1e-12:
+            break
+    w = ca * (big**2 - small**2) / small**2
+    k1, k2 = 1 + w / 16384 * (4096 + w * (-768 + w * (320 - 175 * w))), w / 1024 * (256 + w * (-128 + w * (74 - 47 * w)))
+    return small * k1 * (s - k2 * ss * (cm + k2 / 4 * (cs * (2 * cm * cm - 1) - k2 / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3))))
+
+
 def test_radius_join_is_brute_force(spark):
     rng = random.Random(1)
     rows = [(i, i % 2, 30 + rng.random() * 0.3, -87 + rng.random() * 0.3) for i in range(400)]
     df = spark.createDataFrame(rows, "id int, k int, lat double, lon double")
     found = {(r["l"]["id"], r["r"]["id"]) for r in spatial.within_radius(df, df, ["k"], 3000.0, "l.id <> r.id").collect()}
 
-    def metres(a, b):
-        h = math.sin(math.radians(b[2] - a[2]) / 2) ** 2 + math.cos(math.radians(a[2])) * math.cos(math.radians(b[2])) * math.sin(math.radians(b[3] - a[3]) / 2) ** 2
-        return 2 * spatial.EARTH_M * math.asin(math.sqrt(h))
-
-    assert found == {(a[0], b[0]) for a in rows for b in rows if a[0] != b[0] and a[1] == b[1] and metres(a, b) <= 3000}
+    assert found == {(a[0], b[0]) for a in rows for b in rows if a[0] != b[0] and a[1] == b[1] and apart(a[1:], b[1:]) <= 3000}
 
 
 def test_polygons(spark):
@@ -169,27 +187,6 @@ def test_circles_over_poles_and_the_date_line_and_far_places(spark):
     spots = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(60)] + [(60, 89.9, 10.0), (61, 89.8, -170.0), (62, 10.0, 179.99), (63, 10.0, -179.99), (64, -60.0, 179.9), (65, 0.0, 0.0)]
     places = [(f"p{i:02}", rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(12)] + [("pole", 90.0, 0.0), ("line", 10.0, -179.999)]
 
-    def apart(a, b):
-        """The inverse geodesic on the ellipsoid, step after step until it stands still."""
-        big, f = 6_378_137.0, 1 / 298.257223563
-        small, (u, v), turn = big * (1 - f), (math.atan((1 - f) * math.tan(math.radians(x[1]))) for x in (a, b)), math.radians(b[2] - a[2])
-        l = turn  # noqa: E741
-        for _ in range(200):
-            ss = math.hypot(math.cos(v) * math.sin(l), math.cos(u) * math.sin(v) - math.sin(u) * math.cos(v) * math.cos(l))
-            if ss == 0:
-                return 0.0
-            cs = math.sin(u) * math.sin(v) + math.cos(u) * math.cos(v) * math.cos(l)
-            s, sa = math.atan2(ss, cs), math.cos(u) * math.cos(v) * math.sin(l) / ss
-            ca = 1 - sa * sa
-            cm = cs - 2 * math.sin(u) * math.sin(v) / ca if ca > 1e-15 else 0.0
-            c = f / 16 * ca * (4 + f * (4 - 3 * ca))
-            before, l = l, turn + (1 - c) * f * sa * (s + c * ss * (cm + c * cs * (2 * cm * cm - 1)))  # noqa: E741
-            if abs(l - before) < 1e-12:
-                break
-        w = ca * (big**2 - small**2) / small**2
-        k1, k2 = 1 + w / 16384 * (4096 + w * (-768 + w * (320 - 175 * w))), w / 1024 * (256 + w * (-128 + w * (74 - 47 * w)))
-        return small * k1 * (s - k2 * ss * (cm + k2 / 4 * (cs * (2 * cm * cm - 1) - k2 / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3))))
-
     points = spark.createDataFrame(spots, "id int, lat double, lon double")
     for metres in (3_000.0, 50_000.0, 900_000.0, 9_000_000.0):
         pairs = {(r["l"]["id"], r["r"]["id"]) for r in spatial.within_radius(points, points, [], metres).collect()}
