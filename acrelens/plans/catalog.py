@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from acrelens.functions import parcel as P
 from acrelens.functions import projection as J
 from acrelens.functions import text as X
-from acrelens.operators import arv, filters, match, merge, search, spatial, workflow
+from acrelens.operators import arv, filters, match, merge, search, sinks, spatial, workflow
 from acrelens.plans import reports
 from acrelens.plans.fixtures import sql, table
 from acrelens.scratch import scratch_path
@@ -495,6 +495,40 @@ def roll_upsert(parcels):
     return merge.upsert(current, moved, _ID, protected={"bedrooms"})
 
 
+@query(
+    """SELECT county_fips, parcel_id, CASE WHEN k % 3 = 0 THEN jv + 1 ELSE jv END AS jv, bedrooms FROM (SELECT *, CAST(parcel_id AS BIGINT) AS k FROM parcels)
+ UNION ALL SELECT county_fips, 'N' || parcel_id, jv + 1, NULL FROM parcels WHERE CAST(parcel_id AS BIGINT) % 3 = 1"""
+)
+def keyed_table_upsert(parcels):
+    """The roll's upsert into a table of files, done twice as after a run that failed at its end."""
+    third = F.col("parcel_id").cast("long") % 3
+    kept = sinks.KeyedTable(parcels.sparkSession, scratch_path(parcels.sparkSession, "keyed"), _ID, 16)
+    kept.create(parcels.select(*_ID, "jv", "bedrooms"))
+    moved = parcels.filter(third < 2).select("county_fips", F.when(third == 1, F.concat(F.lit("N"), "parcel_id")).otherwise(F.col("parcel_id")).alias("parcel_id"), (F.col("jv") + 1).alias("jv"))
+    for _ in range(2):
+        kept.upsert(moved, lambda now, changes: merge.upsert(now, changes, _ID, protected={"bedrooms"}))
+    return kept.read()
+
+
+@query("""SELECT source, CASE source WHEN 'clerk' THEN 'FAILED' ELSE 'SUCCESS' END AS status, count(*) AS written, count(*) FILTER (workflow_status IS NULL) AS open, source = 'clerk' AS told FROM signals GROUP BY 1""")
+def source_runs(signals):
+    """A run of every source; one fails after it has written, and the others are not touched by that."""
+    spark = signals.sparkSession
+    path = scratch_path(spark, "sources")
+
+    def work(source):
+        def one(run):
+            rows = signals.filter(F.col("source") == source).select("id", "source", "workflow_status")
+            run.write(rows, lambda df: df.write.parquet(f"{path}/{source}"), open=F.col("workflow_status").isNull())
+            if source == "clerk":
+                raise ValueError("the clerk's last page is missing")
+
+        return one
+
+    log = sinks.run_sources(spark, f"{path}/log", {s: work(s) for s in ("auction", "clerk", "file")})
+    return log.select("source", "status", F.col("counts")["written"].alias("written"), F.col("counts")["open"].alias("open"), F.coalesce(F.col("error").contains("last page"), F.lit(False)).alias("told"))
+
+
 @query("""SELECT county_fips, parcel_id, CASE WHEN k % 5 = 0 THEN NULL WHEN k % 2 = 0 AND k % 4 <> 0 THEN 7 ELSE bedrooms END AS bedrooms, CASE WHEN k % 2 = 0 THEN 'TILE' ELSE roof_type END AS roof_type FROM (SELECT *, CAST(parcel_id AS BIGINT) AS k FROM parcels)""")
 def partial_enrichment(parcels):
     k = F.col("parcel_id").cast("long")
