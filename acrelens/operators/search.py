@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from acrelens.functions.parcel import deal_score
 from acrelens.functions.text import address_order
 from acrelens.operators.filters import event_predicates, matching, predicates, score_predicates, visible_to
+from acrelens.scratch import materialize
 
 _ID = ["county_fips", "parcel_id"]
 _EVENT = ["signal_tier", "listing_type", "days_on_market", "event_arv_source", "event_arv_estimate"]
@@ -60,6 +61,35 @@ def page_of(rows: DataFrame, criteria: dict, field: str = "deal_score", directio
     return top.withColumn("position", place).filter(F.col("position") > first)
 
 
+def deep_page_of(rows: DataFrame, criteria: dict, field: str = "deal_score", direction: str = "DESC", page: int | None = None, size: int = 25, ranges: int | None = None) -> DataFrame:
+    """``page_of`` for pages far down; ``page`` may be None for the last one.
+
+    Rows go to ranges of the order once. Counts of the ranges, one row each, tell where the
+    page begins and ends, so only the ranges that it touches are sorted out, each by itself;
+    no task sees the rows before the page.
+    """
+    cap = ((criteria.get("filters") or {}).get("max_results") or {}).get("value")
+    order = order_of(field, direction)
+    ranges = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(rows.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = sorted(dealt.groupBy("_range").count().collect())  # a row per range
+    total = sum(r["count"] for r in counts)
+    total = min(total, cap) if cap else total
+    page = page or max(1, -(-total // size))
+    first, last = (page - 1) * size, min(page * size, total)
+    before, starts = 0, {}
+    for r in counts:
+        if before < last and before + r["count"] > first:
+            starts[r["_range"]] = before
+        before += r["count"]
+    if not starts:
+        return dealt.limit(0).withColumn("position", F.lit(0).cast("long")).drop("_range")
+    start = F.coalesce(*[F.when(F.col("_range") == k, F.lit(v).cast("long")) for k, v in starts.items()])
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + start
+    here = dealt.filter(F.col("_range").isin(list(starts))).withColumn("position", place)
+    return here.filter(F.col("position").between(first + 1, last)).drop("_range")
+
+
 def totals(rows: DataFrame, criteria: dict, size: int = 25) -> DataFrame:
     """Number of results after the cap, and of pages, one at least."""
     cap = ((criteria.get("filters") or {}).get("max_results") or {}).get("value")

@@ -50,3 +50,8 @@ def cached_or_missing(parcels: DataFrame, cache: DataFrame, now) -> DataFrame:
     key = ["county_fips", "parcel_id"]
     live = cache.filter(F.col("expires_at") > now).groupBy(*key).agg(F.max_by("contact", "expires_at").alias("contact"))
     return parcels.join(live, key, "left").withColumn("cached", F.col("contact").isNotNull())
+
+
+def granted(grants: DataFrame, things: DataFrame, key: list[str]) -> DataFrame:
+    """Grants, each once, with the columns of what they grant; grants of nothing that is there are left out."""
+    return grants.distinct().join(things, key)

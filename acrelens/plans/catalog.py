@@ -237,6 +237,16 @@ def search_page(parcels, signals):
     return search.page_of(rows, criteria, page=2, size=10).select(*_ID, "deal_score", "position")
 
 
+@query(
+    _SCORED_SQL
+    + """ SELECT county_fips, parcel_id, deal_score, position FROM (SELECT *, row_number() OVER (ORDER BY coalesce(deal_score, -1) DESC, coalesce(arv_spread, -1) DESC, parcel_id DESC, county_fips) AS position, count(*) OVER () AS n FROM scored)
+ WHERE position > (n - 1) // 25 * 25"""
+)
+def search_last_page(parcels, signals):
+    """The last page of a search without criteria, by ranges."""
+    return search.deep_page_of(search.scored(_with_absentee(parcels), signals, {}, WEIGHTS), {}).select(*_ID, "deal_score", "position")
+
+
 @query(
     _SCORED_SQL.replace("FROM away p LEFT", f"FROM (SELECT * FROM away WHERE {FILTER_SQL}) p LEFT")
     + " SELECT least(count(*), 40) AS total, CAST(greatest(1, ceil(least(count(*), 40) / 10)) AS BIGINT) AS total_pages FROM scored"
@@ -986,3 +996,38 @@ def foreclosure_files(listings):
 def listing_files(listings):
     path = _written_lines(listings, "concat('\"$', listing_id, ',000\"')", "'Save'", "concat(if(listing_id % 5 > 0, concat(listing_id % 5, ' bds2 ba'), ''), '1,319 sqftForeclosure')", "concat('\"', listing_id, ' Oak St, Pace, FL 32571\"')", "concat('REALTY ', listing_id)", "'More'")
     return files.read_listings(listings.sparkSession, path).select("list_price", F.col("bedrooms").cast("int").alias("bedrooms"), "address", "brokerage")
+
+
+# Access and seeds.
+
+_COUNTIES = "(VALUES ('12033', 'Escambia', 27, true), ('12113', 'Santa Rosa', 67, true), ('12091', 'Okaloosa', 56, false))"
+
+
+def _counties(spark):
+    return spark.createDataFrame([("12033", "Escambia", 27, True), ("12113", "Santa Rosa", 67, True), ("12091", "Okaloosa", 56, False)], "county_fips string, county_name string, county_no int, active boolean")
+
+
+@query(f"SELECT user_id, county_name, county_no FROM (SELECT DISTINCT parcel_id AS user_id, CASE WHEN id % 5 = 0 THEN '12091' ELSE county_fips END AS county_fips FROM signals) JOIN {_COUNTIES} AS c(county_fips, county_name, county_no, active) USING (county_fips) WHERE active")
+def granted_counties(signals):
+    access = signals.select(F.col("parcel_id").alias("user_id"), F.when(F.col("id") % 5 == 0, "12091").otherwise(F.col("county_fips")).alias("county_fips"))
+    return workflow.granted(access, _counties(signals.sparkSession).filter("active"), ["county_fips"]).select("user_id", "county_name", "county_no")
+
+
+@query(
+    """WITH prefs AS (SELECT parcel_id AS user_id, signal_tier AS profile_id, max(id % 3 = 0) AS favourite, max(created_at) AS searched, count(*) AS runs FROM signals GROUP BY ALL), profiles AS (SELECT DISTINCT signal_tier AS profile_id, 'profile ' || CAST(signal_tier AS VARCHAR) AS name FROM signals WHERE signal_tier < 4)
+ SELECT user_id, profile_id, name, runs, row_number() OVER (PARTITION BY user_id ORDER BY favourite DESC, searched DESC NULLS LAST, runs DESC, profile_id) AS place FROM prefs JOIN profiles USING (profile_id)"""
+)
+def profile_activity(signals):
+    prefs = signals.groupBy(F.col("parcel_id").alias("user_id"), F.col("signal_tier").alias("profile_id")).agg(F.max(F.col("id") % 3 == 0).alias("favourite"), F.max("created_at").alias("last_searched_at"), F.count(F.lit(1)).alias("runs"))
+    profiles = signals.filter("signal_tier < 4").select(F.col("signal_tier").alias("profile_id"), F.concat(F.lit("profile "), F.col("signal_tier").cast("string")).alias("name")).distinct()
+    rows = workflow.granted(prefs, profiles, ["profile_id"])
+    place = spatial.rank_within(["user_id"], F.desc("favourite"), F.desc_nulls_last("last_searched_at"), F.desc("runs"), F.asc("profile_id"))
+    return rows.select("user_id", "profile_id", "name", "runs", place.cast("long").alias("place"))
+
+
+@query("SELECT county_fips, parcel_id, jv, seeded FROM (SELECT county_fips, parcel_id, jv, false AS seeded FROM parcels WHERE CAST(parcel_id AS BIGINT) % 3 > 0 UNION ALL SELECT county_fips, parcel_id, 0, true FROM parcels WHERE CAST(parcel_id AS BIGINT) % 3 = 0)")
+def seeds_do_nothing(parcels):
+    """Seeds of every key join those that are there; keys that are there stay as they are."""
+    there = parcels.filter(F.col("parcel_id").cast("long") % 3 > 0).select(*_ID, "jv", F.lit(False).alias("seeded"))
+    seeds = parcels.select(*_ID, F.lit(0).cast("long").alias("jv"), F.lit(True).alias("seeded"))
+    return merge.insert_absent(there, seeds.unionByName(seeds), _ID)

@@ -225,3 +225,18 @@ def test_slabs_tell_what_whole_rings_tell(spark):
     round_one = spark.createDataFrame([("r", [(-87 + math.cos(i / 3000), 30 + math.sin(i / 3000)) for i in range(18_849)], [])], f"shape string, ring {ring}, holes array<{ring}>")
     met = lambda band: spatial.edges(round_one, band).groupBy("shape", "slab").count().agg(F.avg("count")).first()[0]
     assert met(0.01) < met(0.1) / 4
+
+
+def test_deep_pages_are_those_of_the_whole_order(spark):
+    rng = random.Random(13)
+    rows = [("1", str(i), None if rng.random() < 0.1 else rng.randrange(5) / 4, rng.choice([None, 1, 2])) for i in range(203)]
+    df = spark.createDataFrame(rows, "county_fips string, parcel_id string, deal_score double, arv_spread long").repartition(5)
+    for direction in ("DESC", "ASC"):
+        for page, size in ((1, 10), (7, 25), (9, 25), (21, 10), (30, 10)):
+            told = lambda d: sorted((r["position"], r["parcel_id"]) for r in d.collect())
+            assert told(search.deep_page_of(df, {}, direction=direction, page=page, size=size, ranges=7)) == told(search.page_of(df, {}, direction=direction, page=page, size=size))
+    last = search.deep_page_of(df, {}, ranges=7).collect()
+    assert sorted(r["position"] for r in last) == [201, 202, 203]
+    capped = search.deep_page_of(df, {"filters": {"max_results": {"value": 33}}}, size=10, ranges=3).collect()
+    assert sorted(r["position"] for r in capped) == [31, 32, 33]
+    assert search.deep_page_of(df.limit(0), {}).collect() == []
