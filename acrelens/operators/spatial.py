@@ -167,9 +167,12 @@ def nearest_place(points: DataFrame, places: DataFrame, key: list[str], radii_m:
     out, left = None, points.filter("lat is not null and lon is not null").select(*key, "lat", "lon")
     for radius in (*radii_m, FARTHEST_M):
         ends = F.col("l.lat"), F.col("l.lon"), F.col("r.lat"), F.col("r.lon")
-        pairs = within_radius(left, places.select("name", "lat", "lon"), [], radius)
-        metres = F.coalesce(geodesic_m(*ends), distance_m(*ends))
-        best = pairs.select(*[F.col(f"l.{k}").alias(k) for k in key], F.struct(metres.alias("metres"), F.col("r.name").alias("name")).alias("b")).groupBy(*key).agg(F.min("b").alias("b"))
+        pairs = within_radius(left, places.select("name", "lat", "lon"), [], radius).select(*[F.col(f"l.{k}").alias(k) for k in key], "l", "r", distance_m(*ends).alias("apart"))
+        # On the sphere the nearest is within this of the least distance; for those alone the geodesic is worked out.
+        least = F.min("apart").over(Window.partitionBy(*key)) * ((1 + SPHERE_SHARE) / (1 - SPHERE_SHARE))
+        near = pairs.withColumn("most", least).filter("apart <= most")
+        metres = F.coalesce(geodesic_m(*ends), "apart")
+        best = near.select(*key, F.struct(metres.alias("metres"), F.col("r.name").alias("name")).alias("b")).groupBy(*key).agg(F.min("b").alias("b"))
         best = materialize(best.select(*key, "b.name", "b.metres"), "nearest")
         out = best if out is None else out.unionByName(best)
         left = left.join(best, key, "left_anti")
