@@ -11,7 +11,7 @@ from acrelens.operators import arv, filters, match, merge, search, sinks, spatia
 from acrelens.plans import reports
 from acrelens.plans.fixtures import sql, table
 from acrelens.scratch import scratch_path
-from acrelens.sources import county_pages, files, pages, shapefile
+from acrelens.sources import county_pages, files, pages, shapefile, workbook
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -1031,3 +1031,14 @@ def seeds_do_nothing(parcels):
     there = parcels.filter(F.col("parcel_id").cast("long") % 3 > 0).select(*_ID, "jv", F.lit(False).alias("seeded"))
     seeds = parcels.select(*_ID, F.lit(0).cast("long").alias("jv"), F.lit(True).alias("seeded"))
     return merge.insert_absent(there, seeds.unionByName(seeds), _ID)
+
+
+@query("SELECT 'Lis Pendens ' || CAST(listing_id % 2 AS VARCHAR) AS kind, '2024 <CA> & ' || CAST(listing_id AS VARCHAR) AS number, 'R' || CAST(listing_id % 3 AS VARCHAR) AS status FROM listings WHERE listing_id % 3 > 0 AND listing_id % 5 > 0")
+def court_workbooks(listings):
+    """Court rows written to workbooks, a task each, and read again."""
+    spark, k = listings.sparkSession, F.col("listing_id")
+    path = scratch_path(spark, "workbooks")
+    kind = F.when(k % 5 == 0, "Deed").otherwise(F.concat(F.lit("Lis Pendens "), (k % 2).cast("string")))
+    rows = listings.select(kind.alias("Doc Type "), F.concat(F.lit("2024 <CA> & "), k.cast("string")).alias("Case"), F.when(k % 3 > 0, F.concat(F.lit("R"), (k % 3).cast("string"))).alias("Status"))
+    workbook.write_workbooks(rows.repartition(4, "Case"), path)
+    return files.read_court_records(spark, f"{path}/*.xlsx").select(F.col("Doc Type").alias("kind"), F.col("Case").alias("number"), F.col("Status").alias("status"))

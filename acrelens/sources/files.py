@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from acrelens.functions.parcel import ROLL_COLUMNS, roll_projection
 from acrelens.functions.text import auction_date, listing_facts, whole_dollars
 from acrelens.operators.spatial import ring_area
+from acrelens.sources.workbook import read_workbooks
 
 # Texts that a roll file's reader takes for missing.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -121,28 +122,15 @@ def read_auctions(spark: SparkSession, path: str, county: str = "ESCAMBIA", stat
 
 
 def read_court_records(spark: SparkSession, path: str) -> DataFrame:
-    """Lis pendens rows exported as CSV, or as workbooks where a reader of those is installed, a file in a task."""
-    if path.endswith((".xlsx", ".xls")):
-        rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(_workbook_rows, "cells map<string, string>")
-        names = [r["name"] for r in rows.select(F.explode(F.map_keys("cells")).alias("name")).distinct().collect()]  # the headers
-        rows = rows.select(*[F.try_element_at("cells", F.lit(n)).alias(n) for n in names])
+    """Lis pendens rows exported as CSV or as workbooks, a file in a task."""
+    if path.endswith(".xlsx"):
+        rows = read_workbooks(spark, path)
     else:
         rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     rows = rows.toDF(*[c.strip() for c in rows.columns])
     return rows.filter(F.upper(F.trim("`Doc Type`")).contains("LIS PENDENS") & (F.trim(F.coalesce("Status", F.lit(""))) != ""))
 
 
-def _workbook_rows(batches):
-    import io
-
-    import pandas as pd  # needs openpyxl
-
-    for files in batches:
-        for content in files["content"]:
-            rows = pd.read_excel(io.BytesIO(content), dtype=str).fillna("")
-            yield pd.DataFrame({"cells": rows.to_dict("records")})
-
-
 def read_polygons(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(name, ring, holes, area) of GeoJSON polygons; rings are array<struct<lon,lat>>.
 
