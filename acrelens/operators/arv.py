@@ -19,6 +19,8 @@ class Settings:
     rehab_per_sqft: float = 35.0
     min_pool: int = 1000
     min_price: int = 10_000
+    #: Comparables that a cell of the radius join may hold before it is cut.
+    cell_rows: int = 4096
 
 
 _ID = ["county_fips", "parcel_id"]
@@ -46,7 +48,8 @@ def valuation(parcels: DataFrame, sales: DataFrame, settings: Settings = Setting
     Qualified sales nearby come first, then unqualified ones too, then neighbours' own
     last sale; a parcel that none of them values keeps its just value. Subjects and
     comparables meet once per kind of sale in grid cells, and every subject is one row
-    after one aggregate, so no parcel costs a query of its own.
+    after one aggregate, so no parcel costs a query of its own. Cells where comparables
+    stand close are cut until none holds more than ``cell_rows``.
     """
     eligible = parcels.filter("jv is not null")
     if resume:
@@ -60,14 +63,14 @@ def valuation(parcels: DataFrame, sales: DataFrame, settings: Settings = Setting
     priced = priced.filter("qualification_code in ('Q', 'C', 'U') or (qualification_code is null and instrument_type = 'WD')")
     comps = priced.join(located.select(*_ID, "dor_uc", "eff_yr_blt", "tot_lvg_area", "lat", "lon"), _ID)
     in_pool = subjects.join(viable_counties(sales, settings).filter("viable").select("county_fips"), "county_fips", "left_semi")
-    pairs = within_radius(in_pool, comps, ["county_fips", "dor_uc"], radius, years)
+    pairs = within_radius(in_pool, comps, ["county_fips", "dor_uc"], radius, years, settings.cell_rows)
     strict = F.coalesce(F.col("r.qualification_code") != "U", F.lit(True))
     sold = _summary(pairs, {"strict": strict, "wide": F.lit(True)}, "sale_price")
 
     enough = lambda p: (F.col(f"n_{p}") >= settings.min_comps) & F.col(f"ppsf_{p}").isNotNull()
     settled = sold.filter(enough("strict") | enough("wide")).select(*_ID)
     own = located.filter(f"qual_cd1 = '01' and sale_prc1 >= {settings.min_price} and tot_lvg_area > 0").select(*_ID, "dor_uc", "eff_yr_blt", "tot_lvg_area", "sale_prc1", "lat", "lon")
-    rest = within_radius(subjects.join(settled, _ID, "left_anti"), own, ["county_fips", "dor_uc"], radius, years)
+    rest = within_radius(subjects.join(settled, _ID, "left_anti"), own, ["county_fips", "dor_uc"], radius, years, settings.cell_rows)
     roll = _summary(rest, {"roll": F.lit(True)}, "sale_prc1")
 
     chosen = F.when(enough("strict"), F.struct(F.lit("COMP").alias("source"), F.col("n_strict").alias("n"), F.col("ppsf_strict").alias("ppsf")))

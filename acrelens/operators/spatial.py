@@ -14,6 +14,8 @@ EARTH_M = 6_371_008.8
 MILE_M = 1609.344
 #: Half of the way round: every place is within it.
 FARTHEST_M = math.pi * EARTH_M * 1.001
+#: How often a cell can be halved each way where places stand close.
+SPLITS = 5
 
 
 def distance_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -31,33 +33,98 @@ def _columns(lon: Column, size: float) -> Column:
     return F.pmod(F.floor((lon + 180.0) / size).cast("long"), F.lit(round(360.0 / size)))
 
 
-def within_radius(left: DataFrame, right: DataFrame, keys: list[str], radius_m: float, condition: str = "true") -> DataFrame:
+def _shift(value: Column, by: Column) -> Column:
+    return F.call_function("shiftright", value, by)
+
+
+def split_cells(places: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """keys, y, x, leaves: the grid cells that hold more than so many places, and what each is cut into.
+
+    ``places`` has keys and v, u: its cell in a grid SPLITS times halved. A cell with too many
+    places is cut into its four quarters, these again, and so on; ``leaves`` are the parts that
+    are cut no more, with level, place in the grid of that level, and in how many ``parts``
+    the rows of a smallest cell are dealt that still holds too many (places on one spot).
+    Counted in one pass over the places: sums of every level come from those of the finest
+    cells, and a cell has at most 4 ** SPLITS leaves.
+    """
+    fine = places.groupBy(*keys, "v", "u").agg(F.count(F.lit(1)).alias("n"))
+    levels = F.sequence(F.lit(0), F.lit(SPLITS))
+    nodes = fine.withColumn("level", F.explode(levels)).withColumn("down", F.lit(SPLITS) - F.col("level"))
+    nodes = nodes.groupBy(*keys, "level", _shift(F.col("v"), F.col("down")).alias("ny"), _shift(F.col("u"), F.col("down")).alias("nx")).agg(F.sum("n").alias("n"))
+    full = F.col("n") > rows
+    up = lambda c: _shift(F.col(c), F.col("level"))
+    # A node is met with the nodes of its own cell only; those of cells that hold few places are dropped first.
+    nodes = nodes.withColumn("y", up("ny")).withColumn("x", up("nx"))
+    crowded = nodes.filter(full & (F.col("level") == 0)).select(*keys, "y", "x")
+    nodes = nodes.join(crowded, [*keys, "y", "x"], "left_semi")
+    node = F.struct(F.col("level"), F.col("ny").alias("y"), F.col("nx").alias("x"))
+    trees = nodes.groupBy(*keys, "y", "x").agg(
+        F.collect_set(F.when(full & (F.col("level") < SPLITS), node)).alias("cut"),
+        F.collect_list(F.when(~full | (F.col("level") == SPLITS), F.struct(node.alias("node"), F.ceil(F.col("n") / rows).cast("int").alias("parts")))).alias("ends"),
+    )
+    above = lambda e: F.struct((e["node"]["level"] - 1).alias("level"), _shift(e["node"]["y"], F.lit(1)).alias("y"), _shift(e["node"]["x"], F.lit(1)).alias("x"))
+    leaves = F.transform(F.filter("ends", lambda e: F.array_contains("cut", above(e))), lambda e: F.struct(e["node"]["level"].alias("level"), e["node"]["y"].alias("y"), e["node"]["x"].alias("x"), e["parts"].alias("parts")))
+    return trees.select(*keys, "y", "x", leaves.alias("leaves"))
+
+
+def within_radius(left: DataFrame, right: DataFrame, keys: list[str], radius_m: float, condition: str = "true", cell_rows: int | None = None) -> DataFrame:
     """Pairs (structs l and r) with equal keys and at most the radius apart, for which ``condition`` on l.* and r.* holds.
 
     Both sides have lat and lon. The left side is spread over the cells that its circle
     touches, about nine and more towards the poles, round the date line too; each pair
     meets in exactly one of them and the join is an equi-join that AQE can split.
 
+    With ``cell_rows``, cells that hold more rows of the right side are cut by ``split_cells``
+    until none does; a left row goes to the parts that the box round its circle touches, so in
+    dense places it meets fewer rows out of reach. The pairs are the same. Equal rows of
+    the right side on one spot stay together whatever their number.
+
     Distances are on the ellipsoid. The mean sphere's differ by less than SPHERE_SHARE, so
     it settles all pairs but those near the radius, and only for these the geodesic is worked
     out (places nearly opposite on the earth keep the sphere's distance).
     """
     most = radius_m / (1 - SPHERE_SHARE)
-    reach = min(math.degrees(most / EARTH_M) * 1.000001, 180.0)
+    a, b, on = dealt(left, right, keys, most, cell_rows)
+    ends = F.col("l.lat"), F.col("l.lon"), F.col("r.lat"), F.col("r.lon")
+    near = a.join(b, on).filter(F.expr(condition)).withColumn("apart", distance_m(*ends)).filter(F.col("apart") <= most)
+    unsure = F.col("apart") > radius_m / (1 + SPHERE_SHARE)
+    return near.filter(~unsure | (F.coalesce(geodesic_m(*ends), "apart") <= radius_m)).select("l", "r")
+
+
+def dealt(left: DataFrame, right: DataFrame, keys: list[str], radius_m: float, cell_rows: int | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The two sides of a radius join, structs l and r, and the columns on which rows within the radius on the sphere meet once."""
+    reach = min(math.degrees(radius_m / EARTH_M) * 1.000001, 180.0)
     high, wide = max(reach, 1e-6), 360.0 / max(1, math.floor(360.0 / max(reach, 1e-6)))
+    named = [f"k_{k}" for k in keys]
     at = F.col("l.lat"), F.col("l.lon")
     # How far the circle reaches east and west: to all longitudes where it holds a pole.
     across = F.when(F.abs(at[0]) + reach >= 89.999, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(math.sin(math.radians(min(reach, 90.0)))) / F.cos(F.radians(at[0])), F.lit(1.0)))) * 1.000001)
-    rows = F.sequence(cell(at[0] - reach, high), cell(at[0] + reach, high))
-    columns = F.array_distinct(F.transform(F.sequence(F.floor((at[1] - across + 180.0) / wide).cast("long"), F.floor((at[1] + across + 180.0) / wide).cast("long")), lambda x: F.pmod(x, F.lit(round(360.0 / wide)))))
-    a = left.filter("lat is not null and lon is not null").select(*[F.col(k).alias(f"k_{k}") for k in keys], F.struct("*").alias("l"))
-    a = a.withColumn("y", F.explode(rows)).withColumn("x", F.explode(columns))
-    b = right.filter("lat is not null and lon is not null").select(*[F.col(k).alias(f"k_{k}") for k in keys], F.struct("*").alias("r"), cell(F.col("lat"), high).alias("y"), _columns(F.col("lon"), wide).alias("x"))
-    pairs = a.join(b, [*[f"k_{k}" for k in keys], "y", "x"])
-    ends = F.col("l.lat"), F.col("l.lon"), F.col("r.lat"), F.col("r.lon")
-    near = pairs.filter(F.expr(condition)).withColumn("apart", distance_m(*ends)).filter(F.col("apart") <= most)
-    unsure = F.col("apart") > radius_m / (1 + SPHERE_SHARE)
-    return near.filter(~unsure | (F.coalesce(geodesic_m(*ends), "apart") <= radius_m)).select("l", "r")
+    span = lambda parts: (cell(at[0] - reach, high / parts), cell(at[0] + reach, high / parts), cell(at[1] - across + 180.0, wide / parts), cell(at[1] + across + 180.0, wide / parts))
+    south, north, west, east = span(1)
+    columns = F.array_distinct(F.transform(F.sequence(west, east), lambda x: F.pmod(x, F.lit(round(360.0 / wide)))))
+    a = left.filter("lat is not null and lon is not null").select(*[F.col(k).alias(n) for k, n in zip(keys, named)], F.struct("*").alias("l"))
+    b = right.filter("lat is not null and lon is not null").select(*[F.col(k).alias(n) for k, n in zip(keys, named)], F.struct("*").alias("r"), cell(F.col("lat"), high).alias("y"), _columns(F.col("lon"), wide).alias("x"))
+    a = a.withColumn("y", F.explode(F.sequence(south, north))).withColumn("x", F.explode(columns))
+    if cell_rows is None:
+        return a, b, [*named, "y", "x"]
+
+    finest = 2**SPLITS
+    b = b.withColumn("v", cell(F.col("r.lat"), high / finest)).withColumn("u", _columns(F.col("r.lon"), wide / finest))
+    trees = split_cells(b.select(*named, "v", "u"), named, cell_rows)
+    down = lambda leaf: F.lit(SPLITS) - leaf["level"]
+    south, north, west, east = span(finest)
+    here = lambda leaf: (_shift(F.col("v"), down(leaf)) == leaf["y"]) & (_shift(F.col("u"), down(leaf)) == leaf["x"])
+
+    def touched(leaf: Column) -> Column:
+        first, last, around = _shift(west, down(leaf)), _shift(east, down(leaf)), F.call_function("shiftleft", F.lit(round(360.0 / wide)).cast("long"), leaf["level"])
+        return leaf["y"].between(_shift(south, down(leaf)), _shift(north, down(leaf))) & (F.pmod(leaf["x"] - first, around) <= last - first)
+
+    whole = F.array(F.struct(F.lit(0).alias("level"), F.col("y"), F.col("x"), F.lit(1).alias("parts")))
+    met = lambda rows, test: rows.join(trees, [*named, "y", "x"], "left").withColumn("leaf", F.explode(F.coalesce(F.filter("leaves", test), whole))).drop("leaves", "y", "x", "v", "u")
+    a = met(a, touched).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("leaf.parts") - 1)))
+    b = met(b, here).withColumn("part", F.pmod(F.xxhash64("r"), F.col("leaf.parts")).cast("int"))
+    split = lambda rows, side: rows.select(*named, side, "leaf.level", "leaf.y", "leaf.x", "part")
+    return split(a, "l"), split(b, "r"), [*named, "level", "y", "x", "part"]
 
 
 def inside(lat: Column, lon: Column, ring: Column) -> Column:

@@ -333,6 +333,18 @@ def radius_neighbours(parcels):
     return pairs.groupBy(F.col("l.county_fips").alias("county_fips"), F.col("l.parcel_id").alias("parcel_id")).agg(F.count(F.lit(1)).alias("neighbours"))
 
 
+# Two thirds of the parcels drawn together round one spot, a fifteenth exactly on it.
+_DRAWN = "CASE WHEN CAST(parcel_id AS BIGINT) % 15 = 1 THEN {at} WHEN CAST(parcel_id AS BIGINT) % 3 < 2 THEN {at} + ({c} - ({at})) / 20e0 ELSE {c} END"
+_LAT, _LON = _DRAWN.format(c="lat", at="305e-1"), _DRAWN.format(c="lon", at="-871e-1")
+
+
+@query(f"WITH drawn AS (SELECT county_fips, parcel_id, {_LAT} AS lat, {_LON} AS lon FROM parcels WHERE lat IS NOT NULL) SELECT a.county_fips, a.parcel_id, count(*) AS neighbours FROM drawn a JOIN drawn b ON a.county_fips = b.county_fips AND a.parcel_id <> b.parcel_id AND {_MILES} <= 750e0 GROUP BY ALL")
+def crowded_neighbours(parcels):
+    drawn = parcels.filter("lat is not null").select(*_ID, F.expr(_LAT).alias("lat"), F.expr(_LON).alias("lon"))
+    pairs = spatial.within_radius(drawn, drawn, ["county_fips"], 750.0, "l.parcel_id <> r.parcel_id", cell_rows=32)
+    return pairs.groupBy(F.col("l.county_fips").alias("county_fips"), F.col("l.parcel_id").alias("parcel_id")).agg(F.count(F.lit(1)).alias("neighbours"))
+
+
 def _diamonds(places):
     """Squares on a corner, with a smaller one cut out."""
     def ring(half):

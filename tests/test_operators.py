@@ -49,6 +49,30 @@ def apart(a, b):
     return small * k1 * (s - k2 * ss * (cm + k2 / 4 * (cs * (2 * cm * cm - 1) - k2 / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3))))
 
 
+def test_cut_cells_give_the_same_pairs(spark):
+    rng = random.Random(5)
+    near = lambda at: rng.gauss(at, 0.002)
+    spots = [(near(30.4), near(-87)) for _ in range(400)] + [(30.5, -87.1)] * 60 + [(30 + rng.random(), -87.5 + rng.random()) for _ in range(100)]
+    spots += [(near(-10), near(-180) % 360 - 360 * (rng.random() < 0.5)) for _ in range(150)]
+    rows = [(i, i % 2, lat, (lon + 180) % 360 - 180) for i, (lat, lon) in enumerate(spots)] + [(9_999, 0, None, -87.0), (9_998, None, 30.4, -87.0)]
+    df = spark.createDataFrame(rows, "id int, k int, lat double, lon double")
+    pairs = lambda n: sorted((r["l"]["id"], r["r"]["id"]) for r in spatial.within_radius(df, df, ["k"], 1500.0, "l.id <> r.id", n).select("l", "r").collect())
+    assert pairs(16) == pairs(None) != []
+
+    def crowd(n):
+        _, held, on = spatial.dealt(df, df, ["k"], 1500.0, n)
+        return held.groupBy(*on).count().agg(F.max("count")).first()[0], held.count()
+
+    assert crowd(16)[1] == crowd(None)[1] == len(rows) - 1
+    # A smallest cell of places on one spot is dealt by hash, so its parts are nearly even.
+    assert crowd(16)[0] <= 32 < 128 < crowd(None)[0]
+
+
+def test_cut_cells_of_no_rows(spark):
+    none = spark.createDataFrame([], "id int, k int, lat double, lon double")
+    assert spatial.within_radius(none, none, ["k"], 1500.0, cell_rows=4).count() == 0
+
+
 def test_radius_join_is_brute_force(spark):
     rng = random.Random(1)
     rows = [(i, i % 2, 30 + rng.random() * 0.3, -87 + rng.random() * 0.3) for i in range(400)]
