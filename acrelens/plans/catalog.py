@@ -745,6 +745,15 @@ def report_price_per_sqft(parcels, sales):
     return reports.price_per_sqft(parcels, sales)
 
 
+_HOT_COUNTY = "CASE WHEN id % 10 < 9 THEN '12033' WHEN id % 20 = 9 THEN '12113' END"
+
+
+@query(f"""SELECT {_HOT_COUNTY} AS "group", count(sale_price) AS n, round(quantile_cont(sale_price, 0.25e0), 4) AS lower, round(quantile_cont(sale_price, 0.5e0), 4) AS median, round(quantile_cont(sale_price, 0.75e0), 4) AS upper FROM sales GROUP BY 1""")
+def report_price_quartiles(sales):
+    """Nine tenths of the sales in one county; no more than 256 of them in a row."""
+    return reports.price_quartiles(sales, F.expr(_HOT_COUNTY), 256)
+
+
 @query(
     f"""SELECT p.county_fips, count(*) AS n_rows, count(*) FILTER (tot_lvg_area < 100) AS tiny_area, count(*) FILTER (act_yr_blt > 2026) AS future_year, count(*) FILTER (act_yr_blt < 1800) AS ancient_year,
  count(*) FILTER (sale_price > 0 AND sale_price < 500 AND (instrument_type = 'WD' OR sale_type = 'WD')) AS token_deed FROM (SELECT * FROM {_HOMES}) p LEFT JOIN sales s USING (county_fips, parcel_id) GROUP BY 1"""
