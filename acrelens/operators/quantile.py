@@ -35,7 +35,7 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: Column, shares: tup
     asked for go into the next pass, each about a thirty-second of the values before, however
     they are spread and however often one repeats: an edge is a part of its own. Once
     ``few`` are left they are sorted in one row. Counts are exact, so the result is, and the
-    edges need not be. Ten thousand million values of one group take six passes over
+    edges need not be. Ten thousand million values of one group take seven passes over
     the table of keys and values, however many shares are asked for.
 
     Null keys make a group of their own; a group without values has n 0 and a null

@@ -76,8 +76,9 @@ def within_radius(left: DataFrame, right: DataFrame, keys: list[str], radius_m:
 
     With ``cell_rows``, cells that hold more rows of the right side are cut by ``split_cells``
     until none does; a left row goes to the parts that the box round its circle touches, so in
-    dense places it meets fewer rows out of reach. The pairs are the same. Equal rows of
-    the right side on one spot stay together whatever their number.
+    dense places it meets fewer rows out of reach. The pairs are the same. What a smallest
+    cell holds beyond that is dealt to parts by hash: these hold about so many rows each, and
+    equal rows of the right side stay together whatever their number.
 
     Distances are on the ellipsoid. The mean sphere's differ by less than SPHERE_SHARE, so
     it settles all pairs but those near the radius, and only for these the geodesic is worked
