@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from acrelens.sources import county_pages as C
 
@@ -59,3 +60,26 @@ def test_functions_of_sql_and_clashing_columns(spark):
     assert [tuple(r) for r in got] == [(1, 9, 0, "05/2020"), (1, 9, 1, "1/2/2003")]
     typed = C.typed_sales(C.rows_of(pages, "escambia_sales")).orderBy("at").collect()
     assert [(r["n"], r["sale_date"], r["sale_price"], r["multi_parcel"]) for r in typed] == [(9, dt.date(2020, 5, 1), 1000, "Y"), (9, dt.date(2003, 1, 2), None, "N")]
+
+
+@pytest.mark.parametrize("name", list(C.READERS))
+def test_rows_of_are_the_table_functions_rows(spark, name):
+    C.register(spark)
+    clerk = "<table bgcolor='#0054A6'><tr><th>Clerk file #<tr><td>7<tr><td>8</table>"
+    htmls = [SALES, None, "", clerk, "<tr><td class=font-bold>qual<td>A", '<div id="salesContainer"><tr role=row><td data-cell="Sale Date">1/2/2003</div>', "<div id=ctl00_MasterPlaceHolder_MapBodyStats>R-1</div>"]
+    pages = spark.createDataFrame([(i, h, [i]) for i, h in enumerate(htmls * 200)], "page_id int, html string, held array<int>")
+    pages.createOrReplaceTempView("kinds_of_pages")
+    wanted = spark.sql(f"SELECT page_id, held, s.* FROM kinds_of_pages, LATERAL {name}(html) s")
+    found = C.rows_of(pages, name)
+    assert found.schema.simpleString() == wanted.schema.simpleString()
+    assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect())) != []
+
+
+def test_pages_of_a_small_file_are_dealt_to_tasks(spark, tmp_path):
+    """A file of few bytes is one split, whatever its rows cost."""
+    from acrelens.plans.fixtures import table
+
+    spark.range(4000).selectExpr("id AS p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    landed = table(spark, str(tmp_path), "landed").select("page_id", F.col("clerk_page").alias("html"))
+    tasks = landed.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) >= 4 * spark.sparkContext.defaultParallelism and max(t["count"] for t in tasks) < 4000 / 8
