@@ -68,6 +68,19 @@ def test_cut_cells_give_the_same_pairs(spark):
     assert crowd(16)[0] <= 32 < 128 < crowd(None)[0]
 
 
+def test_neighbours_are_counted_without_pairs_of_one_place(spark):
+    """Counts are those of the pairs, names on several spots and repeated rows too; 30,000 rows on one spot meet as one."""
+    rng = random.Random(7)
+    rows = [(rng.choice("ab"), f"p{rng.randrange(120)}", 30.4 + rng.randrange(8) * 0.004, -87 + rng.randrange(8) * 0.004) for _ in range(300)] + [("a", None, 30.4, -87.0), (None, "p1", 30.4, -87.0), ("a", "p1", None, -87.0), ("b", "far", 40.0, -87.0), ("b", "zero", 0.0, 0.0), ("b", "minus", -0.0, -0.0)]
+    df = spark.createDataFrame(rows, "k string, id string, lat double, lon double")
+    pairs = spatial.within_radius(df, df, ["k"], 700.0, "l.id <> r.id")
+    wanted = {(r["k"], r["id"]): r["n"] for r in pairs.groupBy("l.k", "l.id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for cut in (None, 4):
+        assert {(r["k"], r["id"]): r["neighbours"] for r in spatial.neighbour_counts(df, ["k"], "id", 700.0, cut).collect()} == wanted
+    crowd = spark.range(30_000).selectExpr("'a' AS k", "id", "30.4D AS lat", "-87.0D AS lon")
+    assert [tuple(r) for r in spatial.neighbour_counts(crowd, ["k"], "id", 700.0).groupBy("neighbours").count().collect()] == [(29_999, 30_000)]
+
+
 def test_cut_cells_of_no_rows(spark):
     none = spark.createDataFrame([], "id int, k int, lat double, lon double")
     assert spatial.within_radius(none, none, ["k"], 1500.0, cell_rows=4).count() == 0
