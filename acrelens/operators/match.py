@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from acrelens.functions.text import UNIT_AT_END, parcel_key, street_address
+from acrelens.scratch import materialize
 
 _PREFIX = r"^(\d+\s+\S+(?:\s+\S+)?)"
 
@@ -80,10 +81,14 @@ def _shared(n: Column, least: float) -> Column:
     return F.ceil((3.0 * least / 200.0 - 1.0) * (n + shortest) - 1.0 - 1e-9).cast("int")
 
 
+def _texts(rows: DataFrame, name: str) -> DataFrame:
+    """county_fips, ``name`` and text with its words sorted; no nulls."""
+    return rows.select("county_fips", name, sorted_words(F.col("text")).alias("text")).filter("county_fips is not null and text is not null")
+
+
 def _lettered(rows: DataFrame, name: str, least: float) -> DataFrame:
     """county_fips, id, text and its letter pairs; a pair's second time is another pair. ``rare`` of them are enough to be found by."""
-    text = sorted_words(F.col("text"))
-    rows = rows.select("county_fips", F.col(name).alias("id"), text.alias("text"), F.length(text).alias("n")).filter("county_fips is not null and text is not null")
+    rows = rows.select("county_fips", F.col(name).alias("id"), "text", F.length("text").alias("n"))
     pairs = F.when(F.col("n") > 1, F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.substring("text", i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumn("pairs", pairs)
     counted = F.transform("pairs", lambda g, i: F.concat(g, F.size(F.filter(F.slice("pairs", F.lit(1), i), lambda x: x == g)).cast("string")))
@@ -100,13 +105,17 @@ def _rarest(rows: DataFrame, seen: DataFrame) -> DataFrame:
 def by_likeness(queries: DataFrame, choices: DataFrame, least: float) -> DataFrame:
     """query_id, choice_id, score: the likeliest choice of each query's county at the score or more, ties to the greater id.
 
-    Both sides have county_fips and text; an id stands once. Likeness is that of the texts
+    Both sides have county_fips and text; an id stands once. Equal texts of a county are one text:
+    of choices the greatest id stands for them, and of queries all have what one finds. Likeness is that of the texts
     with their words sorted. No pair at the score is lost: texts that are so alike share
     a number of letter pairs (``_shared``), so each has one of its rarest pairs in common with
     the other, and only texts that meet on those are compared. Where more than half of a
     query's pairs would be needed, it is compared with every choice of its county, in blocks.
     """
-    asked, offered = _lettered(queries, "query_id", least), _lettered(choices, "choice_id", least)
+    asked_by = _texts(queries, "query_id")
+    asked = _lettered(asked_by.groupBy("county_fips", "text").agg(F.min("query_id").alias("query_id")), "query_id", least)
+    offered = _lettered(_texts(choices, "choice_id").groupBy("county_fips", "text").agg(F.max("choice_id").alias("choice_id")), "choice_id", least)
+    asked, offered = materialize(asked, "asked"), materialize(offered, "offered")
     few = (F.col("shared") >= 1) & (F.col("rare") * 2 <= F.col("n") - 1)
     seen = offered.select("county_fips", F.explode("pairs").alias("pair")).groupBy("county_fips", "pair").agg(F.count(F.lit(1)).alias("seen"))
     a = _rarest(asked.filter(few), seen).select("county_fips", "pair", F.col("id").alias("query_id"), F.col("n").alias("a"))
@@ -116,7 +125,8 @@ def by_likeness(queries: DataFrame, choices: DataFrame, least: float) -> DataFra
     scored = texts.select("query_id", "choice_id", _likeness("x", "y").alias("score")).filter(F.col("score") >= least)
     scored = scored.unionByName(_in_blocks(asked.filter(~few), offered, least))
     best = scored.groupBy("query_id").agg(F.max(F.struct("score", F.col("choice_id"))).alias("b"))
-    return best.select("query_id", "b.choice_id", "b.score")
+    first = asked.select("county_fips", "text", F.col("id").alias("query_id")).join(best, "query_id").select("county_fips", "text", "b.choice_id", "b.score")
+    return asked_by.join(first, ["county_fips", "text"]).select("query_id", "choice_id", "score")
 
 
 #: Texts of one side that meet in a block.
@@ -187,7 +197,9 @@ def by_legal(records: DataFrame, parcels: DataFrame, least: float = 72.0) -> Dat
 
 def by_court_record(records: DataFrame, parcels: DataFrame) -> DataFrame:
     """record_id, parcel_id, method of every record (record_id, county_fips, legal): by lot (fuzzy_legal), else by section, else no_match."""
-    lots = by_legal(records, parcels)
+    # Each is read several times: fields of a legal description cost a pattern each, lots all comparisons.
+    records = materialize(records.select("record_id", "county_fips", "legal"), "records")
+    lots = materialize(by_legal(records, parcels), "lots")
     left = records.join(lots, "record_id", "left_anti")
     sections = by_section(left.select("record_id", "county_fips", "legal.sec", "legal.twp", "legal.rge"), parcels)
     found = lots.select("record_id", "parcel_id", F.lit("fuzzy_legal").alias("method")).unionByName(sections)

@@ -187,6 +187,16 @@ def test_likeness_loses_no_pair(spark):
         assert len(best) > 20
 
 
+def test_equal_texts_are_compared_once(spark):
+    """100,000 queries of 40 texts and 60,000 choices of 30: pairs of rows would be hundreds of millions."""
+    q = spark.range(100_000).selectExpr("id AS query_id", "'1' AS county_fips", "concat(id % 40, ' PALAFOX ', if(id % 2 = 0, 'STR', 'ST')) AS text")
+    c = spark.range(60_000).selectExpr("lpad(cast(id AS string), 6, '0') AS choice_id", "'1' AS county_fips", "concat('PALAFOX ST ', id % 30) AS text")
+    found = match.by_likeness(q, c, 72.0)
+    told = found.groupBy((F.col("query_id") % 40).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("choice_id").alias("a"), F.max("choice_id").alias("b")).collect()
+    assert len(told) == 40 and all(r["n"] == 2500 and r["a"] == r["b"] >= "059970" for r in told)
+    assert {r["k"]: r["a"] for r in told if r["k"] < 30} == {k: f"{59_970 + k:06}" for k in range(30)}
+
+
 def difflib_free_ratio(x, y):
     row = [0] * (len(y) + 1)
     for p in x:
