@@ -117,3 +117,11 @@ def test_polygons_of_several_parts_and_with_holes(spark, tmp_path):
         rows = files.read_polygons(spark, str(tmp_path / f"{name}.geojson"), lines)
         assert sorted((r["name"], round(r["area"], 6)) for r in rows.collect()) == [("isles", 7.0), ("isles", 7.0), ("ring", 12.0)]
         assert {r["id"]: r["name"] for r in spatial.largest_containing(points, rows, ["id"]).collect()} == {2: "ring", 3: "isles", 5: "isles"}
+
+
+def test_zip_codes_of_auctions_are_no_other_numbers(spark):
+    item = lambda address, rest: f'<div class="AUCTION_ITEM"><div class="ad_addr">{address}</div>{rest}</div>'
+    case = '<span class="caseNo">2024 CA 32505</span> Opening Bid: $32,506 or $32507,000'
+    htmls = [item("32510 OAK ST", " Pensacola FL 32501 " + case), item("32510 OAK ST", " Pensacola FL 32545 " + case), item("32510 OAK ST", case), item("32510 OAK ST", " Pace 32502 " + case), item("9 OAK ST, Pace, FL 32503", case), item("32510 OAK ST 32504", case)]
+    landed = spark.createDataFrame([(i, h) for i, h in enumerate(htmls)], "page_id int, html string")
+    assert [r["zip"] for r in pages.auction_items_of(landed).orderBy("page_id").collect()] == ["32501", None, None, "32502", "32503", "32504"]
