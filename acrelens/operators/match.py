@@ -28,6 +28,7 @@ def by_address(listings: DataFrame, parcels: DataFrame) -> DataFrame:
     forms = once(listings, zip_.alias("zip"), street_address(F.col("address")).alias("street"), street_address(F.col("address"), strip_unit=False).alias("kept"))
     base, unit = F.trim(F.regexp_extract("kept", UNIT_AT_END, 1)), F.regexp_extract("kept", UNIT_AT_END, 2)
     asked = once(forms, F.col("zip"), F.col("street"), F.when(unit != "", F.concat_ws(" ", base, unit)).alias("with_unit"), F.when(unit != "", base).alias("base"))
+    asked = materialize(asked, "asked")  # many patterns a row, and read several times
     roll = parcels.filter("phy_addr1 is not null").select("county_fips", "parcel_id", F.upper(F.trim("phy_addr1")).alias("key"), F.col("phy_zipcd").alias("zip"))
     by_zip = roll.groupBy("county_fips", "key", "zip").agg(F.min("parcel_id").alias("parcel_id"))
     by_key = by_zip.groupBy("county_fips", "key").agg(F.min("parcel_id").alias("parcel_id"))
@@ -37,12 +38,17 @@ def by_address(listings: DataFrame, parcels: DataFrame) -> DataFrame:
     exact = hits.groupBy("listing_id").agg(F.min(F.struct("level", "parcel_id")).alias("hit")).select("listing_id", "hit.*")
 
     prefix = F.trim(F.regexp_extract(F.coalesce("base", "street"), _PREFIX, 1))
-    left = asked.join(exact, "listing_id", "left_anti").select("listing_id", "county_fips", F.col("zip").alias("asked_zip"), prefix.alias("prefix")).filter("prefix <> ''")
-    left = left.withColumn("house", F.split("prefix", " ")[0])
-    starts = roll.withColumn("house", F.regexp_extract("key", r"^(\d+)\s", 1))
-    met = left.join(starts, ["county_fips", "house"]).filter("startswith(key, prefix) and (asked_zip is null or asked_zip = zip)")
-    counted = met.groupBy("listing_id").agg(F.countDistinct("parcel_id").alias("n"), F.min("parcel_id").alias("one"), F.sort_array(F.collect_set("parcel_id")).alias("all"))  # of one address prefix
-    told = counted.select("listing_id", F.when(F.col("n") == 1, 5).alias("level"), F.when(F.col("n") == 1, F.col("one")).alias("parcel_id"), F.when(F.col("n") > 1, F.array_join("all", ",")).alias("review"))
+    # What is asked, not who asks, meets the roll: first its addresses, then the parcels of those that begin so.
+    ask = ["county_fips", "prefix", "asked_zip"]
+    left = asked.join(exact, "listing_id", "left_anti").select("listing_id", "county_fips", F.coalesce("zip", F.lit("")).alias("asked_zip"), prefix.alias("prefix")).filter("prefix <> ''")
+    asks = left.select(*ask).distinct().withColumn("house", F.split("prefix", " ")[0])
+    starts = by_key.select("county_fips", "key", F.regexp_extract("key", r"^(\d+)\s", 1).alias("house"))
+    begun = asks.join(starts, ["county_fips", "house"]).filter("startswith(key, prefix)").select(*ask, "key")
+    met = begun.join(roll, ["county_fips", "key"]).filter("asked_zip = '' or asked_zip = zip")
+    counted = met.groupBy(*ask).agg(F.countDistinct("parcel_id").alias("n"), F.min("parcel_id").alias("one"), F.sort_array(F.collect_set("parcel_id")).alias("all"))  # of one address prefix
+    told = counted.select(*ask, F.when(F.col("n") == 1, 5).alias("level"), F.when(F.col("n") == 1, F.col("one")).alias("parcel_id"), F.when(F.col("n") > 1, F.array_join("all", ",")).alias("review"))
+    # The lists of parcels may be long, so they are not broadcast.
+    told = left.join(told.hint("merge"), ask).select("listing_id", "level", "parcel_id", "review")
     found = exact.withColumn("review", F.lit(None).cast("string")).unionByName(told, allowMissingColumns=True)
     return listings.select("listing_id").join(found, "listing_id", "left").select("listing_id", "parcel_id", "level", "review")
 

@@ -134,6 +134,15 @@ def test_address_levels(spark):
     assert found == {1: ("p1", 1, None), 2: ("p1", 2, None), 3: (None, None, "p3,p4"), 4: ("p5", 5, None), 5: (None, None, None), 6: (None, None, None)}
 
 
+def test_an_address_that_many_ask_for_meets_the_roll_once(spark):
+    """40,000 listings of one address and 4,000 parcels that begin so: pairs would be 160 million."""
+    listings = spark.range(40_000).selectExpr("id AS listing_id", "'1' AS county_fips", "'9 Elm Street' AS address", "if(id % 2 = 0, null, if(id % 4 = 1, '32501', '1')) AS zip")
+    parcels = spark.range(4_000).selectExpr("'1' AS county_fips", "cast(id % 2000 AS string) AS parcel_id", "concat('9 ELM ST ', id) AS phy_addr1", "if(id = 7, '32501', null) AS phy_zipcd")
+    found = match.by_address(listings, parcels).groupBy("level", "parcel_id", F.length("review").alias("length")).count().collect()
+    length = sum(len(str(i)) for i in range(2000)) + 1999
+    assert sorted(map(tuple, found), key=str) == sorted([(None, None, length, 20_000), (5, "7", None, 10_000), (None, None, None, 10_000)], key=str)
+
+
 def test_likeness(spark):
     q = spark.createDataFrame([(1, "1", "OAK ST 12"), (2, "1", "zzz")], "query_id int, county_fips string, text string")
     c = spark.createDataFrame([("a", "1", "12 OAK STR"), ("b", "1", "12 ELM ST"), ("c", "2", "12 OAK ST")], "choice_id string, county_fips string, text string")
