@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import datetime as dt
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -242,15 +242,20 @@ def centroid(parts: Column) -> Column:
 
         sides = F.transform(F.sequence(F.lit(1), n), side)
         total = F.aggregate(sides, _triple(0.0, 0.0, 0.0), lambda a, s: _triple(a["w"] + s["w"], a["x"] + s["x"], a["y"] + s["y"]))
-        way = F.when(total["w"] < 0, -sign).otherwise(sign)
-        return _triple(total["w"] * way, total["x"] * way, total["y"] * way)
+        way = lambda t: F.when(t["w"] < 0, -sign).otherwise(sign)
+        return _once(total, lambda t: _triple(t["w"] * way(t), t["x"] * way(t), t["y"] * way(t)))
 
     rings = F.flatten(F.transform(parts, lambda p: F.concat(F.array(sums(p["ring"], 1.0)), F.transform(p["holes"], lambda h: sums(h, -1.0)))))
     whole = F.aggregate(rings, _triple(0.0, 0.0, 0.0), lambda a, s: _triple(a["w"] + s["w"], a["x"] + s["x"], a["y"] + s["y"]))
-    place = F.struct((origin["x"] + F.try_divide(whole["x"], 3 * whole["w"])).alias("x"), (origin["y"] + F.try_divide(whole["y"], 3 * whole["w"])).alias("y"))
+    place = _once(whole, lambda t: F.struct((origin["x"] + F.try_divide(t["x"], 3 * t["w"])).alias("x"), (origin["y"] + F.try_divide(t["y"], 3 * t["w"])).alias("y")))
     return F.when(F.size(parts) > 0, place)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _triple(w, x, y) -> Column:
     lit = lambda v: F.lit(v) if isinstance(v, float) else v
     return F.struct(lit(w).alias("w"), lit(x).alias("x"), lit(y).alias("y"))
@@ -258,7 +263,8 @@ def _triple(w, x, y) -> Column:
 
 def parcel_places(shapes: DataFrame, plane: Projection) -> DataFrame:
     """``shapes`` with lon and lat of the centroid, which is taken in the plane before; rows without geometry are left out."""
-    at = shapes.filter("parts is not null").withColumn("_at", centroid(F.col("parts")))
+    # Exploding one row keeps the formulas of the plane from repeating the centroid.
+    at = shapes.filter("parts is not null").withColumn("_at", F.explode(F.array(centroid(F.col("parts")))))
     lon, lat = to_degrees(plane, F.col("_at.x"), F.col("_at.y"))
     return at.withColumns({"lon": lon, "lat": lat}).drop("_at")
 

@@ -101,3 +101,19 @@ def test_points_are_refused_and_no_rows_write_nothing(spark, tmp_path):
         S.polygons(struct.pack(">ii", 1, 10) + struct.pack("<i2d", 1, 0.0, 0.0), [0])
     empty = spark.createDataFrame([], f"id long, parts {S.PARTS}")
     assert S.write_shapefile(empty, str(tmp_path / "none")) == []
+
+
+def test_a_centroid_is_worked_out_once(spark):
+    """The plan of places holds the sums of rings once for outer rings and once for holes, and not again for each use of them."""
+    import io
+    from contextlib import redirect_stdout
+
+    from acrelens.functions.projection import ZONES
+    from acrelens.sources import shapefile as S
+
+    shapes = spark.createDataFrame([(1, None)], f"id int, parts {S.PARTS}")
+    out = io.StringIO()
+    with redirect_stdout(out):
+        S.parcel_places(shapes, ZONES[2883]).explain(mode="extended")
+    physical = out.getvalue().split("== Physical Plan ==")[1]
+    assert physical.count("aggregate(") <= 6
