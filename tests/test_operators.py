@@ -283,6 +283,16 @@ def test_slabs_tell_what_whole_rings_tell(spark):
     assert met(0.01) < met(0.1) / 4
 
 
+def test_points_of_one_spot_meet_the_sides_once(spark):
+    """Rows that repeat a point are told like any other, and 200,000 points on one spot are one for 20,000 sides in a band."""
+    flat = [(-87 + i / 20_000, 30.0 + (i % 2) * 1e-4) for i in range(20_000)] + [(-86.0, 30.5), (-87.0, 30.5)]
+    polygons = spark.createDataFrame([("w", flat)], "name string, ring array<struct<lon:double,lat:double>>")
+    twice = spark.createDataFrame([(1, 30.2, -86.5), (1, 30.2, -86.5), (2, 31.0, -86.5)], "id int, lat double, lon double")
+    assert [r["id"] for r in spatial.containing_by_slabs(twice, polygons, ["id"]).collect()] == [1, 1]
+    crowd = spark.range(200_000).selectExpr("id", "30.00005D AS lat", "-86.50003D AS lon")
+    assert spatial.containing_by_slabs(crowd, polygons, ["id"]).count() in (0, 200_000)
+
+
 def test_deep_pages_are_those_of_the_whole_order(spark):
     rng = random.Random(13)
     rows = [("1", str(i), None if rng.random() < 0.1 else rng.randrange(5) / 4, rng.choice([None, 1, 2])) for i in range(203)]
