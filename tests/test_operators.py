@@ -27,6 +27,23 @@ def test_valuation_passes_and_floors(spark):
     assert "none" not in found
 
 
+def test_comparables_ranked_by_spot_give_what_pairs_give(spark, monkeypatch):
+    """Counts and medians without a parcel's own sales, null prices and a repeated key too; pairs are made for that key only."""
+    rng = random.Random(9)
+    lots = [("1", f"p{i}", "001", rng.choice([1990, 1998, 2009]), 30.4 + rng.randrange(3) * 0.01, -87.0) for i in range(60)]
+    lots += [("1", "p3", "001", 2009, 30.4, -87.0), ("1", None, "001", 1990, 30.4, -87.0), ("1", "q", "001", 1990, None, -87.0)]
+    where = "county_fips string, parcel_id string, dor_uc string, eff_yr_blt int, lat double, lon double"
+    sold = [(*rng.choice(lots), rng.choice([None, 0, 900, 1000]), rng.choice([50_000, 60_000, 75_000]), rng.choice(["Q", "U"])) for _ in range(250)]
+    subjects, comps = spark.createDataFrame(lots, where), spark.createDataFrame(sold, where + ", tot_lvg_area long, price long, code string")
+    tests, settings = {"strict": F.col("r.code") != "U", "wide": F.lit(True)}, arv.Settings()
+    pairs = spatial.within_radius(subjects, comps, ["county_fips", "dor_uc"], 1.5 * spatial.MILE_M, "abs(l.eff_yr_blt - r.eff_yr_blt) <= 10 and l.parcel_id <> r.parcel_id")
+    told = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    wanted, asked, summary = told(arv._summary(pairs, tests, "price")), [], arv._summary
+    monkeypatch.setattr(arv, "_summary", lambda p, *a: asked.append({r["parcel_id"] for r in p.select("l.parcel_id").distinct().collect()}) or summary(p, *a))
+    assert told(arv._near_by(subjects, comps, tests, "price", settings)) == wanted and len(wanted) == 60
+    assert asked == [{"p3"}]
+
+
 def apart(a, b):
     """The inverse geodesic on the ellipsoid, step after step until it stands still."""
     big, f = 6_378_137.0, 1 / 298.257223563
