@@ -26,6 +26,7 @@ pieces.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,9 +60,8 @@ def encoded(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
             raise ValueError("ids above 65535 don't fit this table")
         for batch in small_batches(batches):
             rows, starts, totals, keys, ids = [], [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                all_ids = np.frombuffer(own.encode(text.as_buffer().to_pybytes() if text.is_valid else b""), dtype="<u4").astype("<u2")
-                n = len(all_ids)
+            for i, wide in enumerate(chain.from_iterable(own.encode_all(batch.column(1)))):
+                all_ids, n = wide.astype("<u2"), len(wide)
                 for start in range(0, n, window):
                     rows.append(i)
                     starts.append(start)
@@ -78,10 +78,13 @@ def encoded(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
 
 def _key(ids: np.ndarray) -> int:
     """The KEY_TOKENS highest ids as one number that sorts by the highest first."""
-    out, top = 0, np.unique(ids)[: -KEY_TOKENS - 1 : -1].tolist()
-    for token in top:
-        out = out << 16 | token
-    return out << 16 * (KEY_TOKENS - len(top))
+    out = 0
+    for left in range(KEY_TOKENS, 0, -1):
+        if not len(ids):
+            return out << 16 * left
+        top = ids.max()
+        out, ids = out << 16 | int(top), ids[ids < top]
+    return out
 
 
 def token_statistics(pieces: DataFrame) -> tuple[np.ndarray, int, float]:
@@ -92,7 +95,7 @@ def token_statistics(pieces: DataFrame) -> tuple[np.ndarray, int, float]:
         last = np.zeros(1 << 16, dtype=np.int64)  # where a token stands last in the piece at hand
         for batch in batches:
             for piece in batch.column(0):
-                ids = np.frombuffer(piece.as_buffer(), dtype="<u2")
+                ids = np.frombuffer(piece.as_buffer(), dtype="<u2").astype(np.int64)  # as numpy takes places
                 places = np.arange(len(ids))
                 last[ids] = places
                 counts[ids[last[ids] == places]] += 1
@@ -131,11 +134,9 @@ class ShardIndex:
         found, weight = self.token_of[own], self.weight_of[own]
         if len(found) > QUERY_TOKENS:
             found = found[np.argsort(-weight, kind="stable")[:QUERY_TOKENS]]
-        out = np.zeros(self.n)
-        for t in found:
-            a, b = self.start[int(t)], self.start[int(t) + 1]
-            out[self.owner[a:b]] += self.weight[a:b]
-        return out
+        found = found.astype(np.int64)
+        spans = list(map(slice, self.start[found].tolist(), self.start[found + 1].tolist()))
+        return np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
 
 
 def pack_shard(units: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int) -> list[tuple[int, int, int, int, int]]:
@@ -148,23 +149,21 @@ def pack_shard(units: list[np.ndarray], idf: np.ndarray, mean_length: float, win
     for seed in range(len(units)):
         if not free[seed]:
             continue
-        filled, queue = 0, iter([seed])
-        asked = False
-        while filled < window:
-            unit = next(queue, None)
-            if unit is None:
-                if asked:
-                    break
-                asked = True
-                score = index.scores(seed)
-                open_units = np.flatnonzero(free)
-                queue = iter(open_units[np.argsort(-score[open_units], kind="stable")].tolist())
-                continue
+        filled, unit, score = 0, seed, None
+        while True:
             take = min(window - filled, int(size[unit] - at[unit]))
             out.append((unit, int(at[unit]), int(at[unit]) + take, sequence, filled))
             at[unit] += take
             filled += take
             free[unit] = at[unit] < size[unit]
+            if filled == window:
+                break
+            if score is None:
+                score = np.where(free, index.scores(seed), -1.0)
+            score[unit] = -1.0
+            unit = int(score.argmax())  # the first of the nearest; a window takes few
+            if score[unit] < 0:
+                break
         sequence += 1
         if free[seed]:
             raise AssertionError("a unit is shorter than a window")

@@ -3,11 +3,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from acrelens.llm import dac, packing, spm
+from acrelens.llm import dac, packing, spm, words
 from acrelens.llm.words import WordEncoder
 from acrelens.scratch import scratch_path
 
@@ -33,6 +34,35 @@ def test_remembered_words_give_the_librarys_ids():
         assert np.frombuffer(own.encode(text.encode()), "<u4").tolist() == ids_by_library(text), repr(text)
 
 
+def odd_texts(rng):
+    """Words, marks, accents, signs and spaces side by side in every order."""
+    bits = ["a", "Zé", "İ", "ß", "ɏ", "×", "÷", "ñ", "«", "e\u0301", "\u0338", "\u0301", "ﬁ", "日", "'", "'s", "'LL", ".", ",", "=", "<", "<|", "|>", "<|endoftext|>", "7", "&&", "\u00a0", "\x1c", " ", "\n", "\t", "  ", "the", "Otter"]
+    return [None, *ODD, *["".join(rng.choice(bits) for _ in range(rng.randrange(0, 60))) for _ in range(400)], "", "end"]
+
+
+@pytest.mark.parametrize("run", [words.RUN, 200, 1])
+def test_many_texts_at_once_give_the_librarys_ids(run, monkeypatch):
+    monkeypatch.setattr(words, "RUN", run)
+    monkeypatch.setattr(words, "LIMIT", 50)
+    monkeypatch.setattr(words, "ASKED", 3)
+    texts = odd_texts(random.Random(5))
+    for own in (WordEncoder(WORDS), WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))):
+        rows = pa.array([None if t is None else t.encode() for t in ["first", *texts, "last"]], pa.binary()).slice(1, len(texts))
+        found = [ids.tolist() for part in own.encode_all(rows) for ids in part]
+        assert found == [[*own.tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+        assert list(own.encode_all(rows.slice(0, 0))) == []
+        assert [ids.tolist() for part in own.encode_all(pa.nulls(2, pa.binary())) for ids in part] == [[1], [1]]
+
+
+def test_words_of_many_texts_are_looked_up_once_and_without_their_marks():
+    own, seen = WordEncoder(WORDS), []
+    look_up = own._look_up
+    own._look_up = lambda found: (seen.extend(found), look_up(found))[1]
+    text = "otters, (otters) otters&&& Niño, niño niño. 'tis otters"
+    assert len([ids for part in own.encode_all(pa.array([text.encode()] * 50)) for ids in part]) == 50
+    assert sorted(map(bytes.decode, seen)) == sorted(["otters", ",", "(", ")", "&&&", "Niño", "niño", ".", "'tis"])
+
+
 def test_another_tokenizer_is_not_taken_word_by_word():
     other = public_tokenizers.path("byte_bpe_50k.json")
     own = WordEncoder(other)
@@ -143,6 +173,31 @@ def test_a_seeds_window_takes_its_nearest_neighbours():
     assert [p[0] for p in placed if p[3] == 0] == [0, 2]
 
 
+def ranked_by_sorting(units, idf, mean_length, window):
+    """The same packing with all free units sorted for every seed."""
+    index = packing.ShardIndex(units, idf, mean_length)
+    at, out, sequence = [0] * len(units), [], 0
+    for seed in range(len(units)):
+        if at[seed] == len(units[seed]):
+            continue
+        others = np.array([u for u in range(len(units)) if u != seed and at[u] < len(units[u])], dtype=np.int64)
+        filled = 0
+        for unit in [seed, *others[np.argsort(-index.scores(seed)[others], kind="stable")].tolist()]:
+            take = min(window - filled, len(units[unit]) - at[unit])
+            if take:
+                out.append((unit, at[unit], at[unit] + take, sequence, filled))
+            at[unit], filled = at[unit] + take, filled + take
+        sequence += 1
+    return out
+
+
+def test_taking_the_nearest_one_by_one_packs_as_sorting_does():
+    rng = np.random.default_rng(3)
+    units = [rng.integers(0, 60, rng.integers(1, 64)).astype("<u2") for _ in range(150)] + [np.array([7], dtype="<u2")] * 90
+    idf = rng.random(1 << 16).astype(np.float32)
+    assert packing.pack_shard(units, idf, 30.0, 64) == ranked_by_sorting(units, idf, 30.0, 64)
+
+
 def as_unigram(path):
     """The library's own model with its kind set to unigram, for the same Viterbi."""
     raw, at = bytearray(open(path, "rb").read()), 0
