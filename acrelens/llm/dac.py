@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -126,8 +126,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, segment_ids: int = SEGMENT
         kind = None
         for batch in small_batches(batches):
             kind = batch.schema.field(0).type
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                held.append(own.encode(text.as_buffer().to_pybytes() if text.is_valid else b""))
+            for name, ids in zip(batch.column(0).to_pylist(), chain.from_iterable(own.encode_all(batch.column(1)))):
+                held.append(ids.tobytes())
                 names.append(name)
                 size += len(held[-1]) // 4
                 if size >= segment_ids:
